@@ -24,9 +24,15 @@ def _bucket(seq: str, bits: int) -> Column:
     return F.shiftright(F.col(seq), bits)
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [left[c].eqNullSafe(right[c]) for c in cols])
+def _join_back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Inner join on null-safe equality of ``cols``; the right side's key
+    columns are renamed first so self-joined lineages stay unambiguous."""
+    r = right
+    for c in cols:
+        r = r.withColumnRenamed(c, f"__r_{c}")
+    on = reduce(lambda a, b: a & b,
+                [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cols])
+    return left.join(r, on=on, how="inner").drop(*[f"__r_{c}" for c in cols])
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
@@ -54,10 +60,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
         w.orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offsets = offsets.drop("__n")
-    joined = x.join(offsets, on=_null_safe_on(x, offsets, grp), how="inner")
-    out = joined.select(*[x[c] for c in x.columns],
-                        (offsets["__off"] + x["__local"]).alias(name))
-    return out.drop(b, "__local")
+    joined = _join_back(x, offsets, grp)
+    return (joined.withColumn(name, F.col("__off") + F.col("__local"))
+            .drop(b, "__local", "__off"))
 
 
 def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
@@ -82,12 +87,11 @@ def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
         F.max_by(F.struct(*[F.col(c) for c in cols + [seq]]), F.col(seq)).alias("__last"))
     wk = Window.partitionBy(*keys).orderBy(F.col(b))
     last = last.select(*keys, b, F.lag("__last").over(wk).alias("__carry"))
-    j = x.join(last, on=_null_safe_on(x, last, keys + [b]), how="inner")
-    first = j["__rn"] == 1
-    out = j.select(*[x[c] for c in df.columns],
-                   *[F.when(first, j["__carry"][c]).otherwise(j[f"__lag_{c}"]).alias(prefix + c)
-                     for c in cols + [seq]])
-    return out
+    j = _join_back(x, last, keys + [b])
+    first = F.col("__rn") == 1
+    return j.select(*df.columns,
+                    *[F.when(first, F.col("__carry")[c]).otherwise(F.col(f"__lag_{c}"))
+                      .alias(prefix + c) for c in cols + [seq]])
 
 
 def _compose(acc: Column, x: Column) -> Column:
