@@ -70,6 +70,7 @@ def local_session(cores: int | None = None) -> SparkSession:
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     return build_session(master=f"local[{n}]", shuffle_partitions=n, extra={
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.shuffle.partitions": str(n),
     })
