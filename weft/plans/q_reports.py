@@ -1 +1,137 @@
-"""Catalog entries."""
+"""Catalog entries: reports, analyzer union, history, memory, expiry."""
+
+from pyspark.sql import functions as F
+
+from weft.operators import corpus as cp
+from weft.operators import reports as rp
+from weft.operators import resources as rsc
+from weft.plans.catalog import query, with_ctes
+from weft.plans.q_corpus import METRICS_SQL
+from weft.plans.q_metrics import ADMISSION_SQL
+
+
+def _metrics_with_path(m):
+    docs = m.raw("documents")
+    met = cp.code_metrics(docs)
+    paths = docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+                        .alias("path"))
+    return met.join(paths, "doc_id")
+
+
+@query("system_status", "WITH RECURSIVE " + with_ctes(["ev", "tk", "ag", "rl", "rs"], """
+SELECT count(*) AS registered_agents, count(*) FILTER (WHERE state <> 'error') AS active_agents,
+  (SELECT count(*) FROM ev) AS events_processed,
+  (SELECT count(*) FROM ev WHERE event_type = 'task_completed' AND task_id IS NOT NULL) AS tasks_completed,
+  (SELECT count(*) FILTER (WHERE status = 'pending') FROM tk) AS queued_tasks,
+  (SELECT count(*) FILTER (WHERE status = 'running') FROM tk) AS active_tasks,
+  (SELECT count(*) FILTER (WHERE status IN ('completed', 'failed')) FROM tk) AS completed_tasks,
+  (SELECT count(*) FILTER (WHERE status = 'failed') FROM tk) AS failed_tasks,
+  (SELECT count(*) FROM (SELECT resource_id FROM adm GROUP BY resource_id
+                         HAVING count(*) FILTER (WHERE action = 'request') > 0) u
+   WHERE resource_id IN (SELECT resource_id FROM rs)) AS resources_tracked,
+  (SELECT coalesce(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE), 0.0)
+   FROM ev) AS uptime_seconds
+FROM ag""", [ADMISSION_SQL])[5:])
+def q_system_status(m):
+    util = rsc.resource_utilization(rsc.resource_admission(m.resource_log(), m.resources()),
+                                    m.resources())
+    return rp.system_status(m.events(), m.tasks(), m.agents(), util)
+
+
+def analyzers():
+    """Named analyzers over documents: each returns (doc_id, detail)."""
+    def structure(d):
+        met = cp.code_metrics(d)
+        return met.select("doc_id", F.format_string("functions=%d classes=%d",
+                                                    "function_count", "class_count").alias("detail"))
+
+    def complexity(d):
+        return cp.code_metrics(d).select("doc_id", F.format_string("complexity=%d", "complexity")
+                                         .alias("detail"))
+
+    def security(d):
+        return cp.code_metrics(d).select("doc_id", F.format_string("findings=%d", "security_issues")
+                                         .alias("detail"))
+    return {"structure": structure, "complexity": complexity, "security": security}
+
+
+COMBINED_SQL = f"""{METRICS_SQL},
+combined AS (
+  SELECT doc_id, 'structure' AS analyzer, 'ok' AS status,
+         printf('functions=%d classes=%d', function_count, class_count) AS detail,
+         CAST(NULL AS VARCHAR) AS error FROM metrics
+  UNION ALL
+  SELECT doc_id, 'complexity', 'ok', printf('complexity=%d', complexity), NULL FROM metrics
+  UNION ALL
+  SELECT doc_id, 'security', 'ok', printf('findings=%d', security_issues), NULL FROM metrics)"""
+
+
+@query("combine_analyzers", f"WITH {COMBINED_SQL} SELECT * FROM combined")
+def q_combine(m):
+    return rp.combine_analyzers(m.raw("documents"), analyzers())
+
+
+@query("analyzers_run", f"""WITH {COMBINED_SQL}
+SELECT doc_id, array_to_string(list_sort(list_distinct(list(analyzer))), ',') AS analyzers
+FROM combined WHERE status = 'ok' GROUP BY doc_id""")
+def q_analyzers_run(m):
+    return rp.analyzers_run(rp.combine_analyzers(m.raw("documents"), analyzers()))
+
+
+@query("recent_analyses", f"""WITH {METRICS_SQL}
+SELECT doc_id, quality_score, issues_found, rating,
+       CASE WHEN quality_score >= 7 THEN 'success' ELSE 'warning' END AS score_band,
+       CASE WHEN issues_found = 0 THEN 'success' ELSE 'danger' END AS issues_band,
+       repeat('*', greatest(0, least(CAST(trunc(quality_score) AS INTEGER), 10))) AS stars
+FROM metrics ORDER BY doc_id DESC LIMIT 10""")
+def q_recent_analyses(m):
+    return rp.recent_analyses(cp.code_metrics(m.raw("documents")), 10)
+
+
+@query("text_report", f"""WITH {METRICS_SQL}
+SELECT doc_id, printf('Analysis Results\n================\nFile: %s\nQuality Score: %s/10\nRating: %s\n\nMetrics:\n- Lines of Code: %s\n- Functions: %s\n- Classes: %s\n- Complexity: %s\n- Security Issues: %s\n\nRecommendations:\n%s',
+  coalesce(d.source || '/' || CAST(doc_id AS VARCHAR), 'N/A'), coalesce(CAST(quality_score AS VARCHAR), 'N/A'),
+  coalesce(rating, 'N/A'), CAST(lines_of_code AS VARCHAR), CAST(function_count AS VARCHAR),
+  CAST(class_count AS VARCHAR), CAST(complexity AS VARCHAR), CAST(security_issues AS VARCHAR),
+  array_to_string(list_transform(list_filter(string_split(coalesce(recommendations, ''), '; '),
+                                             lambda r: r <> ''), lambda r: '- ' || r), chr(10))) AS report
+FROM metrics JOIN documents d USING (doc_id)""".replace("\\n", "' || chr(10) || '"))
+def q_text_report(m):
+    return rp.text_report(_metrics_with_path(m))
+
+
+@query("complexity_histogram", f"""WITH {METRICS_SQL}
+SELECT CAST(least(floor(complexity / 10), 19) AS BIGINT) AS bucket, count(*) AS documents,
+       CAST(least(floor(complexity / 10), 19) AS BIGINT) * 10 AS lower_bound
+FROM metrics GROUP BY 1""")
+def q_complexity_histogram(m):
+    return rp.complexity_histogram(cp.code_metrics(m.raw("documents")))
+
+
+@query("quality_kpis", f"""WITH {METRICS_SQL}
+SELECT count(*) AS documents, CAST(avg(quality_score) AS DECIMAL(18,6)) AS average_score,
+       count(*) FILTER (WHERE issues_found = 0) AS clean_documents,
+       CAST(sum(security_issues) AS BIGINT) AS security_issues FROM metrics""")
+def q_quality_kpis(m):
+    return rp.quality_kpis(cp.code_metrics(m.raw("documents")))
+
+
+@query("event_trend", with_ctes(["ev"], """
+SELECT date_trunc('day', ts) AS period, event_type, count(*) AS n FROM ev GROUP BY 1, 2"""))
+def q_event_trend(m):
+    return rp.event_trend(m.events())
+
+
+@query("exclude_expired", with_ctes(["ev"], """
+SELECT * FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 7 DAY"""))
+def q_exclude_expired(m):
+    e = m.events()
+    return rp.exclude_expired(e, e.select(F.max("ts")).scalar(), 7)
+
+
+@query("memory_episodes", """
+SELECT conv_id, turn, text AS content, role AS context_type FROM conversations WHERE role = 'user'""")
+def q_memory_episodes(m):
+    ep = rp.memory_episodes(m.raw("conversations"))
+    return (ep.where(F.col("context")["type"] == "user")
+            .select("conv_id", "turn", "content", F.col("context")["type"].alias("context_type")))
