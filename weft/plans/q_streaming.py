@@ -1 +1,122 @@
-"""Catalog entries."""
+"""Catalog entries: Structured Streaming twins, run with an availableNow
+trigger over the event table's folder and read back from their batch
+output. Their oracles are the batch semantics in SQL."""
+
+from pyspark.sql import functions as F
+
+from weft.plans.catalog import query, with_ctes
+from weft.plans.q_metrics import ADMISSION_SQL
+from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
+from weft.sources.adapters import model_events, model_resource_log
+from weft.streaming import queries as sq
+from weft.streaming import stateful as S
+from weft.streaming.sources import (latest_per_key, read_batches, run_batches, table_stream,
+                                    with_event_time)
+
+
+def _events(m, event_time=False):
+    e = model_events(table_stream(m.spark, m.sf_dir, "events"))
+    return with_event_time(e) if event_time else e
+
+
+@query("stream_event_counts", with_ctes(["ev"], """
+SELECT event_type, count(*) AS n FROM ev GROUP BY event_type"""))
+def q_stream_event_counts(m):
+    """T1 (update mode); final value per type."""
+    out = run_batches(sq.stream_event_counts(_events(m)), "event_counts", "update")
+    return latest_per_key(read_batches(m.spark, out, "event_type string, n long"), ["event_type"])
+
+
+@query("stream_agent_state", with_ctes(["ev", "ag"], """
+SELECT a.agent_id, coalesce(st.effect, a.state) AS state, ld.tenths AS load_tenths, st.last_seq
+FROM ag a
+JOIN (SELECT source_agent AS agent_id, max(seq) AS last_seq,
+             arg_max(CASE WHEN event_type = 'task_completed' AND task_id IS NOT NULL THEN 'idle'
+                          WHEN event_type = 'task_failed' AND task_id IS NOT NULL THEN 'error'
+                          WHEN event_type = 'agent_state_changed' AND new_state = 'busy' THEN 'busy'
+                          WHEN event_type = 'agent_state_changed' AND new_state = 'idle' THEN 'idle' END,
+                   seq) FILTER (WHERE (event_type IN ('task_completed', 'task_failed') AND task_id IS NOT NULL)
+                                   OR (event_type = 'agent_state_changed' AND new_state IN ('busy', 'idle')))
+               AS effect
+      FROM ev GROUP BY source_agent) st ON st.agent_id = a.agent_id
+JOIN (SELECT a.agent_id,
+             list_reduce(coalesce(list(s.d ORDER BY s.seq) FILTER (WHERE s.d IS NOT NULL), []),
+                         lambda acc, x: least(10, greatest(0, acc + x)),
+                         CAST(round(a.load_factor * 10) AS BIGINT)) AS tenths
+      FROM ag a LEFT JOIN (
+        SELECT source_agent AS agent_id, seq,
+               CASE WHEN event_type = 'agent_state_changed' AND new_state = 'busy' THEN 1
+                    WHEN event_type = 'task_completed' AND task_id IS NOT NULL THEN -1 END AS d
+        FROM ev) s ON s.agent_id = a.agent_id
+      GROUP BY a.agent_id, a.load_factor) ld ON ld.agent_id = a.agent_id"""))
+def q_stream_agent_state(m):
+    """Running agent state and load; final row per agent."""
+    out = run_batches(sq.stream_agent_state(_events(m), m.agents()), "agent_state", "update")
+    return latest_per_key(read_batches(m.spark, out, S.AGENT_OUT), ["agent_id"])
+
+
+@query("stream_heartbeat_alerts", with_ctes(["ev"], """
+SELECT agent_id, last_seen, kind FROM (
+  SELECT source_agent AS agent_id, lag(ts) OVER w AS last_seen, 'gap' AS kind,
+         epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us
+  FROM ev WINDOW w AS (PARTITION BY source_agent ORDER BY seq))
+WHERE last_seen IS NOT NULL AND gap_us > 90000000
+UNION ALL
+SELECT source_agent AS agent_id, max(ts) AS last_seen, 'open' AS kind FROM ev GROUP BY source_agent
+HAVING epoch_us((SELECT max(ts) FROM ev)) // 1000 * 1000 - epoch_us(max(ts)) > 90000000"""))
+def q_stream_heartbeat(m):
+    """Gap alerts plus open silences closed by the final watermark."""
+    out = run_batches(sq.stream_heartbeat_alerts(_events(m, event_time=True)), "heartbeat")
+    df = read_batches(m.spark, out, S.HEARTBEAT_OUT)
+    return df.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "kind")
+
+
+@query("stream_resource_admission", "WITH RECURSIVE " + with_ctes(["rl", "rs"], "SELECT * FROM adm",
+                                                                 [ADMISSION_SQL])[5:])
+def q_stream_admission(m):
+    """T4: per-resource admission in keyed state."""
+    log = model_resource_log(table_stream(m.spark, m.sf_dir, "events"))
+    out = run_batches(sq.stream_resource_admission(log, m.resources()), "admission")
+    return read_batches(m.spark, out, S.ADMISSION_OUT).drop("batch_id")
+
+
+@query("stream_task_lifecycle", with_ctes(["ev", "tk"], """
+SELECT task_id, status, closed_seq FROM closed""", [FIRST_TERMINAL_SQL, CLOSED_SQL]))
+def q_stream_lifecycle(m):
+    """T5: tasks closed by the stream (same rows as apply_completions)."""
+    out = run_batches(sq.stream_task_lifecycle(_events(m), m.tasks()), "lifecycle")
+    return read_batches(m.spark, out, S.LIFECYCLE_OUT).drop("batch_id")
+
+
+WINDOWED = """wb AS (
+  SELECT *, make_timestamp(epoch_us(ts) // 30000000 * 30000000) AS window_start FROM ev),
+closed_w AS (
+  SELECT * FROM wb WHERE epoch_us(window_start) + 30000000
+                         <= epoch_us((SELECT max(ts) FROM ev)) // 1000 * 1000)"""
+
+
+@query("tumbling_event_counts", with_ctes(["ev"], """
+SELECT window_start, event_type, count(*) AS n FROM closed_w GROUP BY window_start, event_type""",
+                                          [WINDOWED]))
+def q_tumbling(m):
+    """30 s tumbling counts, append mode (windows the watermark closed)."""
+    out = run_batches(sq.tumbling_event_counts(_events(m, event_time=True)), "tumbling")
+    df = read_batches(m.spark, out, "window_start timestamp, event_type string, n long")
+    return df.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                     "event_type", "n")
+
+
+@query("window_alerts", with_ctes(["ev"], """
+SELECT window_start, events, errors, error_alert, latency_alert FROM (
+  SELECT window_start, count(*) AS events, count(*) FILTER (WHERE event_type = 'task_failed') AS errors,
+         CAST(count(*) FILTER (WHERE event_type = 'task_failed') AS DOUBLE) / CAST(count(*) AS DOUBLE) > 0.05
+           AS error_alert,
+         coalesce(max(execution_time) * 1000.0 > 5000.0, false) AS latency_alert
+  FROM closed_w GROUP BY window_start) WHERE error_alert OR latency_alert""", [WINDOWED]))
+def q_window_alerts(m):
+    """Alert windows (error share, slowest execution)."""
+    out = run_batches(sq.window_alerts(_events(m, event_time=True)), "alerts")
+    df = read_batches(m.spark, out, "window_start timestamp, events long, errors long, "
+                      "error_alert boolean, latency_alert boolean")
+    return df.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                     "events", "errors", "error_alert", "latency_alert")
