@@ -39,12 +39,12 @@ def short_date(ts: Column) -> Column:
 
 def file_name(path: Column) -> Column:
     """F8: last path component."""
-    return F.regexp_extract(path, r"([^/\\\\]+)$", 1)
+    return F.regexp_extract(path, r"([^/\\]+)$", 1)
 
 
 def file_stem(path: Column) -> Column:
     """F8: last path component without its extension."""
-    return F.regexp_extract(path, r"([^/\\\\]+?)(\\.[^./\\\\]*)?$", 1)
+    return F.regexp_extract(path, r"([^/\\]+?)(\.[^./\\]*)?$", 1)
 
 
 def clamp(x: Column, lo, hi) -> Column:

@@ -108,3 +108,29 @@ SELECT seq, printf('Event: %s from %s to %s - %s', event_type, CAST(source_agent
 FROM ev"""))
 def q_event_log_lines(m):
     return ev.event_log_lines(m.events())
+
+
+@query("event_labels", with_ctes(["ev"], """
+SELECT metric, n, array_to_string(list_transform(string_split(replace(regexp_replace(metric, '^event_', ''), '_', ' '), ' '),
+                                                 lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS label
+FROM (SELECT CASE WHEN GROUPING(event_type) = 1 THEN 'total_events' ELSE 'event_' || event_type END AS metric,
+             count(*) AS n FROM ev GROUP BY ROLLUP (event_type))"""))
+def q_event_labels(m):
+    """F2 + F3 on the event counters (display labels)."""
+    from pyspark.sql import functions as F
+    from weft.functions.scalar import key_label, strip_event_prefix
+    c = ev.event_counts(m.events())
+    return c.select("metric", "n", key_label(strip_event_prefix(F.col("metric"))).alias("label"))
+
+
+@query("recent_event_display", with_ctes(["ev"], """
+SELECT seq, substring(CAST(seq AS VARCHAR), 1, 8) AS short_id,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso_ts, strftime(ts, '%m/%d %H:%M') AS short_ts,
+       event_type FROM ev ORDER BY seq DESC LIMIT 10"""))
+def q_recent_event_display(m):
+    """K1 with F5, F6, F7 display columns."""
+    from pyspark.sql import functions as F
+    from weft.functions.scalar import iso_text, short_date, short_id
+    r = ev.event_history(m.events(), 10)
+    return r.select("seq", short_id(F.col("seq")).alias("short_id"), iso_text(F.col("ts")).alias("iso_ts"),
+                    short_date(F.col("ts")).alias("short_ts"), "event_type")

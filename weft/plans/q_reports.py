@@ -135,3 +135,39 @@ def q_memory_episodes(m):
     ep = rp.memory_episodes(m.raw("conversations"))
     return (ep.where(F.col("context")["type"] == "user")
             .select("conv_id", "turn", "content", F.col("context")["type"].alias("context_type")))
+
+
+@query("json_results", f"""WITH {METRICS_SQL}
+SELECT doc_id, to_json(struct_pack(file_path := d.source || '/' || CAST(doc_id AS VARCHAR),
+    quality_score := CAST(quality_score AS DOUBLE), rating := rating, issues_found := issues_found,
+    metrics := struct_pack(lines_of_code := lines_of_code, function_count := function_count,
+                           class_count := class_count, complexity := complexity,
+                           security_issues := security_issues))) AS json
+FROM metrics JOIN documents d USING (doc_id)""")
+def q_json_results(m):
+    """One JSON document per analysed file."""
+    return rp.json_results(_metrics_with_path(m))
+
+
+@query("analysis_bands", f"""WITH {METRICS_SQL}
+SELECT doc_id, regexp_extract(p, '([^/\\\\]+)$', 1) AS file_name,
+       regexp_extract(p, '([^/\\\\]+?)(\\.[^./\\\\]*)?$', 1) AS file_stem,
+       CASE WHEN complexity < 5 THEN 'green' WHEN complexity < 8 THEN 'yellow' ELSE 'red' END AS complexity_band,
+       CASE WHEN complexity >= 20 THEN 'critical' WHEN complexity >= 10 THEN 'warning' ELSE 'ok' END
+         AS complexity_alert,
+       array_to_string(list_transform(list_filter(string_split(recommendations, '; '), lambda r: r <> '')[1:3],
+                                      lambda r, i: CAST(i AS VARCHAR) || '. ' || r), ' | ') AS top_recommendations
+FROM (SELECT *, d.source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS p
+      FROM metrics JOIN documents d USING (doc_id))""")
+def q_analysis_bands(m):
+    """P4, P7, P8, F8 on every analysed file."""
+    from weft.functions import scalar as sc
+    docs = m.raw("documents")
+    met = cp.code_metrics(docs).join(docs.select("doc_id", F.concat(
+        F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("p")), "doc_id")
+    recs = F.filter(F.split(F.col("recommendations"), "; "), lambda r: r != "")
+    return met.select("doc_id", sc.file_name(F.col("p")).alias("file_name"),
+                      sc.file_stem(F.col("p")).alias("file_stem"),
+                      sc.complexity_band(F.col("complexity")).alias("complexity_band"),
+                      sc.complexity_alert(F.col("complexity")).alias("complexity_alert"),
+                      F.array_join(sc.top_numbered(recs, 3), " | ").alias("top_recommendations"))
