@@ -22,12 +22,17 @@ LOAD_CAP_TENTHS = 10
 
 
 def event_counts(events: DataFrame) -> DataFrame:
-    """A1: ``event_<type>`` counts plus a ``total_events`` row (rollup)."""
-    return (events.rollup("event_type")
-            .agg(F.count(F.lit(1)).alias("n"), F.grouping("event_type").alias("__g"))
-            .select(F.when(F.col("__g") == 1, F.lit("total_events"))
-                    .otherwise(F.concat(F.lit("event_"), F.col("event_type"))).alias("metric"),
-                    "n"))
+    """A1: ``event_<type>`` counts plus a ``total_events`` row.
+
+    The total is summed from the grouped result (one row per type), and the
+    two branches share one exchange (Spark reuses it), so the log is
+    scanned once; an empty log still reports ``total_events = 0``.
+    """
+    grouped = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    per_type = grouped.select(F.concat(F.lit("event_"), F.col("event_type")).alias("metric"), "n")
+    total = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")) \
+        .select(F.lit("total_events").alias("metric"), "n")
+    return per_type.unionByName(total)
 
 
 def agent_failures(events: DataFrame) -> DataFrame:
