@@ -35,9 +35,11 @@ def stream_agent_state(events: DataFrame, agents: DataFrame) -> DataFrame:
 
 def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0) -> DataFrame:
     """Silence alerts with event-time timers (needs a watermark on ts)."""
+    key_type = events.schema["source_agent"].dataType.simpleString()
+    out = S.HEARTBEAT_OUT.replace("agent_id long", f"agent_id {key_type}")
     return (events.select(F.col("source_agent").alias("agent_id"), "seq", "ts")
             .groupBy("agent_id")
-            .transformWithStateInPandas(S.HeartbeatProcessor(timeout_s), S.HEARTBEAT_OUT,
+            .transformWithStateInPandas(S.HeartbeatProcessor(timeout_s), out,
                                         "Append", "EventTime"))
 
 
