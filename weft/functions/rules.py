@@ -17,6 +17,9 @@ SOURCE_RULES = [
      r"|(^|[^A-Za-z0-9_.])(eval|exec)[ \t]*\()"),
 ]
 
+# Line rules are not applied to whole-line comments.
+COMMENT_LINE = r"^[ \t]*#"
+
 # Markup rules for raw pages. (rule, severity, pattern)
 MARKUP_RULES = [
     ("inline_script", "low", r"(?i)<script"),

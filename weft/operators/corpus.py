@@ -42,7 +42,7 @@ def _lines(text: Column) -> Column:
 
 def rule_hits(text: Column, pattern: str) -> Column:
     """Number of lines of ``text`` matching ``pattern``."""
-    return F.size(F.filter(_lines(text), lambda l: l.rlike(pattern)))
+    return F.size(F.filter(_lines(text), lambda l: ~l.rlike(R.COMMENT_LINE) & l.rlike(pattern)))
 
 
 def keyword_count(text: Column) -> Column:
@@ -117,7 +117,8 @@ def security_findings(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row per (document, line, rule) that matches. The fixed
     rule set compiles to one ``when`` per rule on each exploded line (no
     join with a rule table)."""
-    lines = docs.select(F.col(key), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
+    lines = (docs.select(F.col(key), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
+             .where(~F.col("line").rlike(R.COMMENT_LINE)))
     hits = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.struct(
         F.lit(r).alias("rule"), F.lit(cat).alias("category"), F.lit(sev).alias("severity")))
         for r, cat, sev, p in R.SOURCE_RULES]), lambda h: h.isNotNull())

@@ -18,7 +18,8 @@ def count_sql(pattern: str, col: str = "text") -> str:
 
 
 def hits_sql(pattern: str) -> str:
-    return f"len(list_filter({LINES}, lambda l: regexp_matches(l, {lit(pattern)})))"
+    return (f"len(list_filter({LINES}, lambda l: NOT regexp_matches(l, {lit(R.COMMENT_LINE)}) "
+            f"AND regexp_matches(l, {lit(pattern)})))")
 
 
 KW = ", ".join(lit(k) for k in R.DECISION_KEYWORDS)
@@ -85,7 +86,7 @@ WITH lines AS (
   SELECT doc_id, generate_subscripts({LINES}, 1) AS line_no, unnest({LINES}) AS line FROM documents)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, r.rule, r.category, r.severity
 FROM lines, (VALUES {RULE_VALUES}) r(rule, category, severity, pattern)
-WHERE regexp_matches(line, r.pattern)""")
+WHERE NOT regexp_matches(line, {lit(R.COMMENT_LINE)}) AND regexp_matches(line, r.pattern)""")
 def q_security_findings(m):
     """C4-C6 / J9 over every line of every document."""
     return cp.security_findings(m.raw("documents"))
