@@ -17,6 +17,21 @@ SOURCE_RULES = [
      r"|(^|[^A-Za-z0-9_.])(eval|exec)[ \t]*\()"),
 ]
 
+
+
+def jvm(pattern: str) -> str:
+    """The pattern for the JVM engine: ``(?d)`` makes ``\\n`` the only line
+    terminator for ``^``/``$``/``.``, as in RE2 (the oracle's engine)."""
+    return "(?d)" + pattern
+
+
+def any_line_pattern(patterns) -> str:
+    """One multiline pattern matching a text if any line could match one of
+    ``patterns`` (a superset test used to skip texts before splitting)."""
+    return "(?m)" + "|".join(f"(?:{p.replace('(?i)', '(?i:', 1) + ')' if p.startswith('(?i)') else p})"
+                             for p in patterns)
+
+
 # Line rules are not applied to whole-line comments.
 COMMENT_LINE = r"^[ \t]*#"
 

@@ -41,8 +41,12 @@ def _lines(text: Column) -> Column:
 
 
 def rule_hits(text: Column, pattern: str) -> Column:
-    """Number of lines of ``text`` matching ``pattern``."""
-    return F.size(F.filter(_lines(text), lambda l: ~l.rlike(R.COMMENT_LINE) & l.rlike(pattern)))
+    """Number of non-comment lines of ``text`` matching ``pattern``. Texts
+    are first tested whole (one multiline scan); only a text that can match
+    is split into lines."""
+    per_line = F.size(F.filter(_lines(text), lambda l: ~l.rlike(R.jvm(R.COMMENT_LINE))
+                               & l.rlike(R.jvm(pattern))))
+    return F.when(text.rlike(R.jvm(R.any_line_pattern([pattern]))), per_line).otherwise(F.lit(0))
 
 
 def keyword_count(text: Column) -> Column:
@@ -54,9 +58,9 @@ def keyword_count(text: Column) -> Column:
 
 def max_depth(text: Column) -> Column:
     """Deepest indentation level: leading spaces // 4, over all lines."""
-    depth = F.transform(_lines(text), lambda l: F.floor(
-        F.length(F.regexp_extract(l, "^ *", 0)) / 4).cast("bigint"))
-    return F.coalesce(F.array_max(depth), F.lit(0).cast("bigint"))
+    runs = F.regexp_extract_all(text, F.lit(R.jvm("(?m)^ +")), 0)
+    longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
+    return F.coalesce(F.floor(longest / 4), F.lit(0)).cast("bigint")
 
 
 def long_param_defs(text: Column) -> Column:
@@ -72,8 +76,8 @@ def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     measures = {
         "lines_of_code": line_count(t),
         "nonblank_lines": F.size(F.filter(_lines(t), lambda l: l.rlike(NONBLANK))),
-        "function_count": F.regexp_count(t, F.lit(R.DEF_PATTERN)),
-        "class_count": F.regexp_count(t, F.lit(R.CLASS_PATTERN)),
+        "function_count": F.regexp_count(t, F.lit(R.jvm(R.DEF_PATTERN))),
+        "class_count": F.regexp_count(t, F.lit(R.jvm(R.CLASS_PATTERN))),
         "complexity": keyword_count(t) + 1,
         "secret_findings": by_cat["secret"],
         "sql_findings": by_cat["sql"],
@@ -117,9 +121,11 @@ def security_findings(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row per (document, line, rule) that matches. The fixed
     rule set compiles to one ``when`` per rule on each exploded line (no
     join with a rule table)."""
-    lines = (docs.select(F.col(key), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
-             .where(~F.col("line").rlike(R.COMMENT_LINE)))
-    hits = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.struct(
+    maybe = F.col(text).rlike(R.jvm(R.any_line_pattern([p for *_, p in R.SOURCE_RULES])))
+    lines = (docs.where(maybe)
+             .select(F.col(key), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
+             .where(~F.col("line").rlike(R.jvm(R.COMMENT_LINE))))
+    hits = F.filter(F.array(*[F.when(F.col("line").rlike(R.jvm(p)), F.struct(
         F.lit(r).alias("rule"), F.lit(cat).alias("category"), F.lit(sev).alias("severity")))
         for r, cat, sev, p in R.SOURCE_RULES]), lambda h: h.isNotNull())
     return (lines.select(key, (F.col("pos") + 1).alias("line_no"), F.explode(hits).alias("h"))
@@ -140,7 +146,7 @@ def markup_findings(pages: DataFrame, key: str = "page_id", text: str = "html")
 def imports_used(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """C11: modules imported per document (one row per import statement)."""
     return docs.select(key, F.explode(F.regexp_extract_all(
-        F.col(text), F.lit(R.IMPORT_PATTERN), 1)).alias("module"))
+        F.col(text), F.lit(R.jvm(R.IMPORT_PATTERN)), 1)).alias("module"))
 
 
 def import_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

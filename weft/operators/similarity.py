@@ -76,6 +76,26 @@ def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return p / np.linalg.norm(p, axis=2, keepdims=True)
 
 
+def _signature_fn(planes: np.ndarray, width: float, vec: str):
+    """mapInPandas body: per vector and table, the quantised projections
+    joined as text (exact bucket identity, no hash collisions)."""
+    tables, bits, dim = planes.shape
+    flat = planes.reshape(tables * bits, dim).T
+
+    def fn(batches):
+        import pandas as pd
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
+            h = np.floor(x @ flat / width).astype(np.int64).reshape(len(pdf), tables, bits)
+            sig = [",".join(map(str, row)) for row in h.reshape(-1, bits)]
+            yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(dtype=np.int64), tables),
+                                "t": np.tile(np.arange(tables, dtype=np.int32), len(pdf)),
+                                "sig": sig})
+    return fn
+
+
 def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDATION_THRESHOLD,
                                 key: str = "vec_id", vec: str = "embedding",
                                 tables: int = 12, bits: int = 6, width: float | None = None,
@@ -102,12 +122,9 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
     # 1. exact copies
     groups = vectors.groupBy(vec).agg(F.min(key).alias("rep"))
     members = vectors.join(groups, vec, "inner").select(key, "rep")
-    # 2. LSH keys per representative
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[
-        F.floor(dot(F.col(vec), F.array(*[F.lit(float(x)) for x in planes[t, b]])) / w)
-        .cast("bigint") for b in range(bits)]).alias("sig")) for t in range(tables)])
+    # 2. LSH keys per representative (one numpy product per Arrow batch)
     reps = groups.select("rep", vec)
-    hashed = reps.select("rep", F.explode(keys).alias("h")).select("rep", "h.t", "h.sig")
+    hashed = reps.mapInPandas(_signature_fn(planes, w, vec), "rep long, t int, sig string")
     a, b = hashed.alias("a"), hashed.alias("b")
     cand = (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.sig") == F.col("b.sig"))
                    & (F.col("a.rep") < F.col("b.rep")))
