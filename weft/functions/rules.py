@@ -35,6 +35,14 @@ def any_line_pattern(patterns) -> str:
 # Line rules are not applied to whole-line comments.
 COMMENT_LINE = r"^[ \t]*#"
 
+# Literals a line must contain for each rule to match (any
+# one of them, case as written) — a cheap substring guard before the regex.
+RULE_GUARDS = {
+    "hardcoded_secret": ["=", ":"],
+    "sql_injection": ["("],
+    "command_injection": ["os.system", "os.popen", "subprocess.", "eval", "exec"],
+}
+
 # Markup rules for raw pages. (rule, severity, pattern)
 MARKUP_RULES = [
     ("inline_script", "low", r"(?i)<script"),

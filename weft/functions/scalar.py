@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def line_count(text: Column) -> Column:
-    """``len(s.split('\\n'))`` — number of newlines + 1 (empty text is 1)."""
-    return F.length(text) - F.length(F.regexp_replace(text, "\n", "")) + 1
+    """``len(s.split('\\n'))`` — pieces of a split on newline (empty text is 1)."""
+    return F.size(F.split(text, "\n", -1))
 
 
 def key_label(key: Column) -> Column:

@@ -40,20 +40,32 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def rule_hits(text: Column, pattern: str) -> Column:
-    """Number of non-comment lines of ``text`` matching ``pattern``. Texts
-    are first tested whole (one multiline scan); only a text that can match
-    is split into lines."""
+def may_match(text: Column, rule: str, pattern: str) -> Column:
+    """Superset test on a whole text: one of the rule's literals occurs
+    (substring search) and then the multiline form of the pattern matches.
+    ``And`` short-circuits, so most texts never reach the regex."""
+    guard = None
+    for lit_ in R.RULE_GUARDS[rule]:
+        g = text.contains(lit_)
+        guard = g if guard is None else guard | g
+    return guard & text.rlike(R.jvm(R.any_line_pattern([pattern])))
+
+
+def rule_hits(text: Column, rule: str, pattern: str) -> Column:
+    """Number of non-comment lines of ``text`` matching ``pattern``; only a
+    text that may match is split into lines."""
     per_line = F.size(F.filter(_lines(text), lambda l: ~l.rlike(R.jvm(R.COMMENT_LINE))
                                & l.rlike(R.jvm(pattern))))
-    return F.when(text.rlike(R.jvm(R.any_line_pattern([pattern]))), per_line).otherwise(F.lit(0))
+    return F.when(may_match(text, rule, pattern), per_line).otherwise(F.lit(0))
 
 
 def keyword_count(text: Column) -> Column:
     """Decision keywords outside strings and comments, as whole ASCII words."""
-    stripped = F.regexp_replace(text, R.STRIP_PATTERN, "")
+    stripped = F.regexp_replace(text, R.jvm(R.STRIP_PATTERN), "")
     kw = "|".join(R.DECISION_KEYWORDS)
-    return F.regexp_count(stripped, F.lit(f"(?<![A-Za-z0-9_])({kw})(?![A-Za-z0-9_])"))
+    first = "".join(sorted({k[0] for k in R.DECISION_KEYWORDS}))
+    return F.regexp_count(stripped, F.lit(
+        f"(?=[{first}])(?<![A-Za-z0-9_])(?:{kw})(?![A-Za-z0-9_])"))
 
 
 def max_depth(text: Column) -> Column:
@@ -72,7 +84,7 @@ def long_param_defs(text: Column) -> Column:
 def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of measures per document."""
     t = F.col(text)
-    by_cat = {cat: rule_hits(t, pat) for _, cat, _, pat in R.SOURCE_RULES}
+    by_cat = {cat: rule_hits(t, rule, pat) for rule, cat, _, pat in R.SOURCE_RULES}
     measures = {
         "lines_of_code": line_count(t),
         "nonblank_lines": F.size(F.filter(_lines(t), lambda l: l.rlike(NONBLANK))),
@@ -121,7 +133,10 @@ def security_findings(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row per (document, line, rule) that matches. The fixed
     rule set compiles to one ``when`` per rule on each exploded line (no
     join with a rule table)."""
-    maybe = F.col(text).rlike(R.jvm(R.any_line_pattern([p for *_, p in R.SOURCE_RULES])))
+    maybe = None
+    for rule, _, _, pat in R.SOURCE_RULES:
+        m = may_match(F.col(text), rule, pat)
+        maybe = m if maybe is None else maybe | m
     lines = (docs.where(maybe)
              .select(F.col(key), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
              .where(~F.col("line").rlike(R.jvm(R.COMMENT_LINE))))
