@@ -85,15 +85,17 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     """Per column rows, nulls, distinct values and (numeric) min/max.
 
     One aggregate over all columns, then unpivoted by exploding an array of
-    per-column structs. ``exact=False`` uses HyperLogLog++ distinct counts
-    (``approx_count_distinct``), which avoid the per-column expand."""
+    per-column structs. Exact distinct counts are one scalar subquery per
+    column (a two-phase distinct each, run concurrently) instead of an
+    ``Expand`` that multiplies every row by the number of columns;
+    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``) inline."""
     cols = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         aggs.append(F.count(F.col(c)).alias(f"{c}__nn"))
-        aggs.append((F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c)))
-                    .alias(f"{c}__nd"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"{c}__nd"))
         if isinstance(types[c], NUMERIC):
             aggs.append(F.min(F.col(c)).cast("double").alias(f"{c}__min"))
             aggs.append(F.max(F.col(c)).cast("double").alias(f"{c}__max"))
@@ -101,6 +103,9 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
             aggs.append(F.lit(None).cast("double").alias(f"{c}__min"))
             aggs.append(F.lit(None).cast("double").alias(f"{c}__max"))
     one = df.agg(*aggs)
+    if exact:
+        one = one.select("*", *[df.select(F.count_distinct(F.col(c))).scalar().alias(f"{c}__nd")
+                                for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
                               F.col("__rows").alias("n_rows"),
                               (F.col("__rows") - F.col(f"{c}__nn")).alias("n_nulls"),
