@@ -91,17 +91,28 @@ def agent_effect(events: DataFrame) -> Column:
             .when((et == STATE_CHANGED) & (ns == "unresponsive"), F.lit("error")))
 
 
+# Agent states as small integer codes, so the last-effect
+# aggregate has a fixed-width buffer (hash aggregate, not sort aggregate).
+STATE_CODES = ["idle", "busy", "error"]
+
+
 def agent_state(events: DataFrame, agents: DataFrame) -> DataFrame:
     """Final state per registered agent = last effect by ``seq``, else the
-    registered state. ``max_by`` is a partial aggregate, so a hot agent is
-    reduced map-side before the shuffle."""
-    eff = (registered_events(events, agents)
-           .select(F.col("source_agent").alias("agent_id"), "seq", agent_effect(events).alias("effect"))
-           .where(F.col("effect").isNotNull())
-           .groupBy("agent_id")
-           .agg(F.max_by("effect", "seq").alias("effect"), F.max("seq").alias("changed_at_seq")))
-    return (agents.join(eff, "agent_id", "left")
-            .select("agent_id", F.coalesce("effect", "state").alias("state"), "changed_at_seq"))
+    registered state. ``max_by`` over an integer code is a partial hash
+    aggregate, so a hot agent is reduced map-side before the shuffle."""
+    eff = agent_effect(events)
+    code = None
+    for i, name in enumerate(STATE_CODES):
+        code = F.when(eff == name, F.lit(i)) if code is None else code.when(eff == name, F.lit(i))
+    last = (registered_events(events, agents)
+            .select(F.col("source_agent").alias("agent_id"), "seq", code.alias("code"))
+            .where(F.col("code").isNotNull())
+            .groupBy("agent_id")
+            .agg(F.max_by("code", "seq").alias("code"), F.max("seq").alias("changed_at_seq")))
+    names = F.array(*[F.lit(n) for n in STATE_CODES])
+    return (agents.join(last, "agent_id", "left")
+            .select("agent_id", F.coalesce(F.element_at(names, F.col("code") + 1), F.col("state"))
+                    .alias("state"), "changed_at_seq"))
 
 
 def load_steps(events: DataFrame) -> DataFrame:

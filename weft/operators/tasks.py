@@ -55,7 +55,7 @@ def dispatch_queue(tasks: DataFrame) -> DataFrame:
     arrival. The rank is computed by :func:`rank_within`, so one hot task
     type is still ranked by many tasks."""
     return rank_within(ready_tasks(tasks), ["task_type"], "seq",
-                       order=[("priority", False)], name="queue_pos")
+                       order=[("priority", False)], name="queue_pos", materialize=True)
 
 
 def priority_order(tasks: DataFrame) -> DataFrame:

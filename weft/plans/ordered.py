@@ -37,7 +37,7 @@ def _join_back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFr
 
 def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
                 order: Sequence[tuple[str, bool]] = (), name: str = "rank",
-                bits: int = DEFAULT_BITS) -> DataFrame:
+                bits: int = DEFAULT_BITS, materialize: bool = False) -> DataFrame:
     """1-based ``row_number`` within ``keys`` ordered by ``order`` then ``seq``.
 
     ``order`` is a list of ``(column, ascending)`` applied before ``seq``.
@@ -46,8 +46,15 @@ def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
     (key, order values, seq bucket) group: the local row number inside the
     group is offset by the running count of all earlier groups, computed on
     the per-group count table (one row per group, ~rows / 2**bits).
+
+    The input is read twice (rows and counts). ``materialize=True`` writes it
+    once with a reliable ``checkpoint()`` into the shared checkpoint folder,
+    for inputs that are expensive to recompute (joins); plain scans are
+    cheaper to read twice.
     """
     keys, order = list(keys), list(order)
+    if materialize:
+        df = df.checkpoint(eager=True)
     ocols = [c for c, _ in order]
     b = "__bucket"
     x = df.withColumn(b, _bucket(seq, bits))
