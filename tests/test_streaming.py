@@ -141,3 +141,34 @@ def test_tumbling_counts_closed_windows(spark):
     total = sum(r["n"] for r in got.collect())
     # windows closed by the final watermark (last event at 273 s -> windows ending <= 273 s)
     assert total == sum(1 for e in evs if e[0] * 7 < 270)
+
+
+def test_restart_from_checkpoint_continues(spark):
+    """Stop after half the files, add the rest, restart on the same
+    checkpoint: the union of both runs equals the batch result."""
+    m = Model(spark, SF_SMALL)
+    raw = m.raw("events")
+    n = raw.count()
+    base = scratch_path(spark, f"restart-{uuid.uuid4().hex[:8]}")
+    src = base + "/src"
+    parts = raw.withColumn("f", F.floor(F.col("event_id") * 4 / F.lit(n)))
+
+    def add(fs):
+        for f in fs:
+            parts.where(F.col("f") == f).drop("f").coalesce(1).write.parquet(f"{src}/f{f}")
+
+    def run():
+        stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", "1")
+                  .option("recursiveFileLookup", "true").parquet(src))
+        q = sq.stream_resource_admission(model_resource_log(stream), m.resources())
+        return run_batches(q, "restart", base=base + "/run")
+
+    add([0, 1])
+    run()
+    first = read_batches(spark, base + "/run/out", S.ADMISSION_OUT).count()
+    add([2, 3])
+    out = run()
+    got = read_batches(spark, out, S.ADMISSION_OUT)
+    assert 0 < first < got.count()
+    want = rsc.resource_admission(m.resource_log(), m.resources())
+    assert rows(got, "seq", "outcome", "holders_after") == rows(want, "seq", "outcome", "holders_after")

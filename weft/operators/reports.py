@@ -18,27 +18,32 @@ REPORT_TITLE = "Analysis Results"
 
 
 def system_status(events: DataFrame, tasks: DataFrame, agents: DataFrame,
-                  utilization: DataFrame) -> DataFrame:
-    """One status row. Every measure is a scalar subquery over its own
-    table; Spark runs each once (and merges those over the same scan)."""
+                  utilization: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """One status row. Each source table is aggregated once into a
+    struct (one scan per table) and attached as a scalar subquery.
+    ``tasks_completed`` counts completion events (duplicates included, as
+    the reference does); ``tasks_closed`` counts tasks they actually closed."""
     s = F.col("status")
-    ev_done = events.where((F.col("event_type") == "task_completed") & F.col("task_id").isNotNull())
+    done = (F.col("event_type") == "task_completed") & F.col("task_id").isNotNull()
     secs = ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
             / F.lit(1e6))
-    return agents.agg(
-        F.count(F.lit(1)).alias("registered_agents"),
-        F.count_if(F.col("state") != "error").alias("active_agents"),
-    ).select(
+    ev = events.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("done"),
+                             F.coalesce(secs, F.lit(0.0)).alias("up"))).scalar()
+    tk = tasks.agg(F.struct(F.count_if(s == "pending").alias("q"), F.count_if(s == "running").alias("a"),
+                            F.count_if(s.isin("completed", "failed")).alias("c"),
+                            F.count_if(s == "failed").alias("f"))).scalar()
+    cols = [
         "registered_agents", "active_agents",
-        events.select(F.count(F.lit(1))).scalar().alias("events_processed"),
-        ev_done.select(F.count(F.lit(1))).scalar().alias("tasks_completed"),
-        tasks.select(F.count_if(s == "pending")).scalar().alias("queued_tasks"),
-        tasks.select(F.count_if(s == "running")).scalar().alias("active_tasks"),
-        tasks.select(F.count_if(s.isin("completed", "failed"))).scalar().alias("completed_tasks"),
-        tasks.select(F.count_if(s == "failed")).scalar().alias("failed_tasks"),
+        ev["n"].alias("events_processed"), ev["done"].alias("tasks_completed"),
+        tk["q"].alias("queued_tasks"), tk["a"].alias("active_tasks"),
+        tk["c"].alias("completed_tasks"), tk["f"].alias("failed_tasks"),
         utilization.select(F.count(F.lit(1))).scalar().alias("resources_tracked"),
-        events.select(F.coalesce(secs, F.lit(0.0))).scalar().alias("uptime_seconds"),
-    )
+        ev["up"].alias("uptime_seconds"),
+    ]
+    if closed is not None:
+        cols.append(closed.select(F.count(F.lit(1))).scalar().alias("tasks_closed"))
+    return agents.agg(F.count(F.lit(1)).alias("registered_agents"),
+                      F.count_if(F.col("state") != "error").alias("active_agents")).select(*cols)
 
 
 Analyzer = Callable[[DataFrame], DataFrame]

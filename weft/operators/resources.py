@@ -64,7 +64,8 @@ def resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:
     x = (log.select("seq", "resource_id", "agent_id", "action")
          .join(resources.select("resource_id", "max_concurrent"), "resource_id", "left")
          .repartition("resource_id")
-         .sortWithinPartitions("resource_id", "seq"))
+         # a total order, so a recomputed task sees the same sequence
+         .sortWithinPartitions("resource_id", "seq", "action", "agent_id"))
     return x.mapInPandas(_admit, OUT_SCHEMA)
 
 

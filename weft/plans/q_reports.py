@@ -7,7 +7,9 @@ from weft.operators import reports as rp
 from weft.operators import resources as rsc
 from weft.plans.catalog import query, with_ctes
 from weft.plans.q_corpus import METRICS_SQL
+from weft.operators import tasks as tk
 from weft.plans.q_metrics import ADMISSION_SQL
+from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 
 
 def _metrics_with_path(m):
@@ -30,12 +32,14 @@ SELECT count(*) AS registered_agents, count(*) FILTER (WHERE state <> 'error') A
                          HAVING count(*) FILTER (WHERE action = 'request') > 0) u
    WHERE resource_id IN (SELECT resource_id FROM rs)) AS resources_tracked,
   (SELECT coalesce(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE), 0.0)
-   FROM ev) AS uptime_seconds
-FROM ag""", [ADMISSION_SQL])[5:])
+   FROM ev) AS uptime_seconds,
+  (SELECT count(*) FROM closed) AS tasks_closed
+FROM ag""", [ADMISSION_SQL, FIRST_TERMINAL_SQL, CLOSED_SQL])[5:])
 def q_system_status(m):
     util = rsc.resource_utilization(rsc.resource_admission(m.resource_log(), m.resources()),
                                     m.resources())
-    return rp.system_status(m.events(), m.tasks(), m.agents(), util)
+    closed = tk.apply_completions(m.tasks(), m.events())
+    return rp.system_status(m.events(), m.tasks(), m.agents(), util, closed)
 
 
 def analyzers():

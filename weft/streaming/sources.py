@@ -31,6 +31,17 @@ def with_event_time(df: DataFrame, col: str = "ts", delay: str = "0 seconds") ->
     return df.withColumn(col, F.col(col).cast("timestamp")).withWatermark(col, delay)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ensure_state_store(spark: SparkSession) -> None:
+    """``transformWithState`` needs the RocksDB state store provider; set it
+    when the session still has the default provider."""
+    cur = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""
+    if "RocksDB" not in cur:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def run_batches(df: DataFrame, name: str, output_mode: str = "append",
                 base: str | None = None, available_now: bool = True,
                 timeout_s: int | None = None) -> str:
@@ -40,6 +51,7 @@ def run_batches(df: DataFrame, name: str, output_mode: str = "append",
     output folder. ``base`` defaults to a fresh folder under the shared
     checkpoint directory."""
     spark = df.sparkSession
+    ensure_state_store(spark)
     base = base or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
     out = f"{base}/out"
 
