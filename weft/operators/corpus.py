@@ -61,7 +61,7 @@ def rule_hits(text: Column, rule: str, pattern: str) -> Column:
 
 def keyword_count(text: Column) -> Column:
     """Decision keywords outside strings and comments, as whole ASCII words."""
-    stripped = F.regexp_replace(text, R.jvm(R.STRIP_PATTERN), "")
+    stripped = F.regexp_replace(text, R.STRIP_PATTERN_JVM, "")
     kw = "|".join(R.DECISION_KEYWORDS)
     first = "".join(sorted({k[0] for k in R.DECISION_KEYWORDS}))
     return F.regexp_count(stripped, F.lit(
