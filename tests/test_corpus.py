@@ -75,8 +75,8 @@ def test_read_corpus_whole_files_and_size_filter(spark, tmpdir_path):
         with open(os.path.join(tmpdir_path, name), "w") as f:
             f.write(body)
     df = cp.read_corpus(spark, tmpdir_path + "/*.py", max_bytes=4096)
-    got = {os.path.basename(r["path"]): r["size"] for r in df.collect()}
-    assert got == {"a.py": len(SAMPLE), "b.py": 6}
+    got = {os.path.basename(r["path"]): (r["size"], r["language"]) for r in df.collect()}
+    assert got == {"a.py": (len(SAMPLE), "Python"), "b.py": (6, "Python")}
     text = df.where(df.path.endswith("a.py")).collect()[0]["content"]
     assert text == SAMPLE
 

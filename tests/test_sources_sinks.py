@@ -42,3 +42,15 @@ def test_append_history_and_samples(spark, tmpdir_path):
     s = os.path.join(tmpdir_path, "samples")
     mt.append_samples(ev.select("event_id", F.col("event_type").alias("metric"), "value"), s)
     assert spark.read.parquet(s).where(F.col("metric") == "click").count() >= 0
+
+
+def test_memory_append_and_lookup(spark, tmpdir_path):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "hello")],
+                                  "conv_id long, turn long, role string, text string")
+    ep = rp.memory_episodes(turns)
+    path = os.path.join(tmpdir_path, "memory")
+    rp.append_memory(ep, path)
+    rp.append_memory(ep, path)
+    back = spark.read.parquet(path)
+    assert back.where(F.col("type") == "user").count() == 2
+    assert [r["content"] for r in rp.episodes_of_type(ep, "assistant").collect()] == ["hello"]

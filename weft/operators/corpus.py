@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import rules as R
-from weft.functions.scalar import line_count
+from weft.functions.scalar import language_of, line_count
 
 MAX_FILE_BYTES = 100 * 1024 * 1024
 NONBLANK = "[^ \\t\\r]"
@@ -26,6 +26,7 @@ def read_corpus(spark, glob: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     df = (spark.read.format("text").option("wholetext", "true").load(glob)
           .where(F.col("_metadata.file_size") <= max_bytes))
     return df.select(F.col("_metadata.file_path").alias("path"),
+                     language_of(F.col("_metadata.file_name")).alias("language"),
                      F.col("value").alias("content"),
                      F.col("_metadata.file_size").alias("size"))
 

@@ -12,7 +12,7 @@ from typing import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.scalar import issues_band, or_na, quality_band, stars
+from weft.functions.scalar import get_or, issues_band, or_na, quality_band, stars
 
 REPORT_TITLE = "Analysis Results"
 
@@ -159,6 +159,18 @@ def exclude_expired(df: DataFrame, as_of, days: int, ts_col: str = "ts") -> Data
     return df.where(F.col(ts_col) >= as_of - F.make_interval(days=F.lit(days)))
 
 
+def append_memory(episodes: DataFrame, path: str) -> None:
+    """Append episodes, partitioned by their context type."""
+    (episodes.withColumn("type", get_or(F.col("context"), "type", "unknown"))
+     .write.mode("append").partitionBy("type").parquet(path))
+
+
+def episodes_of_type(episodes: DataFrame, kind: str) -> DataFrame:
+    """S10 retrieval: episodes whose context type is ``kind`` (missing type
+    reads as ``unknown``)."""
+    return episodes.where(get_or(F.col("context"), "type", "unknown") == kind)
+
+
 def memory_episodes(turns: DataFrame) -> DataFrame:
     """Episodes ``(content, context)`` with a context map of type and
     conversation; ``context['type']`` filters by kind."""

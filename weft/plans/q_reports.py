@@ -136,9 +136,8 @@ def q_exclude_expired(m):
 @query("memory_episodes", """
 SELECT conv_id, turn, text AS content, role AS context_type FROM conversations WHERE role = 'user'""")
 def q_memory_episodes(m):
-    ep = rp.memory_episodes(m.raw("conversations"))
-    return (ep.where(F.col("context")["type"] == "user")
-            .select("conv_id", "turn", "content", F.col("context")["type"].alias("context_type")))
+    ep = rp.episodes_of_type(rp.memory_episodes(m.raw("conversations")), "user")
+    return ep.select("conv_id", "turn", "content", F.col("context")["type"].alias("context_type"))
 
 
 @query("json_results", f"""WITH {METRICS_SQL}
