@@ -92,3 +92,14 @@ def test_reports(spark):
     st = rows(run.groupBy("analyzer", "status").count(), "analyzer", "status", "count")
     assert st == [("broken", "error", 4), ("ok", "ok", 4)]
     assert rows(rp.analyzers_run(run), "analyzers")[0] == ("ok",)
+
+
+def test_keywords_in_comments_and_strings_do_not_count(spark):
+    text = ('x = "if and or while"  # for if else\n'
+            "y = 'for' if a else b\n"
+            "# while while while\n"
+            "elif_ = orbit + android\n")
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    m = cp.code_metrics(df).collect()[0]
+    # only the bare `if` on line 2 counts (identifiers containing keywords do not)
+    assert m["complexity"] == 2

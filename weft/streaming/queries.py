@@ -52,9 +52,11 @@ def stream_resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame
 
 
 def stream_task_lifecycle(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """T5: keyed by task id; the task table is the initial state."""
-    init = tasks.select("task_id", "status").groupBy("task_id")
-    ev = (events.where(F.col("task_id").isNotNull())
+    """T5: keyed by task id; the running tasks are the initial state and
+    only terminal events are read."""
+    init = tasks.where(F.col("status") == "running").select("task_id", "status").groupBy("task_id")
+    ev = (events.where(F.col("task_id").isNotNull()
+                       & F.col("event_type").isin("task_completed", "task_failed"))
           .select("task_id", "seq", "event_type"))
     return (ev.groupBy("task_id")
             .transformWithStateInPandas(S.TaskLifecycleProcessor(), S.LIFECYCLE_OUT, "Append",

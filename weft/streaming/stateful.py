@@ -193,9 +193,11 @@ LIFECYCLE_OUT = "task_id long, status string, closed_seq long"
 
 
 class TaskLifecycleProcessor(StatefulProcessor):
-    """T5: task state machine. ``task_assigned`` queues an unknown task;
-    a completion / failure closes the task only while it is running; later
-    or duplicate terminal events are ignored. Emits one row per closure."""
+    """T5: closes running tasks. The initial state holds only the running
+    tasks — no event changes a queued, closed or unknown task — and a key's
+    state is cleared once its task closes, so the store holds the active set,
+    not the whole task history. Later or duplicate terminal events find no
+    state and are ignored, as the reference ignores them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.st = handle.getValueState("task", StructType([StructField("status", StringType())]))
@@ -205,23 +207,15 @@ class TaskLifecycleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows)
-        if pdf.empty:
+        if pdf.empty or not self.st.exists():
             return iter([])
-        status = self.st.get()[0] if self.st.exists() else None
-        closed = []
         for et, seq in zip(pdf["event_type"].tolist(), pdf["seq"].tolist()):
-            if et == "task_assigned" and status is None:
-                status = "pending"
-            elif et in (TASK_COMPLETED, TASK_FAILED) and status == "running":
+            if et in (TASK_COMPLETED, TASK_FAILED):
+                self.st.clear()
                 status = "completed" if et == TASK_COMPLETED else "failed"
-                closed.append((status, int(seq)))
-        if status is not None:
-            self.st.update((status,))
-        if not closed:
-            return iter([])
-        return iter([pd.DataFrame({"task_id": [key[0]] * len(closed),
-                                   "status": [c[0] for c in closed],
-                                   "closed_seq": [c[1] for c in closed]})])
+                return iter([pd.DataFrame({"task_id": [key[0]], "status": [status],
+                                           "closed_seq": [int(seq)]})])
+        return iter([])
 
     def close(self) -> None:
         pass
