@@ -10,6 +10,8 @@ def _vectors(spark, n=120, dim=16, seed=3):
     x[10] = x[3] + 0.05 * rng.standard_normal(dim)   # near copy
     x[11] = x[3]                                     # exact copy
     x[50] = x[40] + 0.1 * rng.standard_normal(dim)
+    for j in range(60, 90):                           # dense cluster of near copies
+        x[j] = x[5] + 0.04 * rng.standard_normal(dim)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     data = [(i, [float(v) for v in x[i]], i % 4) for i in range(n)]
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), \
@@ -25,6 +27,7 @@ def test_consolidation_equals_brute_force(spark):
         want[i] = min([i] + partners)
     got = dict(rows(sim.consolidate_near_duplicates(df), "vec_id", "canonical_id"))
     assert got == want and got[10] == 3 and got[11] == 3
+    assert sum(1 for j in range(60, 90) if got[j] == 5) >= 25
 
 
 def test_topk_equals_numpy(spark):

@@ -105,12 +105,15 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
 
     1. Exact copies collapse first with an aggregate on the vector itself,
        so a huge group of identical vectors never forms pairs.
-    2. Candidate pairs of distinct vectors come from locality-sensitive
-       buckets: ``tables`` OR-tables, each keyed by ``bits`` quantised
-       random projections (AND); an equi-join on (table, key) pairs them.
-    3. Every candidate is checked exactly (inner product >= threshold).
-    Result rows are exact; a true pair can be missed only if no table puts
-    both vectors in one bucket (LSH recall, measured in the tests).
+    2. Distinct vectors get locality-sensitive bucket keys: ``tables``
+       OR-tables, each keyed by ``bits`` quantised random projections (AND).
+    3. In each bucket every member is compared with the bucket's smallest id
+       (the leader) — one comparison per member. Only members that are not
+       near their leader are compared with the smaller ids of that bucket,
+       so a dense cluster of near-copies costs one comparison per member.
+    Every comparison is exact (inner product >= threshold); a true pair can
+    be missed only if no table puts both vectors in one bucket (LSH recall,
+    measured against brute force in the tests).
     """
     dim_row = vectors.select(F.size(vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
     if not dim_row:
@@ -125,17 +128,30 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
     # 2. LSH keys per representative (one numpy product per Arrow batch)
     reps = groups.select("rep", vec)
     hashed = reps.mapInPandas(_signature_fn(planes, w, vec), "rep long, t int, sig string")
-    a, b = hashed.alias("a"), hashed.alias("b")
-    cand = (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.sig") == F.col("b.sig"))
-                   & (F.col("a.rep") < F.col("b.rep")))
-            .select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct())
-    # 3. exact check
-    va, vb = reps.alias("va"), reps.alias("vb")
-    pairs = (cand.join(va, F.col("x") == F.col("va.rep")).join(vb, F.col("y") == F.col("vb.rep"))
-             .where(dot(F.col(f"va.{vec}"), F.col(f"vb.{vec}")) >= threshold)
-             .select("x", "y"))
-    partner = (pairs.select(F.col("y").alias("rep"), F.col("x").alias("p"))
-               .groupBy("rep").agg(F.min("p").alias("p")))
+    # 3. leader first: each bucket's smallest id is checked against every
+    #    other member (one comparison per member). Inside a bucket the best
+    #    partner a member can have is the leader, so a member near its leader
+    #    is settled there; only members that are not look further, and only
+    #    at smaller ids of the same bucket.
+    leaders = hashed.groupBy("t", "sig").agg(F.min("rep").alias("leader"))
+    tagged = hashed.join(leaders, ["t", "sig"]).where(F.col("rep") != F.col("leader"))
+    vx = reps.select(F.col("rep").alias("__x"), F.col(vec).alias("__vx"))
+    vy = reps.select(F.col("rep").alias("__y"), F.col(vec).alias("__vy"))
+
+    def near(df, x, y):
+        return (df.join(vx, F.col(x) == F.col("__x")).join(vy, F.col(y) == F.col("__y"))
+                .withColumn("__near", dot(F.col("__vx"), F.col("__vy")) >= threshold)
+                .drop("__x", "__y", "__vx", "__vy"))
+
+    checked = near(tagged, "leader", "rep")
+    settled = checked.where("__near").select("rep", F.col("leader").alias("p"))
+    open_ = checked.where(~F.col("__near")).select("rep", "t", "sig")
+    others = hashed.join(leaders, ["t", "sig"]).where(F.col("rep") != F.col("leader")) \
+        .select(F.col("rep").alias("u"), "t", "sig")
+    cand = (open_.join(others, ["t", "sig"]).where(F.col("u") < F.col("rep"))
+            .select("rep", "u").distinct())
+    found = near(cand, "u", "rep").where("__near").select("rep", F.col("u").alias("p"))
+    partner = settled.unionByName(found).groupBy("rep").agg(F.min("p").alias("p"))
     canon = groups.select("rep").join(partner, "rep", "left").select(
         "rep", F.least(F.col("rep"), F.coalesce(F.col("p"), F.col("rep"))).alias("canonical_id"))
     return members.join(canon, "rep", "inner").select(key, "canonical_id")
