@@ -90,14 +90,17 @@ def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
     x = x.withColumn("__rn", F.row_number().over(wl))
     for c in cols + [seq]:
         x = x.withColumn(f"__lag_{c}", F.lag(c).over(wl))
+    # one max_by per column: fixed-width columns keep this a hash aggregate
     last = x.groupBy(*keys, b).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols + [seq]]), F.col(seq)).alias("__last"))
+        *[F.max_by(F.col(c), F.col(seq)).alias(f"__last_{c}") for c in cols],
+        F.max(F.col(seq)).alias(f"__last_{seq}"))
     wk = Window.partitionBy(*keys).orderBy(F.col(b))
-    last = last.select(*keys, b, F.lag("__last").over(wk).alias("__carry"))
+    last = last.select(*keys, b, *[F.lag(f"__last_{c}").over(wk).alias(f"__carry_{c}")
+                                   for c in cols + [seq]])
     j = _join_back(x, last, keys + [b])
     first = F.col("__rn") == 1
     return j.select(*df.columns,
-                    *[F.when(first, F.col("__carry")[c]).otherwise(F.col(f"__lag_{c}"))
+                    *[F.when(first, F.col(f"__carry_{c}")).otherwise(F.col(f"__lag_{c}"))
                       .alias(prefix + c) for c in cols + [seq]])
 
 
