@@ -37,15 +37,17 @@ def clean(df: DataFrame, keys: Sequence[str], required: Sequence[str] = ()) -> D
 
 def normalize(df: DataFrame, col: str) -> DataFrame:
     """Add ``<col>_minmax`` and ``<col>_z`` (sample stddev), as
-    ``decimal(18,6)``. Statistics come from one-row scalar subqueries."""
+    ``decimal(18,6)``. The four statistics come from one struct-valued scalar
+    subquery (one scan)."""
     x = F.col(col).cast("double")
-    lo = df.select(F.min(x)).scalar()
-    hi = df.select(F.max(x)).scalar()
-    mu = df.select(F.avg(x)).scalar()
-    sd = df.select(F.stddev_samp(x)).scalar()
-    return df.select("*",
-                     F.try_divide(x - lo, hi - lo).cast("decimal(18,6)").alias(f"{col}_minmax"),
-                     F.try_divide(x - mu, sd).cast("decimal(18,6)").alias(f"{col}_z"))
+    st = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mu"),
+                         F.stddev_samp(x).alias("sd"))).scalar()
+    # the subquery sits in one column; the four uses read its fields
+    s = F.col("__st")
+    return (df.withColumn("__st", st)
+            .select(*df.columns,
+                    F.try_divide(x - s["lo"], s["hi"] - s["lo"]).cast("decimal(18,6)").alias(f"{col}_minmax"),
+                    F.try_divide(x - s["mu"], s["sd"]).cast("decimal(18,6)").alias(f"{col}_z")))
 
 
 def validate(df: DataFrame, rules: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
@@ -104,8 +106,11 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
             aggs.append(F.lit(None).cast("double").alias(f"{c}__max"))
     one = df.agg(*aggs)
     if exact:
-        one = one.select("*", *[df.select(F.count_distinct(F.col(c))).scalar().alias(f"{c}__nd")
-                                for c in cols])
+        # distinct values of one column, then counted: a plain two-phase
+        # hash aggregate per column, no Expand
+        one = one.select("*", *[
+            df.select(c).where(F.col(c).isNotNull()).distinct()
+            .agg(F.count(F.lit(1))).scalar().alias(f"{c}__nd") for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
                               F.col("__rows").alias("n_rows"),
                               (F.col("__rows") - F.col(f"{c}__nn")).alias("n_nulls"),

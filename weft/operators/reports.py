@@ -32,18 +32,22 @@ def system_status(events: DataFrame, tasks: DataFrame, agents: DataFrame,
     tk = tasks.agg(F.struct(F.count_if(s == "pending").alias("q"), F.count_if(s == "running").alias("a"),
                             F.count_if(s.isin("completed", "failed")).alias("c"),
                             F.count_if(s == "failed").alias("f"))).scalar()
+    base = agents.agg(F.count(F.lit(1)).alias("registered_agents"),
+                      F.count_if(F.col("state") != "error").alias("active_agents"))
+    # each struct subquery sits in one column; the measures read its fields
+    base = base.withColumn("__ev", ev).withColumn("__tk", tk)
+    e, t = F.col("__ev"), F.col("__tk")
     cols = [
         "registered_agents", "active_agents",
-        ev["n"].alias("events_processed"), ev["done"].alias("tasks_completed"),
-        tk["q"].alias("queued_tasks"), tk["a"].alias("active_tasks"),
-        tk["c"].alias("completed_tasks"), tk["f"].alias("failed_tasks"),
+        e["n"].alias("events_processed"), e["done"].alias("tasks_completed"),
+        t["q"].alias("queued_tasks"), t["a"].alias("active_tasks"),
+        t["c"].alias("completed_tasks"), t["f"].alias("failed_tasks"),
         utilization.select(F.count(F.lit(1))).scalar().alias("resources_tracked"),
-        ev["up"].alias("uptime_seconds"),
+        e["up"].alias("uptime_seconds"),
     ]
     if closed is not None:
         cols.append(closed.select(F.count(F.lit(1))).scalar().alias("tasks_closed"))
-    return agents.agg(F.count(F.lit(1)).alias("registered_agents"),
-                      F.count_if(F.col("state") != "error").alias("active_agents")).select(*cols)
+    return base.select(*cols)
 
 
 Analyzer = Callable[[DataFrame], DataFrame]
