@@ -136,6 +136,7 @@ def agent_details(agents: DataFrame) -> DataFrame:
         "agent_id", F.col("agent_type").alias("type"), "state",
         F.array_join(F.transform("capabilities", lambda x: x.cast("string")), ", ")
         .alias("capabilities"),
+        F.size(F.array_distinct("capabilities")).cast("bigint").alias("n_capabilities"),
         "load_factor")
 
 

@@ -99,7 +99,7 @@ def q_agent_counts(m):
 
 @query("agent_details", with_ctes(["ag"], """
 SELECT agent_id, agent_type AS type, state, array_to_string(capabilities, ', ') AS capabilities,
-       load_factor FROM ag"""))
+       len(list_distinct(capabilities)) AS n_capabilities, load_factor FROM ag"""))
 def q_agent_details(m):
     return ag.agent_details(m.agents())
 
