@@ -153,7 +153,8 @@ def quality_kpis(metrics: DataFrame) -> DataFrame:
 
 def event_trend(events: DataFrame, unit: str = "day") -> DataFrame:
     """Events per time unit and type."""
-    return (events.groupBy(F.date_trunc(unit, F.col("ts")).alias("period"), "event_type")
+    period = F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz")
+    return (events.groupBy(period.alias("period"), "event_type")
             .agg(F.count(F.lit(1)).alias("n")))
 
 

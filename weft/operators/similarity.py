@@ -66,7 +66,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10,
     if threshold is not None:
         scored = scored.where(F.col("s") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), F.col(key).asc())
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
             .select("query_id", "rank", key, F.col("s").cast("decimal(18,6)").alias("score")))
 
 

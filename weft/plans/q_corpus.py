@@ -113,7 +113,7 @@ def q_import_counts(m):
 
 
 @query("corpus_rollup", f"""WITH {METRICS_SQL}
-SELECT d.lang, d.source, CAST(GROUPING(d.lang, d.source) AS INTEGER) AS level, count(*) AS documents,
+SELECT d.lang, d.source, CAST(GROUPING(d.lang, d.source) AS BIGINT) AS level, count(*) AS documents,
        CAST(sum(lines_of_code) AS BIGINT) AS lines_of_code, CAST(sum(function_count) AS BIGINT) AS function_count,
        CAST(sum(class_count) AS BIGINT) AS class_count, CAST(sum(security_issues) AS BIGINT) AS security_issues,
        CAST(sum(issues_found) AS BIGINT) AS issues_found

@@ -141,11 +141,11 @@ def q_memory_episodes(m):
 
 
 @query("json_results", f"""WITH {METRICS_SQL}
-SELECT doc_id, to_json(struct_pack(file_path := d.source || '/' || CAST(doc_id AS VARCHAR),
+SELECT doc_id, CAST(to_json(struct_pack(file_path := d.source || '/' || CAST(doc_id AS VARCHAR),
     quality_score := CAST(quality_score AS DOUBLE), rating := rating, issues_found := issues_found,
     metrics := struct_pack(lines_of_code := lines_of_code, function_count := function_count,
                            class_count := class_count, complexity := complexity,
-                           security_issues := security_issues))) AS json
+                           security_issues := security_issues))) AS VARCHAR) AS json
 FROM metrics JOIN documents d USING (doc_id)""")
 def q_json_results(m):
     """One JSON document per analysed file."""
