@@ -15,7 +15,7 @@ from weft.session import scratch_path
 from weft.sources.adapters import Model, model_events, model_resource_log
 from weft.streaming import queries as sq
 from weft.streaming import stateful as S
-from weft.streaming.sources import latest_per_key, read_batches, run_batches, table_stream, with_event_time
+from weft.streaming.sources import latest_per_key, read_batches, run_batches, with_event_time
 
 
 def _split_events(spark, n_files=4):

@@ -8,7 +8,7 @@ from weft.operators import resources as rsc
 from weft.plans.catalog import query, with_ctes
 from weft.plans.q_corpus import METRICS_SQL
 from weft.operators import tasks as tk
-from weft.plans.q_metrics import ADMISSION_SQL
+from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 
 

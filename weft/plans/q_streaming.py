@@ -5,7 +5,7 @@ output. Their oracles are the batch semantics in SQL."""
 from pyspark.sql import functions as F
 
 from weft.plans.catalog import query, with_ctes
-from weft.plans.q_metrics import ADMISSION_SQL
+from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 from weft.sources.adapters import model_events, model_resource_log
 from weft.streaming import queries as sq
