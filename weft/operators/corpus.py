@@ -82,8 +82,11 @@ def long_param_defs(text: Column) -> Column:
     return F.size(F.filter(params, lambda p: F.size(F.split(p, ",", -1)) >= R.LONG_PARAMETER_LIST))
 
 
-def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of measures per document."""
+def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                 carry=()) -> DataFrame:
+    """One row of measures per document. ``carry``
+    columns (e.g. language, source, path) pass through the same projection,
+    so reports never join the measures back to the document table."""
     t = F.col(text)
     by_cat = {cat: rule_hits(t, rule, pat) for rule, cat, _, pat in R.SOURCE_RULES}
     measures = {
@@ -99,7 +102,7 @@ def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         "magic_numbers": F.regexp_count(t, F.lit(R.MAGIC_NUMBER_PATTERN)),
         "long_param_defs": long_param_defs(t),
     }
-    base = docs.select(F.col(key).alias(key),
+    base = docs.select(F.col(key).alias(key), *[F.col(c) for c in carry],
                        *[v.cast("bigint").alias(k) for k, v in measures.items()])
     return base.select("*", *_derived())
 

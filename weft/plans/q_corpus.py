@@ -119,8 +119,7 @@ SELECT d.lang, d.source, CAST(GROUPING(d.lang, d.source) AS BIGINT) AS level, co
        CAST(sum(issues_found) AS BIGINT) AS issues_found
 FROM metrics JOIN documents d USING (doc_id) GROUP BY ROLLUP (d.lang, d.source)""")
 def q_corpus_rollup(m):
-    docs = m.raw("documents")
-    met = cp.code_metrics(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    met = cp.code_metrics(m.raw("documents"), carry=("lang", "source"))
     return cp.corpus_rollup(met)
 
 

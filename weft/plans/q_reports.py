@@ -13,11 +13,9 @@ from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 
 
 def _metrics_with_path(m):
-    docs = m.raw("documents")
-    met = cp.code_metrics(docs)
-    paths = docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-                        .alias("path"))
-    return met.join(paths, "doc_id")
+    docs = m.raw("documents").withColumn(
+        "path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return cp.code_metrics(docs, carry=("path",))
 
 
 @query("system_status", "WITH RECURSIVE " + with_ctes(["ev", "tk", "ag", "rl", "rs"], """
@@ -165,9 +163,9 @@ FROM (SELECT *, d.source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS p
 def q_analysis_bands(m):
     """P4, P7, P8, F8 on every analysed file."""
     from weft.functions import scalar as sc
-    docs = m.raw("documents")
-    met = cp.code_metrics(docs).join(docs.select("doc_id", F.concat(
-        F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("p")), "doc_id")
+    docs = m.raw("documents").withColumn("p", F.concat(
+        F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    met = cp.code_metrics(docs, carry=("p",))
     recs = F.filter(F.split(F.col("recommendations"), "; "), lambda r: r != "")
     return met.select("doc_id", sc.file_name(F.col("p")).alias("file_name"),
                       sc.file_stem(F.col("p")).alias("file_stem"),
