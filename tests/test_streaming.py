@@ -111,6 +111,8 @@ def test_batch_gap_rule_threshold(spark):
     as_of = F.lit("2024-01-01 00:03:00.5").cast("timestamp")
     silent = rows(ag.heartbeat_timeouts(evs, as_of), "agent_id", "silence_seconds")
     assert silent == [("a", 90.5)]      # b: exactly 90 s, no alert
+    states = spark.createDataFrame([("a", "error"), ("b", "idle")], "agent_id string, state string")
+    assert ag.heartbeat_timeouts(evs, as_of, states=states).count() == 0   # a already in error
 
 
 def test_fan_out_isolates_failing_observer(spark):

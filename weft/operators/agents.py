@@ -141,12 +141,20 @@ def agent_details(agents: DataFrame) -> DataFrame:
 
 
 def heartbeat_timeouts(events: DataFrame, as_of: Column,
-                       timeout_s: float = HEARTBEAT_TIMEOUT_S) -> DataFrame:
+                       timeout_s: float = HEARTBEAT_TIMEOUT_S,
+                       states: DataFrame | None = None) -> DataFrame:
     """T3 batch form: agents whose last event (any event counts as a
     heartbeat) is more than ``timeout_s`` before ``as_of`` (strict ``>``, on
-    microseconds). ``as_of`` is a parameter column, never the wall clock."""
+    microseconds). ``as_of`` is a parameter column, never the wall clock.
+
+    With ``states`` (``agent_id, state``, e.g. from :func:`agent_state`)
+    only registered agents not already in error are reported, as the
+    monitor skips agents in the error state."""
     last = (events.groupBy(F.col("source_agent").alias("agent_id"))
             .agg(F.max("ts").alias("last_seen")))
+    if states is not None:
+        last = last.join(states.where(F.col("state") != ERROR).select("agent_id"),
+                         "agent_id", "left_semi")
     silence = seconds_between(F.col("last_seen"), as_of)
     return (last.withColumn("silence_seconds", silence)
             .where(F.col("silence_seconds") > timeout_s))
