@@ -5,6 +5,7 @@ output. Their oracles are the batch semantics in SQL."""
 from pyspark.sql import functions as F
 
 from weft.plans.catalog import query, with_ctes
+from weft.plans.q_events import EFFECT_SQL
 from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 from weft.sources.adapters import model_events, model_resource_log
@@ -27,17 +28,11 @@ def q_stream_event_counts(m):
     return latest_per_key(read_batches(m.spark, out, "event_type string, n long"), ["event_type"])
 
 
-@query("stream_agent_state", with_ctes(["ev", "ag"], """
+@query("stream_agent_state", with_ctes(["ev", "ag"], f"""
 SELECT a.agent_id, coalesce(st.effect, a.state) AS state, ld.tenths AS load_tenths, st.last_seq
 FROM ag a
 JOIN (SELECT source_agent AS agent_id, max(seq) AS last_seq,
-             arg_max(CASE WHEN event_type = 'task_completed' AND task_id IS NOT NULL THEN 'idle'
-                          WHEN event_type = 'task_failed' AND task_id IS NOT NULL THEN 'error'
-                          WHEN event_type = 'agent_state_changed' AND new_state = 'busy' THEN 'busy'
-                          WHEN event_type = 'agent_state_changed' AND new_state = 'idle' THEN 'idle' END,
-                   seq) FILTER (WHERE (event_type IN ('task_completed', 'task_failed') AND task_id IS NOT NULL)
-                                   OR (event_type = 'agent_state_changed' AND new_state IN ('busy', 'idle')))
-               AS effect
+             arg_max({EFFECT_SQL}, seq) FILTER (WHERE {EFFECT_SQL} IS NOT NULL) AS effect
       FROM ev GROUP BY source_agent) st ON st.agent_id = a.agent_id
 JOIN (SELECT a.agent_id,
              list_reduce(coalesce(list(s.d ORDER BY s.seq) FILTER (WHERE s.d IS NOT NULL), []),
