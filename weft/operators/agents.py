@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.scalar import seconds_between
+from weft.functions.scalar import iso_text, seconds_between
 from weft.plans.ordered import previous_within, rank_within
 
 IDLE, BUSY, ERROR = "idle", "busy", "error"
@@ -130,14 +130,21 @@ def agent_counts(agents: DataFrame) -> DataFrame:
                       F.count_if(F.col("state") != ERROR).alias("active_agents"))
 
 
-def agent_details(agents: DataFrame) -> DataFrame:
-    """One row per agent with the report fields; capabilities as text."""
-    return agents.select(
+def agent_details(agents: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """One row per agent with the report fields; capabilities as text.
+    With ``events``, ``last_heartbeat`` is the ISO time of the agent's last
+    event (any event is a heartbeat); agents without events show null."""
+    out = agents.select(
         "agent_id", F.col("agent_type").alias("type"), "state",
         F.array_join(F.transform("capabilities", lambda x: x.cast("string")), ", ")
         .alias("capabilities"),
         F.size(F.array_distinct("capabilities")).cast("bigint").alias("n_capabilities"),
         "load_factor")
+    if events is None:
+        return out
+    beats = (events.groupBy(F.col("source_agent").alias("agent_id"))
+             .agg(iso_text(F.max("ts")).alias("last_heartbeat")))
+    return out.join(beats, "agent_id", "left")
 
 
 def heartbeat_timeouts(events: DataFrame, as_of: Column,

@@ -97,11 +97,14 @@ def q_agent_counts(m):
     return ag.agent_counts(m.agents())
 
 
-@query("agent_details", with_ctes(["ag"], """
-SELECT agent_id, agent_type AS type, state, array_to_string(capabilities, ', ') AS capabilities,
-       len(list_distinct(capabilities)) AS n_capabilities, load_factor FROM ag"""))
+@query("agent_details", with_ctes(["ag", "ev"], """
+SELECT a.agent_id, agent_type AS type, state, array_to_string(capabilities, ', ') AS capabilities,
+       len(list_distinct(capabilities)) AS n_capabilities, load_factor,
+       strftime(b.last_ts, '%Y-%m-%dT%H:%M:%S.%f') AS last_heartbeat
+FROM ag a LEFT JOIN (SELECT source_agent AS agent_id, max(ts) AS last_ts FROM ev GROUP BY source_agent) b
+  ON a.agent_id = b.agent_id"""))
 def q_agent_details(m):
-    return ag.agent_details(m.agents())
+    return ag.agent_details(m.agents(), m.events())
 
 
 @query("heartbeat_timeouts", with_ctes(["ev"], """
