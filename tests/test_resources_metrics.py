@@ -49,3 +49,40 @@ def test_system_stats_last_1000_across_metrics(spark):
 def test_uptime_empty_is_zero(spark):
     df = spark.createDataFrame([], "ts timestamp")
     assert mt.uptime_seconds(df).collect()[0]["uptime_seconds"] == 0.0
+
+
+def _naive(events, limit):
+    holders, out = [], []
+    for agent, req in events:
+        if limit is None:
+            out.append(("denied" if req else "ignored", 0))
+            continue
+        if req:
+            if len(holders) < limit:
+                holders.append(agent)
+                out.append(("granted", len(holders)))
+            else:
+                out.append(("denied", len(holders)))
+        elif agent in holders:
+            holders.remove(agent)
+            out.append(("released", len(holders)))
+        else:
+            out.append(("ignored", len(holders)))
+    return out
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+import numpy as np  # noqa: E402
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.booleans()), max_size=80),
+       st.one_of(st.none(), st.integers(0, 4)))
+def test_admit_run_equals_naive(events, limit):
+    """The skipping state machine equals the step-by-step one."""
+    agents = np.array([a for a, _ in events], dtype=np.int64)
+    is_req = np.array([r for _, r in events], dtype=bool)
+    code, after, _ = rsc.admit_run(agents, is_req, limit, [])
+    got = [(rsc.OUTCOMES[c], int(h)) for c, h in zip(code, after)]
+    assert got == _naive(events, limit)

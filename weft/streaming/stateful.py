@@ -16,6 +16,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, St
                                StructField, StructType)
 
 from weft.operators.events import LOAD_CAP_TENTHS, STATE_CHANGED, TASK_COMPLETED, TASK_FAILED
+from weft.operators.resources import OUTCOMES, admit_run
 
 
 def _rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -163,27 +164,15 @@ class ResourceAdmissionProcessor(StatefulProcessor):
             return iter([])
         registered = self.st.exists()
         limit, holders = self.st.get() if registered else (None, [])
-        holders = list(holders or [])
-        outcome, after = [], []
-        for agent, act in zip(pdf["agent_id"].tolist(), pdf["action"].tolist()):
-            if act == "request":
-                if registered and len(holders) < limit:
-                    holders.append(agent)
-                    outcome.append("granted")
-                else:
-                    outcome.append("denied")
-            elif registered and agent in holders:
-                holders.remove(agent)
-                outcome.append("released")
-            else:
-                outcome.append("ignored")
-            after.append(len(holders))
+        code, after, holders = admit_run(pdf["agent_id"].to_numpy(),
+                                         (pdf["action"] == "request").to_numpy(),
+                                         limit if registered else None, list(holders or []))
         if registered:
-            self.st.update((limit, holders))
+            self.st.update((limit, [int(h) for h in holders]))
         return iter([pd.DataFrame({
             "seq": pdf["seq"].astype("int64").values, "resource_id": [key[0]] * len(pdf),
             "agent_id": pdf["agent_id"].astype("int64").values, "action": pdf["action"].values,
-            "outcome": outcome, "holders_after": pd.Series(after, dtype="int32")})])
+            "outcome": OUTCOMES[code], "holders_after": after})])
 
     def close(self) -> None:
         pass
