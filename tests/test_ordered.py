@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
-from weft.plans.ordered import apply_clamp, clamp_fold, previous_within, rank_within
+from weft.plans.ordered import apply_clamp, clamp_fold, compose_clamps_np, previous_within, rank_within
 
 
 def _data(spark, n=400, keys=3, seed=1):
@@ -95,3 +95,18 @@ def test_clamp_composition_property(steps, start):
         right = _compose(right, m)
     tot = _compose(left, right)
     assert min(tot[2], max(tot[1], start + tot[0])) == seq
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-5, 5), st.integers(0, 8)),
+                max_size=60), st.integers(-20, 20))
+def test_numpy_clamp_composition(steps, start):
+    """The vectorised tree composition equals the sequential fold."""
+    d = [x[0] for x in steps]
+    lo = [x[1] for x in steps]
+    hi = [x[1] + x[2] for x in steps]
+    seq = start
+    for a, b, c in zip(d, lo, hi):
+        seq = min(c, max(b, seq + a))
+    D, L, H = compose_clamps_np(d, lo, hi)
+    assert min(H, max(L, start + D)) == seq

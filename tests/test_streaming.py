@@ -174,3 +174,28 @@ def test_restart_from_checkpoint_continues(spark):
     assert 0 < first < got.count()
     want = rsc.resource_admission(m.resource_log(), m.resources())
     assert rows(got, "seq", "outcome", "holders_after") == rows(want, "seq", "outcome", "holders_after")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+import numpy as np  # noqa: E402
+
+
+def _loop(ts, last, alerted, timeout):
+    out = []
+    for t in ts:
+        if last is not None and t - last > timeout and not alerted:
+            out.append(last)
+        if last is None or t >= last:
+            last, alerted = t, False
+    return out, last, alerted
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=30),
+       st.one_of(st.none(), st.integers(0, 400)), st.booleans())
+def test_gap_alerts_equals_loop(ts, stored, alerted):
+    """The vectorised gap rule equals the event-by-event rule."""
+    alerted = alerted and stored is not None
+    got = S.gap_alerts(np.array(ts, dtype=np.int64), stored, alerted, 90)
+    assert got == _loop(ts, stored, alerted, 90)

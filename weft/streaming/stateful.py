@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor,
                                                       StatefulProcessorHandle, TimerValues)
@@ -17,6 +18,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, St
 
 from weft.operators.events import LOAD_CAP_TENTHS, STATE_CHANGED, TASK_COMPLETED, TASK_FAILED
 from weft.operators.resources import OUTCOMES, admit_run
+from weft.plans.ordered import compose_clamps_np
 
 
 def _rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -26,16 +28,6 @@ def _rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values("seq", kind="stable")
 
 
-def _effect(event_type, new_state, has_task):
-    if event_type == TASK_COMPLETED and has_task:
-        return "idle"
-    if event_type == TASK_FAILED and has_task:
-        return "error"
-    if event_type == STATE_CHANGED:
-        return {"busy": "busy", "idle": "idle", "unresponsive": "error"}.get(new_state)
-    return None
-
-
 AGENT_OUT = "agent_id long, state string, load_tenths long, last_seq long"
 
 
@@ -58,16 +50,22 @@ class AgentStateProcessor(StatefulProcessor):
         if pdf.empty or not self.st.exists():
             return iter([])
         state, tenths, last = self.st.get()
-        for et, ns, tid, seq in zip(pdf["event_type"], pdf["new_state"], pdf["task_id"], pdf["seq"]):
-            has_task = tid is not None and tid == tid
-            eff = _effect(et, ns, has_task)
-            if eff is not None:
-                state = eff
-            if et == STATE_CHANGED and ns == "busy":
-                tenths = min(LOAD_CAP_TENTHS, tenths + 1)
-            elif et == TASK_COMPLETED and has_task:
-                tenths = max(0, tenths - 1)
-            last = int(seq)
+        et, ns = pdf["event_type"].to_numpy(), pdf["new_state"].to_numpy()
+        has_task = pdf["task_id"].notna().to_numpy()
+        change = et == STATE_CHANGED
+        effect = np.select(
+            [(et == TASK_COMPLETED) & has_task, (et == TASK_FAILED) & has_task,
+             change & (ns == "busy"), change & (ns == "idle"), change & (ns == "unresponsive")],
+            ["idle", "error", "busy", "idle", "error"], default="")
+        hits = np.flatnonzero(effect != "")
+        if len(hits):
+            state = str(effect[hits[-1]])
+        step = np.select([change & (ns == "busy"), (et == TASK_COMPLETED) & has_task], [1, -1], 0)
+        steps = step[step != 0]
+        D, L, H = compose_clamps_np(steps, np.zeros_like(steps),
+                                    np.full_like(steps, LOAD_CAP_TENTHS))
+        tenths = min(H, max(L, tenths + D))
+        last = int(pdf["seq"].iloc[-1])
         self.st.update((state, tenths, last))
         return iter([pd.DataFrame({"agent_id": [key[0]], "state": [state],
                                    "load_tenths": [tenths], "last_seq": [last]})])
@@ -79,6 +77,29 @@ class AgentStateProcessor(StatefulProcessor):
 HEARTBEAT_OUT = "agent_id long, last_seen timestamp, kind string"
 
 
+def gap_alerts(ts_us: np.ndarray, stored, alerted: bool, timeout_us: int):
+    """Gap rule over one key's new heartbeats (arrival order, microseconds).
+
+    Each event is compared with the latest heartbeat before it (the running
+    maximum, starting from the stored one); a gap over the timeout is an
+    alert reporting that heartbeat. If the stored heartbeat's silence was
+    already reported by a timer, the first event that reaches it is not
+    reported again. Returns (alerted heartbeats, new last, new flag).
+    """
+    if stored is not None:
+        prior = np.maximum.accumulate(np.r_[stored, ts_us])
+    else:
+        prior = np.r_[ts_us[0], np.maximum.accumulate(ts_us)]
+    prev = prior[:-1]
+    alert = ts_us - prev > timeout_us
+    reached = np.flatnonzero(ts_us >= stored) if stored is not None else np.array([], dtype=int)
+    if stored is not None and alerted and len(reached):
+        alert[reached[0]] = False
+    last = int(prior[-1])
+    flag = bool(alerted and stored is not None and not len(reached))
+    return prev[alert].tolist(), last, flag
+
+
 class HeartbeatProcessor(StatefulProcessor):
     """One alert per silence longer than the timeout.
 
@@ -106,16 +127,11 @@ class HeartbeatProcessor(StatefulProcessor):
         pdf = _rows(rows)
         if pdf.empty:
             return iter([])
-        ts_us = (pd.to_datetime(pdf["ts"], utc=True).astype("int64") // 1000).tolist()
-        last, alerted = self.st.get() if self.st.exists() else (None, False)
-        out = []
-        if last is not None:
-            self.handle.deleteTimer(self._timer_ms(last))
-        for t in ts_us:
-            if last is not None and t - last > self.timeout_us and not alerted:
-                out.append(last)
-            if last is None or t >= last:
-                last, alerted = t, False
+        ts_us = pd.to_datetime(pdf["ts"], utc=True).astype("int64").to_numpy() // 1000
+        stored, alerted = self.st.get() if self.st.exists() else (None, False)
+        if stored is not None:
+            self.handle.deleteTimer(self._timer_ms(stored))
+        out, last, alerted = gap_alerts(ts_us, stored, alerted, self.timeout_us)
         self.st.update((last, alerted))
         self.handle.registerTimer(self._timer_ms(last))
         if not out:
