@@ -103,3 +103,20 @@ def test_keywords_in_comments_and_strings_do_not_count(spark):
     m = cp.code_metrics(df).collect()[0]
     # only the bare `if` on line 2 counts (identifiers containing keywords do not)
     assert m["complexity"] == 2
+
+
+def test_file_tree_rollup_by_language_and_dir(spark, tmpdir_path):
+    import pyspark.sql.functions as F
+    os.makedirs(os.path.join(tmpdir_path, "pkg", "sub"))
+    files = {"pkg/a.py": SAMPLE, "pkg/sub/b.py": "x = 1\n", "pkg/sub/c.go": "package main\n"}
+    for name, body in files.items():
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(body)
+    corpus = cp.read_corpus(spark, tmpdir_path + "/pkg", recursive=True)
+    corpus = corpus.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
+    met = cp.code_metrics(corpus, key="path", text="content", carry=("language", "dir"))
+    roll = cp.corpus_rollup(met, dims=("language", "dir"))
+    total = roll.where(F.col("level") == 3).collect()[0]
+    assert total["documents"] == 3 and total["lines_of_code"] == 15 + 2 + 2
+    by_lang = {r["language"]: r["documents"] for r in roll.where(F.col("level") == 1).collect()}
+    assert by_lang == {"Python": 2, "Go": 1}

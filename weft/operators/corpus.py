@@ -19,12 +19,19 @@ MAX_FILE_BYTES = 100 * 1024 * 1024
 NONBLANK = "[^ \\t\\r]"
 
 
-def read_corpus(spark, glob: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """S1 + S3: one row per file (whole text), with path and size from the
-    file metadata. The size filter is on ``_metadata.file_size`` so files
-    over the limit are pruned at listing time, before content is read."""
-    df = (spark.read.format("text").option("wholetext", "true").load(glob)
-          .where(F.col("_metadata.file_size") <= max_bytes))
+def read_corpus(spark, path: str, max_bytes: int = MAX_FILE_BYTES, recursive: bool = False,
+                name_filter: str | None = None) -> DataFrame:
+    """S1 + S3: one row per file (whole text), with path, language and size
+    from the file metadata. ``path`` is a folder or glob; ``recursive``
+    walks a whole tree, ``name_filter`` (e.g. ``*.py``) keeps matching file
+    names. The size filter is on ``_metadata.file_size``, so files over the
+    limit are pruned at listing time, before content is read."""
+    r = spark.read.format("text").option("wholetext", "true")
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    if name_filter:
+        r = r.option("pathGlobFilter", name_filter)
+    df = r.load(path).where(F.col("_metadata.file_size") <= max_bytes)
     return df.select(F.col("_metadata.file_path").alias("path"),
                      language_of(F.col("_metadata.file_name")).alias("language"),
                      F.col("value").alias("content"),
