@@ -54,6 +54,8 @@ def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
     """
     keys, order = list(keys), list(order)
     if materialize:
+        from weft.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     ocols = [c for c, _ in order]
     b = "__bucket"
