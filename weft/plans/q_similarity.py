@@ -66,3 +66,17 @@ def q_majority_vote(m):
     """Majority quality label per document source."""
     lab = m.raw("labels").join(m.raw("documents").select("doc_id", "source"), "doc_id")
     return sim.majority_vote(lab, "source", "quality")
+
+
+@query("neighbor_label_vote", TOPK_SQL.format(ctes=CENTROIDS_SQL, where="").replace(
+    "SELECT query_id, rank, vec_id, score FROM (", """SELECT query_id, arg_max(label, struct_pack(votes := votes, neg := -label)) AS label,
+       max(votes) AS votes FROM (
+  SELECT t.query_id, e.label, count(*) AS votes FROM (
+SELECT query_id, rank, vec_id, score FROM (""", 1) + """) t JOIN embeddings e ON t.vec_id = e.vec_id
+  GROUP BY t.query_id, e.label) GROUP BY query_id""")
+def q_neighbor_label_vote(m):
+    """A18 over J10: majority label of each query's 10 nearest vectors."""
+    emb = m.raw("embeddings")
+    top = _topk(m, None)
+    lab = top.join(emb.select("vec_id", "label"), "vec_id")
+    return sim.majority_vote(lab, "query_id", "label")
