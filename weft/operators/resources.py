@@ -33,62 +33,80 @@ OUTCOMES = np.array([GRANTED, DENIED, RELEASED, IGNORED], dtype=object)
 _G, _D, _R, _I = 0, 1, 2, 3
 
 
+SKIP_AFTER = 64   # unchanged events in a row before searching for the next change
+
+
 def admit_run(agents: np.ndarray, is_request: np.ndarray, limit, holders: list
               ) -> tuple[np.ndarray, np.ndarray, list]:
     """Exact admission over one resource's events in order.
 
     Returns outcome codes, holder counts after each event and the holders
-    left. While the resource is full every request is denied and every
-    release by a non-holder ignored, so the run jumps straight to the next
-    release by one of the (at most ``limit``) holders — found by binary
-    search in per-agent release positions — and fills the skipped span at
-    once. A saturated resource therefore costs O(limit log n) per freed
-    slot instead of one step per event. ``limit=None`` means unregistered:
-    every request is denied and every release ignored.
+    left. Only two kinds of event change anything: a request while the
+    resource is not full (granted) and a release by a current holder
+    (released); requests while full are denied and releases by non-holders
+    ignored. Events are stepped through one by one, but after SKIP_AFTER
+    unchanged events in a row the next changing event is found by binary
+    search (request positions, and the release positions of the at most
+    ``limit`` holders) and the span before it is settled in one vectorised
+    fill, so long saturated stretches cost O(limit log n) instead of one
+    step per event, while busy stretches keep the plain loop's speed.
+    ``limit=None`` means unregistered: every request is denied and every
+    release ignored.
     """
     n = len(agents)
-    code = np.empty(n, dtype=np.int8)
-    after = np.empty(n, dtype=np.int32)
     holders = list(holders)
     if limit is None:
-        code[:] = np.where(is_request, _D, _I)
-        after[:] = len(holders)
-        return code, after, holders
+        return (np.where(is_request, _D, _I).astype(np.int8),
+                np.full(n, len(holders), dtype=np.int32), holders)
     rel_pos = np.flatnonzero(~is_request)
     order = np.argsort(agents[rel_pos], kind="stable")
     rel_agents, rel_sorted = agents[rel_pos][order], rel_pos[order]
+    req_pos = np.flatnonzero(is_request)
 
     def next_release(agent, start: int) -> int:
-        lo, hi = np.searchsorted(rel_agents, agent, "left"), np.searchsorted(rel_agents, agent, "right")
-        if lo == hi:
-            return n
-        k = np.searchsorted(rel_sorted[lo:hi], start, "left")
-        return int(rel_sorted[lo + k]) if lo + k < hi else n
-
-    i = 0
+        lo = np.searchsorted(rel_agents, agent, "left")
+        hi = np.searchsorted(rel_agents, agent, "right")
+        k = lo + np.searchsorted(rel_sorted[lo:hi], start, "left")
+        return int(rel_sorted[k]) if k < hi else n
+
+    def next_change(start: int) -> int:
+        nxt = min([next_release(a, start) for a in set(holders)], default=n)
+        if len(holders) < limit:
+            k = np.searchsorted(req_pos, start, "left")
+            nxt = min(nxt, int(req_pos[k]) if k < len(req_pos) else n)
+        return nxt
+
+    ag, rq = agents.tolist(), is_request.tolist()
+    code, after = [], []
+    i, idle = 0, 0
     while i < n:
-        if len(holders) >= limit:
-            nxt = min([next_release(a, i) for a in set(holders)], default=n)
+        if idle >= SKIP_AFTER:
+            idle = 0
+            nxt = next_change(i)
             if nxt > i:
-                code[i:nxt] = np.where(is_request[i:nxt], _D, _I)
-                after[i:nxt] = len(holders)
+                code.extend(np.where(is_request[i:nxt], _D, _I).tolist())
+                after.extend([len(holders)] * (nxt - i))
                 i = nxt
                 continue
-        a = agents[i]
-        if is_request[i]:
+        a = ag[i]
+        if rq[i]:
             if len(holders) < limit:
                 holders.append(a)
-                code[i] = _G
+                code.append(_G)
+                idle = 0
             else:
-                code[i] = _D
+                code.append(_D)
+                idle += 1
         elif a in holders:
             holders.remove(a)
-            code[i] = _R
+            code.append(_R)
+            idle = 0
         else:
-            code[i] = _I
-        after[i] = len(holders)
+            code.append(_I)
+            idle += 1
+        after.append(len(holders))
         i += 1
-    return code, after, holders
+    return np.array(code, dtype=np.int8), np.array(after, dtype=np.int32), holders
 
 
 def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
