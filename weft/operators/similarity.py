@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import ensure_checkpoint_dir
+
 SIMILARITY_THRESHOLD = 0.7        # retrieval cut-off (declared)
 CONSOLIDATION_THRESHOLD = 0.95    # near-duplicate cut-off (declared)
 MAX_QUERY_VECTORS = 1024          # size bound for a query set carried in the plan
@@ -128,6 +130,10 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
     # 2. LSH keys per representative (one numpy product per Arrow batch)
     reps = groups.select("rep", vec)
     hashed = reps.mapInPandas(_signature_fn(planes, w, vec), "rep long, t int, sig string")
+    # the keys feed three branches; write them once (reliable checkpoint in
+    # the shared folder) instead of hashing in Python three times
+    ensure_checkpoint_dir(vectors.sparkSession)
+    hashed = hashed.checkpoint(eager=True)
     # 3. leader first: each bucket's smallest id is checked against every
     #    other member (one comparison per member). Inside a bucket the best
     #    partner a member can have is the leader, so a member near its leader
@@ -146,8 +152,7 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
     checked = near(tagged, "leader", "rep")
     settled = checked.where("__near").select("rep", F.col("leader").alias("p"))
     open_ = checked.where(~F.col("__near")).select("rep", "t", "sig")
-    others = hashed.join(leaders, ["t", "sig"]).where(F.col("rep") != F.col("leader")) \
-        .select(F.col("rep").alias("u"), "t", "sig")
+    others = tagged.select(F.col("rep").alias("u"), "t", "sig")
     cand = (open_.join(others, ["t", "sig"]).where(F.col("u") < F.col("rep"))
             .select("rep", "u").distinct())
     found = near(cand, "u", "rep").where("__near").select("rep", F.col("u").alias("p"))
