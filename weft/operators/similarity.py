@@ -130,8 +130,9 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
     # 2. LSH keys per representative (one numpy product per Arrow batch)
     reps = groups.select("rep", vec)
     hashed = reps.mapInPandas(_signature_fn(planes, w, vec), "rep long, t int, sig string")
-    # the keys feed three branches; write them once (reliable checkpoint in
-    # the shared folder) instead of hashing in Python three times
+    # the keys feed the leader aggregate and the member join; write them once
+    # (reliable checkpoint in the shared folder) rather than sending every
+    # vector to Python once per consumer
     ensure_checkpoint_dir(vectors.sparkSession)
     hashed = hashed.checkpoint(eager=True)
     # 3. leader first: each bucket's smallest id is checked against every
