@@ -199,3 +199,22 @@ def test_gap_alerts_equals_loop(ts, stored, alerted):
     alerted = alerted and stored is not None
     got = S.gap_alerts(np.array(ts, dtype=np.int64), stored, alerted, 90)
     assert got == _loop(ts, stored, alerted, 90)
+
+
+def test_heartbeat_multi_batch_equals_batch(spark):
+    """T3 over four micro-batches: the reported silences (agent, last
+    heartbeat) equal the batch gap rule plus the silences still open at the
+    final watermark, whatever batch a timer fired in."""
+    schema, folder = _split_events(spark)
+    m = Model(spark, SF_SMALL)
+    stream = with_event_time(model_events(_stream(spark, schema, folder)))
+    out = run_batches(sq.stream_heartbeat_alerts(stream), "t3multi")
+    got = read_batches(spark, out, S.HEARTBEAT_OUT)
+    got = {(r["agent_id"], r["last_seen"].replace(tzinfo=None)) for r in got.collect()}
+    ev = m.events()
+    wm = ev.select(F.max("ts")).collect()[0][0]
+    wm = wm.replace(microsecond=wm.microsecond // 1000 * 1000)      # watermark is in ms
+    gaps = {(r["agent_id"], r["last_seen"]) for r in ag.silence_gaps(ev).collect()}
+    opened = {(r["agent_id"], r["last_seen"]) for r in ag.heartbeat_timeouts(
+        ev, F.lit(wm).cast("timestamp_ntz")).collect()}
+    assert got == gaps | opened
