@@ -91,7 +91,7 @@ def test_heartbeat_threshold_and_return_after_alert(spark):
     b4 = [event(9, "x", "d", t=500.0),       # d returns after its alert: no second alert
           event(10, "x", "z", t=1000.0)]
     out = run_batches(sq.stream_heartbeat_alerts(_heartbeat_stream(spark, [b1, b2, b3, b4])), "t3")
-    got = read_batches(spark, out, S.HEARTBEAT_OUT.replace("long", "string"))
+    got = read_batches(spark, out, sq.HEARTBEAT_ALERTS.replace("long", "string"))
     alerts = sorted((r["agent_id"], r["kind"]) for r in got.collect())
     # a, b, c return in b2; after b4 the watermark (1000 s) leaves a, b, c and d
     # silent again (open), z is fresh
@@ -209,7 +209,7 @@ def test_heartbeat_multi_batch_equals_batch(spark):
     m = Model(spark, SF_SMALL)
     stream = with_event_time(model_events(_stream(spark, schema, folder)))
     out = run_batches(sq.stream_heartbeat_alerts(stream), "t3multi")
-    got = read_batches(spark, out, S.HEARTBEAT_OUT)
+    got = read_batches(spark, out, sq.HEARTBEAT_ALERTS)
     got = {(r["agent_id"], r["last_seen"].replace(tzinfo=None)) for r in got.collect()}
     ev = m.events()
     wm = ev.select(F.max("ts")).collect()[0][0]

@@ -54,10 +54,11 @@ def clamp(x: Column, lo, hi) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """``end - start`` in seconds, from microsecond epochs (float
-    seconds as the reference compares them)."""
-    return ((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp")))
-            / F.lit(1e6))
+    """``end - start`` in seconds (float, as the reference compares
+    them), from an exact microsecond difference. Timestamps without a zone
+    are differenced as wall-clock values, so the session time zone (and its
+    daylight-saving changes) never enters."""
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
 
 
 def to_json_text(*cols) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions.scalar import seconds_between
+
 AGENT_WINDOW = 10      # samples per (agent, metric) summarised
 HISTORY_SIZE = 1000    # samples kept per series / for the system series
 
@@ -53,7 +55,7 @@ def uptime_seconds(events: DataFrame, as_of=None) -> DataFrame:
     """A10: seconds from the first event to ``as_of`` (default: last event);
     0 when there are no events."""
     end = F.max("ts") if as_of is None else F.lit(as_of)
-    secs = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(1e6)
+    secs = seconds_between(F.min("ts"), end)
     return events.agg(F.coalesce(secs, F.lit(0.0)).alias("uptime_seconds"))
 
 

@@ -12,7 +12,7 @@ from typing import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.scalar import get_or, issues_band, or_na, quality_band, stars
+from weft.functions.scalar import get_or, issues_band, or_na, quality_band, seconds_between, stars
 
 REPORT_TITLE = "Analysis Results"
 
@@ -25,8 +25,7 @@ def system_status(events: DataFrame, tasks: DataFrame, agents: DataFrame,
     the reference does); ``tasks_closed`` counts tasks they actually closed."""
     s = F.col("status")
     done = (F.col("event_type") == "task_completed") & F.col("task_id").isNotNull()
-    secs = ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
-            / F.lit(1e6))
+    secs = seconds_between(F.min("ts"), F.max("ts"))
     ev = events.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("done"),
                              F.coalesce(secs, F.lit(0.0)).alias("up"))).scalar()
     tk = tasks.agg(F.struct(F.count_if(s == "pending").alias("q"), F.count_if(s == "running").alias("a"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.scalar import seconds_between
 from weft.operators.events import DEFAULT_ERROR, TASK_COMPLETED, TASK_FAILED
 from weft.plans.ordered import rank_within
 
@@ -127,8 +128,7 @@ def task_latency(tasks: DataFrame, events: DataFrame) -> DataFrame:
     """For each closed task, seconds from creation to completion and the
     reported execution time (microsecond difference / 1e6)."""
     c = apply_completions(tasks, events)
-    secs = (F.unix_micros(F.col("completed_at").cast("timestamp"))
-            - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(1e6)
+    secs = seconds_between(F.col("created_at"), F.col("completed_at"))
     return c.select("task_id", "status", secs.alias("total_seconds"), "execution_time")
 
 

@@ -62,7 +62,7 @@ HAVING epoch_us((SELECT max(ts) FROM ev)) // 1000 * 1000 - epoch_us(max(ts)) > 9
 def q_stream_heartbeat(m):
     """Gap alerts plus open silences closed by the final watermark."""
     out = run_batches(sq.stream_heartbeat_alerts(_events(m, event_time=True)), "heartbeat")
-    df = read_batches(m.spark, out, S.HEARTBEAT_OUT)
+    df = read_batches(m.spark, out, sq.HEARTBEAT_ALERTS)
     return df.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "kind")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weft.streaming import stateful as S
 
 WINDOW = "30 seconds"          # collection interval (declared)
+HEARTBEAT_ALERTS = "agent_id long, last_seen timestamp, kind string"   # output of T3
 ERROR_SHARE_ALERT = 0.05       # alert thresholds (declared)
 RESPONSE_MS_ALERT = 5000.0
 
@@ -34,13 +35,17 @@ def stream_agent_state(events: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0) -> DataFrame:
-    """Silence alerts with event-time timers (needs a watermark on ts)."""
+    """Silence alerts with event-time timers (needs a watermark on ts).
+    Times cross into Python as epoch microseconds, so the session time zone
+    never shifts them; ``last_seen`` comes back as a timestamp."""
     key_type = events.schema["source_agent"].dataType.simpleString()
     out = S.HEARTBEAT_OUT.replace("agent_id long", f"agent_id {key_type}")
-    return (events.select(F.col("source_agent").alias("agent_id"), "seq", "ts")
+    return (events.select(F.col("source_agent").alias("agent_id"), "seq", "ts",
+                          F.unix_micros("ts").alias("ts_us"))
             .groupBy("agent_id")
             .transformWithStateInPandas(S.HeartbeatProcessor(timeout_s), out,
-                                        "Append", "EventTime"))
+                                        "Append", "EventTime")
+            .select("agent_id", F.timestamp_micros("last_seen_us").alias("last_seen"), "kind"))
 
 
 def stream_resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:

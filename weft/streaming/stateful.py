@@ -74,7 +74,7 @@ class AgentStateProcessor(StatefulProcessor):
         pass
 
 
-HEARTBEAT_OUT = "agent_id long, last_seen timestamp, kind string"
+HEARTBEAT_OUT = "agent_id long, last_seen_us long, kind string"
 
 
 def gap_alerts(ts_us: np.ndarray, stored, alerted: bool, timeout_us: int):
@@ -127,7 +127,7 @@ class HeartbeatProcessor(StatefulProcessor):
         pdf = _rows(rows)
         if pdf.empty:
             return iter([])
-        ts_us = pd.to_datetime(pdf["ts"], utc=True).astype("int64").to_numpy() // 1000
+        ts_us = pdf["ts_us"].to_numpy(dtype=np.int64)
         stored, alerted = self.st.get() if self.st.exists() else (None, False)
         if stored is not None:
             self.handle.deleteTimer(self._timer_ms(stored))
@@ -136,10 +136,8 @@ class HeartbeatProcessor(StatefulProcessor):
         self.handle.registerTimer(self._timer_ms(last))
         if not out:
             return iter([])
-        return iter([pd.DataFrame({
-            "agent_id": [key[0]] * len(out),
-            "last_seen": pd.to_datetime(out, unit="us", utc=True),
-            "kind": ["gap"] * len(out)})])
+        return iter([pd.DataFrame({"agent_id": [key[0]] * len(out), "last_seen_us": out,
+                                   "kind": ["gap"] * len(out)})])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
         if not self.st.exists():
@@ -149,8 +147,7 @@ class HeartbeatProcessor(StatefulProcessor):
         if alerted or wm_us - last <= self.timeout_us:
             return iter([])
         self.st.update((last, True))
-        return iter([pd.DataFrame({"agent_id": [key[0]],
-                                   "last_seen": pd.to_datetime([last], unit="us", utc=True),
+        return iter([pd.DataFrame({"agent_id": [key[0]], "last_seen_us": [last],
                                    "kind": ["open"]})])
 
     def close(self) -> None:
