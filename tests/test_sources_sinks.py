@@ -54,3 +54,16 @@ def test_memory_append_and_lookup(spark, tmpdir_path):
     back = spark.read.parquet(path)
     assert back.where(F.col("type") == "user").count() == 2
     assert [r["content"] for r in rp.episodes_of_type(ep, "assistant").collect()] == ["hello"]
+
+
+def test_expiry_prunes_date_partitions(spark, tmpdir_path):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(20)]
+    h = os.path.join(tmpdir_path, "hist_prune")
+    rp.append_history(spark.createDataFrame(rows, "id long, ts timestamp"), h)
+    back = spark.read.parquet(h)
+    as_of = F.lit(dt.datetime(2024, 1, 20)).cast("timestamp")
+    kept = rp.exclude_expired(back, as_of, 7, partition_col="date")
+    assert sorted(r["id"] for r in kept.collect()) == list(range(12, 20))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan.split("PartitionFilters")[1][:200]

@@ -157,10 +157,17 @@ def event_trend(events: DataFrame, unit: str = "day") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def exclude_expired(df: DataFrame, as_of, days: int, ts_col: str = "ts") -> DataFrame:
-    """Keep rows newer than ``as_of - days``; on a date-partitioned
-    table the predicate prunes partitions."""
-    return df.where(F.col(ts_col) >= as_of - F.make_interval(days=F.lit(days)))
+def exclude_expired(df: DataFrame, as_of, days: int, ts_col: str = "ts",
+                    partition_col: str | None = None) -> DataFrame:
+    """Keep rows newer than ``as_of - days``. On a table partitioned by
+    date, pass ``partition_col`` and the same cut-off is also stated on the
+    partition column, so whole expired partitions are skipped at listing
+    time (``PartitionFilters``)."""
+    cut = as_of - F.make_interval(days=F.lit(days))
+    out = df.where(F.col(ts_col) >= cut)
+    if partition_col:
+        out = out.where(F.col(partition_col) >= F.to_date(cut))
+    return out
 
 
 def append_memory(episodes: DataFrame, path: str) -> None:
