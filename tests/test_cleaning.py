@@ -48,3 +48,16 @@ def test_profile_counts(spark):
     assert got["price"]["min_value"] == 5.0 and got["name"]["min_value"] is None
     approx = {r["column_name"]: r["n_distinct"] for r in cl.profile(_df(spark), exact=False).collect()}
     assert approx["k"] == 4
+
+
+def test_declared_steps_run_in_order(spark):
+    seen = []
+
+    def step(name):
+        def fn(d):
+            seen.append(name)
+            return d.withColumn(name, F.lit(len(seen)))
+        return fn
+
+    out = cl.run_steps(_df(spark), [("clean", step("clean")), ("tag", step("tag"))])
+    assert seen == ["clean", "tag"] and out.select("clean", "tag").first() == (1, 2)

@@ -218,3 +218,17 @@ def test_heartbeat_multi_batch_equals_batch(spark):
     opened = {(r["agent_id"], r["last_seen"]) for r in ag.heartbeat_timeouts(
         ev, F.lit(wm).cast("timestamp_ntz")).collect()}
     assert got == gaps | opened
+
+
+def test_window_alerts_stream(spark):
+    """A window alerts on error share above 5 % or an execution over 5 s."""
+    evs = [event(1, "x", "a", t=1), event(2, "task_failed", "a", t=2),            # window 0: 50 % errors
+           event(3, "task_completed", "a", task_id="t", t=31, execution_time=6.0),  # window 1: 6 s
+           event(4, "x", "a", t=62), event(5, "task_completed", "a", task_id="u", t=63,
+                                              execution_time=1.0),                  # window 2: quiet
+           event(6, "x", "a", t=200)]                                               # closes 0-2
+    out = run_batches(sq.window_alerts(_heartbeat_stream(spark, [evs])), "t7")
+    got = read_batches(spark, out, "window_start timestamp, events long, errors long, "
+                       "error_alert boolean, latency_alert boolean")
+    res = sorted((r["events"], r["errors"], r["error_alert"], r["latency_alert"]) for r in got.collect())
+    assert res == [(1, 0, False, True), (2, 1, True, False)]
