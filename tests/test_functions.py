@@ -62,3 +62,9 @@ def test_lookup_ratio_clamp_numbering(spark):
                   sc.fixed1(F.lit(2.25)).alias("f")).collect()[0]
     assert (r["hit"], r["miss"], r["zero"], r["half"], r["cl"]) == ("v", "d", None, 1.5, 10)
     assert r["top"] == ["1. a", "2. b", "3. c"] and r["na"] == "N/A" and r["f"] == "2.3"
+
+
+def test_to_json_text(spark):
+    r = spark.createDataFrame([(1, "a", None)], "n long, s string, z double").select(
+        sc.to_json_text("n", "s", "z").alias("j")).collect()[0]
+    assert r["j"] == '{"n":1,"s":"a"}'
