@@ -7,7 +7,7 @@ list is ever produced; per-capability choices are aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.scalar import iso_text, seconds_between
@@ -109,12 +109,12 @@ def unroutable_tasks(tasks: DataFrame, agents: DataFrame) -> DataFrame:
 
 def round_robin(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     """Spread each task type's tasks over its capable agents in turn.
-    Task position within a type comes from :func:`rank_within` (hot types
-    stay parallel); agent ordinal within a capability is a window over the
-    registry, which is a dimension table."""
-    c = agent_capabilities(agents)
-    c = c.withColumn("slot", F.row_number().over(
-        Window.partitionBy("capability").orderBy("reg_seq")) - 1)
+    Task position within a type and agent position within a capability
+    both come from :func:`rank_within`, so a hot type or a capability held
+    by most agents stays parallel."""
+    c = rank_within(agent_capabilities(agents).select("agent_id", "reg_seq", "capability"),
+                    ["capability"], "reg_seq", name="pos")
+    c = c.withColumn("slot", F.col("pos") - 1)
     n = c.groupBy("capability").agg(F.count(F.lit(1)).alias("n_agents"))
     t = rank_within(tasks.select("task_id", "seq", "task_type"), ["task_type"], "seq", name="pos")
     t = t.join(n, t["task_type"] == n["capability"], "inner").drop("capability")
