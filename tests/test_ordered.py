@@ -110,3 +110,23 @@ def test_numpy_clamp_composition(steps, start):
         seq = min(c, max(b, seq + a))
     D, L, H = compose_clamps_np(d, lo, hi)
     assert min(H, max(L, start + D)) == seq
+
+
+def test_default_buckets_with_a_hot_key(spark):
+    """Default 2**16 buckets: one key holds most rows and spans several
+    buckets; rank and previous-row equal their single-window forms."""
+    hot = spark.range(200_000).select(F.lit(0).cast("long").alias("k"), F.col("id").alias("seq"),
+                                      (F.col("id") % 3).cast("int").alias("p"))
+    cold = spark.range(30_000).select((1 + F.col("id") % 50).alias("k"),
+                                      (F.col("id") * 7 + 3).alias("seq"),
+                                      (F.col("id") % 2).cast("int").alias("p"))
+    df = hot.unionByName(cold)
+    got = rank_within(df, ["k"], "seq", order=[("p", False)], name="r")
+    want = df.withColumn("r", F.row_number().over(
+        Window.partitionBy("k").orderBy(F.col("p").desc(), "seq")))
+    diff = got.select("k", "seq", "r").exceptAll(want.select("k", "seq", "r")).count()
+    assert diff == 0 and got.count() == 230_000
+    prev = previous_within(df.withColumn("v", F.col("seq") * 2), ["k"], "seq", ["v"])
+    wp = df.withColumn("v", F.col("seq") * 2).withColumn(
+        "prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("seq")))
+    assert prev.select("k", "seq", "prev_v").exceptAll(wp.select("k", "seq", "prev_v")).count() == 0
