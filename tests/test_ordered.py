@@ -130,3 +130,19 @@ def test_default_buckets_with_a_hot_key(spark):
     wp = df.withColumn("v", F.col("seq") * 2).withColumn(
         "prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("seq")))
     assert prev.select("k", "seq", "prev_v").exceptAll(wp.select("k", "seq", "prev_v")).count() == 0
+
+
+def test_clamp_fold_default_levels_hot_key(spark):
+    """Default levels (2**16, 2**32): one key with 150k steps over three
+    buckets equals the sequential fold."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    d = rng.choice([-1, 1, 1], size=150_000)
+    seq = _sequential(4, d.tolist(), 0, 10)
+    pdf_rows = [(0, i, int(x)) for i, x in enumerate(d)]
+    df = spark.createDataFrame(pdf_rows, "k long, seq long, d int") \
+        .withColumn("lo", F.lit(0)).withColumn("hi", F.lit(10))
+    f = clamp_fold(df, ["k"], "seq", "d", "lo", "hi")
+    got = f.select(apply_clamp(F.lit(4).cast("bigint"), F.col("D"), F.col("L"), F.col("H"))
+                   .alias("x")).collect()[0]["x"]
+    assert got == seq
