@@ -136,7 +136,10 @@ def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:
-    """Outcome of every request / release in arrival order."""
+    """Outcome of every request / release in arrival order.
+
+    ``resources`` holds one row per resource id (the registry after its
+    upsert, S11); a resource missing from it is unregistered."""
     x = (log.select("seq", "resource_id", "agent_id", "action")
          .join(resources.select("resource_id", "max_concurrent"), "resource_id", "left")
          .repartition("resource_id")
