@@ -26,6 +26,12 @@ def test_admission_quirks(spark):
     assert util == [(1, 1, 1.0), (2, 0, None), (3, 1, 0.5)]
 
 
+def test_register_resources_last_wins(spark):
+    log = spark.createDataFrame([(1, 7, 1), (2, 8, 2), (3, 7, 3)],
+                                "seq long, resource_id long, max_concurrent int")
+    assert rows(rsc.register_resources(log), "resource_id", "max_concurrent") == [(7, 3), (8, 2)]
+
+
 def test_agent_metric_stats_exact_keys(spark):
     data = [(i, "a", "lat", ts(i), float(i)) for i in range(1, 13)]
     data += [(100, "a.b", "lat", ts(100), 99.0)]

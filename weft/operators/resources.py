@@ -135,6 +135,14 @@ def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "outcome": OUTCOMES[code], "holders_after": after})
 
 
+def register_resources(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """S11 for resources: upsert a registration log ``(seq, resource_id,
+    max_concurrent)`` by id; the last registration's limit wins (a partial
+    ``max_by`` aggregate)."""
+    return (log.groupBy("resource_id")
+            .agg(F.max_by("max_concurrent", seq).alias("max_concurrent")))
+
+
 def resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:
     """Outcome of every request / release in arrival order.
 
