@@ -76,8 +76,8 @@ def test_fan_out_control_distinct_ids(spark):
 
 def test_log_lines(spark):
     got = dict(rows(ev.event_log_lines(_events(spark)), "seq", "line"))
-    assert got[1] == 'Event: agent_state_changed from a to all - {"new_state": "busy"}'
-    assert got[2] == 'Event: task_completed from a to all - {"task_id": t1}'
+    assert got[1] == "Event: agent_state_changed from a to all - {'new_state': 'busy'}"
+    assert got[2] == "Event: task_completed from a to all - {'task_id': t1}"
     assert got[4] == "Event: task_completed from a to all - {}"
 
 

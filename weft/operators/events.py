@@ -150,10 +150,11 @@ def fan_out_control(agents: DataFrame, reason: str = "Emergency stop requested")
 
 
 def payload_text(events: DataFrame) -> Column:
-    """Known payload keys of an event rendered as a JSON object (null keys dropped)."""
+    """Known payload keys of an event rendered like a Python dict
+    (``{'task_id': 7, 'execution_time': 58.37}``); null keys are left out."""
     def kv(key: str, val: Column, quote: bool) -> Column:
-        v = F.concat(F.lit('"'), val, F.lit('"')) if quote else val.cast("string")
-        return F.when(val.isNotNull(), F.concat(F.lit(f'"{key}": '), v))
+        v = F.concat(F.lit("'"), val, F.lit("'")) if quote else val.cast("string")
+        return F.when(val.isNotNull(), F.concat(F.lit(f"'{key}': "), v))
     parts = [kv("new_state", F.col("new_state"), True),
              kv("task_id", F.col("task_id"), False),
              kv("execution_time", F.col("execution_time"), False),

@@ -101,10 +101,10 @@ def q_fan_out_control(m):
 SELECT seq, printf('Event: %s from %s to %s - %s', event_type, CAST(source_agent AS VARCHAR),
                    coalesce(CAST(target_agent AS VARCHAR), 'all'),
                    '{' || concat_ws(', ',
-                       CASE WHEN new_state IS NOT NULL THEN '"new_state": "' || new_state || '"' END,
-                       CASE WHEN task_id IS NOT NULL THEN '"task_id": ' || CAST(task_id AS VARCHAR) END,
-                       CASE WHEN execution_time IS NOT NULL THEN '"execution_time": ' || CAST(execution_time AS VARCHAR) END,
-                       CASE WHEN error IS NOT NULL THEN '"error": "' || error || '"' END) || '}') AS line
+                       CASE WHEN new_state IS NOT NULL THEN '''new_state'': ''' || new_state || '''' END,
+                       CASE WHEN task_id IS NOT NULL THEN '''task_id'': ' || CAST(task_id AS VARCHAR) END,
+                       CASE WHEN execution_time IS NOT NULL THEN '''execution_time'': ' || CAST(execution_time AS VARCHAR) END,
+                       CASE WHEN error IS NOT NULL THEN '''error'': ''' || error || '''' END) || '}') AS line
 FROM ev"""))
 def q_event_log_lines(m):
     return ev.event_log_lines(m.events())
