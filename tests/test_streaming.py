@@ -232,3 +232,17 @@ def test_window_alerts_stream(spark):
                        "error_alert boolean, latency_alert boolean")
     res = sorted((r["events"], r["errors"], r["error_alert"], r["latency_alert"]) for r in got.collect())
     assert res == [(1, 0, False, True), (2, 1, True, False)]
+
+
+def test_tumbling_counts_drop_late_events(spark):
+    """T6 late-data rule (Spark's): a row older than the watermark that
+    closed earlier batches is dropped, so an emitted window is never
+    re-opened or emitted twice. A row that arrives while its window is still
+    held in state is counted."""
+    b1 = [event(i, "x", "a", t=i * 10) for i in range(1, 11)]           # up to 100 s
+    b2 = [event(21, "x", "a", t=200)]                                    # closes windows < 200 s
+    b3 = [event(22, "x", "a", t=5), event(23, "x", "a", t=400)]          # 5 s is late
+    out = run_batches(sq.tumbling_event_counts(_heartbeat_stream(spark, [b1, b2, b3])), "late")
+    got = read_batches(spark, out, "window_start timestamp, event_type string, n long")
+    first = [r["n"] for r in got.collect() if r["window_start"].second == 0 and r["window_start"].minute == 0]
+    assert first == [2]          # events at 10 s and 20 s, emitted once; the late 5 s row dropped

@@ -70,7 +70,10 @@ def stream_task_lifecycle(events: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def tumbling_event_counts(events: DataFrame, window: str = WINDOW) -> DataFrame:
     """Events per tumbling window and type; append mode emits a window
-    once the watermark passes its end, and its state is dropped."""
+    once the watermark passes its end, and its state is dropped. Late data
+    (our rule, Spark's): a row older than the watermark that closed earlier
+    batches is dropped, so an emitted window is never emitted again; a row
+    whose window is still held in state is counted."""
     return (events.groupBy(F.window("ts", window).alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), "event_type", "n"))
