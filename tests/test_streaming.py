@@ -19,12 +19,18 @@ from weft.streaming.sources import latest_per_key, read_batches, run_batches, wi
 
 
 def _split_events(spark, n_files=4):
-    """Write the sf0.001 raw events as several files, ordered by event_id."""
+    """Write the sf0.001 raw events as several files in event_id order. The
+    file source takes files by modification time, so they are written one
+    after another (not by one parallel job) to fix the batch order."""
+    import time
     raw = Model(spark, SF_SMALL).raw("events")
     folder = scratch_path(spark, f"split-{uuid.uuid4().hex[:8]}")
-    (raw.withColumn("f", F.floor(F.col("event_id") * n_files / F.lit(raw.count())))
-     .repartition("f").sortWithinPartitions("event_id")
-     .write.partitionBy("f").parquet(folder + "/parts"))
+    n = raw.count()
+    parts = raw.withColumn("f", F.floor(F.col("event_id") * n_files / F.lit(n)))
+    for f in range(n_files):
+        (parts.where(F.col("f") == f).drop("f").coalesce(1).sortWithinPartitions("event_id")
+         .write.parquet(f"{folder}/parts/f{f:03d}"))
+        time.sleep(0.05)
     return raw.schema, folder
 
 
@@ -72,10 +78,13 @@ def test_event_counts_stream(spark):
 
 
 def _heartbeat_stream(spark, batches):
-    """Write each list of events as its own file; stream one file per batch."""
+    """Write each list of events as its own file, one after another (the
+    file source orders by modification time); stream one file per batch."""
+    import time
     folder = scratch_path(spark, f"hb-{uuid.uuid4().hex[:8]}")
     for i, evs in enumerate(batches):
         spark.createDataFrame(evs, EVENT_SCHEMA).coalesce(1).write.parquet(f"{folder}/b{i:03d}")
+        time.sleep(0.05)
     df = (spark.readStream.schema(spark.createDataFrame([], EVENT_SCHEMA).schema)
           .option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(folder))
     return with_event_time(df)
