@@ -123,6 +123,26 @@ def _signature_fn(planes: np.ndarray, width: float, vec: str):
     return fn
 
 
+def _near_flags(pairs: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
+    """Replace the vector columns ``a``, ``b`` of each pair row by ``__near``
+    (inner product >= threshold), computed per Arrow batch with one row-wise
+    numpy product instead of a per-row higher-order function."""
+    keep = [f for f in pairs.schema.fields if f.name not in (a, b)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", `__near` boolean"
+    names = [f.name for f in keep]
+
+    def fn(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            xa = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[a].values])
+            xb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[b].values])
+            out = pdf[names].copy()
+            out["__near"] = np.einsum("ij,ij->i", xa, xb) >= threshold
+            yield out
+    return pairs.mapInPandas(fn, schema)
+
+
 def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDATION_THRESHOLD,
                                 key: str = "vec_id", vec: str = "embedding",
                                 tables: int = 12, bits: int = 6, width: float | None = None,
@@ -171,9 +191,9 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
     vy = reps.select(F.col("rep").alias("__y"), F.col(vec).alias("__vy"))
 
     def near(df, x, y):
-        return (df.join(vx, F.col(x) == F.col("__x")).join(vy, F.col(y) == F.col("__y"))
-                .withColumn("__near", dot(F.col("__vx"), F.col("__vy")) >= threshold)
-                .drop("__x", "__y", "__vx", "__vy"))
+        pairs = (df.join(vx, F.col(x) == F.col("__x")).join(vy, F.col(y) == F.col("__y"))
+                 .drop("__x", "__y"))
+        return _near_flags(pairs, "__vx", "__vy", threshold)
 
     checked = near(tagged, "leader", "rep")
     settled = checked.where("__near").select("rep", F.col("leader").alias("p"))
