@@ -46,14 +46,19 @@ def build_session(master: str | None = None, app: str = "weft",
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset.
+    """Return the shared checkpoint folder, setting one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared filesystem folder;
-    it is read, never overridden. Local tests get a fresh scratch folder.
+    it is read, never overridden, and a cluster without it is an error (a
+    machine-local folder would not survive a lost executor). Only in local
+    mode (tests, the bench) does an unset folder fall back to a scratch one.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local") and not fallback:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
+                               "checkpoints and stream state are written there")
         current = fallback or tempfile.mkdtemp(prefix="weft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
