@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def read_batches(spark: SparkSession, out: str, schema: str) -> DataFrame:
     frame of ``schema`` if no batch wrote rows."""
     try:
         return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch folders yet
+    except AnalysisException:  # no batch wrote a folder (path does not exist)
         return spark.createDataFrame([], schema + ", batch_id int")
 
 
