@@ -1,8 +1,10 @@
 """Keyed stateful processors for ``transformWithStateInPandas``.
 
 Each processor keeps one key's state in the state store (RocksDB) and folds
-that key's new rows in ``seq`` order every micro-batch. The per-row loop is
-the state machine itself and only ever sees one key's rows of one batch.
+that key's new rows in ``seq`` order every micro-batch, with numpy over the
+whole batch: the agent processor composes clamp maps (load) and picks the last
+effect, the heartbeat processor applies the gap rule as a running maximum,
+and the admission processor runs the shared skipping state machine.
 """
 
 from __future__ import annotations
