@@ -1,7 +1,8 @@
 """Vector retrieval, near-duplicate consolidation and majority vote.
 
-Vectors are ``ARRAY<FLOAT>`` of unit length. Dot products are native
-higher-order functions (``zip_with`` + ``aggregate``) in double precision.
+Vectors are ``ARRAY<FLOAT>`` of unit length. Bulk scoring (J10 retrieval,
+J11 candidate checks) runs on whole Arrow batches with numpy; the small
+per-label centroid norms use the native ``zip_with`` + ``aggregate`` dot.
 """
 
 from __future__ import annotations
