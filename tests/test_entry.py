@@ -49,3 +49,28 @@ print("RESULT", q["resource_admission"](s, {SF_SMALL!r}).count(),
     assert line, out.stderr[-2000:]
     a, b = map(int, line[0].split()[1:])
     assert a > 0 and b >= 0
+
+
+def test_cluster_without_checkpoint_folder_is_an_error():
+    """No machine-local fallback outside local mode."""
+    import pytest
+    from weft.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            raise AssertionError("must not set a folder on a cluster")
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
