@@ -43,3 +43,10 @@ def test_topk_equals_numpy(spark):
 def test_majority_vote_tie_to_smallest(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 3), ("b", 1)], "item string, label int")
     assert rows(sim.majority_vote(df, "item", "label"), "item", "label", "votes") == [("a", 1, 1), ("b", 3, 2)]
+
+
+def test_label_centroids_are_unit_means(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [0.0, 1.0], 7), (3, [0.0, 2.0], 8)],
+                               "vec_id long, embedding array<float>, label int")
+    got = {r["label"]: r["centroid"] for r in sim.label_centroids(df).collect()}
+    assert np.allclose(got[7], [2 ** -0.5, 2 ** -0.5]) and np.allclose(got[8], [0.0, 1.0])
