@@ -4,15 +4,16 @@ output. Their oracles are the batch semantics in SQL."""
 
 from pyspark.sql import functions as F
 
-from weft.plans.catalog import query, with_ctes
+from weft.operators import events as ev
+from weft.plans.catalog import ORACLE, query, with_ctes
 from weft.plans.q_events import EFFECT_SQL
 from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 from weft.sources.adapters import model_events, model_resource_log
 from weft.streaming import queries as sq
 from weft.streaming import stateful as S
-from weft.streaming.sources import (latest_per_key, read_batches, run_batches, table_stream,
-                                    with_event_time)
+from weft.streaming.sources import (latest_per_key, read_batches, run_batches, run_observers,
+                                    table_stream, with_event_time)
 
 
 def _events(m, event_time=False):
@@ -115,3 +116,22 @@ def q_window_alerts(m):
                       "error_alert boolean, latency_alert boolean")
     return df.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                      "events", "errors", "error_alert", "latency_alert")
+
+
+def _write_batch(df, folder: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+
+@query("stream_event_log", ORACLE["event_log_lines"])
+def q_stream_event_log(m):
+    """T8 + S7: events streamed to two observers (log lines, running counts)
+    through the isolating fan-out; the log lines are read back."""
+    observers = {
+        "lines": lambda b, i, f: _write_batch(ev.event_log_lines(b), f, i),
+        "counts": lambda b, i, f: _write_batch(ev.event_counts(b), f, i),
+    }
+    errors: dict = {}
+    base = run_observers(_events(m), observers, "event_log", errors=errors)
+    if errors:
+        raise RuntimeError(f"observer failures: {errors}")
+    return m.spark.read.parquet(f"{base}/lines").drop("batch_id")

@@ -69,6 +69,26 @@ def run_batches(df: DataFrame, name: str, output_mode: str = "append",
     return out
 
 
+def run_observers(df: DataFrame, observers: dict, name: str, base: str | None = None,
+                  errors: dict | None = None, timeout_s: int | None = None) -> str:
+    """Run a stream to completion handing every micro-batch to each
+    observer ``fn(batch, batch_id, folder)`` (persisted once, failures
+    isolated and counted in ``errors``). Each observer gets its own output
+    folder under the returned base folder."""
+    from weft.streaming.queries import fan_out
+    spark = df.sparkSession
+    ensure_state_store(spark)
+    base = base or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    bound = {k: (lambda fn, k: (lambda b, i: fn(b, i, f"{base}/{k}")))(fn, k)
+             for k, fn in observers.items()}
+    q = (df.writeStream.foreachBatch(fan_out(bound, errors))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.exception() is not None:
+        raise q.exception()
+    return base
+
+
 def read_batches(spark: SparkSession, out: str, schema: str) -> DataFrame:
     """All rows written by :func:`run_batches` (with ``batch_id``); an empty
     frame of ``schema`` if no batch wrote rows."""
