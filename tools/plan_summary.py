@@ -54,7 +54,7 @@ def main() -> None:
     for name, fn in all_queries().items():
         if only and name not in only:
             continue
-        if name.startswith("stream_") or name in ("tumbling_event_counts", "window_alerts"):
+        if name.startswith("stream_") or name in ("tumbling_event_counts", "window_alerts"):  # noqa: E501
             print(f"| {name} | streaming run (plan per micro-batch) |")
             continue
         print(f"| {name} | {summarise(final_plan(fn(spark, sf)))} |")
