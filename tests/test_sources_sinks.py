@@ -67,3 +67,14 @@ def test_expiry_prunes_date_partitions(spark, tmpdir_path):
     assert sorted(r["id"] for r in kept.collect()) == list(range(12, 20))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_orc_and_text_formats(spark, tmpdir_path):
+    src = f"{SF_SMALL}/nation.parquet"
+    orc = os.path.join(tmpdir_path, "nation_orc")
+    convert_format(spark, "parquet", src, "orc", orc)
+    back = read_tabular(spark, "orc", orc, schema="n_nationkey int, n_name string, n_regionkey int")
+    assert back.count() == 25 and back.where(F.col("n_regionkey") == 0).count() >= 1
+    txt = os.path.join(tmpdir_path, "names_txt")
+    load(spark, SF_SMALL, "nation").select("n_name").write.text(txt)
+    assert read_tabular(spark, "text", txt).count() == 25
