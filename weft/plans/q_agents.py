@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import agents as ag
 from weft.plans.catalog import query, with_ctes
+from weft.plans.q_events import EFFECT_SQL
 
 CAPS_SQL = """caps AS (SELECT agent_id, reg_seq, state, load_factor, unnest(capabilities) AS capability FROM ag)"""
 LEAST_SQL = """pick AS (
@@ -126,3 +127,25 @@ SELECT * FROM (
 WHERE last_seen IS NOT NULL AND silence_seconds > 90"""))
 def q_silence_gaps(m):
     return ag.silence_gaps(m.events())
+
+
+@query("heartbeat_alerts_registered", with_ctes(["ev", "ag"], f"""
+SELECT * FROM (
+  SELECT e.source_agent AS agent_id, max(e.ts) AS last_seen,
+         CAST(epoch_us((SELECT max(ts) FROM ev)) - epoch_us(max(e.ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE)
+           AS silence_seconds
+  FROM ev e WHERE e.source_agent IN (SELECT agent_id FROM st WHERE state <> 'error')
+  GROUP BY e.source_agent) WHERE silence_seconds > 90""", [f"""st AS (
+  SELECT a.agent_id, coalesce(l.effect, a.state) AS state
+  FROM ag a LEFT JOIN (
+    SELECT agent_id, arg_max(effect, seq) AS effect
+    FROM (SELECT source_agent AS agent_id, seq, {EFFECT_SQL} AS effect
+          FROM ev WHERE source_agent IN (SELECT agent_id FROM ag))
+    WHERE effect IS NOT NULL GROUP BY agent_id) l ON a.agent_id = l.agent_id)"""]))
+def q_heartbeat_registered(m):
+    """T3 batch form as the monitor applies it: registered agents whose
+    final state is not error, silent for more than 90 s at the last event."""
+    from weft.operators import events as evo
+    e = m.events()
+    states = evo.agent_state(e, m.agents())
+    return ag.heartbeat_timeouts(e, e.select(F.max("ts")).scalar(), states=states)
