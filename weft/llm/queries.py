@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weft.llm import op10_token_store
+from weft.llm import op4_packing, op10_token_store
 
 QUERIES = {
+    "op4_packing": op4_packing.query,
     "op10_token_store": op10_token_store.query,
 }
 ORACLE: dict[str, str] = {}
