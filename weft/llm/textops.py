@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15 | 5)  # = 5 modulo 8: powers differ early in their low bits
-CHUNK = 8 << 20                  # bytes of text handled at once (one text is never cut)
+CHUNK = 4 << 20                  # bytes of text handled at once (one text is never cut)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
