@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import op4_packing, op10_token_store
+from weft.llm import op3_quality, op4_packing, op10_token_store
 
 QUERIES = {
+    "op3_quality": op3_quality.query,
     "op4_packing": op4_packing.query,
     "op10_token_store": op10_token_store.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_quality": op3_quality.ORACLE,
+}
