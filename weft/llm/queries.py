@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import op3_quality, op4_packing, op9_lsh_forest, op10_token_store
+from weft.llm import op3_quality, op4_packing, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store
 
 QUERIES = {
     "op3_quality": op3_quality.query,
     "op4_packing": op4_packing.query,
+    "op7_language": op7_language.query,
+    "op8_toxicity": op8_toxicity.query,
     "op9_lsh_forest": op9_lsh_forest.query,
     "op10_token_store": op10_token_store.query,
 }
