@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_kneser_ney, op3_quality, op4_packing, op5_string_tiling, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store
+from weft.llm import op1_kneser_ney, op2_pii, op3_quality, op4_packing, op5_string_tiling, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney.query,
+    "op2_pii": op2_pii.query,
     "op3_quality": op3_quality.query,
     "op4_packing": op4_packing.query,
     "op5_string_tiling": op5_string_tiling.query,
