@@ -215,6 +215,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFra
                       F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def first_of_groups(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """The documents that stay (all columns): the smallest doc_id of each group."""
+    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = scratch.stored(gone, scratch.new_folder(docs.sparkSession, "lsh-forest-gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: groups of the whole table."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

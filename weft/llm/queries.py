@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_kneser_ney, op2_pii, op3_quality, op4_packing, op5_string_tiling, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store
+from weft.llm import op1_kneser_ney, op2_pii, op3_quality, op4_packing, op5_string_tiling, op6_chat_repair, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": op3_quality.query,
     "op4_packing": op4_packing.query,
     "op5_string_tiling": op5_string_tiling.query,
+    "op6_chat_repair": op6_chat_repair.query,
     "op7_language": op7_language.query,
     "op8_toxicity": op8_toxicity.query,
     "op9_lsh_forest": op9_lsh_forest.query,
