@@ -226,12 +226,14 @@ def train(docs: DataFrame, folder: str) -> dict:
         first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         stats = [np.add.reduceat(x.astype(U), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
         ids, cont = np.unique(w, return_counts=True)
-        for kind, own, n in [*((k, v[first], s) for k, s in enumerate(stats)), (4, ids, cont.astype(U))]:
+        cut = []
+        for own, n in [*((v[first], s) for s in stats), (ids, cont.astype(U))]:
             own, n = own[n > 0], n[n > 0]
-            to = np.searchsorted(starts, own, "right") - 1
-            at = np.searchsorted(to, np.arange(len(starts) + 1))
-            for r in np.flatnonzero(np.diff(at)).tolist():
-                rows.append(dict(kind=kind, bucket=files[r]["bucket"], block=pack(own[at[r]:at[r + 1]].astype(U), n[at[r]:at[r + 1]])))
+            cut.append((own, n, np.searchsorted(own, [*starts, 1 << 32])))  # ids rise, so each file's are a slice
+        for r in range(len(starts)):
+            parts = [pack(own[at[r]:at[r + 1]].astype(U), n[at[r]:at[r + 1]]) for own, n, at in cut]
+            if any(at[r + 1] > at[r] for *_, at in cut):  # all five sums for a file's ids in one block
+                rows.append(dict(kind=0, bucket=files[r]["bucket"], block=b"".join(len(x).to_bytes(8, "little") + x for x in parts)))
         return pa.Table.from_pylist(rows, schema=schema)
 
     made = scratch.stored(text.mapInArrow(bigrams, ddl).groupBy("bucket").applyInArrow(
@@ -246,9 +248,13 @@ def train(docs: DataFrame, folder: str) -> dict:
         bucket = table.column("bucket")[0].as_py()
         base, n = sizes[bucket]
         sums = np.zeros((5, n))
-        for kind, block in zip(table.column("kind").to_pylist(), table.column("block")):
-            ids, x = unpack(block.as_py())
-            sums[kind][ids.astype(np.int64) - base] += x
+        for block in table.column("block"):
+            block = block.as_py()
+            for total in sums:
+                size = int.from_bytes(block[:8], "little")
+                ids, x = unpack(block[8:8 + size])
+                total[ids.astype(np.int64) - base] += x
+                block = block[8 + size:]
         weight = (d[0] * sums[1] + d[1] * sums[2] + d[2] * sums[3]) / np.maximum(sums[0], 1)
         stem = scratch.attempt_name("contexts", bucket)
         scratch.write_bytes(f"{folder}/{stem}.ctx", *[x.astype("<f4") for x in (sums[0], weight, sums[4])])
