@@ -95,8 +95,9 @@ def placed(df: DataFrame, kinds: tuple[str, ...], keep: list[str]) -> DataFrame:
         lambda k: [F.col(f"m_{k}"), F.col(f"g_{k}"), F.when(F.size(f"d_{k}") > 0, F.transform(F.sequence(F.lit(0), F.floor(
             (F.size(f"d_{k}") - 1) / BLOCK).cast("int")), lambda b: _sums(F.slice(f"d_{k}", b * BLOCK + 1, F.lit(BLOCK))))).alias(f"b_{k}")],
         lambda k: [F.col(f"m_{k}"), F.col(f"g_{k}"), F.col(f"b_{k}"), _sums(F.transform(f"b_{k}", lambda x: F.element_at(x, -1))).alias(f"t_{k}")],
-        lambda k: [F.col(f"m_{k}"), F.col(f"g_{k}"), F.flatten(F.transform(f"b_{k}", lambda x, i: F.transform(
-            x, lambda y: y + F.when(i > 0, F.get(f"t_{k}", i - 1)).otherwise(0)))).alias(f"s_{k}")],
+        # (a column used twice is computed once; used once, it would be computed anew for each element)
+        lambda k: [F.col(f"m_{k}"), F.col(f"g_{k}"), F.when(F.size(f"t_{k}") > 0, F.flatten(F.transform(f"b_{k}", lambda x, i: F.transform(
+            x, lambda y: y + F.when(i > 0, F.get(f"t_{k}", i - 1)).otherwise(0))))).alias(f"s_{k}")],
         lambda k: [F.coalesce(F.transform(f"m_{k}", lambda x, i: F.struct(
             F.get(f"s_{k}", i).alias("start"), (F.get(f"s_{k}", i) + F.char_length(x)).alias("end"), x.alias("text"),
             F.right(F.get(f"g_{k}", i), F.lit(64)).alias("before"), F.left(F.get(f"g_{k}", i + 1), F.lit(64)).alias("after"))),
@@ -134,9 +135,10 @@ def discover(found: DataFrame, text: DataFrame, folder: str) -> DataFrame:
     key = ["doc_id", "copy"]
     # distance to the base spans of the document: the largest end before, the least start after
     order = Window.partitionBy(*key).orderBy("start", F.desc("seed"), "end")
+    back = Window.partitionBy(*key).orderBy(F.desc("start"), "seed", F.desc("end"))  # a frame up to the end would be summed anew for each row
     f = found.dropDuplicates([*key, "start", "end", "seed"])
     f = f.withColumn("till", F.max(F.when(F.col("seed") == 1, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))) \
-         .withColumn("next", F.min(F.when(F.col("seed") == 1, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+         .withColumn("next", F.min(F.when(F.col("seed") == 1, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     free = (F.coalesce("till", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))
     f = f.where((F.col("seed") == 1) | free)
     lexical = F.filter(F.array(F.struct(F.lit("L").alias("side"), _word(F.col("before"), -1).alias("word")),
