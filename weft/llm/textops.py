@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15 | 5)  # = 5 modulo 8: powers differ early in their low bits
-CHUNK = 4 << 20                  # bytes of text handled at once (one text is never cut)
+CHUNK = 1 << 20                 # bytes of text handled at once (one text is never cut)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ class WordHasher:
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 18)
             self.up = np.cumprod(np.concatenate(([U(1)], np.full(n - 1, STEP, U))), dtype=U)
             self.down = np.cumprod(np.concatenate(([U(1)], np.full(n - 1, self.inverse, U))), dtype=U)
 
