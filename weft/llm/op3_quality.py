@@ -144,21 +144,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+         list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
   FROM documents),
 m AS (
   SELECT doc_id, source, text, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, w, lines FROM d),
-win AS (SELECT doc_id, unnest(range(1, n_words - 3)) AS i, w FROM m WHERE n_words >= 5),
-keyed AS (SELECT doc_id, i, w[i:i + 4] AS g FROM win),
-twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM keyed),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM m),
+keyed AS (SELECT doc_id, i, x, lead(x, 1) OVER p AS x1, lead(x, 2) OVER p AS x2, lead(x, 3) OVER p AS x3, lead(x, 4) OVER p AS x4
+          FROM word WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, x1, x2, x3, x4) AS c FROM keyed WHERE x4 IS NOT NULL),
 places AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice WHERE c > 1),
 rep AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM places GROUP BY doc_id),
 lined AS (
-  SELECT doc_id, source, text, pos, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ 	-]+', ' ', 'g')) AS line,
-         len(list_filter(string_split_regex(line, '[ 	-]+'), lambda x: x <> '')) AS n
+  SELECT doc_id, source, text, pos, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ 	-
+]+', ' ', 'g')) AS line,
+         len(list_filter(string_split_regex(line, '[ 	-
+]+'), lambda x: x <> '')) AS n
   FROM (SELECT doc_id, source, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM m)),
 held AS (SELECT source, line, min(doc_id) AS first_doc FROM lined GROUP BY source, line HAVING count(DISTINCT text) > 200),
 lost AS (SELECT l.doc_id, sum(l.n) AS n FROM lined l JOIN held h ON l.source IS NOT DISTINCT FROM h.source AND l.line = h.line
