@@ -174,6 +174,7 @@ class Block:
 
 def blocks(benchmark: DataFrame, min_match: int, block_bytes: int) -> Iterator[Block]:
     """The items (item_id, text) in blocks of about ``block_bytes``, one at a time."""
+    scratch.bounded_batches(benchmark.sparkSession)
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     n = max(1, math.ceil(total / block_bytes))

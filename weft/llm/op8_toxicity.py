@@ -111,6 +111,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict | None:
     """Model from the rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) given."""
+    scratch.bounded_batches(docs.sparkSession)
     lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = lab.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("p")).collect()[0]
     if not n["p"]:

@@ -20,8 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.session import scratch_path
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are of any length, so Arrow batches are cut by bytes, not by rows
+    alone. A limit the session names itself stays."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder URI for one run of an operator."""
+    bounded_batches(spark)
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
 
 
