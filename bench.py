@@ -26,6 +26,9 @@ HEADLINE = [
     "security_findings", "corpus_rollup", "clean_rows", "profile_schema", "normalize_column",
     "vector_topk_uncut", "consolidate_near_duplicates", "stream_agent_state",
     "stream_resource_admission",
+    # added in round 2
+    "combine_analyzers", "round_robin", "priority_order", "stream_heartbeat_alerts",
+    "tumbling_event_counts", "text_report",
 ]
 
 

@@ -27,9 +27,10 @@ def test_validate_counts_nulls_as_failures(spark):
     rules = {"price_positive": F.col("price") > 0, "name_present": F.col("name").isNotNull()}
     got = rows(cl.validate(_df(spark), rules, ["k"]), "k", "rule")
     assert got == [(2, "name_present"), (3, "price_positive")]
-    summary = cl.run_summary(_df(spark), cl.valid_flag(rules), ["validate"]).collect()[0]
-    assert (summary["records_processed"], summary["valid_records"]) == (5, 3)
-    assert float(summary["valid_share"]) == 0.6 and summary["steps_applied"] == "validate"
+    steps = [("named", lambda d: d.where("name is not null")), ("same", lambda d: d)]
+    summary = cl.run_summary(_df(spark), steps, cl.valid_flag(rules)).collect()[0]
+    assert (summary["records_processed"], summary["records_kept"], summary["valid_records"]) == (5, 4, 3)
+    assert float(summary["valid_share"]) == 0.75 and summary["steps_applied"] == "named, same"
 
 
 def test_normalize_constant_column_gives_null(spark):

@@ -39,7 +39,7 @@ def test_metrics_on_sample(spark):
     s = m[1]
     assert s["lines_of_code"] == 15 and s["function_count"] == 3 and s["class_count"] == 1
     assert (s["secret_findings"], s["sql_findings"], s["command_findings"]) == (1, 1, 1)
-    assert s["max_depth"] == 6 and s["long_param_defs"] == 1 and s["magic_numbers"] == 2
+    assert s["max_depth"] == 6 and s["long_param_defs"] == 1 and s["magic_numbers"] == 1
     # if, and, for, while, if, or
     assert s["complexity"] == 7
     assert s["issues_found"] == 3 + 3
@@ -81,6 +81,10 @@ def test_read_corpus_whole_files_and_size_filter(spark, tmpdir_path):
     assert text == SAMPLE
 
 
+def _silent(docs):
+    raise ValueError
+
+
 def test_reports(spark):
     met = cp.code_metrics(_docs(spark)).withColumn("path", __import__("pyspark.sql.functions").sql.functions.lit("f.py"))
     rep = dict(rows(rp.text_report(met), "doc_id", "report"))
@@ -88,9 +92,12 @@ def test_reports(spark):
     assert "- Security Issues: 3" in rep[1] and "- Move hard-coded secrets out of the source" in rep[1]
     run = rp.combine_analyzers(_docs(spark), {
         "ok": lambda d: d.selectExpr("doc_id", "'fine' AS detail"),
-        "broken": lambda d: d.select("doc_id", "no_such_column")})
+        "broken": lambda d: d.select("doc_id", "no_such_column"),
+        "late": lambda d: d.selectExpr("doc_id", "raise_error('line one\\nline two ' || repeat('x', 300)) AS detail"),
+        "silent": _silent})
     st = rows(run.groupBy("analyzer", "status").count(), "analyzer", "status", "count")
-    assert st == [("broken", "error", 4), ("ok", "ok", 4)]
+    assert st == [("broken", "error", 4), ("late", "error", 4), ("ok", "ok", 4), ("silent", "error", 4)]
+    assert "line two " + "x" * 300 in run.where("analyzer = 'late'").collect()[0]["error"]
     assert rows(rp.analyzers_run(run), "analyzers")[0] == ("ok",)
 
 

@@ -64,7 +64,7 @@ def test_completions_count_duplicates(spark):
 
 
 def test_recent_events_oldest_first_window(spark):
-    got = ev.recent_events(_events(spark), 3).orderBy("seq").collect()
+    got = ev.recent_events(_events(spark), 3).collect()
     assert [r["seq"] for r in got] == [8, 9, 10]
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from conftest import rows
 from weft.operators import similarity as sim
@@ -18,8 +19,9 @@ def _vectors(spark, n=120, dim=16, seed=3):
         x.astype(np.float32).astype(np.float64)
 
 
-def test_consolidation_equals_brute_force(spark):
-    df, x = _vectors(spark)
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_consolidation_equals_brute_force(spark, seed):
+    df, x = _vectors(spark, seed=seed)
     s = x @ x.T
     want = {}
     for i in range(len(x)):
@@ -30,6 +32,32 @@ def test_consolidation_equals_brute_force(spark):
     assert sum(1 for j in range(60, 90) if got[j] == 5) >= 25
 
 
+def test_consolidation_of_text_ids(spark):
+    df, x = _vectors(spark)
+    named = df.selectExpr("format_string('v%03d', vec_id) AS vec_id", "embedding")
+    want = {f"v{i:03d}": f"v{j:03d}" for i, j in rows(sim.consolidate_near_duplicates(df), "vec_id", "canonical_id")}
+    assert dict(rows(sim.consolidate_near_duplicates(named), "vec_id", "canonical_id")) == want
+
+
+def test_candidates_per_vector_stay_flat():
+    for n in (10 ** 3, 10 ** 5, 10 ** 7, 10 ** 9):
+        bits, tables = sim.lsh_shape(n, 0.95, 1e-6)
+        assert n / 2 ** bits <= 8 and tables < 40 * (n / 1000) ** 0.16  # grows as n^0.153
+
+
+def test_query_sets_larger_than_a_block(spark):
+    df, x = _vectors(spark)
+    rng = np.random.default_rng(1)
+    q = rng.standard_normal((5000, 16))
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "qid long, qvec array<double>")
+    got = {}
+    for r in sim.vector_topk(df, queries, k=3, threshold=None).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    score = q @ x.T
+    for i in range(5000):
+        assert [v for _, v in sorted(got[i])] == sorted(range(len(x)), key=lambda j: (-score[i, j], j))[:3]
+
+
 def test_topk_equals_numpy(spark):
     df, x = _vectors(spark)
     q = spark.createDataFrame([(0, [float(v) for v in x[3]]), (1, [float(v) for v in x[40]])],
@@ -45,6 +73,11 @@ def test_majority_vote_tie_to_smallest(spark):
     assert rows(sim.majority_vote(df, "item", "label"), "item", "label", "votes") == [("a", 1, 1), ("b", 3, 2)]
 
 
+def test_majority_vote_of_text_labels(spark):
+    df = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z"), ("b", "z"), ("b", "x")], "item string, label string")
+    assert rows(sim.majority_vote(df, "item", "label"), "item", "label", "votes") == [("a", "x", 1), ("b", "z", 2)]
+
+
 def test_label_centroids_are_unit_means(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [0.0, 1.0], 7), (3, [0.0, 2.0], 8)],
                                "vec_id long, embedding array<float>, label int")

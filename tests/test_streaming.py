@@ -63,9 +63,12 @@ def test_admission_and_lifecycle_stream_equal_batch(spark):
     assert rows(got, "seq", "outcome", "holders_after") == rows(want, "seq", "outcome", "holders_after")
     stream = model_events(_stream(spark, schema, folder))
     out = run_batches(sq.stream_task_lifecycle(stream, m.tasks()), "t5")
-    got = read_batches(spark, out, S.LIFECYCLE_OUT)
+    got = read_batches(spark, out, sq.LIFECYCLE)
+    closed = got.where("status <> 'running' AND started_at IS NULL")  # those that ran from the start
     want = tk.apply_completions(m.tasks(), m.events())
-    assert rows(got, "task_id", "status", "closed_seq") == rows(want, "task_id", "status", "closed_seq")
+    assert rows(closed, "task_id", "status", "seq") == rows(want, "task_id", "status", "closed_seq")
+    begun = m.events().where("event_type = 'task_assigned'").join(m.tasks().where("status = 'pending'"), "task_id", "left_semi")
+    assert rows(got.where("status = 'running'"), "task_id") == rows(begun, "task_id")
 
 
 def test_event_counts_stream(spark):
@@ -139,8 +142,37 @@ def test_fan_out_isolates_failing_observer(spark):
     handler(df, 1)
     assert seen == [1, 1] and errors == {"bad": 2}
     routed = []
-    sq.by_event_type({"task_completed": lambda b, i: routed.append(b.count())})(df, 0)
-    assert routed == [1]
+    route = sq.by_event_type({"task_failed": bad, "task_completed": lambda b, i: routed.append(b.count())})
+    route(df, 0)
+    assert routed == [1] and route.errors == {"task_failed": 1}
+    alone = sq.fan_out({"bad": bad})
+    alone(df, 0)
+    assert alone.errors == {"bad": 1}
+
+
+def test_tables_in_part_files_stream_like_single_files(spark, tmp_path):
+    from weft.plans.catalog import all_queries
+    folder = str(tmp_path)
+    for name in ("events", "supplier", "nation", "orders"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    for name in ("stream_event_counts", "stream_agent_state", "stream_heartbeat_alerts", "stream_resource_admission",
+                 "stream_task_lifecycle", "tumbling_event_counts", "window_alerts", "stream_event_log"):
+        one = sorted(map(tuple, all_queries()[name](spark, SF_SMALL).collect()), key=str)
+        many = sorted(map(tuple, all_queries()[name](spark, folder).collect()), key=str)
+        assert one == many and (one or name == "stream_task_lifecycle"), name
+
+
+def test_a_stream_that_is_not_done_in_time_raises(spark):
+    import pytest
+    slow = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    with pytest.raises(TimeoutError):
+        run_batches(slow.selectExpr("value"), "late", available_now=False, timeout_s=2)
+
+
+def test_an_empty_stream_reads_back_as_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "a long").write.parquet(str(tmp_path / "none"))
+    out = run_batches(spark.readStream.schema("a long").parquet(str(tmp_path / "none")), "none")
+    assert read_batches(spark, out, "a long").collect() == []
 
 
 def test_tumbling_counts_closed_windows(spark):

@@ -62,11 +62,12 @@ STRIP_PATTERN = r"\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*"
 # position instead of three alternatives).
 STRIP_PATTERN_JVM = r"(?d)[\"'#](?:(?<=\")[^\"\n]*\"|(?<=')[^'\n]*'|(?<=#)[^\n]*)"
 DECISION_KEYWORDS = ["if", "elif", "for", "while", "except", "and", "or", "case"]
-MAGIC_NUMBER_PATTERN = r"[0-9]{2,}"
+MAGIC_NUMBER_PATTERN = r"(?<![A-Za-z0-9_.])[0-9]{2,}(?![A-Za-z0-9_])"  # two or more digits, not inside a name
 
 # Score weights in half points (2.0 = 4 halves) and bands.
 WEIGHT_HALVES = {"secret": 4, "sql": 4, "command": 4, "complexity_over_10": 2,
                  "complexity_over_20": 4, "smell": 1}
+SIZE_UNIT = 100   # lines of text the penalties are weighed against
 RATING_BANDS = [(8, "Excellent"), (6, "Good"), (4, "Fair")]
 RATING_FLOOR = "Poor"
 DEEP_NESTING_LEVEL = 4

@@ -91,6 +91,13 @@ def assign_least_loaded(tasks: DataFrame, agents: DataFrame) -> DataFrame:
             .select("task_id", "task_type", "agent_id"))
 
 
+def assignment_events(assigned: DataFrame, as_of: Column) -> DataFrame:
+    """The TASK_ASSIGNED event each assignment publishes, to the agent
+    chosen, at ``as_of``."""
+    return assigned.select(F.lit("task_assigned").alias("event_type"), F.lit("coordinator").alias("source_agent"),
+                           F.col("agent_id").alias("target_agent"), "task_id", "task_type", as_of.alias("ts"))
+
+
 def assign_first_idle(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     """J3 (simple coordinator): the first registered idle agent with the
     capability; tasks with none are left out (the reference raises)."""
@@ -133,7 +140,9 @@ def agent_counts(agents: DataFrame) -> DataFrame:
 def agent_details(agents: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """One row per agent with the report fields; capabilities as text.
     With ``events``, ``last_heartbeat`` is the ISO time of the agent's last
-    event (any event is a heartbeat); agents without events show null."""
+    event (any event is a heartbeat; null without one), ``tasks_completed``
+    counts its completion events, and ``current_task`` is the last task
+    assigned to it, unless that task has ended."""
     out = agents.select(
         "agent_id", F.col("agent_type").alias("type"), "state",
         F.array_join(F.transform("capabilities", lambda x: x.cast("string")), ", ")
@@ -144,7 +153,15 @@ def agent_details(agents: DataFrame, events: DataFrame | None = None) -> DataFra
         return out
     beats = (events.groupBy(F.col("source_agent").alias("agent_id"))
              .agg(iso_text(F.max("ts")).alias("last_heartbeat")))
-    return out.join(beats, "agent_id", "left")
+    ended = F.col("event_type").isin("task_completed", "task_failed") & F.col("task_id").isNotNull()
+    given = (events.where((F.col("event_type") == "task_assigned") & F.col("task_id").isNotNull())
+             .groupBy(F.col("target_agent").alias("agent_id")).agg(F.max_by("task_id", "seq").alias("current_task")))
+    over = events.where(ended).select(F.col("task_id").alias("current_task")).distinct()
+    given = given.join(over, "current_task", "left_anti")
+    done = (events.where((F.col("event_type") == "task_completed") & F.col("task_id").isNotNull())
+            .groupBy(F.col("source_agent").alias("agent_id")).agg(F.count(F.lit(1)).alias("tasks_completed")))
+    return (out.join(beats, "agent_id", "left").join(done, "agent_id", "left").join(given, "agent_id", "left")
+            .withColumn("tasks_completed", F.coalesce("tasks_completed", F.lit(0).cast("bigint"))))
 
 
 def heartbeat_timeouts(events: DataFrame, as_of: Column,

@@ -73,18 +73,31 @@ def run_steps(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], Da
     return df
 
 
-def run_summary(df: DataFrame, valid: Column, steps: Sequence[str]) -> DataFrame:
-    """Records processed, valid rows and share, steps applied."""
-    return df.agg(F.count(F.lit(1)).alias("records_processed"),
-                  F.count_if(valid).alias("valid_records"),
-                  F.try_divide(F.count_if(valid).cast("double"), F.count(F.lit(1)).cast("double"))
-                  .cast("decimal(18,6)").alias("valid_share"),
-                  F.lit(", ".join(steps)).alias("steps_applied"))
+def run_summary(source: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]],
+                valid: Column) -> DataFrame:
+    """Run the steps and report the records that went in, those
+    kept, the valid ones among them and their share, and the steps that ran.
+    The input count is a scalar subquery over the source alone."""
+    return run_steps(source, steps).agg(
+        F.count(F.lit(1)).alias("records_kept"),
+        F.count_if(valid).alias("valid_records"),
+        F.try_divide(F.count_if(valid).cast("double"), F.count(F.lit(1)).cast("double"))
+        .cast("decimal(18,6)").alias("valid_share"),
+        F.lit(", ".join(name for name, _ in steps)).alias("steps_applied"),
+    ).select(source.agg(F.count(F.lit(1))).scalar().alias("records_processed"), "*")
+
+
+def _extremes(c: str, number: bool) -> list[Column]:
+    lo, hi = F.col(f"{c}__min"), F.col(f"{c}__max")
+    no, none = F.lit(None).cast("double"), F.lit(None).cast("string")
+    return [(lo if number else no).alias("min_value"), (hi if number else no).alias("max_value"),
+            (none if number else lo).alias("min_text"), (none if number else hi).alias("max_text")]
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
             ) -> DataFrame:
-    """Per column rows, nulls, distinct values and (numeric) min/max.
+    """Per column rows, nulls, distinct values and min/max: numbers in
+    ``min_value`` / ``max_value``, other types as text in ``min_text`` / ``max_text``.
 
     One aggregate over all columns, then unpivoted by exploding an array of
     per-column structs. Exact distinct counts are one scalar subquery per
@@ -102,8 +115,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
             aggs.append(F.min(F.col(c)).cast("double").alias(f"{c}__min"))
             aggs.append(F.max(F.col(c)).cast("double").alias(f"{c}__max"))
         else:
-            aggs.append(F.lit(None).cast("double").alias(f"{c}__min"))
-            aggs.append(F.lit(None).cast("double").alias(f"{c}__max"))
+            aggs.append(F.min(F.col(c)).cast("string").alias(f"{c}__min"))
+            aggs.append(F.max(F.col(c)).cast("string").alias(f"{c}__max"))
     one = df.agg(*aggs)
     if exact:
         # distinct values of one column, then counted: a plain two-phase
@@ -115,6 +128,5 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
                               F.col("__rows").alias("n_rows"),
                               (F.col("__rows") - F.col(f"{c}__nn")).alias("n_nulls"),
                               F.col(f"{c}__nd").alias("n_distinct"),
-                              F.col(f"{c}__min").alias("min_value"),
-                              F.col(f"{c}__max").alias("max_value")) for c in cols])
+                              *_extremes(c, isinstance(types[c], NUMERIC))) for c in cols])
     return one.select(F.explode(rows).alias("p")).select("p.*")

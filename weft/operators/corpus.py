@@ -17,6 +17,7 @@ from weft.functions.scalar import language_of, line_count
 
 MAX_FILE_BYTES = 100 * 1024 * 1024
 NONBLANK = "[^ \\t\\r]"
+NONBLANK_LINE = "[^ \\t\\r\\n][^\\n]*+"  # from a line's first visible character to its end
 
 
 def read_corpus(spark, path: str, max_bytes: int = MAX_FILE_BYTES, recursive: bool = False,
@@ -61,15 +62,19 @@ def may_match(text: Column, rule: str, pattern: str) -> Column:
 
 def rule_hits(text: Column, rule: str, pattern: str) -> Column:
     """Number of non-comment lines of ``text`` matching ``pattern``; only a
-    text that may match is split into lines."""
+    text that may match (few do) is split into lines."""
     per_line = F.size(F.filter(_lines(text), lambda l: ~l.rlike(R.jvm(R.COMMENT_LINE))
                                & l.rlike(R.jvm(pattern))))
     return F.when(may_match(text, rule, pattern), per_line).otherwise(F.lit(0))
 
 
-def keyword_count(text: Column) -> Column:
-    """Decision keywords outside strings and comments, as whole ASCII words."""
-    stripped = F.regexp_replace(text, R.STRIP_PATTERN_JVM, "")
+def stripped_text(text: Column) -> Column:
+    """The text without string literals and comments."""
+    return F.regexp_replace(text, R.STRIP_PATTERN_JVM, "")
+
+
+def keyword_count(stripped: Column) -> Column:
+    """Decision keywords, as whole ASCII words, of a stripped text."""
     kw = "|".join(R.DECISION_KEYWORDS)
     first = "".join(sorted({k[0] for k in R.DECISION_KEYWORDS}))
     return F.regexp_count(stripped, F.lit(
@@ -94,19 +99,20 @@ def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """One row of measures per document. ``carry``
     columns (e.g. language, source, path) pass through the same projection,
     so reports never join the measures back to the document table."""
+    docs = docs.select("*", stripped_text(F.col(text)).alias("__code"))  # shared by C3 and C7
     t = F.col(text)
     by_cat = {cat: rule_hits(t, rule, pat) for rule, cat, _, pat in R.SOURCE_RULES}
     measures = {
         "lines_of_code": line_count(t),
-        "nonblank_lines": F.size(F.filter(_lines(t), lambda l: l.rlike(NONBLANK))),
+        "nonblank_lines": F.regexp_count(t, F.lit(NONBLANK_LINE)),
         "function_count": F.regexp_count(t, F.lit(R.jvm(R.DEF_PATTERN))),
         "class_count": F.regexp_count(t, F.lit(R.jvm(R.CLASS_PATTERN))),
-        "complexity": keyword_count(t) + 1,
+        "complexity": keyword_count(F.col("__code")) + 1,
         "secret_findings": by_cat["secret"],
         "sql_findings": by_cat["sql"],
         "command_findings": by_cat["command"],
         "max_depth": max_depth(t),
-        "magic_numbers": F.regexp_count(t, F.lit(R.MAGIC_NUMBER_PATTERN)),
+        "magic_numbers": F.regexp_count(F.col("__code"), F.lit(R.MAGIC_NUMBER_PATTERN)),
         "long_param_defs": long_param_defs(t),
     }
     base = docs.select(F.col(key).alias(key), *[F.col(c) for c in carry],
@@ -125,7 +131,10 @@ def _derived() -> list[Column]:
         c("complexity") > 10, w["complexity_over_10"]).otherwise(0)
     halves = (w["secret"] * c("secret_findings") + w["sql"] * c("sql_findings")
               + w["command"] * c("command_findings") + cx + w["smell"] * smells)
-    score = (F.greatest(F.lit(0), F.lit(20) - halves).cast("double") / 2).cast("decimal(4,1)")
+    # per SIZE_UNIT lines, in whole tenths of a point; a shorter text counts as one unit
+    size = F.greatest(c("lines_of_code").cast("bigint"), F.lit(R.SIZE_UNIT).cast("bigint"))
+    lost = F.floor((halves * (5 * R.SIZE_UNIT)).cast("double") / size).cast("bigint")
+    score = (F.greatest(F.lit(0).cast("bigint"), F.lit(100) - lost).cast("double") / 10).cast("decimal(4,1)")
     rating = None
     for lo, name in R.RATING_BANDS:
         cond = score >= lo

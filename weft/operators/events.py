@@ -65,8 +65,9 @@ def event_subset(events: DataFrame, event_type: str) -> DataFrame:
 
 
 def recent_events(events: DataFrame, n: int = 10) -> DataFrame:
-    """K1: the last ``n`` events by arrival (TakeOrderedAndProject, no full sort)."""
-    return (events.orderBy(F.col("seq").desc()).limit(n)
+    """K1: the last ``n`` events by arrival, oldest first (TakeOrderedAndProject
+    keeps ``n`` rows; only those are sorted again)."""
+    return (events.orderBy(F.col("seq").desc()).limit(n).orderBy("seq")
             .select("seq", "ts", F.col("event_type").alias("type"),
                     F.col("source_agent").alias("source"), F.col("target_agent").alias("target")))
 

@@ -7,41 +7,58 @@ subqueries (each evaluated once) rather than joins of one-row tables.
 
 from __future__ import annotations
 
+import logging
+import uuid
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.scalar import get_or, issues_band, or_na, quality_band, seconds_between, stars
+from weft.session import scratch_path
+from weft.functions.scalar import (file_name, get_or, issues_band, or_na, quality_band, seconds_between,
+                                   short_date, stars)
+from weft.operators.tasks import PRIORITY_LABELS
+
+log = logging.getLogger(__name__)
 
 REPORT_TITLE = "Analysis Results"
 
 
 def system_status(events: DataFrame, tasks: DataFrame, agents: DataFrame,
-                  utilization: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+                  tracked: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """One status row. Each source table is aggregated once into a
     struct (one scan per table) and attached as a scalar subquery.
     ``tasks_completed`` counts completion events (duplicates included, as
-    the reference does); ``tasks_closed`` counts tasks they actually closed."""
+    the reference does); ``tasks_closed`` counts tasks they actually closed.
+    ``tracked`` holds the registered resources requested at least once."""
     s = F.col("status")
     done = (F.col("event_type") == "task_completed") & F.col("task_id").isNotNull()
     secs = seconds_between(F.min("ts"), F.max("ts"))
+    failed = (F.col("event_type") == "task_failed") & F.col("task_id").isNotNull()
     ev = events.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("done"),
+                             F.count_if(failed).alias("failed"), F.count("execution_time").alias("samples"),
+                             F.avg("execution_time").cast("decimal(18,6)").alias("mean"),
                              F.coalesce(secs, F.lit(0.0)).alias("up"))).scalar()
     tk = tasks.agg(F.struct(F.count_if(s == "pending").alias("q"), F.count_if(s == "running").alias("a"),
                             F.count_if(s.isin("completed", "failed")).alias("c"),
-                            F.count_if(s == "failed").alias("f"))).scalar()
+                            F.count_if(s == "failed").alias("f"),
+                            *[F.count_if((s == "pending") & (F.col("priority") == k)).alias(f"q{k}")
+                              for k in PRIORITY_LABELS])).scalar()
     base = agents.agg(F.count(F.lit(1)).alias("registered_agents"),
+                      *[F.count_if(F.col("state") == k).alias(f"{k}_agents") for k in ("idle", "busy")],
                       F.count_if(F.col("state") != "error").alias("active_agents"))
     # each struct subquery sits in one column; the measures read its fields
     base = base.withColumn("__ev", ev).withColumn("__tk", tk)
     e, t = F.col("__ev"), F.col("__tk")
     cols = [
-        "registered_agents", "active_agents",
+        "registered_agents", "active_agents", "idle_agents", "busy_agents",
         e["n"].alias("events_processed"), e["done"].alias("tasks_completed"),
+        e["failed"].alias("tasks_failed"), e["samples"].alias("execution_samples"),
+        e["mean"].alias("mean_execution_time"),
+        *[t[f"q{k}"].alias(f"queue_{v.lower()}") for k, v in PRIORITY_LABELS.items()],
         t["q"].alias("queued_tasks"), t["a"].alias("active_tasks"),
         t["c"].alias("completed_tasks"), t["f"].alias("failed_tasks"),
-        utilization.select(F.count(F.lit(1))).scalar().alias("resources_tracked"),
+        tracked.select(F.count(F.lit(1))).scalar().alias("resources_tracked"),
         e["up"].alias("uptime_seconds"),
     ]
     if closed is not None:
@@ -55,38 +72,48 @@ Analyzer = Callable[[DataFrame], DataFrame]
 def combine_analyzers(docs: DataFrame, analyzers: Mapping[str, Analyzer],
                       key: str = "doc_id") -> DataFrame:
     """Run each named analyzer (``docs -> (key, detail)``) and union
-    the outcomes. An analyzer whose plan cannot be built becomes one error
-    row per document instead of stopping the others."""
-    parts = []
-    for name, fn in analyzers.items():
+    the outcomes. Each analyzer is run and written by itself under the shared
+    folder; one that fails, when its plan is built or while it runs, becomes
+    one error row per document (with its whole message) and the others stand.
+    Analyzers that share measures should take a table of them as ``docs``, so
+    that the texts are read once."""
+    spark = docs.sparkSession
+    base = scratch_path(spark, f"analyzers/{uuid.uuid4().hex[:12]}")
+    result = None
+    for i, (name, fn) in enumerate(analyzers.items()):
+        path = f"{base}/{i}"
         try:
             out = fn(docs).select(F.col(key), F.col("detail").cast("string"))
+            out.write.parquet(path)
+            out = spark.read.schema(out.schema).parquet(path)
             out = out.select(key, F.lit(name).alias("analyzer"), F.lit("ok").alias("status"),
                              "detail", F.lit(None).cast("string").alias("error"))
         except Exception as e:  # noqa: BLE001 - isolate the failing analyzer
-            msg = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+            log.exception("analyzer %s failed", name)
             out = docs.select(key, F.lit(name).alias("analyzer"), F.lit("error").alias("status"),
                               F.lit(None).cast("string").alias("detail"),
-                              F.lit(msg).alias("error"))
-        parts.append(out)
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p, allowMissingColumns=True)
+                              F.lit(f"{type(e).__name__}: {e}").alias("error"))
+        result = out if result is None else result.unionByName(out)
+    if result is None:
+        return spark.createDataFrame([], docs.select(key).schema.add("analyzer", "string").add("status", "string")
+                                     .add("detail", "string").add("error", "string"))
     return result
 
 
 def analyzers_run(combined: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Which analyzers produced a result for each document (sorted).
+    """Which analyzers produced a result for each document (sorted), from
+    the outcomes: an analyzer counts where it wrote a result for the document.
     The set per document is bounded by the number of analyzers."""
-    return (combined.where(F.col("status") == "ok").groupBy(key)
+    return (combined.where((F.col("status") == "ok") & F.col("detail").isNotNull()).groupBy(key)
             .agg(F.array_join(F.array_sort(F.collect_set("analyzer")), ",").alias("analyzers")))
 
 
-def recent_analyses(metrics: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """K2: the last ``k`` analyses (arrival = key order) with the display
-    fields and bands."""
+def recent_analyses(metrics: DataFrame, k: int = 10, key: str = "doc_id",
+                    path_col: str = "path", ts_col: str = "ts") -> DataFrame:
+    """K2: the last ``k`` analyses (arrival = key order) with date, file name,
+    the display fields and bands."""
     return (metrics.orderBy(F.col(key).desc()).limit(k)
-            .select(key, "quality_score", "issues_found", "rating",
+            .select(key, short_date(F.col(ts_col)).alias("date"), file_name(F.col(path_col)).alias("file"), "quality_score", "issues_found", "rating",
                     quality_band(F.col("quality_score")).alias("score_band"),
                     issues_band(F.col("issues_found")).alias("issues_band"),
                     stars(F.col("quality_score")).alias("stars")))
@@ -133,10 +160,10 @@ def append_history(results: DataFrame, path: str, ts_col: str = "ts") -> None:
      .write.mode("append").partitionBy("date").parquet(path))
 
 
-def complexity_histogram(metrics: DataFrame, width: int = 10, buckets: int = 20) -> DataFrame:
-    """Documents per complexity bucket ``[width*i, width*(i+1))``; the
-    last bucket is open-ended."""
-    b = F.least(F.floor(F.col("complexity") / width), F.lit(buckets - 1)).cast("bigint")
+def complexity_histogram(metrics: DataFrame, width: int = 10) -> DataFrame:
+    """Documents per complexity bucket ``[width*i, width*(i+1))``, for the
+    buckets that occur."""
+    b = F.floor(F.col("complexity") / width).cast("bigint")
     return (metrics.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("documents"))
             .withColumn("lower_bound", F.col("bucket") * width))
 

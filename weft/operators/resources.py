@@ -156,6 +156,12 @@ def resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:
     return x.mapInPandas(_admit, OUT_SCHEMA)
 
 
+def tracked_resources(log: DataFrame, resources: DataFrame) -> DataFrame:
+    """The registered resources requested at least once (no admission needed)."""
+    asked = log.where(F.col("action") == "request").select("resource_id").distinct()
+    return resources.join(asked, "resource_id", "left_semi")
+
+
 def resource_utilization(admission: DataFrame, resources: DataFrame) -> DataFrame:
     """Current holders, limit and ratio for each registered resource
     requested at least once. Holders = grants - effective releases (a

@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.session import ensure_checkpoint_dir
+from weft.sources.tabular import written
 
 SIMILARITY_THRESHOLD = 0.7        # retrieval cut-off (declared)
 CONSOLIDATION_THRESHOLD = 0.95    # near-duplicate cut-off (declared)
-MAX_QUERY_VECTORS = 1024          # size bound for a query set carried in the plan
+QUERY_BLOCK = 1024                # query vectors a task holds at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,15 +39,15 @@ def label_centroids(vectors: DataFrame, vec: str = "embedding", label: str = "la
     return arr.select(label, F.transform(vals, lambda v: v / norm).alias("centroid"))
 
 
-def _query_matrix(queries: DataFrame, qid: str, qvec: str):
-    """The (count-checked) query set as ids and a float64 matrix."""
-    n = queries.count()
-    if n > MAX_QUERY_VECTORS:
-        raise ValueError(f"query set has {n} vectors; the bound is {MAX_QUERY_VECTORS}")
-    rows = queries.select(qid, qvec).orderBy(qid).collect()
-    ids = [r[0] for r in rows]
-    mat = np.array([[float(v) for v in r[1]] for r in rows], dtype=np.float64)
-    return ids, mat
+def _query_blocks(queries: DataFrame, qid: str, qvec: str):
+    """The query set as (ids, float64 matrix) blocks of about QUERY_BLOCK
+    vectors, cut by a hash of the id and brought over one at a time."""
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    cut = queries.select(qid, qvec, F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("__b"))
+    for b in range(blocks):
+        rows = cut.where(F.col("__b") == b).orderBy(qid).collect()
+        yield ([r[0] for r in rows],
+               np.array([[float(v) for v in r[1]] for r in rows], dtype=np.float64))
 
 
 def _batch_topk_fn(ids, mat: np.ndarray, k: int, threshold, key: str, vec: str):
@@ -82,45 +82,52 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10,
     """For each query, the ``k`` corpus vectors with the largest inner
     product at or above ``threshold`` (ties to the smaller id).
 
-    The query set is count-checked (at most MAX_QUERY_VECTORS) and shipped
-    with the task. Each Arrow batch of the corpus is scored against all
-    queries with one numpy matrix product, and only the batch's best rows per
-    query leave the task (a map-side top-k). The final per-query top-k runs
-    on those few rows. The corpus is read once and never shuffled or paired.
+    The query set is taken in blocks of about QUERY_BLOCK vectors, each
+    shipped with the tasks of one pass over the corpus, so a query set of any
+    size is answered in bounded memory. Each Arrow batch of the corpus is
+    scored against a block with one numpy matrix product, and only the batch's
+    best rows per query leave the task (a map-side top-k). The final per-query
+    top-k runs on those few rows. The corpus is never shuffled or paired.
     """
-    ids, mat = _query_matrix(queries, qid, qvec)
     qtype = queries.schema[qid].dataType.simpleString()
     ktype = corpus.schema[key].dataType.simpleString()
-    part = corpus.select(key, vec).mapInPandas(
-        _batch_topk_fn(ids, mat, k, threshold, key, vec), f"query_id {qtype}, {key} {ktype}, s double")
+    part = None
+    for ids, mat in _query_blocks(queries, qid, qvec):
+        found = corpus.select(key, vec).mapInPandas(
+            _batch_topk_fn(ids, mat, k, threshold, key, vec), f"query_id {qtype}, {key} {ktype}, s double")
+        part = found if part is None else part.unionAll(found)
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), F.col(key).asc())
     return (part.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
             .select("query_id", "rank", key, F.col("s").cast("decimal(18,6)").alias("score")))
 
 
-def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    p = rng.standard_normal((tables, bits, dim))
-    return p / np.linalg.norm(p, axis=2, keepdims=True)
+def lsh_shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
+    """(bits, tables) of sign-projection keys for ``n`` vectors.
 
+    Two unit vectors of inner product ``s`` agree in a sign with probability
+    ``1 - acos(s) / pi``; unrelated ones in half of all cases. The bits grow
+    with ``log2(n)``, so that a bucket holds about eight unrelated vectors
+    however many there are, and the tables are as many as bring the chance
+    that a pair at the threshold shares no bucket down to ``miss``."""
+    same = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    bits = max(1, math.ceil(math.log2(max(n, 2) / 8)))
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-min(same ** bits, 1 - 1e-12))))
 
-def _signature_fn(planes: np.ndarray, width: float, vec: str):
-    """mapInPandas body: per vector and table, the quantised projections
-    joined as text (exact bucket identity, no hash collisions)."""
-    tables, bits, dim = planes.shape
-    flat = planes.reshape(tables * bits, dim).T
 
+def _signature_fn(dim: int, bits: int, tables: int, seed: int, vec: str, key_type):
+    """mapInPandas body: per vector and table, its signs along ``bits`` random
+    directions as one number (the bucket)."""
     def fn(batches):
         import pandas as pd
+        planes = np.random.default_rng(seed).standard_normal((tables, dim, bits))
+        weight = (1 << np.arange(bits, dtype=np.int64))
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
-            h = np.floor(x @ flat / width).astype(np.int64).reshape(len(pdf), tables, bits)
-            sig = [",".join(map(str, row)) for row in h.reshape(-1, bits)]
-            yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(dtype=np.int64), tables),
-                                "t": np.tile(np.arange(tables, dtype=np.int32), len(pdf)),
-                                "sig": sig})
+            for t in range(tables):
+                yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "t": np.full(len(pdf), t, np.int32),
+                                    "sig": ((x @ planes[t]) >= 0).astype(np.int64) @ weight})
     return fn
 
 
@@ -146,41 +153,37 @@ def _near_flags(pairs: DataFrame, a: str, b: str, threshold: float) -> DataFrame
 
 def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDATION_THRESHOLD,
                                 key: str = "vec_id", vec: str = "embedding",
-                                tables: int = 12, bits: int = 6, width: float | None = None,
-                                seed: int = 7) -> DataFrame:
+                                miss: float = 1e-6, seed: int = 7) -> DataFrame:
     """Map every vector to the smallest id among itself and the vectors
-    with inner product >= ``threshold``.
+    with inner product >= ``threshold``; ids of any type that has an order.
 
     1. Exact copies collapse first with an aggregate on the vector itself,
        so a huge group of identical vectors never forms pairs.
-    2. Distinct vectors get locality-sensitive bucket keys: ``tables``
-       OR-tables, each keyed by ``bits`` quantised random projections (AND).
+    2. Distinct vectors get bucket keys by the signs of random projections,
+       shaped by :func:`lsh_shape`: candidates per vector stay about flat as
+       the number of vectors grows, and a true pair at the threshold shares
+       no bucket with probability ``miss`` (closer pairs with less).
     3. In each bucket every member is compared with the bucket's smallest id
        (the leader) — one comparison per member. Only members that are not
        near their leader are compared with the smaller ids of that bucket,
        so a dense cluster of near-copies costs one comparison per member.
-    Every comparison is exact (inner product >= threshold); a true pair can
-    be missed only if no table puts both vectors in one bucket (LSH recall,
-    measured against brute force in the tests).
+    Every comparison is exact (inner product >= threshold).
     """
-    dim_row = vectors.select(F.size(vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    if not dim_row:
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).collect()[0]
+    if not size["n"] or not size["d"] or size["d"] < 0:
         return vectors.select(key, F.col(key).alias("canonical_id"))
-    dim = int(dim_row[0]["d"])
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-    w = width or 4.0 * radius
-    planes = _planes(dim, tables, bits, seed)
+    bits, tables = lsh_shape(size["n"], threshold, miss)
+    key_type = vectors.schema[key].dataType.simpleString()
     # 1. exact copies
-    groups = vectors.groupBy(vec).agg(F.min(key).alias("rep"))
+    groups = written(vectors.groupBy(vec).agg(F.min(key).alias("rep")), "vector-groups")
     members = vectors.join(groups, vec, "inner").select(key, "rep")
-    # 2. LSH keys per representative (one numpy product per Arrow batch)
+    # 2. keys per representative (one numpy product per Arrow batch)
     reps = groups.select("rep", vec)
-    hashed = reps.mapInPandas(_signature_fn(planes, w, vec), "rep long, t int, sig string")
+    hashed = reps.mapInPandas(_signature_fn(size["d"], bits, tables, seed, vec, key_type), f"rep {key_type}, t int, sig long")
     # the keys feed the leader aggregate and the member join; write them once
-    # (reliable checkpoint in the shared folder) rather than sending every
-    # vector to Python once per consumer
-    ensure_checkpoint_dir(vectors.sparkSession)
-    hashed = hashed.checkpoint(eager=True)
+    # (in the shared folder) rather than sending every vector to Python once
+    # per consumer
+    hashed = written(hashed, "vector-keys")
     # 3. leader first: each bucket's smallest id is checked against every
     #    other member (one comparison per member). Inside a bucket the best
     #    partner a member can have is the leader, so a member near its leader
@@ -211,8 +214,9 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
 
 def majority_vote(df: DataFrame, item: str, label: str) -> DataFrame:
     """The most frequent label per item; ties go to the smallest label.
-    Counts are a partial aggregate; the pick is ``max_by`` on (count, -label)."""
+    Counts are a partial aggregate; the pick is ``min_by`` on (-count, label),
+    for labels of any type that has an order."""
     counts = df.groupBy(item, label).agg(F.count(F.lit(1)).alias("votes"))
     return counts.groupBy(item).agg(
-        F.max_by(F.col(label), F.struct(F.col("votes"), -F.col(label))).alias(label),
+        F.min_by(F.col(label), F.struct(-F.col("votes"), F.col(label))).alias(label),
         F.max("votes").alias("votes"))

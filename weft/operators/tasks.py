@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.scalar import seconds_between
-from weft.operators.events import DEFAULT_ERROR, TASK_COMPLETED, TASK_FAILED
+from weft.operators.events import DEFAULT_ERROR, TASK_ASSIGNED, TASK_COMPLETED, TASK_FAILED
 from weft.plans.ordered import rank_within
 
 # Priority ordinals and labels.
@@ -125,20 +125,37 @@ def apply_completions(tasks: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def task_latency(tasks: DataFrame, events: DataFrame) -> DataFrame:
-    """For each closed task, seconds from creation to completion and the
-    reported execution time (microsecond difference / 1e6)."""
+    """For each closed task, seconds from creation to completion (difference
+    in microseconds / 1e6), split into the wait in the queue and the run. A run
+    starts with the task's first assignment; where none was seen, the reported
+    execution time before the completion."""
     c = apply_completions(tasks, events)
-    secs = seconds_between(F.col("created_at"), F.col("completed_at"))
-    return c.select("task_id", "status", secs.alias("total_seconds"), "execution_time")
-
-
-def result_by_task(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+    begun = events.where((F.col("event_type") == TASK_ASSIGNED) & F.col("task_id").isNotNull()) \
+                  .groupBy("task_id").agg(F.min("ts").alias("assigned_at"))
+    c = c.join(begun, "task_id", "left")
+    done, made = F.col("completed_at"), F.col("created_at")
+    us = F.round(F.col("execution_time") * 1_000_000).cast("bigint")
+    run_us = F.coalesce(F.timestamp_diff("MICROSECOND", F.col("assigned_at"), done), us)
+    total_us = F.timestamp_diff("MICROSECOND", made.cast(c.schema["completed_at"].dataType), done)
+    return c.select("task_id", "status", seconds_between(made, done).alias("total_seconds"),
+                    (run_us.cast("double") / 1_000_000).alias("run_seconds"),
+                    ((total_us - run_us).cast("double") / 1_000_000).alias("queue_seconds"), "execution_time")
+
+
+def result_by_task(tasks: DataFrame, wanted: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """P10: results of finished tasks among the ``wanted`` ids (semi join).
-    A failed task reports ``Task failed: <error>`` instead of raising."""
-    fin = tasks.where(F.col("status").isin(COMPLETED, FAILED))
-    err = F.when(F.col("status") == FAILED, F.concat(F.lit("Task failed: "), F.lit(DEFAULT_ERROR)))
-    return (fin.join(wanted.select("task_id").distinct(), "task_id", "left_semi")
-            .select("task_id", "status", err.alias("error")))
+    With ``events``, the result is the execution time and the error the text
+    the task's terminal event reports. A failed task reports ``Task failed:
+    <error>`` instead of raising; the error is unknown if none was given."""
+    fin = tasks.where(F.col("status").isin(COMPLETED, FAILED)) \
+               .join(wanted.select("task_id").distinct(), "task_id", "left_semi")
+    if events is None:
+        fin = fin.withColumns({"execution_time": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
+    else:
+        fin = fin.join(terminal_events(events).select("task_id", "execution_time", "error"), "task_id", "left")
+    failed = F.col("status") == FAILED
+    return fin.select("task_id", "status", F.when(~failed, F.col("execution_time")).alias("result"),
+                      F.when(failed, F.concat(F.lit("Task failed: "), F.coalesce("error", F.lit(DEFAULT_ERROR)))).alias("error"))
 
 
 def priority_labels(tasks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BITS = 16
+LEVELS = 3            # of seq buckets: 16, 32 and 48 bits wide, so any seq fits however sparse
 _BIG = 1 << 60
 
 
@@ -58,20 +59,32 @@ def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     ocols = [c for c, _ in order]
-    b = "__bucket"
-    x = df.withColumn(b, _bucket(seq, bits))
-    grp = keys + ocols + [b]
+    b = [f"__b{i}" for i in range(LEVELS)]      # seq >> bits, >> 2 bits, ...
+    x = df.withColumn(b[0], _bucket(seq, bits))
     x = x.withColumn("__local", F.row_number().over(
-        Window.partitionBy(*grp).orderBy(F.col(seq))))
-    counts = x.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n"))
-    sort = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order] + [F.col(b)]
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
-        w.orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = offsets.drop("__n")
-    joined = _join_back(x, offsets, grp)
+        Window.partitionBy(*keys, *ocols, b[0]).orderBy(F.col(seq))))
+    # counts by bucket, then by ever wider buckets; each offset window spans
+    # the 2**bits buckets of the next wider one, the last the whole key
+    counts = [x.groupBy(*keys, *ocols, b[0]).agg(F.count(F.lit(1)).alias("__n"))]
+    for k in range(1, LEVELS):
+        counts[-1] = counts[-1].withColumn(b[k], F.shiftright(b[k - 1], bits))
+        counts.append(counts[-1].groupBy(*keys, *ocols, b[k]).agg(F.sum("__n").alias("__n")))
+    sort = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order] + [F.col(b[-1])]
+    top = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*sort)
+    offsets = counts[-1].withColumn("__off", _before("__n", top)).drop("__n")
+    for k in range(LEVELS - 2, -1, -1):
+        w = Window.partitionBy(*keys, *ocols, b[k + 1]).orderBy(b[k])
+        inner = counts[k].withColumn("__in", _before("__n", w)).drop("__n")
+        offsets = _join_back(inner, offsets, keys + ocols + [b[k + 1]])
+        offsets = offsets.withColumn("__off", F.col("__off") + F.col("__in")).drop("__in", b[k + 1])
+    joined = _join_back(x, offsets, keys + ocols + [b[0]])
     return (joined.withColumn(name, F.col("__off") + F.col("__local"))
-            .drop(b, "__local", "__off"))
+            .drop(b[0], "__local", "__off"))
+
+
+def _before(n: str, w) -> Column:
+    """Sum of ``n`` over the rows before this one in a window."""
+    return F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
@@ -82,28 +95,38 @@ def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
     ``partitionBy(keys).orderBy(seq)`` without gathering a key in one task.
 
     Inside a seq bucket ``lag`` is local; the first row of a bucket takes the
-    last row of the key's previous non-empty bucket from a per-bucket summary
-    table (one row per key and bucket).
+    last row of the buckets before it, found level by level: in the bucket
+    before it within the next wider bucket, else in the wider bucket before
+    that one, and so on. No window spans more than ``2**bits`` buckets.
     """
     keys, cols = list(keys), list(cols)
-    b = "__bucket"
-    x = df.withColumn(b, _bucket(seq, bits))
-    wl = Window.partitionBy(*keys, b).orderBy(F.col(seq))
+    b = [f"__b{i}" for i in range(LEVELS)]
+    carried = list(dict.fromkeys([*cols, seq]))
+    x = df.withColumn(b[0], _bucket(seq, bits))
+    wl = Window.partitionBy(*keys, b[0]).orderBy(F.col(seq))
     x = x.withColumn("__rn", F.row_number().over(wl))
-    for c in cols + [seq]:
+    for c in carried:
         x = x.withColumn(f"__lag_{c}", F.lag(c).over(wl))
     # one max_by per column: fixed-width columns keep this a hash aggregate
-    last = x.groupBy(*keys, b).agg(
-        *[F.max_by(F.col(c), F.col(seq)).alias(f"__last_{c}") for c in cols],
-        F.max(F.col(seq)).alias(f"__last_{seq}"))
-    wk = Window.partitionBy(*keys).orderBy(F.col(b))
-    last = last.select(*keys, b, *[F.lag(f"__last_{c}").over(wk).alias(f"__carry_{c}")
-                                   for c in cols + [seq]])
-    j = _join_back(x, last, keys + [b])
+    last = x.groupBy(*keys, b[0]).agg(
+        *[F.max_by(F.col(c), F.col(seq)).alias(f"__last_{c}") for c in carried])
+    levels = [last]
+    for k in range(1, LEVELS):
+        levels[-1] = levels[-1].withColumn(b[k], F.shiftright(b[k - 1], bits))
+        levels.append(levels[-1].groupBy(*keys, b[k]).agg(
+            *[F.max_by(F.col(f"__last_{c}"), F.col(b[k - 1])).alias(f"__last_{c}") for c in carried]))
+    before = F.struct(*[F.col(f"__last_{c}") for c in carried])  # never null itself
+    carry = levels[-1].select(*keys, b[-1], F.lag(before).over(Window.partitionBy(*keys).orderBy(b[-1])).alias("__c"))
+    for k in range(LEVELS - 2, -1, -1):
+        w = Window.partitionBy(*keys, b[k + 1]).orderBy(b[k])
+        inner = levels[k].select(*keys, b[k], b[k + 1], F.lag(before).over(w).alias("__in"))
+        carry = _join_back(inner, carry, keys + [b[k + 1]])
+        carry = carry.select(*keys, b[k], F.coalesce("__in", "__c").alias("__c"))
+    j = _join_back(x, carry, keys + [b[0]])
     first = F.col("__rn") == 1
     return j.select(*df.columns,
-                    *[F.when(first, F.col(f"__carry_{c}")).otherwise(F.col(f"__lag_{c}"))
-                      .alias(prefix + c) for c in cols + [seq]])
+                    *[F.when(first, F.col(f"__c.__last_{c}")).otherwise(F.col(f"__lag_{c}"))
+                      .alias(prefix + c) for c in carried])
 
 
 def _compose(acc: Column, x: Column) -> Column:
@@ -127,7 +150,7 @@ def _fold_sorted(items: Column) -> Column:
 
 
 def clamp_fold(steps: DataFrame, keys: Sequence[str], seq: str, delta: str,
-               lo: str, hi: str, levels: Sequence[int] = (16, 32)) -> DataFrame:
+               lo: str, hi: str, levels: Sequence[int] = (16, 32, 48)) -> DataFrame:
     """Per key, the composition (in ``seq`` order) of the steps
     ``y -> min(hi, max(lo, y + delta))``, returned as columns ``D, L, H``;
     apply it to a start value with :func:`apply_clamp`.
@@ -136,9 +159,9 @@ def clamp_fold(steps: DataFrame, keys: Sequence[str], seq: str, delta: str,
     ``clamp[L2,H2](clamp[L1,H1](y + D1) + D2) = clamp[L,H](y + D1 + D2)`` with
     ``L = clamp[L2,H2](L1 + D2)``, ``H = clamp[L2,H2](H1 + D2)`` — so the fold
     is a tree reduction: steps are composed inside ``seq >> levels[0]``
-    buckets, those summaries inside ``seq >> levels[1]`` buckets, and the
-    rest per key. Every group holds at most ``2**16`` entries while
-    ``seq < 2**48``; no key is ever gathered whole.
+    buckets, those summaries inside ``seq >> levels[1]`` buckets, and so on,
+    and the rest per key. Every group holds at most ``2**16`` entries, for any
+    64-bit ``seq``; no key is ever gathered whole.
     """
     keys = list(keys)
     cur = steps.select(*keys, F.col(seq).alias("__pos"),

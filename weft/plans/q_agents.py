@@ -13,7 +13,7 @@ LEAST_SQL = """pick AS (
              PARTITION BY capability ORDER BY (state <> 'idle'), load_factor, reg_seq) AS rn
     FROM caps) WHERE rn = 1)"""
 REGLOG_SQL = """reglog AS (
-  SELECT l_suppkey AS agent_id, l_orderkey * 8 + l_linenumber AS seq,
+  SELECT l_suppkey AS agent_id, ((l_orderkey * 8 + l_linenumber) * 4096 + l_partkey % 4096) * 4096 + l_suppkey % 4096 AS seq,
          l_partkey % 6 AS capability, l_discount AS load_factor FROM lineitem)"""
 
 
@@ -22,7 +22,8 @@ def registration_log(m):
     supplier with the part's capability (our derivation from testdata)."""
     li = m.raw("lineitem")
     return li.select(F.col("l_suppkey").alias("agent_id"),
-                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+                     (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096) * 4096
+                      + F.col("l_suppkey") % 4096).alias("seq"),
                      (F.col("l_partkey") % 6).alias("capability"),
                      F.col("l_discount").alias("load_factor"))
 
@@ -68,6 +69,14 @@ def q_assign_least_loaded(m):
     return ag.assign_least_loaded(m.tasks(), m.agents())
 
 
+@query("assignment_events", with_ctes(["tk", "ag", "ev"], """
+SELECT 'task_assigned' AS event_type, 'coordinator' AS source_agent, p.agent_id AS target_agent, t.task_id, t.task_type,
+       (SELECT max(ts) FROM ev) AS ts FROM tk t JOIN pick p ON t.task_type = p.capability""", [CAPS_SQL, LEAST_SQL]))
+def q_assignment_events(m):
+    """The events the assignments publish."""
+    return ag.assignment_events(ag.assign_least_loaded(m.tasks(), m.agents()), m.events().select(F.max("ts")).scalar())
+
+
 @query("assign_first_idle", with_ctes(["tk", "ag"], """
 SELECT t.task_id, t.task_type, p.agent_id FROM tk t JOIN (
   SELECT capability, arg_min(agent_id, reg_seq) AS agent_id FROM caps WHERE state = 'idle'
@@ -101,9 +110,15 @@ def q_agent_counts(m):
 @query("agent_details", with_ctes(["ag", "ev"], """
 SELECT a.agent_id, agent_type AS type, state, array_to_string(capabilities, ', ') AS capabilities,
        len(list_distinct(capabilities)) AS n_capabilities, load_factor,
-       strftime(b.last_ts, '%Y-%m-%dT%H:%M:%S.%f') AS last_heartbeat
-FROM ag a LEFT JOIN (SELECT source_agent AS agent_id, max(ts) AS last_ts FROM ev GROUP BY source_agent) b
-  ON a.agent_id = b.agent_id"""))
+       strftime(b.last_ts, '%Y-%m-%dT%H:%M:%S.%f') AS last_heartbeat, coalesce(b.done, 0) AS tasks_completed,
+       CASE WHEN g.task_id NOT IN (SELECT task_id FROM ev WHERE event_type IN ('task_completed', 'task_failed')
+                                   AND task_id IS NOT NULL) THEN g.task_id END AS current_task
+FROM ag a LEFT JOIN (SELECT source_agent AS agent_id, max(ts) AS last_ts,
+                            count(*) FILTER (WHERE event_type = 'task_completed' AND task_id IS NOT NULL) AS done
+                     FROM ev GROUP BY source_agent) b
+  ON a.agent_id = b.agent_id
+LEFT JOIN (SELECT target_agent AS agent_id, arg_max(task_id, seq) AS task_id FROM ev
+           WHERE event_type = 'task_assigned' AND task_id IS NOT NULL GROUP BY target_agent) g ON a.agent_id = g.agent_id"""))
 def q_agent_details(m):
     return ag.agent_details(m.agents(), m.events())
 

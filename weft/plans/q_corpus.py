@@ -37,7 +37,9 @@ BASE_SQL = f"""base AS (
     CAST({hits_sql(CAT['command'])} AS BIGINT) AS command_findings,
     CAST(coalesce(list_max(list_transform({LINES},
          lambda l: floor(length(regexp_extract(l, '^ *', 0)) / 4))), 0) AS BIGINT) AS max_depth,
-    CAST({count_sql(R.MAGIC_NUMBER_PATTERN)} AS BIGINT) AS magic_numbers,
+    -- runs of name characters that are numbers; one after a point is a fraction
+    CAST(len(list_filter(regexp_extract_all(regexp_replace(text, {lit(R.STRIP_PATTERN)}, '', 'g'), '[.]?[A-Za-z0-9_]+'),
+         lambda w: regexp_full_match(w, '[0-9][0-9]+'))) AS BIGINT) AS magic_numbers,
     CAST(len(list_filter(regexp_extract_all(text, {lit(R.DEF_PARAMS_PATTERN)}, 1),
          lambda p: len(string_split(p, ',')) >= {R.LONG_PARAMETER_LIST})) AS BIGINT) AS long_param_defs
   FROM documents)"""
@@ -58,11 +60,12 @@ d1 AS (
   FROM base),
 d2 AS (
   SELECT *, security_issues + smells AS issues_found,
-         CAST(CAST(greatest(0, 20 - ({W['secret']} * secret_findings + {W['sql']} * sql_findings
+         CAST(CAST(greatest(0, 100 - CAST(floor(CAST(500 * ({W['secret']} * secret_findings + {W['sql']} * sql_findings
               + {W['command']} * command_findings
               + CASE WHEN complexity > 20 THEN {W['complexity_over_20']}
                      WHEN complexity > 10 THEN {W['complexity_over_10']} ELSE 0 END
-              + {W['smell']} * smells)) AS DOUBLE) / 2 AS DECIMAL(4,1)) AS quality_score
+              + {W['smell']} * smells) AS DOUBLE) / greatest(lines_of_code, 100)) AS BIGINT)) AS DOUBLE) / 10 AS DECIMAL(4,1))
+           AS quality_score
   FROM d1),
 metrics AS (
   SELECT *, {RATING} AS rating, concat_ws('; ', {RECS}) AS recommendations FROM d2)"""

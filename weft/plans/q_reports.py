@@ -8,7 +8,6 @@ from weft.operators import resources as rsc
 from weft.plans.catalog import query, with_ctes
 from weft.plans.q_corpus import METRICS_SQL
 from weft.operators import tasks as tk
-from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 
 
@@ -18,43 +17,47 @@ def _metrics_with_path(m):
     return cp.code_metrics(docs, carry=("path",))
 
 
-@query("system_status", "WITH RECURSIVE " + with_ctes(["ev", "tk", "ag", "rl", "rs"], """
+@query("system_status", with_ctes(["ev", "tk", "ag", "rl", "rs"], """
 SELECT count(*) AS registered_agents, count(*) FILTER (WHERE state <> 'error') AS active_agents,
+  count(*) FILTER (WHERE state = 'idle') AS idle_agents, count(*) FILTER (WHERE state = 'busy') AS busy_agents,
   (SELECT count(*) FROM ev) AS events_processed,
   (SELECT count(*) FROM ev WHERE event_type = 'task_completed' AND task_id IS NOT NULL) AS tasks_completed,
+  (SELECT count(*) FROM ev WHERE event_type = 'task_failed' AND task_id IS NOT NULL) AS tasks_failed,
+  (SELECT count(execution_time) FROM ev) AS execution_samples,
+  (SELECT CAST(avg(execution_time) AS DECIMAL(18,6)) FROM ev) AS mean_execution_time,
   (SELECT count(*) FILTER (WHERE status = 'pending') FROM tk) AS queued_tasks,
+  (SELECT count(*) FILTER (WHERE status = 'pending' AND priority = 1) FROM tk) AS queue_low,
+  (SELECT count(*) FILTER (WHERE status = 'pending' AND priority = 2) FROM tk) AS queue_medium,
+  (SELECT count(*) FILTER (WHERE status = 'pending' AND priority = 3) FROM tk) AS queue_high,
+  (SELECT count(*) FILTER (WHERE status = 'pending' AND priority = 4) FROM tk) AS queue_critical,
   (SELECT count(*) FILTER (WHERE status = 'running') FROM tk) AS active_tasks,
   (SELECT count(*) FILTER (WHERE status IN ('completed', 'failed')) FROM tk) AS completed_tasks,
   (SELECT count(*) FILTER (WHERE status = 'failed') FROM tk) AS failed_tasks,
-  (SELECT count(*) FROM (SELECT resource_id FROM adm GROUP BY resource_id
-                         HAVING count(*) FILTER (WHERE action = 'request') > 0) u
-   WHERE resource_id IN (SELECT resource_id FROM rs)) AS resources_tracked,
+  (SELECT count(DISTINCT resource_id) FROM rl WHERE action = 'request'
+     AND resource_id IN (SELECT resource_id FROM rs)) AS resources_tracked,
   (SELECT coalesce(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE), 0.0)
    FROM ev) AS uptime_seconds,
   (SELECT count(*) FROM closed) AS tasks_closed
-FROM ag""", [ADMISSION_SQL, FIRST_TERMINAL_SQL, CLOSED_SQL])[5:])
+FROM ag""", [FIRST_TERMINAL_SQL, CLOSED_SQL]))
 def q_system_status(m):
-    util = rsc.resource_utilization(rsc.resource_admission(m.resource_log(), m.resources()),
-                                    m.resources())
     closed = tk.apply_completions(m.tasks(), m.events())
-    return rp.system_status(m.events(), m.tasks(), m.agents(), util, closed)
+    return rp.system_status(m.events(), m.tasks(), m.agents(),
+                            rsc.tracked_resources(m.resource_log(), m.resources()), closed)
 
 
 def analyzers():
-    """Named analyzers over documents: each returns (doc_id, detail)."""
-    def structure(d):
-        met = cp.code_metrics(d)
-        return met.select("doc_id", F.format_string("functions=%d classes=%d",
-                                                    "function_count", "class_count").alias("detail"))
+    """Named analyzers over a table of measures: each returns (doc_id, detail)."""
+    def detail(text, *cols):
+        return lambda d: d.select("doc_id", F.format_string(text, *cols).alias("detail"))
+    return {"structure": detail("functions=%d classes=%d", "function_count", "class_count"),
+            "complexity": detail("complexity=%d", "complexity"),
+            "security": detail("findings=%d", "security_issues")}
 
-    def complexity(d):
-        return cp.code_metrics(d).select("doc_id", F.format_string("complexity=%d", "complexity")
-                                         .alias("detail"))
 
-    def security(d):
-        return cp.code_metrics(d).select("doc_id", F.format_string("findings=%d", "security_issues")
-                                         .alias("detail"))
-    return {"structure": structure, "complexity": complexity, "security": security}
+def _measured(m):
+    """The measures of every document, computed once and written."""
+    from weft.sources.tabular import written
+    return written(cp.code_metrics(m.raw("documents")), "measures")
 
 
 COMBINED_SQL = f"""{METRICS_SQL},
@@ -70,24 +73,48 @@ combined AS (
 
 @query("combine_analyzers", f"WITH {COMBINED_SQL} SELECT * FROM combined")
 def q_combine(m):
-    return rp.combine_analyzers(m.raw("documents"), analyzers())
+    return rp.combine_analyzers(_measured(m), analyzers())
 
 
 @query("analyzers_run", f"""WITH {COMBINED_SQL}
 SELECT doc_id, array_to_string(list_sort(list_distinct(list(analyzer))), ',') AS analyzers
 FROM combined WHERE status = 'ok' GROUP BY doc_id""")
 def q_analyzers_run(m):
-    return rp.analyzers_run(rp.combine_analyzers(m.raw("documents"), analyzers()))
+    return rp.analyzers_run(rp.combine_analyzers(_measured(m), analyzers()))
+
+
+FAILING_SQL = f"""{METRICS_SQL},
+combined AS (
+  SELECT doc_id, 'structure' AS analyzer, 'ok' AS status,
+         printf('functions=%d classes=%d', function_count, class_count) AS detail, false AS failed FROM metrics
+  UNION ALL SELECT doc_id, 'broken_plan', 'error', NULL, true FROM metrics
+  UNION ALL SELECT doc_id, 'broken_run', 'error', NULL, true FROM metrics)"""
+
+
+@query("combine_analyzers_failing", f"WITH {FAILING_SQL} SELECT * FROM combined")
+def q_combine_failing(m):
+    """One analyzer fails when its plan is built, one while it runs;
+    both become error rows and the third stands."""
+    def broken_run(d):
+        return d.select("doc_id", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("no such measure"))).alias("detail"))
+    named = {"structure": analyzers()["structure"], "broken_plan": lambda d: d.select("doc_id", "no_such_column"),
+             "broken_run": broken_run}
+    out = rp.combine_analyzers(_measured(m), named)
+    return out.select("doc_id", "analyzer", "status", "detail", F.col("error").isNotNull().alias("failed"))
 
 
 @query("recent_analyses", f"""WITH {METRICS_SQL}
-SELECT doc_id, quality_score, issues_found, rating,
+SELECT doc_id, strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%m/%d %H:%M') AS date,
+       CAST(doc_id AS VARCHAR) AS file, quality_score, issues_found, rating,
        CASE WHEN quality_score >= 7 THEN 'success' ELSE 'warning' END AS score_band,
        CASE WHEN issues_found = 0 THEN 'success' ELSE 'danger' END AS issues_band,
        repeat('*', greatest(0, least(CAST(trunc(quality_score) AS INTEGER), 10))) AS stars
 FROM metrics ORDER BY doc_id DESC LIMIT 10""")
 def q_recent_analyses(m):
-    return rp.recent_analyses(cp.code_metrics(m.raw("documents")), 10)
+    docs = m.raw("documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    docs = docs.withColumn("ts", F.timestamp_micros(F.unix_micros(F.lit("2024-01-01 00:00:00+00").cast("timestamp"))
+                                                    + F.col("doc_id") * 60_000_000))
+    return rp.recent_analyses(cp.code_metrics(docs, carry=("path", "ts")), 10)
 
 
 @query("text_report", f"""WITH {METRICS_SQL}
@@ -103,8 +130,8 @@ def q_text_report(m):
 
 
 @query("complexity_histogram", f"""WITH {METRICS_SQL}
-SELECT CAST(least(floor(complexity / 10), 19) AS BIGINT) AS bucket, count(*) AS documents,
-       CAST(least(floor(complexity / 10), 19) AS BIGINT) * 10 AS lower_bound
+SELECT CAST(floor(complexity / 10) AS BIGINT) AS bucket, count(*) AS documents,
+       CAST(floor(complexity / 10) AS BIGINT) * 10 AS lower_bound
 FROM metrics GROUP BY 1""")
 def q_complexity_histogram(m):
     return rp.complexity_histogram(cp.code_metrics(m.raw("documents")))

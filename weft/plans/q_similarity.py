@@ -56,6 +56,26 @@ def q_consolidate(m):
     return sim.consolidate_near_duplicates(m.raw("embeddings"))
 
 
+@query("consolidate_heads", """
+WITH h AS (
+  SELECT vec_id, list_transform(v, lambda x: x / n) AS head FROM (
+    SELECT vec_id, v, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3] + v[4] * v[4]) AS n
+    FROM (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS v FROM embeddings))),
+p AS (
+  SELECT b.vec_id AS vec_id, min(a.vec_id) AS partner FROM h a JOIN h b ON a.vec_id < b.vec_id
+  WHERE a.head[1] * b.head[1] + a.head[2] * b.head[2] + a.head[3] * b.head[3] + a.head[4] * b.head[4] >= 0.95
+  GROUP BY b.vec_id)
+SELECT h.vec_id, least(h.vec_id, coalesce(p.partner, h.vec_id)) AS canonical_id
+FROM h LEFT JOIN p ON h.vec_id = p.vec_id""")
+def q_consolidate_heads(m):
+    """J11 on the unit vectors of the first four dimensions, where many
+    vectors do merge."""
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    e = m.raw("embeddings").select("vec_id", v.alias("v"))
+    norm = F.sqrt(sum((F.col("v")[i] * F.col("v")[i] for i in range(1, 4)), F.col("v")[0] * F.col("v")[0]))
+    return sim.consolidate_near_duplicates(e.select("vec_id", F.transform("v", lambda x: x / norm).alias("embedding")))
+
+
 @query("majority_vote", """
 SELECT source, arg_max(quality, struct_pack(votes := votes, neg := -quality)) AS quality,
        max(votes) AS votes

@@ -16,8 +16,11 @@ from weft.streaming.sources import (latest_per_key, read_batches, run_batches, r
                                     table_stream, with_event_time)
 
 
+FILES = 16  # part files a micro-batch takes, so that a key's rows of a batch stay bounded
+
+
 def _events(m, event_time=False):
-    e = model_events(table_stream(m.spark, m.sf_dir, "events"))
+    e = model_events(table_stream(m.spark, m.sf_dir, "events", max_files_per_trigger=FILES))
     return with_event_time(e) if event_time else e
 
 
@@ -67,21 +70,55 @@ def q_stream_heartbeat(m):
     return df.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "kind")
 
 
+@query("stream_heartbeat_registered", with_ctes(["ev", "ag"], f"""
+SELECT agent_id, last_seen, 'gap' AS kind FROM gaps
+WHERE last_seen IS NOT NULL AND gap_us > 90000000 AND state_before <> 'error'
+UNION ALL
+SELECT agent_id, max(ts), 'open' FROM gaps GROUP BY agent_id
+HAVING epoch_us((SELECT max(ts) FROM ev)) // 1000 * 1000 - epoch_us(max(ts)) > 90000000
+   AND arg_max(state_after, seq) <> 'error'""", [f"""folded AS (
+  SELECT a.agent_id, e.seq, e.ts, a.state, {EFFECT_SQL} AS effect
+  FROM ag a JOIN ev e ON e.source_agent = a.agent_id),
+gaps AS (
+  SELECT agent_id, seq, ts, lag(ts) OVER w AS last_seen, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us,
+         coalesce(last_value(effect IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), state) AS state_before,
+         coalesce(last_value(effect IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), state) AS state_after
+  FROM folded WINDOW w AS (PARTITION BY agent_id ORDER BY seq))"""]))
+def q_stream_heartbeat_registered(m):
+    """T3 as the monitor applies it: registered agents that are not in error."""
+    stream = sq.stream_heartbeat_alerts(_events(m, event_time=True), agents=m.agents())
+    df = read_batches(m.spark, run_batches(stream, "heartbeat_registered"), sq.HEARTBEAT_ALERTS)
+    return df.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "kind")
+
+
 @query("stream_resource_admission", "WITH RECURSIVE " + with_ctes(["rl", "rs"], "SELECT * FROM adm",
                                                                  [ADMISSION_SQL])[5:])
 def q_stream_admission(m):
     """T4: per-resource admission in keyed state."""
-    log = model_resource_log(table_stream(m.spark, m.sf_dir, "events"))
+    log = model_resource_log(table_stream(m.spark, m.sf_dir, "events", max_files_per_trigger=FILES))
     out = run_batches(sq.stream_resource_admission(log, m.resources()), "admission")
     return read_batches(m.spark, out, S.ADMISSION_OUT).drop("batch_id")
 
 
 @query("stream_task_lifecycle", with_ctes(["ev", "tk"], """
-SELECT task_id, status, closed_seq FROM closed""", [FIRST_TERMINAL_SQL, CLOSED_SQL]))
+SELECT task_id, 'running' AS status, given AS seq, given_at AS started_at FROM life WHERE status = 'pending' AND given IS NOT NULL
+UNION ALL
+SELECT task_id, how, ended, CASE WHEN status = 'pending' THEN given_at END FROM life
+WHERE ended IS NOT NULL AND (status = 'running' OR given IS NOT NULL)""", ["""given AS (
+  SELECT task_id, min(seq) AS given, arg_min(ts, seq) AS given_at FROM ev
+  WHERE event_type = 'task_assigned' AND task_id IS NOT NULL GROUP BY task_id),
+life AS (
+  SELECT t.task_id, t.status, g.given, g.given_at, min(e.seq) AS ended,
+         CASE arg_min(e.event_type, e.seq) WHEN 'task_failed' THEN 'failed' ELSE 'completed' END AS how
+  FROM tk t LEFT JOIN given g ON t.task_id = g.task_id
+  LEFT JOIN ev e ON e.task_id = t.task_id AND e.event_type IN ('task_completed', 'task_failed')
+            AND (t.status = 'running' OR e.seq > g.given)
+  WHERE t.status IN ('pending', 'running') GROUP BY t.task_id, t.status, g.given, g.given_at)"""]))
 def q_stream_lifecycle(m):
-    """T5: tasks closed by the stream (same rows as apply_completions)."""
+    """T5: every status change the stream makes."""
     out = run_batches(sq.stream_task_lifecycle(_events(m), m.tasks()), "lifecycle")
-    return read_batches(m.spark, out, S.LIFECYCLE_OUT).drop("batch_id")
+    df = read_batches(m.spark, out, sq.LIFECYCLE).drop("batch_id")
+    return df.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
 WINDOWED = """wb AS (

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weft.operators import tasks as tk
-from weft.operators.events import TASK_COMPLETED
+from weft.operators.events import TASK_COMPLETED, TASK_FAILED
 from weft.plans.catalog import query, with_ctes
 
 BLOCKED_SQL = """blocked AS (
@@ -91,18 +91,27 @@ def q_apply_completions(m):
 @query("task_latency", with_ctes(["ev", "tk"], """
 SELECT task_id, status,
        CAST(epoch_us(completed_at) - epoch_us(created_at) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS total_seconds,
-       execution_time FROM closed""", [FIRST_TERMINAL_SQL, CLOSED_SQL]))
+       CAST(coalesce(epoch_us(completed_at) - epoch_us(b.assigned_at), CAST(round(execution_time * 1000000) AS BIGINT)) AS DOUBLE)
+         / CAST(1000000 AS DOUBLE) AS run_seconds,
+       CAST(epoch_us(completed_at) - epoch_us(created_at)
+            - coalesce(epoch_us(completed_at) - epoch_us(b.assigned_at), CAST(round(execution_time * 1000000) AS BIGINT)) AS DOUBLE)
+         / CAST(1000000 AS DOUBLE) AS queue_seconds,
+       execution_time
+FROM closed LEFT JOIN (SELECT task_id, min(ts) AS assigned_at FROM ev WHERE event_type = 'task_assigned' GROUP BY task_id) b
+  USING (task_id)""", [FIRST_TERMINAL_SQL, CLOSED_SQL]))
 def q_task_latency(m):
     return tk.task_latency(m.tasks(), m.events())
 
 
 @query("result_by_task", with_ctes(["ev", "tk"], """
-SELECT task_id, status, CASE WHEN status = 'failed' THEN 'Task failed: Unknown error' END AS error
-FROM tk WHERE status IN ('completed', 'failed')
-  AND task_id IN (SELECT task_id FROM ev WHERE event_type = 'task_completed')"""))
+SELECT tk.task_id, status, CASE WHEN status = 'completed' THEN e.execution_time END AS result,
+       CASE WHEN status = 'failed' THEN 'Task failed: ' || coalesce(e.error, 'Unknown error') END AS error
+FROM tk JOIN (SELECT task_id, arg_min(execution_time, seq) AS execution_time, max(error) AS error
+              FROM ev WHERE event_type IN ('task_completed', 'task_failed') GROUP BY task_id) e ON tk.task_id = e.task_id
+WHERE status IN ('completed', 'failed')"""))
 def q_result_by_task(m):
-    wanted = m.events().where(F.col("event_type") == TASK_COMPLETED).select("task_id")
-    return tk.result_by_task(m.tasks(), wanted)
+    wanted = m.events().where(F.col("event_type").isin(TASK_COMPLETED, TASK_FAILED)).select("task_id")
+    return tk.result_by_task(m.tasks(), wanted, m.events())
 
 
 @query("priority_labels", with_ctes(["tk"], """

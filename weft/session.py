@@ -45,7 +45,7 @@ def build_session(master: str | None = None, app: str = "weft",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared filesystem folder;
@@ -56,10 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     current = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
     if not current:
-        if not spark.sparkContext.master.startswith("local") and not fallback:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
                                "checkpoints and stream state are written there")
-        current = fallback or tempfile.mkdtemp(prefix="weft-ckpt-")
+        current = tempfile.mkdtemp(prefix="weft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)

@@ -26,7 +26,8 @@ TASK_EVENT_RAW = ("purchase", "error", "signup")
 ORDER_PRIORITY = {"1-URGENT": 4, "2-HIGH": 3, "3-MEDIUM": 2, "4-NOT SPECIFIED": 2, "5-LOW": 1}
 N_TASK_TYPES = 7
 N_CAPABILITIES = 6
-N_RESOURCES = 20
+N_RESOURCE_KEYS = 30          # requested ids; nations register 0-24, the rest are unknown
+UNREQUESTED = 24              # registered but never requested
 
 
 def _case(col: Column, mapping: dict) -> Column:
@@ -45,13 +46,14 @@ def model_events(raw: DataFrame) -> DataFrame:
         F.col("event_id"),
         _case(et, RAW_EVENT_TYPE).alias("event_type"),
         F.col("user_id").alias("source_agent"),
-        F.lit(None).cast("bigint").alias("target_agent"),
-        F.lit(2).alias("priority"),
+        F.when(et == "signup", F.col("user_id") % 100 + 1).alias("target_agent"),
+        (1 + F.col("event_id") % 4).cast("int").alias("priority"),
         F.col("ts"),
         _case(et, RAW_NEW_STATE).alias("new_state"),
         F.when(et.isin(*TASK_EVENT_RAW), F.col("event_id")).alias("task_id"),
         F.when(et == "purchase", F.col("value")).alias("execution_time"),
-        F.lit(None).cast("string").alias("error"),
+        F.when((et == "error") & (F.col("event_id") % 3 != 0),
+               F.concat(F.lit("code "), (F.col("event_id") % 7).cast("string"))).alias("error"),
     )
 
 
@@ -109,17 +111,17 @@ def model_resource_log(raw: DataFrame) -> DataFrame:
     view releases."""
     return (raw.where(F.col("event_type").isin("purchase", "view"))
             .select(F.col("event_id").alias("seq"),
-                    (F.col("user_id") % N_RESOURCES).alias("resource_id"),
+                    F.when(F.col("user_id") % N_RESOURCE_KEYS == UNREQUESTED, F.lit(29).cast("bigint"))
+                    .otherwise(F.col("user_id") % N_RESOURCE_KEYS).alias("resource_id"),
                     F.col("user_id").alias("agent_id"),
                     F.when(F.col("event_type") == "purchase", "request")
                     .otherwise("release").alias("action")))
 
 
 def model_resources(nation: DataFrame) -> DataFrame:
-    """resources(resource_id, max_concurrent): ids 0-19 from nation keys."""
-    return (nation.where(F.col("n_nationkey") < N_RESOURCES)
-            .select(F.col("n_nationkey").cast("bigint").alias("resource_id"),
-                    (1 + F.col("n_nationkey") % 3).alias("max_concurrent")))
+    """resources(resource_id, max_concurrent): one per nation."""
+    return nation.select(F.col("n_nationkey").cast("bigint").alias("resource_id"),
+                         (1 + F.col("n_nationkey") % 3).alias("max_concurrent"))
 
 
 class Model:
@@ -162,12 +164,12 @@ SQL_CTES = {
                          WHEN 'purchase' THEN 'task_completed'
                          WHEN 'error' THEN 'task_failed'
                          WHEN 'signup' THEN 'task_assigned' END AS event_type,
-         user_id AS source_agent, CAST(NULL AS BIGINT) AS target_agent,
-         2 AS priority, ts,
+         user_id AS source_agent, CASE WHEN event_type = 'signup' THEN user_id % 100 + 1 END AS target_agent,
+         CAST(1 + event_id % 4 AS INTEGER) AS priority, ts,
          CASE event_type WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' END AS new_state,
          CASE WHEN event_type IN ('purchase', 'error', 'signup') THEN event_id END AS task_id,
          CASE WHEN event_type = 'purchase' THEN value END AS execution_time,
-         CAST(NULL AS VARCHAR) AS error
+         CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'code ' || CAST(event_id % 7 AS VARCHAR) END AS error
   FROM events)""",
     "tk": """tk AS (
   SELECT o_orderkey AS seq, o_orderkey AS task_id, o_custkey % 7 AS task_type,
@@ -189,11 +191,11 @@ SQL_CTES = {
     "am": """am AS (SELECT event_id AS seq, user_id AS agent_id, event_type AS metric, ts, value FROM events)""",
     "sm": """sm AS (SELECT event_id AS seq, event_type AS metric, ts, value FROM events)""",
     "rl": """rl AS (
-  SELECT event_id AS seq, user_id % 20 AS resource_id, user_id AS agent_id,
+  SELECT event_id AS seq, CASE WHEN user_id % 30 = 24 THEN 29 ELSE user_id % 30 END AS resource_id, user_id AS agent_id,
          CASE WHEN event_type = 'purchase' THEN 'request' ELSE 'release' END AS action
   FROM events WHERE event_type IN ('purchase', 'view'))""",
     "rs": """rs AS (SELECT CAST(n_nationkey AS BIGINT) AS resource_id, 1 + n_nationkey % 3 AS max_concurrent
-  FROM nation WHERE n_nationkey < 20)""",
+  FROM nation)""",
 }
 
 

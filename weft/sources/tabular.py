@@ -5,8 +5,20 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.session import scratch_path
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once under the shared folder and read it back, so that
+    several readers share one computation."""
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 FORMATS = ("json", "csv", "parquet", "orc", "text")
 
 

@@ -6,6 +6,7 @@ streaming DataFrame; :func:`weft.streaming.sources.run_batches` runs it.
 
 from __future__ import annotations
 
+import logging
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from weft.streaming import stateful as S
 
+log = logging.getLogger(__name__)
+
 WINDOW = "30 seconds"          # collection interval (declared)
 HEARTBEAT_ALERTS = "agent_id long, last_seen timestamp, kind string"   # output of T3
 ERROR_SHARE_ALERT = 0.05       # alert thresholds (declared)
@@ -34,17 +37,25 @@ def stream_agent_state(events: DataFrame, agents: DataFrame) -> DataFrame:
                                         initialState=init))
 
 
-def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0) -> DataFrame:
+def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0,
+                            agents: DataFrame | None = None) -> DataFrame:
     """Silence alerts with event-time timers (needs a watermark on ts).
+    With ``agents`` (agent_id, state), only registered agents that are not in
+    the error state are reported, as the monitor does.
     Times cross into Python as epoch microseconds, so the session time zone
     never shifts them; ``last_seen`` comes back as a timestamp."""
     key_type = events.schema["source_agent"].dataType.simpleString()
     out = S.HEARTBEAT_OUT.replace("agent_id long", f"agent_id {key_type}")
-    return (events.select(F.col("source_agent").alias("agent_id"), "seq", "ts",
-                          F.unix_micros("ts").alias("ts_us"))
-            .groupBy("agent_id")
-            .transformWithStateInPandas(S.HeartbeatProcessor(timeout_s), out,
-                                        "Append", "EventTime")
+    beats = events.select(F.col("source_agent").alias("agent_id"), "seq", "ts",
+                          F.unix_micros("ts").alias("ts_us"),
+                          *([] if agents is None else ["event_type", "new_state", "task_id"])).groupBy("agent_id")
+    if agents is None:
+        alerts = beats.transformWithStateInPandas(S.HeartbeatProcessor(timeout_s), out, "Append", "EventTime")
+    else:
+        init = agents.select("agent_id", "state").groupBy("agent_id")
+        alerts = beats.transformWithStateInPandas(S.RegisteredHeartbeatProcessor(timeout_s), out, "Append",
+                                                  "EventTime", initialState=init)
+    return (alerts
             .select("agent_id", F.timestamp_micros("last_seen_us").alias("last_seen"), "kind"))
 
 
@@ -57,15 +68,21 @@ def stream_resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame
 
 
 def stream_task_lifecycle(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """T5: keyed by task id; the running tasks are the initial state and
-    only terminal events are read."""
-    init = tasks.where(F.col("status") == "running").select("task_id", "status").groupBy("task_id")
+    """T5: keyed by task id; pending and running tasks are the initial state,
+    and only assignments and terminal events are read. One row per change of a
+    task's status, with the time it was started (null if that was not seen)."""
+    init = (tasks.where(F.col("status").isin("pending", "running")).select("task_id", "status")
+            .groupBy("task_id"))
     ev = (events.where(F.col("task_id").isNotNull()
-                       & F.col("event_type").isin("task_completed", "task_failed"))
-          .select("task_id", "seq", "event_type"))
+                       & F.col("event_type").isin("task_assigned", "task_completed", "task_failed"))
+          .select("task_id", "seq", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")))
     return (ev.groupBy("task_id")
             .transformWithStateInPandas(S.TaskLifecycleProcessor(), S.LIFECYCLE_OUT, "Append",
-                                        "None", initialState=init))
+                                        "None", initialState=init)
+            .select("task_id", "status", "seq", F.timestamp_micros("started_us").alias("started_at")))
+
+
+LIFECYCLE = "task_id long, status string, seq long, started_at timestamp"
 
 
 def tumbling_event_counts(events: DataFrame, window: str = WINDOW) -> DataFrame:
@@ -97,29 +114,42 @@ def window_alerts(events: DataFrame, window: str = WINDOW) -> DataFrame:
 Observer = Callable[[DataFrame, int], None]
 
 
+def _isolated(name: str, fn: Observer, batch: DataFrame, batch_id: int, errs: dict) -> None:
+    """Call one observer; a failure is logged and counted, not raised."""
+    try:
+        fn(batch, batch_id)
+    except Exception:  # noqa: BLE001 - observers are isolated
+        errs[name] = errs.get(name, 0) + 1
+        log.exception("observer %s failed on batch %s", name, batch_id)
+
+
 def fan_out(observers: Mapping[str, Observer], errors: dict | None = None
             ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that hands each micro-batch
     to every observer. The batch is persisted once for all of them; an
-    observer that raises is counted in ``errors`` and the others still run."""
+    observer that raises is logged and counted, and the others still run.
+    The counts are in ``errors`` and, always, in the function's own
+    ``errors`` attribute."""
     errs = errors if errors is not None else {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for name, fn in observers.items():
-                try:
-                    fn(batch, batch_id)
-                except Exception:  # noqa: BLE001 - observers are isolated
-                    errs[name] = errs.get(name, 0) + 1
+                _isolated(name, fn, batch, batch_id, errs)
         finally:
             batch.unpersist()
+    run.errors = errs
     return run
 
 
-def by_event_type(handlers: Mapping[str, Observer]) -> Observer:
-    """Route each batch's events to the handler of their type."""
+def by_event_type(handlers: Mapping[str, Observer], errors: dict | None = None) -> Observer:
+    """Route each batch's events to the handler of their type; one that
+    fails is logged and counted (``errors``), the later ones still run."""
+    errs = errors if errors is not None else {}
+
     def run(batch: DataFrame, batch_id: int) -> None:
         for et, fn in handlers.items():
-            fn(batch.where(F.col("event_type") == et), batch_id)
+            _isolated(et, fn, batch.where(F.col("event_type") == et), batch_id, errs)
+    run.errors = errs
     return run

@@ -4,28 +4,53 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.session import scratch_path
-from weft.sources.tables import load
+from weft.sources.tables import load, table_path
 
 
 def table_stream(spark: SparkSession, folder: str, name: str | None = None,
                  schema=None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the parquet files of a folder (optionally only ``<name>.parquet``)
-    with an explicit schema; each new file is picked up once."""
+    """Stream the parquet files of a folder with an explicit schema; each new
+    file is picked up once. With ``name``, the table ``<folder>/<name>.parquet``
+    is streamed, be it one file or a folder of part files."""
     if schema is None:
         schema = load(spark, folder, name).schema if name else spark.read.parquet(folder).schema
     r = spark.readStream.schema(schema)
-    if name:
+    if name and is_folder(spark, table_path(folder, name)):
+        folder = table_path(folder, name)
+    elif name:
         r = r.option("pathGlobFilter", f"{name}.parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.parquet(folder)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path (on any file system Spark reads) is a folder."""
+    fs, p = _file_system(spark, path)
+    return bool(fs.getFileStatus(p).isDirectory())
+
+
+def finish(q, timeout_s: int | None) -> None:
+    """Wait for a query to end. A failed query raises its error; one that is
+    not done in time is stopped and raises, so that its partial output is
+    never taken for the whole."""
+    done = q.awaitTermination(timeout_s)
+    if timeout_s is not None and not done:
+        q.stop()
+        raise TimeoutError(f"stream not finished after {timeout_s} s; stopped")
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def with_event_time(df: DataFrame, col: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """Cast a TIMESTAMP_NTZ column to TIMESTAMP (session zone UTC) and set
     the watermark on it."""
@@ -53,8 +78,11 @@ def run_batches(df: DataFrame, name: str, output_mode: str = "append",
     checkpoint directory."""
     spark = df.sparkSession
     ensure_state_store(spark)
+    own = base is None
     base = base or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
     out = f"{base}/out"
+    # an empty partition first: a stream without rows reads back as no rows
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -62,10 +90,10 @@ def run_batches(df: DataFrame, name: str, output_mode: str = "append",
     w = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{base}/checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w
-    q = w.start()
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    finish(w.start(), timeout_s)
+    if own and available_now:  # a run of its own: its state and offsets serve nothing any more
+        fs, p = _file_system(spark, f"{base}/checkpoint")
+        fs.delete(p, True)
     return out
 
 
@@ -83,19 +111,13 @@ def run_observers(df: DataFrame, observers: dict, name: str, base: str | None =
              for k, fn in observers.items()}
     q = (df.writeStream.foreachBatch(fan_out(bound, errors))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    finish(q, timeout_s)
     return base
 
 
 def read_batches(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    """All rows written by :func:`run_batches` (with ``batch_id``); an empty
-    frame of ``schema`` if no batch wrote rows."""
-    try:
-        return spark.read.parquet(out)
-    except AnalysisException:  # no batch wrote a folder (path does not exist)
-        return spark.createDataFrame([], schema + ", batch_id int")
+    """All rows written by :func:`run_batches`, with ``batch_id``."""
+    return spark.read.schema(schema + ", batch_id int").parquet(out)
 
 
 def latest_per_key(df: DataFrame, keys, order: str = "batch_id") -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
-from weft.operators.events import LOAD_CAP_TENTHS, STATE_CHANGED, TASK_COMPLETED, TASK_FAILED
+from weft.operators.events import (LOAD_CAP_TENTHS, STATE_CHANGED, TASK_ASSIGNED, TASK_COMPLETED,
+                                   TASK_FAILED)
 from weft.operators.resources import OUTCOMES, admit_run
 from weft.plans.ordered import compose_clamps_np
 
@@ -30,6 +31,17 @@ def _rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values("seq", kind="stable")
 
 
+def effects(pdf: pd.DataFrame) -> np.ndarray:
+    """The state each event puts its agent in; empty text for no change."""
+    et, ns = pdf["event_type"].to_numpy(), pdf["new_state"].to_numpy()
+    has_task = pdf["task_id"].notna().to_numpy()
+    change = et == STATE_CHANGED
+    return np.select(
+        [(et == TASK_COMPLETED) & has_task, (et == TASK_FAILED) & has_task,
+         change & (ns == "busy"), change & (ns == "idle"), change & (ns == "unresponsive")],
+        ["idle", "error", "busy", "idle", "error"], default="")
+
+
 AGENT_OUT = "agent_id long, state string, load_tenths long, last_seq long"
 
 
@@ -55,10 +67,7 @@ class AgentStateProcessor(StatefulProcessor):
         et, ns = pdf["event_type"].to_numpy(), pdf["new_state"].to_numpy()
         has_task = pdf["task_id"].notna().to_numpy()
         change = et == STATE_CHANGED
-        effect = np.select(
-            [(et == TASK_COMPLETED) & has_task, (et == TASK_FAILED) & has_task,
-             change & (ns == "busy"), change & (ns == "idle"), change & (ns == "unresponsive")],
-            ["idle", "error", "busy", "idle", "error"], default="")
+        effect = effects(pdf)
         hits = np.flatnonzero(effect != "")
         if len(hits):
             state = str(effect[hits[-1]])
@@ -79,14 +88,16 @@ class AgentStateProcessor(StatefulProcessor):
 HEARTBEAT_OUT = "agent_id long, last_seen_us long, kind string"
 
 
-def gap_alerts(ts_us: np.ndarray, stored, alerted: bool, timeout_us: int):
+def gap_alerts(ts_us: np.ndarray, stored, alerted: bool, timeout_us: int, watched=None):
     """Gap rule over one key's new heartbeats (arrival order, microseconds).
 
     Each event is compared with the latest heartbeat before it (the running
     maximum, starting from the stored one); a gap over the timeout is an
     alert reporting that heartbeat. If the stored heartbeat's silence was
     already reported by a timer, the first event that reaches it is not
-    reported again. Returns (alerted heartbeats, new last, new flag).
+    reported again. ``watched`` marks the events before which the agent was
+    being watched (all, if not given). Returns (alerted heartbeats, new last,
+    new flag).
     """
     if stored is not None:
         prior = np.maximum.accumulate(np.r_[stored, ts_us])
@@ -97,6 +108,8 @@ def gap_alerts(ts_us: np.ndarray, stored, alerted: bool, timeout_us: int):
     reached = np.flatnonzero(ts_us >= stored) if stored is not None else np.array([], dtype=int)
     if stored is not None and alerted and len(reached):
         alert[reached[0]] = False
+    if watched is not None:
+        alert &= watched
     last = int(prior[-1])
     flag = bool(alerted and stored is not None and not len(reached))
     return prev[alert].tolist(), last, flag
@@ -156,6 +169,45 @@ class HeartbeatProcessor(StatefulProcessor):
         pass
 
 
+class RegisteredHeartbeatProcessor(HeartbeatProcessor):
+    """T3 as the monitor applies it: only registered agents (the initial
+    state), and none while its state, folded from its events, is error."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.reg = handle.getValueState("registered", StructType([StructField("state", StringType())]))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        self.reg.update((str(initialState.iloc[0]["state"]),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _rows(rows)
+        if pdf.empty or not self.reg.exists():
+            return iter([])
+        (state,) = self.reg.get()
+        # the state before each event, and after the last one
+        known = np.r_[state, effects(pdf)].astype(object)
+        at = np.maximum.accumulate(np.where(known != "", np.arange(len(known)), 0))
+        folded = known[at]
+        stored, alerted = self.st.get() if self.st.exists() else (None, False)
+        if stored is not None:
+            self.handle.deleteTimer(self._timer_ms(stored))
+        out, last, alerted = gap_alerts(pdf["ts_us"].to_numpy(dtype=np.int64), stored, alerted,
+                                        self.timeout_us, folded[:-1] != "error")
+        self.st.update((last, alerted))
+        self.reg.update((str(folded[-1]),))
+        self.handle.registerTimer(self._timer_ms(last))
+        if not out:
+            return iter([])
+        return iter([pd.DataFrame({"agent_id": [key[0]] * len(out), "last_seen_us": out,
+                                   "kind": ["gap"] * len(out)})])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
+        if not self.reg.exists() or self.reg.get()[0] == "error":
+            return iter([])
+        return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+
 ADMISSION_OUT = ("seq long, resource_id long, agent_id long, action string, outcome string, "
                  "holders_after int")
 
@@ -193,33 +245,45 @@ class ResourceAdmissionProcessor(StatefulProcessor):
         pass
 
 
-LIFECYCLE_OUT = "task_id long, status string, closed_seq long"
+LIFECYCLE_OUT = "task_id long, status string, seq long, started_us long"
 
 
 class TaskLifecycleProcessor(StatefulProcessor):
-    """T5: closes running tasks. The initial state holds only the running
-    tasks — no event changes a queued, closed or unknown task — and a key's
-    state is cleared once its task closes, so the store holds the active set,
-    not the whole task history. Later or duplicate terminal events find no
-    state and are ignored, as the reference ignores them."""
+    """T5: pending tasks run from their first assignment (``started_us`` is its
+    time), running tasks close with their first terminal event. The initial
+    state holds only the pending and running tasks — no event changes a closed
+    or unknown task — and a key's state is cleared once its task closes, so
+    the store holds the active set, not the whole task history. Later or
+    duplicate events find no state and are ignored, as the reference does."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.st = handle.getValueState("task", StructType([StructField("status", StringType())]))
+        self.st = handle.getValueState("task", StructType([StructField("status", StringType()),
+                                                           StructField("started_us", LongType())]))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        self.st.update((str(initialState.iloc[0]["status"]),))
+        self.st.update((str(initialState.iloc[0]["status"]), None))
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows)
         if pdf.empty or not self.st.exists():
             return iter([])
-        for et, seq in zip(pdf["event_type"].tolist(), pdf["seq"].tolist()):
-            if et in (TASK_COMPLETED, TASK_FAILED):
-                self.st.clear()
+        status, started = self.st.get()
+        out = []
+        for et, seq, ts in zip(pdf["event_type"].tolist(), pdf["seq"].tolist(), pdf["ts_us"].tolist()):
+            if status == "pending" and et == TASK_ASSIGNED:
+                status, started = "running", int(ts)
+                out.append((key[0], status, int(seq), started))
+            elif status == "running" and et in (TASK_COMPLETED, TASK_FAILED):
                 status = "completed" if et == TASK_COMPLETED else "failed"
-                return iter([pd.DataFrame({"task_id": [key[0]], "status": [status],
-                                           "closed_seq": [int(seq)]})])
-        return iter([])
+                out.append((key[0], status, int(seq), started))
+                self.st.clear()
+                break
+        else:
+            self.st.update((status, started))
+        if not out:
+            return iter([])
+        done = pd.DataFrame(out, columns=["task_id", "status", "seq", "started_us"])
+        return iter([done.astype({"started_us": "Int64"})])
 
     def close(self) -> None:
         pass
