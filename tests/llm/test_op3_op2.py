@@ -125,6 +125,8 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(got[100 + i]["kept"] for i in range(60))      # copies of one text count once
     assert got[200]["kept"] and got[201]["kept"]             # other hosts
     clean = {r["doc_id"]: r for r in quality.clean(D.frame(spark, rows), max_docs=20).collect()}
+    joined = {r["doc_id"]: r for r in quality.clean(D.frame(spark, rows), max_docs=20, few_lines=0).collect()}
+    assert clean == joined
     assert set(clean) == {i for i, r in got.items() if r["kept"]}
     assert "rights" in clean[0]["text"] and all("rights" not in clean[i]["text"] for i in range(1, 40, 2))
     assert all(clean[i]["n_chars"] == len(clean[i]["text"]) for i in clean)

@@ -167,26 +167,44 @@ def discover(found: DataFrame, text: DataFrame, folder: str) -> DataFrame:
     return new.join(good, "pattern", "left_semi").join(sure, "instance", "left_semi").select(*key, "start", "end").distinct()
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, copy (text hash), counts of the base kinds, ``base`` and ``all``
-    spans as arrays of (start, rank of the kind, end, kind) in order."""
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    return d.withColumn("copy", F.xxhash64("text"))
+
+
+def _base() -> Column:
+    """The base spans in order, from the arrays of valid matches."""
+    return F.sort_array(F.concat(*[spans_of(k, i) for i, k in enumerate(KINDS)]).cast(SPAN))
+
+
+def _with_new(base: Column, more: Column) -> Column:
+    return F.when(more.isNull(), base).otherwise(F.sort_array(F.concat(base, more)))
+
+
+def searched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per row doc_id, copy, counts and base spans; per document the spans discovered), both written."""
     folder = scratch.new_folder(docs.sparkSession, "pii")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    p = located(d, (*KINDS, "id"))
-    span = "array<struct<start:int,rank:int,end:int,kind:string>>"
-    base = F.sort_array(F.concat(*[spans_of(k, i) for i, k in enumerate(KINDS)]).cast(span))
+    d = _texts(docs)
+    p = located(d, (*KINDS, "id"), ["doc_id", "copy"])
     seeds = F.concat(*[F.transform(k, lambda x: F.struct(F.lit(1).alias("seed"), x.alias("x"))) for k in KINDS],
                      F.transform("id", lambda x: F.struct(F.lit(0).alias("seed"), x.alias("x"))))
-    told = scratch.stored(p.select("doc_id", "copy", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"),
+    told = scratch.stored(p.select("doc_id", "copy", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _base().alias("base"),
                                    seeds.alias("found")), f"{folder}/told")
     each = told.select("doc_id", "copy", F.explode("found").alias("o")).select("doc_id", "copy", "o.seed", "o.x.*")
     new = discover(each, d.select("text"), folder).groupBy("doc_id", "copy").agg(F.collect_list(F.struct(
-        F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit("id").alias("kind"))).cast(span).alias("more"))
-    new = new.toDF("n_doc", "n_copy", "more")
-    told = told.drop("found")
+        F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit("id").alias("kind"))).cast(SPAN).alias("more"))
+    return told.drop("found"), scratch.stored(new.toDF("n_doc", "n_copy", "more"), f"{folder}/new")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, copy (text hash), counts of the base kinds, ``base`` and ``all``
+    spans as arrays of (start, rank of the kind, end, kind) in order."""
+    told, new = searched(docs)
     joined = told.join(new, told["doc_id"].eqNullSafe(new["n_doc"]) & (told["copy"] == new["n_copy"]), "left")
-    return joined.select(*told.columns, F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))).alias("all"))
+    return joined.select(*told.columns, _with_new(F.col("base"), F.col("more")).alias("all"))
 
 
 def only_valid(kind: str) -> Column:
@@ -197,32 +215,38 @@ def spans_of(kind: str, rank: int) -> Column:
     return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def located(d: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """doc_id, copy and for each kind the array of its valid matches."""
-    p = placed(d, kinds, ["doc_id", "copy"])
-    return p.select("doc_id", "copy", *[only_valid(k).alias(k) for k in kinds])
+def located(d: DataFrame, kinds: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and for each kind the array of its valid matches."""
+    return placed(d, kinds, keep).select(*keep, *[only_valid(k).alias(k) for k in kinds])
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; all columns
-    as they came (``n_chars``, if there is one, follows the text)."""
-    folder = scratch.new_folder(docs.sparkSession, "pii-redact")
-    spans = find(docs).where(F.size("all") > 0).dropDuplicates(["doc_id", "copy"])
-    spans = scratch.stored(spans.select(F.col("doc_id").alias("_p_doc"), F.col("copy").alias("_p_copy"), F.col("all").alias("_p_all")), f"{folder}/spans")
-    rows = docs.withColumn("_p_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_p_doc")) & (F.col("_p_key") == F.col("_p_copy")), "left")
+    as they came (``n_chars``, if there is one, follows the text).
+
+    Base spans are found where the text is; only spans discovered elsewhere in
+    the corpus, if there are any, are joined to it."""
+    _, new = searched(docs)
+    d = _texts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    d = located(d, KINDS, ["_row", "doc_id", "copy"]).select("_row", "doc_id", "copy", _base().alias("base"))
+    if new.isEmpty():
+        d = d.withColumn("all", F.col("base"))
+    else:
+        d = d.join(new, d["doc_id"].eqNullSafe(new["n_doc"]) & (d["copy"] == new["n_copy"]), "left")
+        d = d.withColumn("all", _with_new(F.col("base"), F.col("more")))
     # spans that overlap: the first one's kind stands for all they cover
-    fold = F.aggregate("_p_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, x: F.when(
-        x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring("text", a["at"] + 1, x["start"] - a["at"]),
+    old = F.col("_row.text")
+    fold = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, x: F.when(
+        x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(old, a["at"] + 1, x["start"] - a["at"]),
                                                                        F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out")))
         .otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))))
-    rows = rows.withColumn("_p_fold", fold)
-    text = F.when(F.col("_p_all").isNull(), F.col("text")).otherwise(
-        F.concat("_p_fold.out", F.substring("text", F.col("_p_fold.at") + 1, F.char_length("text"))))
-    rows = rows.withColumn("text", text)
+    d = d.select("_row", F.size("all").alias("_n"), F.when(F.size("all") > 0, fold).alias("_fold"))
+    d = d.withColumn("_text", F.when(F.col("_n") > 0, F.concat("_fold.out", F.substring(
+        old, F.col("_fold.at") + 1, F.char_length(old)))).otherwise(old))
+    out = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_p_all").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("_n") > 0, F.char_length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[v.alias(c) for c, v in out.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[^#*$%&|<>]+"
 MAX_DOCS, MIN_WORDS, MIN_LEFT, MAX_REPEAT = 200, 10, 0.2, 20
+FEW_LINES = 5000  # frequent lines that are carried to the texts
 
 
 def words_of(text: Column) -> Column:
@@ -48,13 +49,16 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
-def measured(docs: DataFrame, max_repeat: int = MAX_REPEAT, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: base counts, line hashes and words per line."""
+def measured(docs: DataFrame, max_repeat: int = MAX_REPEAT, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """One row per document: base counts, line hashes and words per line
+    (``whole``: and the row itself as ``_row``)."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"),
-                    F.coalesce(F.col("text"), F.lit("")).alias("text"))
+                    F.coalesce(F.col("text"), F.lit("")).alias("text"), *row)
+    row = ["_row"] if whole else []
     d = d.select("*", words_of(F.col("text")).alias("w"), lines_of(F.col("text")).alias("lines"))
     n = F.size("w")
-    d = d.select("doc_id", "host", F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2"),
+    d = d.select(*row, "doc_id", "host", F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2"),
                  n.cast("long").alias("n_words"),
                  F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
                  F.char_length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -91,10 +95,19 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT,
           max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Per document its counts, the hashes of its removed lines, and whether it is kept."""
+    m, often = _tables(docs, max_docs, min_words, max_repeat)
+    return _verdicts(m, often, min_words, min_left)
+
+
+def _tables(docs: DataFrame, max_docs: int, min_words: int, max_repeat: int) -> tuple[DataFrame, DataFrame]:
+    """The measures and the frequent lines, both written (so that their sizes are known)."""
     folder = scratch.new_folder(docs.sparkSession, "quality")
     m = scratch.stored(measured(docs, max_repeat, min_words), f"{folder}/measured")
-    # written, so that its size is known: small enough it is broadcast, else joined by shuffle
-    often = scratch.stored(frequent_lines(m, max_docs), f"{folder}/frequent")
+    return m, scratch.stored(frequent_lines(m, max_docs), f"{folder}/frequent")
+
+
+def _verdicts(m: DataFrame, often: DataFrame, min_words: int, min_left: float) -> DataFrame:
+    # the frequent lines are broadcast by Spark if their file is small, else joined by shuffle
     row = ["doc_id", "host", "copy"]
     lines = m.select(*row, F.posexplode(F.arrays_zip("line_keys", "line_words")).alias("pos", "x")) \
              .select(*row, "pos", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("n"))
@@ -112,25 +125,52 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS,
                        (~F.col("base_failed") & ~depleted).alias("kept"), F.col("r_removed").alias("removed"), left.alias("words_left"))
 
 
-def clean(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, without their removed lines; columns as they came.
-
-    ``n_chars``, if there is one, follows the text."""
-    folder = scratch.new_folder(docs.sparkSession, "quality-clean")
-    told = judge(docs, **limits).where(~F.col("kept") | F.col("removed").isNotNull())
-    told = scratch.stored(told.select(*[F.col(c).alias(f"_q_{c}") for c in ("doc_id", "host", "copy", "kept", "removed")]).dropDuplicates(
-        ["_q_doc_id", "_q_host", "_q_copy"]), f"{folder}/told")
-    copy = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_q_key", copy)
-    rows = rows.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_q_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_q_host"))
-                     & (F.col("_q_key") == F.col("_q_copy")), "left")
-    rows = rows.where(F.coalesce("_q_kept", F.lit(True)))
-    text = F.when(F.col("_q_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
-        F.split("text", "\n"), lambda x: ~(F.array_contains("_q_removed", line_key(x)) & x.rlike(WORD))), "\n"))
-    rows = rows.withColumn("text", text)
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT,
+          max_repeat: int = MAX_REPEAT, few_lines: int = FEW_LINES) -> DataFrame:
+    """The documents that are kept, without their removed lines; columns as they
+    came (``n_chars``, if there is one, follows the text).
+
+    Up to ``few_lines`` frequent lines are brought to the texts by host
+    (a broadcast of that bound), and the verdict is made where the text is; of
+    more, the verdicts are made on the compact table and joined to the texts."""
+    m, often = _tables(docs, max_docs, min_words, max_repeat)
+    if often.count() <= few_lines:
+        rows = _marked_in_place(docs, often, min_words, min_left, max_repeat)
+    else:
+        rows = _marked_by_join(docs, m, often, min_words, min_left)
+    text = F.when(F.size("removed") > 0, F.array_join(F.filter(
+        F.split("_row.text", "\n"), lambda x: ~(F.array_contains("removed", line_key(x)) & x.rlike(WORD))), "\n")).otherwise(F.col("_row.text"))
+    rows = rows.select("_row", "removed", text.alias("_text"))
+    out = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_q_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        out["n_chars"] = F.when(F.size("removed") > 0, F.char_length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in out.items()])
+
+
+def _marked_in_place(docs: DataFrame, often: DataFrame, min_words: int, min_left: float, max_repeat: int) -> DataFrame:
+    """Kept rows (``_row``) and the hashes of their lines to remove, without a shuffle of texts."""
+    hosts = often.groupBy("host").agg(F.collect_list(F.struct("line", "first_doc")).alias("held")).withColumnRenamed("host", "o_host")
+    d = measured(docs, max_repeat, min_words, whole=True).where("not base_failed")
+    d = d.join(F.broadcast(hosts), d["host"].eqNullSafe(F.col("o_host")), "left")
+    mine = F.transform(F.filter("held", lambda x: ~x["first_doc"].eqNullSafe(F.col("doc_id"))), lambda x: x["line"])
+    none = F.array().cast("array<bigint>")
+    d = d.withColumn("removed", F.when(F.col("held").isNull(), none).otherwise(F.array_intersect("line_keys", mine)))
+    lost = F.when(F.size("removed") > 0, F.aggregate(F.zip_with("line_keys", "line_words", lambda k, n: F.when(
+        F.array_contains("removed", k), n).otherwise(0)), F.lit(0), lambda a, x: a + x)).otherwise(0)
+    d = d.withColumn("lost", lost)
+    left = F.col("n_words") - F.col("lost")
+    return d.where((F.col("lost") == 0) | ((left >= min_words) & (left >= min_left * F.col("n_words")))).select("_row", "removed")
+
+
+def _marked_by_join(docs: DataFrame, m: DataFrame, often: DataFrame, min_words: int, min_left: float) -> DataFrame:
+    """The same from the verdicts, joined to the texts by doc_id, host and text hash."""
+    told = _verdicts(m, often, min_words, min_left).where(~F.col("kept") | F.col("removed").isNotNull())
+    told = told.select("doc_id", "host", "copy", "kept", "removed").dropDuplicates(["doc_id", "host", "copy"]).toDF("t_doc", "t_host", "t_copy", "t_kept", "removed")
+    told = scratch.stored(told, f"{scratch.new_folder(docs.sparkSession, 'quality-told')}/told")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    d = d.join(told, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("t_doc")) & F.col("_row.source").cast("string").eqNullSafe(F.col("t_host"))
+               & (F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("t_copy")), "left")
+    return d.where(F.coalesce("t_kept", F.lit(True))).select("_row", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
