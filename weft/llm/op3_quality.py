@@ -150,7 +150,7 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS,
 def _marked_in_place(docs: DataFrame, often: DataFrame, min_words: int, min_left: float, max_repeat: int) -> DataFrame:
     """Kept rows (``_row``) and the hashes of their lines to remove, without a shuffle of texts."""
     hosts = often.groupBy("host").agg(F.collect_list(F.struct("line", "first_doc")).alias("held")).withColumnRenamed("host", "o_host")
-    d = measured(docs, max_repeat, min_words, whole=True).where("not base_failed")
+    d = measured(docs, max_repeat, min_words, whole=True)
     d = d.join(F.broadcast(hosts), d["host"].eqNullSafe(F.col("o_host")), "left")
     mine = F.transform(F.filter("held", lambda x: ~x["first_doc"].eqNullSafe(F.col("doc_id"))), lambda x: x["line"])
     none = F.array().cast("array<bigint>")
@@ -159,7 +159,10 @@ def _marked_in_place(docs: DataFrame, often: DataFrame, min_words: int, min_left
         F.array_contains("removed", k), n).otherwise(0)), F.lit(0), lambda a, x: a + x)).otherwise(0)
     d = d.withColumn("lost", lost)
     left = F.col("n_words") - F.col("lost")
-    return d.where((F.col("lost") == 0) | ((left >= min_words) & (left >= min_left * F.col("n_words")))).select("_row", "removed")
+    kept = ~F.col("base_failed") & ((F.col("lost") == 0) | ((left >= min_words) & (left >= min_left * F.col("n_words"))))
+    # a filter on these columns would be pushed below them, written out in full and
+    # computed anew for each line; a row number that it needs keeps it above them
+    return d.withColumn("at", F.monotonically_increasing_id()).where((F.col("at") >= 0) & kept).select("_row", "removed")
 
 
 def _marked_by_join(docs: DataFrame, m: DataFrame, often: DataFrame, min_words: int, min_left: float) -> DataFrame:
