@@ -78,8 +78,9 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def fixed1(x: Column) -> Column:
-    """one decimal place as text (display only)."""
-    return F.format_string("%.1f", x)
+    """one decimal place as text (display only), halves to the even digit
+    as Python prints them."""
+    return F.format_string("%.1f", F.bround(x.cast("double"), 1))
 
 
 def complexity_band(c: Column) -> Column:

@@ -47,15 +47,14 @@ def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0,
     key_type = events.schema["source_agent"].dataType.simpleString()
     out = S.HEARTBEAT_OUT.replace("agent_id long", f"agent_id {key_type}")
     beats = events.select(F.col("source_agent").alias("agent_id"), "seq", "ts",
-                          F.unix_micros("ts").alias("ts_us"),
-                          *([] if agents is None else ["event_type", "new_state", "task_id"])).groupBy("agent_id")
+                          F.unix_micros("ts").alias("ts_us"), "event_type", "new_state", "task_id")
+    processor = S.HeartbeatProcessor(timeout_s)
     if agents is None:
-        alerts = beats.transformWithStateInPandas(S.HeartbeatProcessor(timeout_s), out, "Append", "EventTime")
-    else:
-        init = agents.select("agent_id", "state").groupBy("agent_id")
-        alerts = beats.transformWithStateInPandas(S.RegisteredHeartbeatProcessor(timeout_s), out, "Append",
-                                                  "EventTime", initialState=init)
-    return (alerts
+        beats = beats.drop("event_type", "new_state", "task_id")
+    else:  # a stream-static join: the registry is read with each batch
+        beats = beats.join(agents.select("agent_id", F.col("state").alias("reg_state")), "agent_id")
+        processor = S.RegisteredHeartbeatProcessor(timeout_s)
+    return (beats.groupBy("agent_id").transformWithStateInPandas(processor, out, "Append", "EventTime")
             .select("agent_id", F.timestamp_micros("last_seen_us").alias("last_seen"), "kind"))
 
 

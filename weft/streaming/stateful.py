@@ -170,23 +170,21 @@ class HeartbeatProcessor(StatefulProcessor):
 
 
 class RegisteredHeartbeatProcessor(HeartbeatProcessor):
-    """T3 as the monitor applies it: only registered agents (the initial
-    state), and none while its state, folded from its events, is error."""
+    """T3 as the monitor applies it, on the events of registered agents (each
+    row carries the registry's ``reg_state``): no alert while an agent's
+    state, folded from its events, is error."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.reg = handle.getValueState("registered", StructType([StructField("state", StringType())]))
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        self.reg.update((str(initialState.iloc[0]["state"]),))
-
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows)
-        if pdf.empty or not self.reg.exists():
+        if pdf.empty:
             return iter([])
-        (state,) = self.reg.get()
+        state = self.reg.get()[0] if self.reg.exists() else str(pdf["reg_state"].iloc[0])
         # the state before each event, and after the last one
-        known = np.r_[state, effects(pdf)].astype(object)
+        known = np.concatenate(([state], effects(pdf))).astype(object)
         at = np.maximum.accumulate(np.where(known != "", np.arange(len(known)), 0))
         folded = known[at]
         stored, alerted = self.st.get() if self.st.exists() else (None, False)
