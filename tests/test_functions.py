@@ -59,9 +59,9 @@ def test_lookup_ratio_clamp_numbering(spark):
                   sc.clamp(F.col("n") * 5, 0, 10).alias("cl"),
                   sc.top_numbered(F.col("recs"), 3).alias("top"),
                   sc.or_na(F.col("s")).alias("na"),
-                  sc.fixed1(F.lit(2.25)).alias("f")).collect()[0]
+                  F.array(sc.fixed1(F.lit(2.25)), sc.fixed1(F.lit(2.75))).alias("f")).collect()[0]
     assert (r["hit"], r["miss"], r["zero"], r["half"], r["cl"]) == ("v", "d", None, 1.5, 10)
-    assert r["top"] == ["1. a", "2. b", "3. c"] and r["na"] == "N/A" and r["f"] == "2.3"
+    assert r["top"] == ["1. a", "2. b", "3. c"] and r["na"] == "N/A" and r["f"] == [f"{2.25:.1f}", f"{2.75:.1f}"]
 
 
 def test_to_json_text(spark):
