@@ -71,6 +71,62 @@ def test_small_regions_and_deep_levels_still_find_a_dense_group(spark, monkeypat
     assert sum(got[i] != want[i] for i in want) <= 2
 
 
+def changed(r, words, n, mark):
+    """The words with n of them, far from each other, replaced by new ones."""
+    w, step = list(words), len(words) // n
+    for j in range(n):
+        w[j * step + r.randrange(step - 5)] = f"{mark}v{j}"
+    return w
+
+
+def plain_links(rows, k, threshold=80):
+    """The component of each row by all pairs; shingles of one row alone can't be in an intersection."""
+    import numpy as np
+
+    sets = {i: {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} for i, w in rows}
+    n = collections.Counter(g for s in sets.values() for g in s)
+    at = {g: j for j, g in enumerate(g for g in n if n[g] > 1)}
+    ids = sorted(sets)
+    m = np.zeros((len(ids), len(at)), np.float32)
+    for x, i in enumerate(ids):
+        m[x, [at[g] for g in sets[i] if g in at]] = 1
+    same, size = m @ m.T, np.array([len(sets[i]) for i in ids])
+    link = 100 * same >= threshold * (size[:, None] + size[None, :] - same)
+    np.fill_diagonal(link, True)
+    root = np.arange(len(ids))
+    while True:
+        new = np.array([root[row].min() for row in link])
+        if (new == root).all():
+            return {i: ids[root[x]] for x, i in enumerate(ids)}
+        root = new
+
+
+def test_crowd_around_a_hub_and_chains_out_of_it_match_all_pairs(spark):
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(203)]
+    copies = [changed(r, base, 5, f"c{i}") for i in range(3000)]      # 0.81 to the base, less to each other
+    tails = [changed(r, copies[i], 4, f"t{i}") for i in range(25)]    # linked to one copy alone
+    rows = [base, *copies, *tails]
+    r.shuffle(rows)
+    rows = [(500 + i, w) for i, w in enumerate(rows)]
+    docs = D.frame(spark, [(i, " ".join(w), None, None) for i, w in rows])
+    got = {x["doc_id"]: x["component_id"] for x in forest.near_duplicates(docs).collect()}
+    want = plain_links(rows, 4)
+    assert len(set(want.values())) == 1 and got == want
+
+
+def test_crowd_without_a_hub_finds_its_few_links(spark):
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(203)]
+    copies = [changed(r, base, 6, f"c{i}") for i in range(300)]       # no two at the threshold
+    tails = [changed(r, copies[i], 4, f"t{i}") for i in range(40)]
+    rows = [(500 + i, w) for i, w in enumerate(copies + tails)]
+    docs = D.frame(spark, [(i, " ".join(w), None, None) for i, w in rows])
+    got = {x["doc_id"]: x["component_id"] for x in forest.near_duplicates(docs).collect()}
+    want = plain_links(rows, 4)
+    assert len(set(want.values())) > 200 and got == want
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     docs = D.frame(spark, [(None, "a b c d e", None, None), (4, "a b c d e", None, None), (4, "a b c d e", None, None), (9, "A B c d e", None, None), (5, None, None, None)])
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in forest.near_duplicates(docs).collect())

@@ -9,9 +9,9 @@ orders the classes by the signature read from its t-th block on (and on round
 the end), so that neighbours in the order share the longest prefix. A region is
 the classes that share a prefix. Depth adapts by region: a region of at most
 ``REGION`` classes is small enough that all its pairs are candidates; a larger
-one offers each member its link to one member drawn by hash (another in each
-tree) and is cut by a longer prefix. What still is large at the last depth
-agrees in ``LEVELS[-1]`` values and is left with those links.
+one (a crowd) offers each member its link to one member drawn by hash (another
+in each tree) and to its hub, the member whose shingles are the commonest, and is cut
+by a longer prefix.
 
 *Confirmation.* Candidates whose lengths or 1-bit sketches exclude the threshold
 by a wide margin go; the rest is confirmed on the full sets, computed from the
@@ -20,10 +20,17 @@ nearest smaller candidate; components of what holds are contracted, and only
 candidates between different components are compared after that, so a dense
 group costs about one comparison a member.
 
+*Crowds.* Two classes that share a region and were not compared stood in a crowd,
+both of them. So the classes that ever stood in one are joined exactly: each
+gives its rarest shingles, as many as any partner at the threshold must share one
+of, and those of different components that share one, at places and of lengths
+that allow the threshold, are confirmed too. Common shingles are dealt out by
+salt. Shingles are ordered by counts of their hash slots; any order is right, a
+good one makes few candidates.
+
 A pair of similarity s is missed by every tree with probability at most
-``(1 - s^2)^16`` (8e-8 at 0.8) where regions are small, and where all regions of
-both are cut down to depth d with ``(1 - s^d)^16``; it then may still be joined
-through others. Confirmed links are exact.
+``(1 - s^2)^16`` (8e-8 at 0.8), whatever the sizes of its regions; it then may
+still be joined through others. Confirmed links are exact.
 
 Edge cases: a document without words has no shingles and stands alone; fewer
 words than ``k`` are one shingle; a null doc_id links with nothing (component
@@ -49,6 +56,8 @@ U = np.uint64
 TREES, DEPTH = 16, 8
 LEVELS = (2, 3, 4, 6, 8, 12, 16, 24)
 REGION = 12
+SLOTS = 20  # bits of a shingle hash that are counted
+SHARE = 512  # rows of a common shingle that meet all others in one task
 SLACK = 40  # of 128 sketch bits: a pair at 0.8 differs in 12.8, 40 is eight deviations more
 
 
@@ -123,12 +132,21 @@ def featured(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, FEATURES_DDL)
 
 
-def forest_pairs(classes: DataFrame, folder: str, threshold: int = 80) -> DataFrame:
-    """Candidate pairs (a < b, diff) of classes (rep, n, s1, s2, sig), each once."""
+def near_enough(both: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a < b, diff) of (x, y) whose lengths and sketches allow the threshold."""
+    diff = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    return both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), diff.alias("diff"),
+                       F.least("x.n", "y.n").alias("lo"), F.greatest("x.n", "y.n").alias("hi")) \
+               .where((F.col("a") < F.col("b")) & (F.col("diff") <= SLACK) & (100 * F.col("lo") >= threshold * F.col("hi"))).select("a", "b", "diff")
+
+
+def forest_pairs(classes: DataFrame, folder: str, threshold: int = 80) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs (a < b, diff) of classes (rep, n, s1, s2, sig), and by level the
+    rows (region, rep, n, s1, s2) of its crowds."""
     sig2 = F.concat("sig", "sig")
     rows = classes.select("rep", "n", "s1", "s2", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(
         sig2, 4 * DEPTH * t + 1, 4 * max(LEVELS)))).alias("tree", "label"))
-    pairs = None
+    pairs, crowds = None, []
     for i, d in enumerate(LEVELS):
         keyed = rows.withColumn("region", F.xxhash64("tree", F.substring("label", 1, 4 * d)))
         lead = F.min(F.struct(F.xxhash64("rep", "tree").alias("h"), F.col("rep"), "n", "s1", "s2"))
@@ -138,16 +156,83 @@ def forest_pairs(classes: DataFrame, folder: str, threshold: int = 80) -> DataFr
         small = small.select(F.posexplode("m").alias("i", "y"), "m").select("y", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("x"))
         large = found.where(F.col("members") > REGION)
         star = large.select(F.struct("rep", "n", "s1", "s2").alias("y"), F.struct("l.rep", "l.n", "l.s1", "l.s2").alias("x"))
-        both = small.select("x", "y").union(star.select("x", "y"))
-        diff = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-        near = both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), diff.alias("diff"),
-                           F.least("x.n", "y.n").alias("lo"), F.greatest("x.n", "y.n").alias("hi")) \
-                   .where((F.col("a") < F.col("b")) & (F.col("diff") <= SLACK) & (100 * F.col("lo") >= threshold * F.col("hi"))).select("a", "b", "diff")
+        near = near_enough(small.select("x", "y").union(star.select("x", "y")), threshold)
         pairs = near if pairs is None else pairs.union(near)
         rows = large.select("rep", "n", "s1", "s2", "tree", "label")
         if rows.isEmpty():
             break
-    return scratch.stored(pairs.distinct(), f"{folder}/pairs")
+        crowds.append(large.select("region", "rep", "n", "s1", "s2"))
+    return pairs, crowds
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` (id, shingles) fall into each of ``2 ** SLOTS`` slots."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOTS, np.int64)
+        for b in batches:
+            for x in b.column(1):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), U) >> U(64 - SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    got = sets.mapInArrow(make, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def hub_pairs(crowds: list[DataFrame], sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
+    """Candidate pairs of each member of a crowd with its hub, the member nearest to what they have in common."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = []
+            for x in b.column(1):
+                s = np.frombuffer(x.as_buffer(), U)
+                score.append(float(counts[(s >> U(64 - SLOTS)).astype(np.int64)].sum() / np.sqrt(len(s))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["rep", "score"])
+
+    scores = sets.mapInArrow(make, "rep long, score double")
+    pairs = None
+    for large in crowds:
+        hubs = large.join(scores, "rep").groupBy("region").agg(F.max(F.struct("score", "rep", "n", "s1", "s2")).alias("h"))
+        star = large.join(hubs, "region").select(F.struct("h.rep", "h.n", "h.s1", "h.s2").alias("x"), F.struct("rep", "n", "s1", "s2").alias("y"))
+        near = near_enough(star, threshold)
+        pairs = near if pairs is None else pairs.union(near)
+    return pairs
+
+
+def rarest(sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
+    """(id, n, at, token): of each set the rarest shingles and their places, one of
+    which any set at the threshold shares."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("token", pa.int64())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                s = np.frombuffer(x.as_buffer(), U)
+                n = len(s)
+                m = n + 1 - -(-threshold * n // 100)
+                top = s[np.lexsort((s, counts[(s >> U(64 - SLOTS)).astype(np.int64)]))[:m]]
+                yield scratch.arrow_batch(schema, id=np.full(len(top), i, np.int64), n=np.full(len(top), n, np.int64), at=np.arange(len(top)), token=top.view(np.int64))
+
+    return sets.mapInArrow(make, "id long, n long, at long, token long")
+
+
+def crowd_pairs(sets: DataFrame, comp: DataFrame, counts: np.ndarray, folder: str, threshold: int) -> DataFrame:
+    """All pairs (a < b, ca, cb) of ``sets`` (id, shingles) in different components ``comp``
+    (id, comp) that can reach the threshold, each once."""
+    rows = scratch.stored(rarest(sets, counts, threshold).join(comp, "id"), f"{folder}/rarest")
+    shared = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    rows = scratch.stored(rows.join(shared.select("token", F.ceil(F.col("m") / SHARE).alias("parts")), "token"), f"{folder}/shared")
+    x = rows.select("token", F.pmod(F.xxhash64("id"), "parts").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "comp")])
+    y = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "comp")])
+    # what the two can share from their first common shingle on
+    most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    fits = (F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & (most * (100 + threshold) >= threshold * (F.col("x_n") + F.col("y_n")))
+    pairs = x.join(y, ["token", "part"]).where(fits).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_comp").alias("ca"), F.col("y_comp").alias("cb"))
+    return scratch.stored(pairs.distinct(), f"{folder}/crowd-pairs")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -192,9 +277,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFra
     classes = feats.where("n > 0 and doc_id is not null").groupBy(*key).agg(
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("s1", "s2", "sig")])
     classes = scratch.stored(classes, f"{folder}/classes")
-    pairs = forest_pairs(classes.select("rep", "n", "s1", "s2", "sig"), folder, threshold)
-    ids = scratch.stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{folder}/ids")
+    pairs, crowds = forest_pairs(classes.select("rep", "n", "s1", "s2", "sig"), folder, threshold)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    if crowds:  # the first level has every class that stands in one
+        crowded = scratch.stored(crowds[0].select(F.col("rep").alias("id")).distinct(), f"{folder}/crowded")
+        ids = ids.union(crowded)
+    ids = scratch.stored(ids.distinct(), f"{folder}/ids")
     sets = scratch.stored(set_table(docs, ids, k), f"{folder}/sets")
+    if crowds:
+        crowd_sets = scratch.stored(sets.join(crowded, "id", "left_semi"), f"{folder}/crowd-sets")
+        counts = slot_counts(crowd_sets)
+        pairs = pairs.union(hub_pairs(crowds, crowd_sets, counts, threshold))
+    pairs = scratch.stored(pairs.distinct(), f"{folder}/pairs")
     # first every class with its nearest smaller candidate
     nearest = pairs.groupBy("b").agg(F.min(F.struct("diff", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     first = scratch.stored(confirmed(nearest, sets, threshold), f"{folder}/first")
@@ -207,8 +301,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFra
     second = confirmed(rest, sets, threshold).join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     over = components(second, f"{folder}/cc2")
     top = classes.select(*key, "rep").join(roots.toDF("rep", "r1"), "rep", "left").withColumn("r1", F.coalesce("r1", "rep")) \
-                 .join(over.toDF("r1", "r2"), "r1", "left").select(*key, F.coalesce("r2", "r1").alias("component"))
+                 .join(over.toDF("r1", "r2"), "r1", "left").select(*key, "rep", F.coalesce("r2", "r1").alias("component"))
     top = scratch.stored(top, f"{folder}/top")
+    if crowds:  # and all that crowds may have left between different components
+        more = crowd_pairs(crowd_sets, top.select(F.col("rep").alias("id"), F.col("component").alias("comp")), counts, folder, threshold)
+        third = confirmed(more, crowd_sets, threshold).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        last = components(third, f"{folder}/cc3")
+        top = scratch.stored(top.join(last.toDF("component", "r3"), "component", "left").select(*key, F.coalesce("r3", "component").alias("component")), f"{folder}/top3")
+    top = top.select(*key, "component")
     own = feats.select("doc_id", *key).join(top, key, "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
