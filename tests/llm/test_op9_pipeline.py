@@ -180,6 +180,19 @@ def test_pipeline_stages_take_effect(spark):
     assert collections.Counter(packed.groupby("sequence_id").length.sum() > 1024)[True] == 0
 
 
+def test_pipeline_keeps_one_of_a_large_group_linked_through_its_original(spark):
+    import corpus_pipeline as pipe
+
+    r = random.Random(13)
+    base = [f"b{i}" for i in range(100)]
+    rows = [base] + [changed(r, base, 2, f"c{i}") for i in range(1000)]
+    other = [f"o{i}" for i in range(100)]
+    docs = D.frame(spark, [(700 + i, " ".join(w), None, None) for i, w in enumerate([*rows, other])])
+    assert len(set(plain_links(list(enumerate(rows)), 5).values())) == 1
+    left = pipe.near_duplicates(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(x["doc_id"] for x in left.collect()) == [700, 1701]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_empty_and_odd_tables(spark, stage):
     import corpus_pipeline as pipe

@@ -177,8 +177,8 @@ def slot_counts(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
     got = sets.mapInArrow(make, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SLOTS, np.int64)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    out = np.zeros(1 << SLOTS, np.int32)
+    out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
@@ -190,7 +190,7 @@ def hub_pairs(crowds: list[DataFrame], sets: DataFrame, counts: np.ndarray, thre
             score = []
             for x in b.column(1):
                 s = np.frombuffer(x.as_buffer(), U)
-                score.append(float(counts[(s >> U(64 - SLOTS)).astype(np.int64)].sum() / np.sqrt(len(s))))
+                score.append(float(counts[(s >> U(64 - SLOTS)).astype(np.int64)].sum(dtype=np.int64) / np.sqrt(len(s))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["rep", "score"])
 
     scores = sets.mapInArrow(make, "rep long, score double")
