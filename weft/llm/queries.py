@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_kneser_ney, op2_pii, op3_quality, op4_packing, op5_string_tiling, op6_chat_repair, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store
+from weft.llm import op1_kneser_ney, op2_pii, op3_quality, op4_packing, op5_string_tiling, op6_chat_repair, op7_language, op8_toxicity, op9_lsh_forest, op10_token_store, op12_line_dedup, op13_fill_in_middle
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney.query,
@@ -15,7 +15,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.query,
     "op9_lsh_forest": op9_lsh_forest.query,
     "op10_token_store": op10_token_store.query,
+    "op12_line_dedup": op12_line_dedup.query,
+    "op13_fill_in_middle": op13_fill_in_middle.query,
 }
 ORACLE = {
     "op3_quality": op3_quality.ORACLE,
+    "op12_line_dedup": op12_line_dedup.ORACLE,
+    "op13_fill_in_middle": op13_fill_in_middle.ORACLE,
 }
