@@ -8,7 +8,9 @@ subqueries (each evaluated once) rather than joins of one-row tables.
 from __future__ import annotations
 
 import logging
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from weft.session import scratch_path
 from weft.functions.scalar import (file_name, get_or, issues_band, or_na, quality_band, seconds_between,
                                    short_date, stars)
 from weft.operators.tasks import PRIORITY_LABELS
+from weft.plans.isolate import failed_rows, message_of, run_isolated, spread
 
 log = logging.getLogger(__name__)
 
@@ -70,33 +73,58 @@ Analyzer = Callable[[DataFrame], DataFrame]
 
 
 def combine_analyzers(docs: DataFrame, analyzers: Mapping[str, Analyzer],
-                      key: str = "doc_id") -> DataFrame:
-    """Run each named analyzer (``docs -> (key, detail)``) and union
-    the outcomes. Each analyzer is run and written by itself under the shared
-    folder; one that fails, when its plan is built or while it runs, becomes
-    one error row per document (with its whole message) and the others stand.
-    Analyzers that share measures should take a table of them as ``docs``, so
-    that the texts are read once."""
+                      key: str = "doc_id", max_errors: int = 100) -> DataFrame:
+    """Run each named analyzer (``docs -> (key, detail)``, row by row)
+    and union the outcomes. Analyzers run at the same time, each in one pass of
+    its own, written under the shared folder. Where one fails, only the
+    documents it fails for become error rows (with the whole message): see
+    :mod:`weft.plans.isolate`, also for ``max_errors``. One whose plan can't be
+    built fails for all documents. Analyzers that share measures should take a
+    table of them as ``docs``, so that the texts are read once."""
     spark = docs.sparkSession
     base = scratch_path(spark, f"analyzers/{uuid.uuid4().hex[:12]}")
-    result = None
-    for i, (name, fn) in enumerate(analyzers.items()):
+    lock, copies = threading.Lock(), []
+
+    def places() -> DataFrame:
+        with lock:  # the sorted copy is written once, for all analyzers that fail
+            if not copies:
+                copies.append(spread(docs, key, f"{base}/rows"))
+            return copies[0]
+
+    def run(numbered: tuple[int, tuple[str, Analyzer]]) -> DataFrame:
+        i, (name, fn) = numbered
         path = f"{base}/{i}"
+        label = F.lit(name).alias("analyzer")
+
+        def step(rows: DataFrame) -> DataFrame:
+            return fn(rows).select(F.col(key), F.col("detail").cast("string"))
+
+        def errors(rows: DataFrame) -> DataFrame:
+            return rows.select(key, label, F.lit("error").alias("status"), F.lit(None).cast("string").alias("detail"), "error")
+
         try:
-            out = fn(docs).select(F.col(key), F.col("detail").cast("string"))
-            out.write.parquet(path)
-            out = spark.read.schema(out.schema).parquet(path)
-            out = out.select(key, F.lit(name).alias("analyzer"), F.lit("ok").alias("status"),
-                             "detail", F.lit(None).cast("string").alias("error"))
-        except Exception as e:  # noqa: BLE001 - isolate the failing analyzer
-            log.exception("analyzer %s failed", name)
-            out = docs.select(key, F.lit(name).alias("analyzer"), F.lit("error").alias("status"),
-                              F.lit(None).cast("string").alias("detail"),
-                              F.lit(f"{type(e).__name__}: {e}").alias("error"))
-        result = out if result is None else result.unionByName(out)
-    if result is None:
+            step(docs).schema
+        except Exception as e:  # noqa: BLE001 - no plan: the analyzer fails for every document
+            log.warning("analyzer %s: no plan: %s", name, e)
+            return errors(docs.select(key, F.lit(message_of(e)).alias("error")))
+        out = run_isolated(docs, step, path, places, max_errors)
+        good = None
+        if out.paths:
+            good = spark.read.schema(out.schema).parquet(*out.paths).select(
+                key, label, F.lit("ok").alias("status"), "detail", F.lit(None).cast("string").alias("error"))
+        bad = failed_rows(out)
+        if bad is not None:
+            good = errors(bad) if good is None else good.unionByName(errors(bad))
+        return good if good is not None else errors(docs.select(key, F.lit("").alias("error")).where("false"))
+
+    if not analyzers:
         return spark.createDataFrame([], docs.select(key).schema.add("analyzer", "string").add("status", "string")
                                      .add("detail", "string").add("error", "string"))
+    with ThreadPoolExecutor(len(analyzers)) as pool:
+        outcomes = list(pool.map(run, enumerate(analyzers.items())))
+    result = outcomes[0]
+    for out in outcomes[1:]:
+        result = result.unionByName(out)
     return result
 
 

@@ -103,6 +103,28 @@ def q_combine_failing(m):
     return out.select("doc_id", "analyzer", "status", "detail", F.col("error").isNotNull().alias("failed"))
 
 
+LONG_TEXT = 20_000  # code points the strict analyzer below can take
+
+
+@query("combine_analyzers_bad_rows", f"""WITH {METRICS_SQL}
+SELECT doc_id, 'complexity' AS analyzer, 'ok' AS status, printf('complexity=%d', complexity) AS detail, false AS failed FROM metrics
+UNION ALL
+SELECT doc_id, 'strict', CASE WHEN n_chars > {LONG_TEXT} THEN 'error' ELSE 'ok' END,
+       CASE WHEN n_chars <= {LONG_TEXT} THEN 'lines=' || CAST(lines_of_code AS VARCHAR) END, n_chars > {LONG_TEXT}
+FROM metrics JOIN documents USING (doc_id)""")
+def q_combine_bad_rows(m):
+    """An analyzer that raises on long texts fails for these alone."""
+    from weft.sources.tabular import written
+    docs = written(cp.code_metrics(m.raw("documents"), carry=("n_chars",)), "measures")
+
+    def strict(d):
+        too_long = F.raise_error(F.concat(F.lit("text too long: "), F.col("n_chars").cast("string")))
+        return d.select("doc_id", F.when(F.col("n_chars") > LONG_TEXT, too_long).otherwise(
+            F.concat(F.lit("lines="), F.col("lines_of_code").cast("string"))).alias("detail"))
+    out = rp.combine_analyzers(docs, {"complexity": analyzers()["complexity"], "strict": strict}, max_errors=10_000)
+    return out.select("doc_id", "analyzer", "status", "detail", F.col("error").isNotNull().alias("failed"))
+
+
 @query("recent_analyses", f"""WITH {METRICS_SQL}
 SELECT doc_id, strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%m/%d %H:%M') AS date,
        CAST(doc_id AS VARCHAR) AS file, quality_score, issues_found, rating,
