@@ -55,14 +55,7 @@ MARKUP_RULES = [
 DEF_PATTERN = r"(?m)^[ \t]*(async[ \t]+)?def[ \t]+[A-Za-z_][A-Za-z0-9_]*"
 CLASS_PATTERN = r"(?m)^[ \t]*class[ \t]+[A-Za-z_][A-Za-z0-9_]*"
 DEF_PARAMS_PATTERN = r"def[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*\(([^)]*)\)"
-IMPORT_PATTERN = r"(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][A-Za-z0-9_.]*)"
-STRIP_PATTERN = r"\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*"
-# The same strip for the JVM engine: the opening character is consumed once
-# and the branch chosen by lookbehind (same matches, one class test per
-# position instead of three alternatives).
-STRIP_PATTERN_JVM = r"(?d)[\"'#](?:(?<=\")[^\"\n]*\"|(?<=')[^'\n]*'|(?<=#)[^\n]*)"
 DECISION_KEYWORDS = ["if", "elif", "for", "while", "except", "and", "or", "case"]
-MAGIC_NUMBER_PATTERN = r"(?<![A-Za-z0-9_.])[0-9]{2,}(?![A-Za-z0-9_])"  # two or more digits, not inside a name
 
 # Score weights in half points (2.0 = 4 halves) and bands.
 WEIGHT_HALVES = {"secret": 4, "sql": 4, "command": 4, "complexity_over_10": 2,

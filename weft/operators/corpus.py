@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions import lexer as lx
 from weft.functions import rules as R
 from weft.functions.scalar import language_of, line_count
 
@@ -68,52 +69,41 @@ def rule_hits(text: Column, rule: str, pattern: str) -> Column:
     return F.when(may_match(text, rule, pattern), per_line).otherwise(F.lit(0))
 
 
-def stripped_text(text: Column) -> Column:
-    """The text without string literals and comments."""
-    return F.regexp_replace(text, R.STRIP_PATTERN_JVM, "")
+def definitions(code: Column, word: str, pattern: str) -> Column:
+    """Matches of ``pattern`` in code that has its word at all."""
+    return F.when(code.contains(word), F.regexp_count(code, F.lit(R.jvm(pattern)))).otherwise(0)
 
 
-def keyword_count(stripped: Column) -> Column:
-    """Decision keywords, as whole ASCII words, of a stripped text."""
-    kw = "|".join(R.DECISION_KEYWORDS)
-    first = "".join(sorted({k[0] for k in R.DECISION_KEYWORDS}))
-    return F.regexp_count(stripped, F.lit(
-        f"(?=[{first}])(?<![A-Za-z0-9_])(?:{kw})(?![A-Za-z0-9_])"))
-
-
-def max_depth(text: Column) -> Column:
-    """Deepest indentation level: leading spaces // 4, over all lines."""
-    runs = F.regexp_extract_all(text, F.lit(R.jvm("(?m)^ +")), 0)
-    longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
-    return F.coalesce(F.floor(longest / 4), F.lit(0)).cast("bigint")
-
-
-def long_param_defs(text: Column) -> Column:
+def long_param_defs(code: Column) -> Column:
     """Function signatures with at least LONG_PARAMETER_LIST parameters."""
-    params = F.regexp_extract_all(text, F.lit(R.DEF_PARAMS_PATTERN), 1)
-    return F.size(F.filter(params, lambda p: F.size(F.split(p, ",", -1)) >= R.LONG_PARAMETER_LIST))
+    params = F.regexp_extract_all(code, F.lit(R.DEF_PARAMS_PATTERN), 1)
+    long_ = F.size(F.filter(params, lambda p: F.size(F.split(p, ",", -1)) >= R.LONG_PARAMETER_LIST))
+    return F.when(code.contains("def"), long_).otherwise(0)
 
 
 def code_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text",
                  carry=()) -> DataFrame:
     """One row of measures per document. ``carry``
     columns (e.g. language, source, path) pass through the same projection,
-    so reports never join the measures back to the document table."""
-    docs = docs.select("*", stripped_text(F.col(text)).alias("__code"))  # shared by C3 and C7
-    t = F.col(text)
+    so reports never join the measures back to the document table. The lexer
+    reads each text twice (:mod:`weft.functions.lexer`): once for its code, once
+    for the code's tokens, which give complexity, numbers and nesting."""
+    docs = docs.select("*", lx.code_of(F.col(text)).alias("__code"))
+    docs = docs.select("*", lx.tokens(F.col("__code")).alias("__tokens"))
+    t, code, toks = F.col(text), F.col("__code"), F.col("__tokens")
     by_cat = {cat: rule_hits(t, rule, pat) for rule, cat, _, pat in R.SOURCE_RULES}
     measures = {
         "lines_of_code": line_count(t),
         "nonblank_lines": F.regexp_count(t, F.lit(NONBLANK_LINE)),
-        "function_count": F.regexp_count(t, F.lit(R.jvm(R.DEF_PATTERN))),
-        "class_count": F.regexp_count(t, F.lit(R.jvm(R.CLASS_PATTERN))),
-        "complexity": keyword_count(F.col("__code")) + 1,
+        "function_count": definitions(code, "def", R.DEF_PATTERN),
+        "class_count": definitions(code, "class", R.CLASS_PATTERN),
+        "complexity": lx.keyword_count(toks) + 1,
         "secret_findings": by_cat["secret"],
         "sql_findings": by_cat["sql"],
         "command_findings": by_cat["command"],
-        "max_depth": max_depth(t),
-        "magic_numbers": F.regexp_count(F.col("__code"), F.lit(R.MAGIC_NUMBER_PATTERN)),
-        "long_param_defs": long_param_defs(t),
+        "max_depth": lx.nesting(toks),
+        "magic_numbers": lx.number_count(toks),
+        "long_param_defs": long_param_defs(code),
     }
     base = docs.select(F.col(key).alias(key), *[F.col(c) for c in carry],
                        *[v.cast("bigint").alias(k) for k, v in measures.items()])
@@ -178,10 +168,34 @@ def markup_findings(pages: DataFrame, key: str = "page_id", text: str = "html")
             .where(F.col("matches") > 0))
 
 
+def import_statements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """C11: one row per imported name: (key, statement, item, level, module, name,
+    alias). ``import a.b as c, d`` has the modules a.b and d and no names;
+    ``from ..p import x as y, z`` has level 2, module p and the names x and z
+    (level 0: absolute; an empty module: the package itself). Statements in
+    strings and comments are none."""
+    code = lx.code_of(F.col(text))
+    found = F.when(F.contains(F.col(text), F.lit("import")), F.regexp_extract_all(code, F.lit(R.jvm(lx.IMPORT_STATEMENT)), 0))
+    st = docs.select(key, F.posexplode(found).alias("statement", "s"))
+    st = st.withColumn("s", F.regexp_replace("s", r"^[; \t\n]+", ""))
+    is_from = F.col("s").startswith("from")
+    origin = F.regexp_replace(F.regexp_extract("s", r"^from([A-Za-z0-9_. \t]*?)import[ \t(]", 1), r"[ \t]", "")
+    listed = F.regexp_replace(F.regexp_replace("s", r"^(from[A-Za-z0-9_. \t]*?[ \t.])?import", ""), r"[()\\\n\r]", " ")
+    st = st.select(key, "statement", is_from.alias("is_from"), origin.alias("origin"), F.posexplode(F.split(listed, ",")).alias("item", "i"))
+    first = F.regexp_extract("i", r"^[ \t]*([A-Za-z0-9_.*]+)", 1)
+    alias = F.regexp_extract("i", r"[ \t]as[ \t]+([A-Za-z0-9_]+)", 1)
+    dots = F.regexp_extract("origin", r"^[.]*", 0)
+    return st.where(first != "").select(
+        key, F.col("statement").cast("long").alias("statement"), F.col("item").cast("long").alias("item"), F.length(dots).cast("long").alias("level"),
+        F.when(F.col("is_from"), F.substr("origin", F.length(dots) + 1)).otherwise(first).alias("module"),
+        F.when(F.col("is_from"), first).alias("name"), F.nullif(alias, F.lit("")).alias("alias"))
+
+
 def imports_used(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """C11: modules imported per document (one row per import statement)."""
-    return docs.select(key, F.explode(F.regexp_extract_all(
-        F.col(text), F.lit(R.jvm(R.IMPORT_PATTERN)), 1)).alias("module"))
+    """C11: modules imported per document, relative ones with their dots: one row
+    per module of an ``import`` and per ``from`` statement."""
+    return import_statements(docs, key, text).where(F.col("name").isNull() | (F.col("item") == 0)).select(
+        key, F.concat(F.repeat(F.lit("."), F.col("level").cast("int")), "module").alias("module"))
 
 
 def import_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Catalog entries: corpus metrics and rule findings over ``documents`` and
 ``pages``. The SQL side spells each measure with RE2 functions."""
 
+from weft.functions import lexer as lx
 from weft.functions import rules as R
 from weft.operators import corpus as cp
 from weft.plans.catalog import query
@@ -10,6 +11,7 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+CODE_SQL = f"regexp_replace(text, {lit(lx.NO_CODE_RE2)}, '{lx.KEPT_RE2}', 'g')"
 LINES = "string_split(text, chr(10))"
 
 
@@ -28,21 +30,23 @@ BASE_SQL = f"""base AS (
   SELECT doc_id,
     CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines_of_code,
     CAST(len(list_filter({LINES}, lambda l: regexp_matches(l, {lit(cp.NONBLANK)}))) AS BIGINT) AS nonblank_lines,
-    CAST({count_sql(R.DEF_PATTERN)} AS BIGINT) AS function_count,
-    CAST({count_sql(R.CLASS_PATTERN)} AS BIGINT) AS class_count,
-    CAST(len(list_filter(regexp_extract_all(regexp_replace(text, {lit(R.STRIP_PATTERN)}, '', 'g'),
-                                            '[A-Za-z0-9_]+'), lambda w: w IN ({KW}))) + 1 AS BIGINT) AS complexity,
+    CAST({count_sql(R.DEF_PATTERN, 'code')} AS BIGINT) AS function_count,
+    CAST({count_sql(R.CLASS_PATTERN, 'code')} AS BIGINT) AS class_count,
+    CAST(len(list_filter(regexp_extract_all(code, '[A-Za-z0-9_]+'), lambda w: w IN ({KW}))) + 1 AS BIGINT) AS complexity,
     CAST({hits_sql(CAT['secret'])} AS BIGINT) AS secret_findings,
     CAST({hits_sql(CAT['sql'])} AS BIGINT) AS sql_findings,
     CAST({hits_sql(CAT['command'])} AS BIGINT) AS command_findings,
-    CAST(coalesce(list_max(list_transform({LINES},
-         lambda l: floor(length(regexp_extract(l, '^ *', 0)) / 4))), 0) AS BIGINT) AS max_depth,
+    CAST(list_reduce(list_prepend({{'o': 0, 'd': 0}}, list_transform(
+           regexp_extract_all(code || chr(10), {lit(lx.LAYOUT_RE2)}), lambda t: {{
+             'o': CASE WHEN t IN ('(', '[', '{{') THEN 1 WHEN t IN (')', ']', '}}') THEN -1 ELSE 0 END,
+             'd': CASE WHEN t[1] = ' ' AND t[-1] = ' ' THEN length(t) // 4 ELSE 0 END}})),
+         lambda a, x: {{'o': a.o + x.o, 'd': CASE WHEN a.o <= 0 THEN greatest(a.d, x.d) ELSE a.d END}}).d AS BIGINT) AS max_depth,
     -- runs of name characters that are numbers; one after a point is a fraction
-    CAST(len(list_filter(regexp_extract_all(regexp_replace(text, {lit(R.STRIP_PATTERN)}, '', 'g'), '[.]?[A-Za-z0-9_]+'),
+    CAST(len(list_filter(regexp_extract_all(code, '[.]?[A-Za-z0-9_]+'),
          lambda w: regexp_full_match(w, '[0-9][0-9]+'))) AS BIGINT) AS magic_numbers,
-    CAST(len(list_filter(regexp_extract_all(text, {lit(R.DEF_PARAMS_PATTERN)}, 1),
+    CAST(len(list_filter(regexp_extract_all(code, {lit(R.DEF_PARAMS_PATTERN)}, 1),
          lambda p: len(string_split(p, ',')) >= {R.LONG_PARAMETER_LIST})) AS BIGINT) AS long_param_defs
-  FROM documents)"""
+  FROM (SELECT *, {CODE_SQL} AS code FROM documents))"""
 
 W = R.WEIGHT_HALVES
 RECS = ", ".join(
@@ -107,10 +111,31 @@ def q_markup_findings(m):
     return cp.markup_findings(m.raw("pages"))
 
 
-@query("import_counts", f"""
-SELECT module, count(DISTINCT doc_id) AS documents, count(*) AS statements FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, {lit(R.IMPORT_PATTERN)}, 1)) AS module FROM documents)
-GROUP BY module""")
+def imports_sql(table: str, key: str) -> str:
+    """CTE ``imports``: one row per imported name, as ``import_statements`` gives them."""
+    return f"""statements AS (
+  SELECT {key}, unnest(range(len(l))) AS statement, regexp_replace(unnest(l), '^[; \\t\\n]+', '') AS s
+  FROM (SELECT {key}, regexp_extract_all({CODE_SQL}, {lit(lx.IMPORT_STATEMENT)}) AS l FROM {table})),
+listed AS (
+  SELECT {key}, statement, starts_with(s, 'from') AS is_from,
+         regexp_replace(regexp_extract(s, '^from([A-Za-z0-9_. \\t]*?)import[ \\t(]', 1), '[ \\t]', '', 'g') AS origin,
+         string_split(regexp_replace(regexp_replace(s, '^(from[A-Za-z0-9_. \\t]*?[ \\t.])?import', ''), '[()\\\\\\n\\r]', ' ', 'g'), ',') AS l
+  FROM statements),
+items AS (
+  SELECT {key}, statement, is_from, origin, length(regexp_extract(origin, '^[.]*')) AS level, unnest(range(len(l))) AS item, unnest(l) AS i FROM listed),
+imports AS (
+  SELECT {key}, statement, item, level, CASE WHEN is_from THEN origin[level + 1:] ELSE first END AS module,
+         CASE WHEN is_from THEN first END AS name, nullif(regexp_extract(i, '[ \\t]as[ \\t]+([A-Za-z0-9_]+)', 1), '') AS alias
+  FROM (SELECT *, regexp_extract(i, '^[ \\t]*([A-Za-z0-9_.*]+)', 1) AS first FROM items) WHERE first <> '')"""
+
+
+def import_counts_sql(table: str, key: str) -> str:
+    return f"""{imports_sql(table, key)}
+SELECT repeat('.', level) || module AS module, count(DISTINCT {key}) AS documents, count(*) AS statements
+FROM imports WHERE name IS NULL OR item = 0 GROUP BY 1"""
+
+
+@query("import_counts", f"WITH {import_counts_sql('documents', 'doc_id')}")
 def q_import_counts(m):
     return cp.import_counts(m.raw("documents"))
 
