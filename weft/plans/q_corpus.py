@@ -1,9 +1,12 @@
 """Catalog entries: corpus metrics and rule findings over ``documents`` and
 ``pages``. The SQL side spells each measure with RE2 functions."""
 
+from pyspark.sql import functions as F
+
 from weft.functions import lexer as lx
 from weft.functions import rules as R
 from weft.operators import corpus as cp
+from weft.operators import rulescan as rs
 from weft.plans.catalog import query
 
 
@@ -140,6 +143,24 @@ def q_import_counts(m):
     return cp.import_counts(m.raw("documents"))
 
 
+#: A benchmark item's first three words, whatever stands between them, as a rule of its own.
+BENCHMARK_WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
+
+
+@query("rule_table_findings", f"""
+WITH rules AS (
+  SELECT 'item ' || item_id AS rule, '(?i)' || w[1] || '[^A-Za-z]+' || w[2] || '[^A-Za-z]+' || w[3] AS pattern
+  FROM (SELECT item_id, {BENCHMARK_WORDS} AS w FROM benchmark) WHERE len(w) >= 3),
+lines AS (SELECT doc_id, generate_subscripts({LINES}, 1) AS line_no, unnest({LINES}) AS line FROM documents)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, rule FROM lines JOIN rules ON regexp_matches(line, pattern)""")
+def q_rule_table_findings(m):
+    """J9 with a rule table: one rule per benchmark item, over every line of every document."""
+    w = m.raw("benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0).alias("w")).where(F.size("w") >= 3)
+    rules = w.select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("rule"),
+                     F.concat(F.lit("(?i)"), F.array_join(F.slice("w", 1, 3), "[^A-Za-z]+")).alias("pattern"))
+    return rs.rule_scan(m.raw("documents"), rules)
+
+
 @query("corpus_rollup", f"""WITH {METRICS_SQL}
 SELECT d.lang, d.source, CAST(GROUPING(d.lang, d.source) AS BIGINT) AS level, count(*) AS documents,
        CAST(sum(lines_of_code) AS BIGINT) AS lines_of_code, CAST(sum(function_count) AS BIGINT) AS function_count,
