@@ -9,7 +9,7 @@ from weft.plans.catalog import ORACLE, query, with_ctes
 from weft.plans.q_events import EFFECT_SQL
 from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
-from weft.sources.adapters import model_events, model_resource_log
+from weft.sources.adapters import coordination_events, model_events, model_resource_log
 from weft.streaming import queries as sq
 from weft.streaming import stateful as S
 from weft.streaming.sources import (latest_per_key, read_batches, run_batches, run_observers,
@@ -91,6 +91,55 @@ def q_stream_heartbeat_registered(m):
     return df.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "kind")
 
 
+# Events after an agent's first registration; what each leaves behind is its
+# effect, or the error of the silence it ends.
+KNOWN_SQL = """known AS (
+  SELECT agent_id, seq, ts, new_state, event_type, task_id, heard, silent, effect,
+         coalesce(effect, CASE WHEN silent THEN 'error' END) AS after FROM (
+    SELECT *, coalesce(epoch_us(ts) - epoch_us(heard) > 90000000, false) AS silent,
+           CASE WHEN new_state IN ('registered', 'idle') OR event_type = 'task_completed' THEN 'idle'
+                WHEN new_state = 'busy' THEN 'busy' WHEN event_type = 'task_failed' THEN 'error' END AS effect FROM (
+      SELECT source_agent AS agent_id, e.*, max(ts) OVER (PARTITION BY source_agent ORDER BY seq
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heard
+      FROM cev e WHERE seq >= (SELECT min(r.seq) FROM cev r WHERE r.source_agent = e.source_agent AND r.new_state = 'registered')))),
+folded AS (
+  SELECT *, last_value(after IGNORE NULLS) OVER (PARTITION BY agent_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state_before,
+         last_value(after IGNORE NULLS) OVER (PARTITION BY agent_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state_after
+  FROM known),
+final AS (
+  SELECT agent_id, max(ts) AS last_seen, max(seq) AS last_seq, arg_max(state_after, seq) AS state,
+         max(seq) FILTER (new_state = 'registered') AS since,
+         epoch_us((SELECT max(ts) FROM cev)) // 1000 * 1000 - epoch_us(max(ts)) > 90000000 AS open
+  FROM folded GROUP BY agent_id)"""
+
+
+def _coordination(m):
+    stream = sq.stream_coordination(with_event_time(coordination_events(
+        table_stream(m.spark, m.sf_dir, "events", max_files_per_trigger=FILES))))
+    return read_batches(m.spark, run_batches(stream, "coordination", "update"), sq.COORDINATION)
+
+
+@query("stream_silence_alerts", with_ctes(["cev"], """
+SELECT agent_id, heard AS last_seen FROM folded WHERE silent AND state_before <> 'error'
+UNION ALL SELECT agent_id, last_seen FROM final WHERE open AND state <> 'error'""", [KNOWN_SQL]))
+def q_stream_silence_alerts(m):
+    """S11 + T3: agents that register midway, some of which never speak; every
+    silence of a known agent once."""
+    df = _coordination(m).where("kind = 'silence'")
+    return df.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+@query("stream_registered_state", with_ctes(["cev"], """
+SELECT f.agent_id, CASE WHEN open THEN 'error' ELSE state END AS state, last_seq, last_seen,
+       CAST(list_reduce(list_prepend(0, coalesce(list(CASE WHEN k.new_state = 'busy' THEN 1 ELSE -1 END ORDER BY k.seq)
+              FILTER (k.seq > since AND (k.new_state = 'busy' OR k.event_type = 'task_completed')), [])),
+            lambda acc, x: least(10, greatest(0, acc + x))) AS BIGINT) AS load_tenths
+FROM final f JOIN folded k ON k.agent_id = f.agent_id GROUP BY f.agent_id, open, state, last_seq, last_seen""", [KNOWN_SQL]))
+def q_stream_registered_state(m):
+    """S11 + T2: last state and load of each agent, from its last registration on."""
+    return sq.latest_agent_states(_coordination(m)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 @query("stream_resource_admission", "WITH RECURSIVE " + with_ctes(["rl", "rs"], "SELECT * FROM adm",
                                                                  [ADMISSION_SQL])[5:])
 def q_stream_admission(m):

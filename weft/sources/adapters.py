@@ -57,6 +57,23 @@ def model_events(raw: DataFrame) -> DataFrame:
     )
 
 
+SILENT_FROM = 1_000_000       # ids of agents that register and send nothing
+
+
+def coordination_events(raw: DataFrame) -> DataFrame:
+    """The event log with registrations in it: a sign-up registers its user as an
+    agent, every fifth one an agent of its own that never sends anything."""
+    up = F.col("event_type") == "signup"
+    quiet = up & (F.col("event_id") % 5 == 0)
+    return raw.select(
+        F.col("event_id").alias("seq"),
+        F.when(up, "agent_state_changed").otherwise(_case(F.col("event_type"), RAW_EVENT_TYPE)).alias("event_type"),
+        F.when(quiet, F.col("event_id") + SILENT_FROM).otherwise(F.col("user_id")).alias("source_agent"),
+        "ts",
+        F.when(up, "registered").otherwise(_case(F.col("event_type"), RAW_NEW_STATE)).alias("new_state"),
+        F.when(~up & F.col("event_type").isin(*TASK_EVENT_RAW), F.col("event_id")).alias("task_id"))
+
+
 def model_tasks(orders: DataFrame) -> DataFrame:
     """tasks(seq, task_id, task_type, agent_id, priority, dependencies,
     status, created_at) from orders."""
@@ -170,6 +187,13 @@ SQL_CTES = {
          CASE WHEN event_type IN ('purchase', 'error', 'signup') THEN event_id END AS task_id,
          CASE WHEN event_type = 'purchase' THEN value END AS execution_time,
          CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'code ' || CAST(event_id % 7 AS VARCHAR) END AS error
+  FROM events)""",
+    "cev": """cev AS (
+  SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'agent_state_changed' WHEN 'view' THEN 'agent_state_changed'
+           WHEN 'signup' THEN 'agent_state_changed' WHEN 'purchase' THEN 'task_completed' WHEN 'error' THEN 'task_failed' END AS event_type,
+         CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN event_id + 1000000 ELSE user_id END AS source_agent, ts,
+         CASE event_type WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' WHEN 'signup' THEN 'registered' END AS new_state,
+         CASE WHEN event_type IN ('purchase', 'error') THEN event_id END AS task_id
   FROM events)""",
     "tk": """tk AS (
   SELECT o_orderkey AS seq, o_orderkey AS task_id, o_custkey % 7 AS task_type,

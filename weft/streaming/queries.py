@@ -58,6 +58,28 @@ def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0,
             .select("agent_id", F.timestamp_micros("last_seen_us").alias("last_seen"), "kind"))
 
 
+COORDINATION = "agent_id long, kind string, state string, load_tenths long, last_seq long, last_seen timestamp"
+
+
+def stream_coordination(events: DataFrame, timeout_s: float = 90.0) -> DataFrame:
+    """S11 + T2 + T3 over one event log (needs a watermark on ts): agents register
+    while the stream runs and count from then on, and one that stays silent from
+    its registration is reported. See :class:`CoordinationProcessor`."""
+    rows = events.select(F.col("source_agent").alias("agent_id"), "seq", "ts", F.unix_micros("ts").alias("ts_us"),
+                         "event_type", "new_state", "task_id")
+    out = S.COORDINATION_OUT.replace("agent_id long", f"agent_id {events.schema['source_agent'].dataType.simpleString()}")
+    return (rows.groupBy("agent_id").transformWithStateInPandas(S.CoordinationProcessor(timeout_s), out, "Update", "EventTime")
+            .select("agent_id", "kind", "state", "load_tenths", "last_seq", F.timestamp_micros("last_seen_us").alias("last_seen")))
+
+
+def latest_agent_states(out: DataFrame) -> DataFrame:
+    """The last state row per agent of :func:`stream_coordination`'s output (with
+    ``batch_id``). In one batch a timer's row, which tells of an error, comes last."""
+    last = F.struct("batch_id", (F.col("state") == "error").cast("int"))
+    return (out.where("kind = 'state'").groupBy("agent_id")
+            .agg(F.max_by(F.struct("state", "load_tenths", "last_seq", "last_seen"), last).alias("v")).select("agent_id", "v.*"))
+
+
 def stream_resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:
     """T4: keyed by resource; the registry is the initial state."""
     init = resources.select("resource_id", "max_concurrent").groupBy("resource_id")

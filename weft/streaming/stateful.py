@@ -206,6 +206,99 @@ class RegisteredHeartbeatProcessor(HeartbeatProcessor):
         return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
 
+REGISTERED = "registered"
+COORDINATION_OUT = ("agent_id long, kind string, state string, load_tenths long, last_seq long, last_seen_us long")
+
+
+class CoordinationProcessor(StatefulProcessor):
+    """S11, T2 and T3 as one machine per agent, over the event log alone.
+
+    A ``registered`` event makes the agent known: idle, without load, heard of
+    at that time; a later one starts it afresh. Other events count only after
+    that, by ``seq``, whenever they arrive. A silence longer than the timeout
+    puts a known agent in error and is reported once, unless it was in error
+    before. Silences that an event ends are found among the rows; those still
+    open by an event-time timer, which is armed at registration already, so an
+    agent that never sends anything is reported too. After a timer the state is
+    error, so its end is not reported again.
+
+    One row per micro-batch and agent with its state (kind ``state``) and one
+    per reported silence (kind ``silence``, with the last time it was heard)."""
+
+    def __init__(self, timeout_s: float = 90.0):
+        self.timeout_us = int(round(timeout_s * 1_000_000))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.st = handle.getValueState("agent", StructType([
+            StructField("state", StringType()), StructField("tenths", LongType()), StructField("last_us", LongType()),
+            StructField("last_seq", LongType()), StructField("since", LongType())]))
+
+    def _timer_ms(self, last_us: int) -> int:
+        return (last_us + self.timeout_us) // 1000 + 1
+
+    @staticmethod
+    def _out(key, state, tenths, last_seq, heard, silences) -> pd.DataFrame:
+        n = len(silences)
+        return pd.DataFrame({
+            "agent_id": [key[0]] * (n + 1), "kind": ["silence"] * n + ["state"], "state": [None] * n + [state],
+            "load_tenths": pd.array([None] * n + [tenths], dtype="Int64"), "last_seq": pd.array([None] * n + [last_seq], dtype="Int64"),
+            "last_seen_us": pd.array([*silences, heard], dtype="Int64")})
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _rows(rows)
+        if pdf.empty:
+            return iter([])
+        known = self.st.exists()
+        state, tenths, last, last_seq, since = self.st.get() if known else (None, 0, None, None, None)
+        joined = ((pdf["event_type"] == STATE_CHANGED) & (pdf["new_state"] == REGISTERED)).to_numpy()
+        if not known:
+            first = np.flatnonzero(joined)
+            if not len(first):
+                return iter([])
+            since = int(pdf["seq"].iloc[first[0]])
+        keep = (pdf["seq"] >= since).to_numpy()
+        pdf, joined = pdf[keep], joined[keep]
+        if pdf.empty:
+            return iter([])
+        if last is not None:
+            self.handle.deleteTimer(self._timer_ms(last))
+        ts = pdf["ts_us"].to_numpy(dtype=np.int64)
+        heard = np.maximum.accumulate(np.r_[ts[0] if last is None else last, ts])
+        silent = ts - heard[:-1] > self.timeout_us
+        effect = np.where(joined, "idle", effects(pdf))
+        # what each event leaves behind: its effect, or the error of the silence it ends
+        after = np.where(effect != "", effect, np.where(silent, "error", ""))
+        told = np.concatenate(([state or "idle"], after)).astype(object)
+        at = np.maximum.accumulate(np.where(told != "", np.arange(len(told)), 0))
+        folded = told[at]
+        silences = heard[:-1][silent & (folded[:-1] != "error")].tolist()
+        et, ns = pdf["event_type"].to_numpy(), pdf["new_state"].to_numpy()
+        step = np.select([(et == STATE_CHANGED) & (ns == "busy"), (et == TASK_COMPLETED) & pdf["task_id"].notna().to_numpy()], [1, -1], 0)
+        if joined.any():  # load starts again with the last registration
+            begin = int(np.flatnonzero(joined)[-1])
+            step, tenths = step[begin:], 0
+        steps = step[step != 0]
+        d, low, high = compose_clamps_np(steps, np.zeros_like(steps), np.full_like(steps, LOAD_CAP_TENTHS))
+        tenths = min(high, max(low, tenths + d))
+        state, last, last_seq = str(folded[-1]), int(heard[-1]), max(int(pdf["seq"].max()), last_seq or 0)
+        self.st.update((state, tenths, last, last_seq, since))
+        self.handle.registerTimer(self._timer_ms(last))
+        return iter([self._out(key, state, tenths, last_seq, last, silences)])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
+        if not self.st.exists():
+            return iter([])
+        state, tenths, last, last_seq, since = self.st.get()
+        if state == "error" or timerValues.getCurrentWatermarkInMs() * 1000 - last <= self.timeout_us:
+            return iter([])
+        self.st.update(("error", tenths, last, last_seq, since))
+        return iter([self._out(key, "error", tenths, last_seq, last, [last])])
+
+    def close(self) -> None:
+        pass
+
+
 ADMISSION_OUT = ("seq long, resource_id long, agent_id long, action string, outcome string, "
                  "holders_after int")
 
