@@ -34,8 +34,9 @@ still be joined through others. Confirmed links are exact.
 
 Edge cases: a document without words has no shingles and stands alone; fewer
 words than ``k`` are one shingle; a null doc_id links with nothing (component
-null, kept); rows of an equal doc_id are one document; empty tables give no
-rows; other columns are not read.
+null, kept); rows of an equal doc_id are one document, linked through any of its
+texts, and stay or go together; empty tables give no rows; other columns are not
+read by :func:`near_duplicates` and kept by :func:`first_of_groups`.
 """
 
 from __future__ import annotations
@@ -140,14 +141,16 @@ def near_enough(both: DataFrame, threshold: int) -> DataFrame:
                .where((F.col("a") < F.col("b")) & (F.col("diff") <= SLACK) & (100 * F.col("lo") >= threshold * F.col("hi"))).select("a", "b", "diff")
 
 
-def forest_pairs(classes: DataFrame, folder: str, threshold: int = 80) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidate pairs (a < b, diff) of classes (rep, n, s1, s2, sig), and by level the
-    rows (region, rep, n, s1, s2) of its crowds."""
+def forest_pairs(classes: DataFrame, folder: str, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b, diff) of classes (rep, n, s1, s2, sig), and the rows
+    (region, rep, n, s1, s2) of the crowds of all levels. Each level's regions and
+    pairs are written as they are made, so no plan spans two levels."""
+    spark = classes.sparkSession
     sig2 = F.concat("sig", "sig")
     rows = classes.select("rep", "n", "s1", "s2", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(
         sig2, 4 * DEPTH * t + 1, 4 * max(LEVELS)))).alias("tree", "label"))
-    pairs, crowds = None, []
-    for i, d in enumerate(LEVELS):
+    done = []
+    for d in LEVELS:
         keyed = rows.withColumn("region", F.xxhash64("tree", F.substring("label", 1, 4 * d)))
         lead = F.min(F.struct(F.xxhash64("rep", "tree").alias("h"), F.col("rep"), "n", "s1", "s2"))
         regions = keyed.groupBy("region").agg(F.count("*").alias("members"), lead.alias("l")).where("members > 1")
@@ -156,18 +159,19 @@ def forest_pairs(classes: DataFrame, folder: str, threshold: int = 80) -> tuple[
         small = small.select(F.posexplode("m").alias("i", "y"), "m").select("y", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("x"))
         large = found.where(F.col("members") > REGION)
         star = large.select(F.struct("rep", "n", "s1", "s2").alias("y"), F.struct("l.rep", "l.n", "l.s1", "l.s2").alias("x"))
-        near = near_enough(small.select("x", "y").union(star.select("x", "y")), threshold)
-        pairs = near if pairs is None else pairs.union(near)
+        near = scratch.stored(near_enough(small.select("x", "y").union(star.select("x", "y")), threshold), f"{folder}/pairs{d}")
+        done.append(d)
         rows = large.select("rep", "n", "s1", "s2", "tree", "label")
         if rows.isEmpty():
             break
-        crowds.append(large.select("region", "rep", "n", "s1", "s2"))
-    return pairs, crowds
+    pairs = spark.read.schema(near.schema).parquet(*[f"{folder}/pairs{d}" for d in done])
+    levels = spark.read.schema(found.schema).parquet(*[f"{folder}/level{d}" for d in done])
+    return pairs, levels.where(F.col("members") > REGION).select("region", "rep", "n", "s1", "s2")
 
 
-def slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of ``sets`` (id, shingles) fall into each of ``2 ** SLOTS`` slots."""
-
+def slot_counts(sets: DataFrame, folder: str) -> str:
+    """A file of how many shingles of ``sets`` (id, shingles) fall into each of
+    ``2 ** SLOTS`` slots, which tasks map (4 MB, whatever the input)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOTS, np.int64)
         for b in batches:
@@ -176,51 +180,55 @@ def slot_counts(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-    got = sets.mapInArrow(make, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SLOTS, np.int32)
-    out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
-    return out
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, uri = np.zeros(1 << SLOTS, "<i4"), f"{folder}/{scratch.attempt_name('counts', 0)}"
+        for b in batches:
+            out[b.column(0).to_numpy()] = np.minimum(b.column(1).to_numpy(), np.iinfo(np.int32).max)
+        scratch.write_bytes(uri, out)
+        yield pa.RecordBatch.from_arrays([pa.array([uri])], names=["uri"])
 
+    slots = sets.mapInArrow(make, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return scratch.stored(slots.coalesce(1).mapInArrow(write, "uri string"), f"{folder}/counts").first()["uri"]
 
-def hub_pairs(crowds: list[DataFrame], sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
+
+def hub_pairs(crowds: DataFrame, sets: DataFrame, counts: str, folder: str, threshold: int) -> DataFrame:
     """Candidate pairs of each member of a crowd with its hub, the member nearest to what they have in common."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scratch.map_array(counts, "<i4")
         for b in batches:
             score = []
             for x in b.column(1):
                 s = np.frombuffer(x.as_buffer(), U)
-                score.append(float(counts[(s >> U(64 - SLOTS)).astype(np.int64)].sum(dtype=np.int64) / np.sqrt(len(s))))
+                score.append(float(of[(s >> U(64 - SLOTS)).astype(np.int64)].sum(dtype=np.int64) / np.sqrt(len(s))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["rep", "score"])
 
-    scores = sets.mapInArrow(make, "rep long, score double")
-    pairs = None
-    for large in crowds:
-        hubs = large.join(scores, "rep").groupBy("region").agg(F.max(F.struct("score", "rep", "n", "s1", "s2")).alias("h"))
-        star = large.join(hubs, "region").select(F.struct("h.rep", "h.n", "h.s1", "h.s2").alias("x"), F.struct("rep", "n", "s1", "s2").alias("y"))
-        near = near_enough(star, threshold)
-        pairs = near if pairs is None else pairs.union(near)
-    return pairs
+    scores = scratch.stored(sets.select("id", "shingles").mapInArrow(make, "rep long, score double"), f"{folder}/scores")
+    hubs = crowds.join(scores, "rep").groupBy("region").agg(F.max(F.struct("score", "rep", "n", "s1", "s2")).alias("h"))
+    hubs = scratch.stored(hubs, f"{folder}/hubs")
+    star = crowds.join(hubs, "region").select(F.struct("h.rep", "h.n", "h.s1", "h.s2").alias("x"), F.struct("rep", "n", "s1", "s2").alias("y"))
+    return scratch.stored(near_enough(star, threshold).distinct(), f"{folder}/hub-pairs")
 
 
-def rarest(sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
+def rarest(sets: DataFrame, counts: str, threshold: int) -> DataFrame:
     """(id, n, at, token): of each set the rarest shingles and their places, one of
     which any set at the threshold shares."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("token", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scratch.map_array(counts, "<i4")
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1)):
                 s = np.frombuffer(x.as_buffer(), U)
                 n = len(s)
                 m = n + 1 - -(-threshold * n // 100)
-                top = s[np.lexsort((s, counts[(s >> U(64 - SLOTS)).astype(np.int64)]))[:m]]
+                top = s[np.lexsort((s, of[(s >> U(64 - SLOTS)).astype(np.int64)]))[:m]]
                 yield scratch.arrow_batch(schema, id=np.full(len(top), i, np.int64), n=np.full(len(top), n, np.int64), at=np.arange(len(top)), token=top.view(np.int64))
 
-    return sets.mapInArrow(make, "id long, n long, at long, token long")
+    return sets.select("id", "shingles").mapInArrow(make, "id long, n long, at long, token long")
 
 
-def crowd_pairs(sets: DataFrame, comp: DataFrame, counts: np.ndarray, folder: str, threshold: int) -> DataFrame:
+def crowd_pairs(sets: DataFrame, comp: DataFrame, counts: str, folder: str, threshold: int) -> DataFrame:
     """All pairs (a < b, ca, cb) of ``sets`` (id, shingles) in different components ``comp``
     (id, comp) that can reach the threshold, each once."""
     rows = scratch.stored(rarest(sets, counts, threshold).join(comp, "id"), f"{folder}/rarest")
@@ -236,7 +244,8 @@ def crowd_pairs(sets: DataFrame, comp: DataFrame, counts: np.ndarray, folder: st
 
 
 def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles as sorted uint64 bytes) of the documents whose id is in ``ids``."""
+    """(id, shingles as sorted uint64 bytes) of the documents whose id is in ``ids``; several
+    rows where an id has several texts."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +257,7 @@ def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield scratch.arrow_batch(schema, id=part.column(0), shingles=pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").select("id", "text")
-    return rows.mapInArrow(make, "id long, shingles binary").dropDuplicates(["id"])
+    return rows.mapInArrow(make, "id long, shingles binary").withColumn("h", F.xxhash64("shingles")).dropDuplicates(["id", "h"]).drop("h")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -268,6 +277,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
+def same_document(feats: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id that has several texts."""
+    several = feats.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("doc_id")
+    of = feats.where("n > 0").join(several, "doc_id").select("doc_id", *key).distinct().join(classes.select(*key, "rep"), key)
+    return of.groupBy("doc_id").agg(F.min("rep").alias("a")).join(of, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     spark = docs.sparkSession
@@ -278,21 +295,20 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFra
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("s1", "s2", "sig")])
     classes = scratch.stored(classes, f"{folder}/classes")
     pairs, crowds = forest_pairs(classes.select("rep", "n", "s1", "s2", "sig"), folder, threshold)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    if crowds:  # the first level has every class that stands in one
-        crowded = scratch.stored(crowds[0].select(F.col("rep").alias("id")).distinct(), f"{folder}/crowded")
-        ids = ids.union(crowded)
+    crowded = scratch.stored(crowds.select(F.col("rep").alias("id")).distinct(), f"{folder}/crowded")
+    any_crowd = not crowded.isEmpty()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded)
     ids = scratch.stored(ids.distinct(), f"{folder}/ids")
     sets = scratch.stored(set_table(docs, ids, k), f"{folder}/sets")
-    if crowds:
+    if any_crowd:
         crowd_sets = scratch.stored(sets.join(crowded, "id", "left_semi"), f"{folder}/crowd-sets")
-        counts = slot_counts(crowd_sets)
-        pairs = pairs.union(hub_pairs(crowds, crowd_sets, counts, threshold))
+        counts = slot_counts(crowd_sets, folder)
+        pairs = pairs.union(hub_pairs(crowds, crowd_sets, counts, folder, threshold))
     pairs = scratch.stored(pairs.distinct(), f"{folder}/pairs")
     # first every class with its nearest smaller candidate
     nearest = pairs.groupBy("b").agg(F.min(F.struct("diff", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     first = scratch.stored(confirmed(nearest, sets, threshold), f"{folder}/first")
-    roots = components(first, f"{folder}/cc1")
+    roots = components(first.union(same_document(feats, classes, key)), f"{folder}/cc1")
     # then what lies between different components
     ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left") \
@@ -303,7 +319,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFra
     top = classes.select(*key, "rep").join(roots.toDF("rep", "r1"), "rep", "left").withColumn("r1", F.coalesce("r1", "rep")) \
                  .join(over.toDF("r1", "r2"), "r1", "left").select(*key, "rep", F.coalesce("r2", "r1").alias("component"))
     top = scratch.stored(top, f"{folder}/top")
-    if crowds:  # and all that crowds may have left between different components
+    if any_crowd:  # and all that crowds may have left between different components
         more = crowd_pairs(crowd_sets, top.select(F.col("rep").alias("id"), F.col("component").alias("comp")), counts, folder, threshold)
         third = confirmed(more, crowd_sets, threshold).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         last = components(third, f"{folder}/cc3")
@@ -317,9 +333,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFra
 
 def first_of_groups(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The documents that stay (all columns): the smallest doc_id of each group."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, k, threshold).where("not kept").select("doc_id").distinct()
     gone = scratch.stored(gone, scratch.new_folder(docs.sparkSession, "lsh-forest-gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, "doc_id", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
