@@ -62,3 +62,36 @@ def test_declared_steps_run_in_order(spark):
 
     out = cl.run_steps(_df(spark), [("clean", step("clean")), ("tag", step("tag"))])
     assert seen == ["clean", "tag"] and out.select("clean", "tag").first() == (1, 2)
+
+
+def test_profile_of_odd_values_and_empty_tables(spark):
+    import datetime as dt
+    from weft.operators.cleaning import distinct_counts, profile
+    rows_ = [(1, 0.0, "a", dt.date(2024, 1, 1), True), (1, -0.0, None, None, True), (2, float("nan"), "", None, False),
+             (None, float("nan"), "a ", dt.date(2024, 1, 1), None)]
+    df = spark.createDataFrame(rows_, "i long, d double, s string, t date, b boolean")
+    got = {r["column_name"]: (r["n_rows"], r["n_nulls"], r["n_distinct"]) for r in profile(df).collect()}
+    assert got == {"i": (4, 1, 2), "d": (4, 0, 2), "s": (4, 1, 3), "t": (4, 2, 1), "b": (4, 1, 2)}
+    empty = {r["column_name"]: (r["n_rows"], r["n_distinct"]) for r in profile(df.where("false")).collect()}
+    assert empty == {c: (0, 0) for c in df.columns}
+    wide = spark.range(3000).selectExpr("id", "id % 7 AS m", "cast(id * 37 % 1000 AS string) AS s")
+    assert sorted(tuple(r) for r in distinct_counts(wide, wide.columns).collect()) == [(0, 3000), (1, 7), (2, 1000)]
+    scans = profile(wide)._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    assert scans == 2
+
+
+def test_sketches_of_part_files_merge(spark, tmpdir_path):
+    from weft.operators.cleaning import profile_from_parts, sketch_parts
+    table, kept = f"{tmpdir_path}/t", f"{tmpdir_path}/sketches"
+    spark.range(20_000).selectExpr("id AS v", "cast(id % 500 AS string) AS s").repartition(4).write.parquet(table)
+    parts = sketch_parts(spark.read.parquet(table), ["v", "s"], kept)
+    assert parts.count() == 8
+    got = {r["column_name"]: r for r in profile_from_parts(parts).collect()}
+    assert (got["v"]["n_rows"], got["v"]["n_nulls"]) == (20_000, 0)
+    assert abs(got["v"]["about_distinct"] - 20_000) < 600 and abs(got["s"]["about_distinct"] - 500) < 15
+    assert all(abs(q - w) < 600 for q, w in zip(got["v"]["quantiles"], (5000, 10_000, 15_000))) and got["s"]["quantiles"] is None
+    # a new file is sketched by itself
+    spark.range(20_000, 30_000).selectExpr("id AS v", "cast(null AS string) AS s").coalesce(1).write.parquet(f"{tmpdir_path}/more")
+    both = profile_from_parts(sketch_parts(spark.read.parquet(f"{tmpdir_path}/more"), ["v", "s"], kept))
+    got = {r["column_name"]: r for r in both.collect()}
+    assert got["s"]["n_nulls"] == 10_000 and abs(got["v"]["about_distinct"] - 30_000) < 900

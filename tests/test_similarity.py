@@ -83,3 +83,28 @@ def test_label_centroids_are_unit_means(spark):
                                "vec_id long, embedding array<float>, label int")
     got = {r["label"]: r["centroid"] for r in sim.label_centroids(df).collect()}
     assert np.allclose(got[7], [2 ** -0.5, 2 ** -0.5]) and np.allclose(got[8], [0.0, 1.0])
+
+
+def test_plan_does_not_grow_with_the_queries(spark):
+    df, x = _vectors(spark)
+    rng = np.random.default_rng(2)
+
+    def plan(n):
+        q = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((n, 16)))], "qid long, qvec array<double>")
+        return sim.vector_topk(df, q, k=3, threshold=None)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert abs(len(plan(3)) - len(plan(4000))) < 50
+
+
+def test_topk_with_ties_nulls_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sim, "QUERY_BLOCK", 3)
+    data = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(50)] + [(99, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(8)] + [("n", None)], "qid string, qvec array<double>")
+    got = {}
+    for r in sim.vector_topk(df, q, k=4, threshold=0.5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert got.keys() == {f"q{i}" for i in range(8)}
+    assert all(sorted(v) == [(1, 1), (2, 2), (3, 4), (4, 5)] for v in got.values())
+    assert sim.vector_topk(df, q.where("false"), k=4).count() == 0
+    assert sim.vector_topk(df.where("false"), q, k=4).count() == 0

@@ -119,10 +119,7 @@ def or_na(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("N/A"))
 
 
-# F16: fixed values — the supported language labels, in the reference's order.
-SUPPORTED_LANGUAGES = ["Python", "JavaScript", "TypeScript", "Java", "C++", "C#", "Go",
-                       "Rust", "Ruby", "PHP"]
-# Our extension -> label map for those languages.
+# F16: our extension -> label map of the ten supported languages.
 LANGUAGES = {
     "py": "Python", "js": "JavaScript", "ts": "TypeScript", "java": "Java",
     "cpp": "C++", "cc": "C++", "hpp": "C++", "cs": "C#", "go": "Go", "rs": "Rust",

@@ -94,16 +94,29 @@ def _extremes(c: str, number: bool) -> list[Column]:
             (none if number else lo).alias("min_text"), (none if number else hi).alias("max_text")]
 
 
+def _value_bits(c: str) -> Column:
+    """A column's value as 128 hash bits, the same for equal values only."""
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column number, distinct values): one grouped pass over (column, value), for
+    any number of columns. Values meet as 128-bit hashes, partly aggregated before
+    the shuffle, so a column of few values sends few rows."""
+    cells = F.array(*[F.when(F.col(c).isNotNull(), _value_bits(c)) for c in columns])
+    each = df.select(F.posexplode(cells).alias("at", "v")).where(F.col("v").isNotNull()).select("at", "v.a", "v.b")
+    return each.distinct().groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
             ) -> DataFrame:
     """Per column rows, nulls, distinct values and min/max: numbers in
     ``min_value`` / ``max_value``, other types as text in ``min_text`` / ``max_text``.
 
-    One aggregate over all columns, then unpivoted by exploding an array of
-    per-column structs. Exact distinct counts are one scalar subquery per
-    column (a two-phase distinct each, run concurrently) instead of an
-    ``Expand`` that multiplies every row by the number of columns;
-    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``) inline."""
+    Two scans for any number of columns: one aggregate over all columns,
+    unpivoted by exploding an array of per-column structs, and one grouped pass
+    for the exact distinct counts (:func:`distinct_counts`); ``exact=False`` uses
+    HyperLogLog++ (``approx_count_distinct``) inline and needs the first alone."""
     cols = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -119,14 +132,44 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
             aggs.append(F.max(F.col(c)).cast("string").alias(f"{c}__max"))
     one = df.agg(*aggs)
     if exact:
-        # distinct values of one column, then counted: a plain two-phase
-        # hash aggregate per column, no Expand
-        one = one.select("*", *[
-            df.select(c).where(F.col(c).isNotNull()).distinct()
-            .agg(F.count(F.lit(1))).scalar().alias(f"{c}__nd") for c in cols])
+        found = distinct_counts(df, cols).agg(F.map_from_entries(F.collect_list(F.struct("at", "n_distinct")))).scalar()  # one entry per column
+        one = one.withColumn("__nd", found).select("*", *[
+            F.coalesce(F.try_element_at("__nd", F.lit(i)), F.lit(0)).cast("bigint").alias(f"{c}__nd") for i, c in enumerate(cols)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
                               F.col("__rows").alias("n_rows"),
                               (F.col("__rows") - F.col(f"{c}__nn")).alias("n_nulls"),
                               F.col(f"{c}__nd").alias("n_distinct"),
                               *_extremes(c, isinstance(types[c], NUMERIC))) for c in cols])
     return one.select(F.explode(rows).alias("p")).select("p.*")
+
+
+QUANTILES = (0.25, 0.5, 0.75)
+
+
+def sketch_parts(df: DataFrame, columns: Sequence[str], path: str) -> DataFrame:
+    """A16, kept per part file: one row per (file, column) with counts and, as mergeable
+    sketches, distinct values (HyperLogLog) and for numbers quantiles (KLL). New
+    files are sketched by themselves and their rows appended; see :func:`profile_from_parts`."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.select(F.col("_metadata.file_path").alias("part"), *columns)
+
+    def column(c: str) -> DataFrame:
+        number = isinstance(types[c], NUMERIC)
+        return F.struct(
+            F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"),
+            F.hll_sketch_agg(F.col(c).cast("string"), F.lit(14)).alias("distinct_sketch"),
+            (F.kll_sketch_agg_double(F.col(c).cast("double")) if number else F.lit(None).cast("binary")).alias("quantile_sketch"))
+
+    parts = rows.groupBy("part").agg(F.array(*[column(c) for c in columns]).alias("l"))
+    parts.select("part", F.explode("l").alias("p")).select("part", "p.*").write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def profile_from_parts(parts: DataFrame) -> DataFrame:
+    """The profile of all sketched files: (column_name, n_rows, n_nulls, about_distinct, quantiles)."""
+    merged = parts.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), (F.sum("n_rows") - F.sum("n_values")).alias("n_nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("about_distinct"),
+        F.kll_merge_agg_double("quantile_sketch").alias("q"), (F.sum(F.when(F.col("quantile_sketch").isNotNull(), F.col("n_values"))) > 0).alias("numbers"))
+    shown = F.kll_sketch_get_quantile_double("q", F.array(*[F.lit(x) for x in QUANTILES]))
+    return merged.select("column_name", "n_rows", "n_nulls", "about_distinct", F.when(F.col("numbers"), shown).alias("quantiles"))

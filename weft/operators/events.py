@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.ordered import apply_clamp, clamp_fold
+from weft.functions.payload import python_text
+from weft.plans.ordered import DEFAULT_BITS, apply_clamp, clamp_fold, levels_for
 
 # Fixed values of the event model.
 TASK_COMPLETED = "task_completed"
@@ -131,7 +132,8 @@ def agent_load(events: DataFrame, agents: DataFrame) -> DataFrame:
     fraction. The fold is a tree of clamp-map compositions (see
     :func:`weft.plans.ordered.clamp_fold`), never a per-agent list."""
     steps = load_steps(registered_events(events, agents))
-    folded = clamp_fold(steps, ["agent_id"], "seq", "d", "lo", "hi")
+    shifts = [DEFAULT_BITS * (i + 1) for i in range(levels_for(events, "seq"))]
+    folded = clamp_fold(steps, ["agent_id"], "seq", "d", "lo", "hi", shifts)
     start = F.round(F.col("load_factor") * 10).cast("bigint")
     tenths = apply_clamp(start, F.col("D"), F.col("L"), F.col("H"))
     return (agents.select("agent_id", "load_factor").join(folded, "agent_id", "left")
@@ -163,6 +165,16 @@ def payload_text(events: DataFrame) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
+def payload_log_lines(events: DataFrame, payload: str = "payload_json") -> DataFrame:
+    """S7 with any payload: every key of the JSON text, nested ones too; a missing
+    payload prints as an empty one, text that isn't JSON as it is."""
+    text = F.coalesce(F.col(payload), F.lit("{}"))
+    shown = F.when(F.try_parse_json(text).isNotNull(), python_text(text)).otherwise(text)
+    line = F.format_string("Event: %s from %s to %s - %s", F.col("event_type"), F.col("source_agent").cast("string"),
+                           F.coalesce(F.col("target_agent").cast("string"), F.lit("all")), shown)
+    return events.select("seq", line.alias("line"))
+
+
 def event_log_lines(events: DataFrame) -> DataFrame:
     """One log line per event; a null target prints as ``all``."""
     line = F.format_string("Event: %s from %s to %s - %s", F.col("event_type"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.appendlog import append_once
 from weft.functions.scalar import seconds_between
 
 AGENT_WINDOW = 10      # samples per (agent, metric) summarised
@@ -59,6 +60,10 @@ def uptime_seconds(events: DataFrame, as_of=None) -> DataFrame:
     return events.agg(F.coalesce(secs, F.lit(0.0)).alias("uptime_seconds"))
 
 
-def append_samples(samples: DataFrame, path: str, partition_by=("metric",)) -> None:
-    """Append samples to a parquet table partitioned by metric."""
-    samples.write.mode("append").partitionBy(*partition_by).parquet(path)
+def append_samples(samples: DataFrame, path: str, partition_by=("metric",), token: str | None = None) -> None:
+    """Append samples to a parquet table partitioned by metric; with a
+    ``token`` of the batch they are added once (:mod:`weft.sources.appendlog`)."""
+    if token is not None:
+        append_once(samples, path, token, partition_by)
+    else:
+        samples.write.mode("append").partitionBy(*partition_by).parquet(path)

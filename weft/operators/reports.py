@@ -20,6 +20,7 @@ from weft.session import scratch_path
 from weft.functions.scalar import (file_name, get_or, issues_band, or_na, quality_band, seconds_between,
                                    short_date, stars)
 from weft.operators.tasks import PRIORITY_LABELS
+from weft.sources.appendlog import append_once
 from weft.plans.isolate import failed_rows, message_of, run_isolated, spread
 
 log = logging.getLogger(__name__)
@@ -182,10 +183,15 @@ def write_text(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> N
     df.select(F.col(col).alias("value")).write.mode(mode).text(path)
 
 
-def append_history(results: DataFrame, path: str, ts_col: str = "ts") -> None:
-    """Append finished results, partitioned by date."""
-    (results.withColumn("date", F.to_date(ts_col))
-     .write.mode("append").partitionBy("date").parquet(path))
+def append_history(results: DataFrame, path: str, ts_col: str = "ts", token: str | None = None) -> None:
+    """Append finished results, partitioned by date. With a ``token`` of the
+    batch, a repeated or broken append adds its rows once
+    (:mod:`weft.sources.appendlog`, read by ``read_appends``)."""
+    rows = results.withColumn("date", F.to_date(ts_col))
+    if token is not None:
+        append_once(rows, path, token, ["date"])
+    else:
+        rows.write.mode("append").partitionBy("date").parquet(path)
 
 
 def complexity_histogram(metrics: DataFrame, width: int = 10) -> DataFrame:
@@ -225,10 +231,14 @@ def exclude_expired(df: DataFrame, as_of, days: int, ts_col: str = "ts",
     return out
 
 
-def append_memory(episodes: DataFrame, path: str) -> None:
-    """Append episodes, partitioned by their context type."""
-    (episodes.withColumn("type", get_or(F.col("context"), "type", "unknown"))
-     .write.mode("append").partitionBy("type").parquet(path))
+def append_memory(episodes: DataFrame, path: str, token: str | None = None) -> None:
+    """Append episodes, partitioned by their context type; ``token`` as in
+    :func:`append_history`."""
+    rows = episodes.withColumn("type", get_or(F.col("context"), "type", "unknown"))
+    if token is not None:
+        append_once(rows, path, token, ["type"])
+    else:
+        rows.write.mode("append").partitionBy("type").parquet(path)
 
 
 def episodes_of_type(episodes: DataFrame, kind: str) -> DataFrame:

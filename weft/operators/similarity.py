@@ -10,14 +10,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.blocks import Blocks, matrix, write_blocks
 from weft.sources.tabular import written
 
 SIMILARITY_THRESHOLD = 0.7        # retrieval cut-off (declared)
 CONSOLIDATION_THRESHOLD = 0.95    # near-duplicate cut-off (declared)
 QUERY_BLOCK = 1024                # query vectors a task holds at once
+CORPUS_ROWS = 4096                # corpus vectors it scores against them at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,40 +42,27 @@ def label_centroids(vectors: DataFrame, vec: str = "embedding", label: str = "la
     return arr.select(label, F.transform(vals, lambda v: v / norm).alias("centroid"))
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str):
-    """The query set as (ids, float64 matrix) blocks of about QUERY_BLOCK
-    vectors, cut by a hash of the id and brought over one at a time."""
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    cut = queries.select(qid, qvec, F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("__b"))
-    for b in range(blocks):
-        rows = cut.where(F.col("__b") == b).orderBy(qid).collect()
-        yield ([r[0] for r in rows],
-               np.array([[float(v) for v in r[1]] for r in rows], dtype=np.float64))
-
-
-def _batch_topk_fn(ids, mat: np.ndarray, k: int, threshold, key: str, vec: str):
-    """mapInPandas body: score a batch against every query with one matrix
-    product and keep, per query, the batch's rows scoring at least its k-th
-    best (ties at the cut kept, so the global top-k stays exact)."""
-    qids = np.array(ids, dtype=object)
-
+def _topk_fn(folder: str, k: int, threshold):
+    """mapInArrow body: score the corpus rows of a task against all query blocks,
+    one block and ``CORPUS_ROWS`` rows at a time (one matrix product each). Per
+    query the task keeps one number, a score that ``k`` of its rows have reached;
+    only rows that reach it leave the task (ties too, so the top-k stays exact)."""
     def fn(batches):
-        import pandas as pd
-        for pdf in batches:
-            if not len(pdf) or not len(qids):
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
-            scores = x @ mat.T                                  # rows x queries
-            kk = min(k, len(pdf))
-            kth = -np.partition(-scores, kk - 1, axis=0)[kk - 1]   # k-th best per query
-            keep = scores >= kth
-            if threshold is not None:
-                keep &= scores >= threshold
-            r, q = np.nonzero(keep)
-            if not len(r):
-                continue
-            yield pd.DataFrame({"query_id": qids[q], key: pdf[key].to_numpy()[r],
-                                "s": scores[r, q]})
+        blocks, reached = Blocks(folder), {}
+        for b in batches:
+            for at in range(0, b.num_rows, CORPUS_ROWS):
+                part = b.slice(at, CORPUS_ROWS)
+                x = matrix(part.column(1))
+                kk = min(k, len(x))
+                for i, ids, queries in blocks:
+                    scores = x @ queries.T                                  # rows x queries
+                    floor = reached.setdefault(i, np.full(len(ids), -np.inf if threshold is None else float(threshold)))
+                    if kk == k:
+                        np.maximum(floor, -np.partition(-scores, kk - 1, axis=0)[kk - 1], out=floor)
+                    r, q = np.nonzero(scores >= floor)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(r)), pa.array(scores[r, q])],
+                                                         names=["query_id", b.schema.names[0], "s"])
     return fn
 
 
@@ -82,22 +72,20 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10,
     """For each query, the ``k`` corpus vectors with the largest inner
     product at or above ``threshold`` (ties to the smaller id).
 
-    The query set is taken in blocks of about QUERY_BLOCK vectors, each
-    shipped with the tasks of one pass over the corpus, so a query set of any
-    size is answered in bounded memory. Each Arrow batch of the corpus is
-    scored against a block with one numpy matrix product, and only the batch's
-    best rows per query leave the task (a map-side top-k). The final per-query
-    top-k runs on those few rows. The corpus is never shuffled or paired.
+    Both sides are distributed tables: tasks write the queries as block files
+    in the shared folder (:mod:`weft.sources.blocks`), and one pass over the
+    corpus meets every block of queries with every block of rows. A task holds
+    one block of each, and one number per query; the plan is the same for any
+    number of queries, and no query passes the driver. The final per-query top-k
+    runs on the few rows that leave the tasks. Null vectors match nothing.
     """
+    folder = write_blocks(queries, qid, qvec, QUERY_BLOCK)
     qtype = queries.schema[qid].dataType.simpleString()
     ktype = corpus.schema[key].dataType.simpleString()
-    part = None
-    for ids, mat in _query_blocks(queries, qid, qvec):
-        found = corpus.select(key, vec).mapInPandas(
-            _batch_topk_fn(ids, mat, k, threshold, key, vec), f"query_id {qtype}, {key} {ktype}, s double")
-        part = found if part is None else part.unionAll(found)
+    found = corpus.select(key, vec).where(F.col(vec).isNotNull()).mapInArrow(
+        _topk_fn(folder, k, threshold), f"query_id {qtype}, {key} {ktype}, s double")
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), F.col(key).asc())
-    return (part.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
             .select("query_id", "rank", key, F.col("s").cast("decimal(18,6)").alias("score")))
 
 

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from weft.plans import (q_events, q_tasks, q_agents, q_metrics, q_resources,  # noqa: F401
-                            q_corpus, q_source, q_cleaning, q_similarity, q_reports, q_streaming, q_io)
+                            q_corpus, q_source, q_cleaning, q_similarity, q_reports, q_streaming, q_io, q_payload)
 
 
 def all_queries() -> dict[str, QueryFn]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BITS = 16
-LEVELS = 3            # of seq buckets: 16, 32 and 48 bits wide, so any seq fits however sparse
+LEVELS = 3            # of seq buckets at most: 16, 32 and 48 bits wide, so any seq fits however sparse
 _BIG = 1 << 60
 
 
@@ -25,6 +25,17 @@ def _bucket(seq: str, bits: int) -> Column:
     return F.shiftright(F.col(seq), bits)
 
 
+def levels_for(df: DataFrame, seq: str, bits: int = DEFAULT_BITS) -> int:
+    """How many levels of buckets ``df`` needs, by one aggregate of its smallest and
+    largest ``seq``: as many as leave at most ``2**bits`` buckets of the widest
+    level, whatever the keys. A dense ``seq`` below 2**32 needs one."""
+    lo, hi = df.agg(F.min(seq), F.max(seq)).first()
+    n = 1
+    while lo is not None and n < LEVELS and (hi >> bits * n) - (lo >> bits * n) >= 1 << bits:
+        n += 1
+    return n
+
+
 def _join_back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Inner join on null-safe equality of ``cols``; the right side's key
     columns are renamed first so self-joined lineages stay unambiguous."""
@@ -38,7 +49,7 @@ def _join_back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFr
 
 def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
                 order: Sequence[tuple[str, bool]] = (), name: str = "rank",
-                bits: int = DEFAULT_BITS, materialize: bool = False) -> DataFrame:
+                bits: int = DEFAULT_BITS, materialize: bool = False, levels: int | None = None) -> DataFrame:
     """1-based ``row_number`` within ``keys`` ordered by ``order`` then ``seq``.
 
     ``order`` is a list of ``(column, ascending)`` applied before ``seq``.
@@ -51,7 +62,8 @@ def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
     The input is read twice (rows and counts). ``materialize=True`` writes it
     once with a reliable ``checkpoint()`` into the shared checkpoint folder,
     for inputs that are expensive to recompute (joins); plain scans are
-    cheaper to read twice.
+    cheaper to read twice. ``levels`` of buckets: see :func:`levels_for`, which
+    is asked if none is given.
     """
     keys, order = list(keys), list(order)
     if materialize:
@@ -59,20 +71,21 @@ def rank_within(df: DataFrame, keys: Sequence[str], seq: str,
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     ocols = [c for c, _ in order]
-    b = [f"__b{i}" for i in range(LEVELS)]      # seq >> bits, >> 2 bits, ...
+    levels = levels or levels_for(df, seq, bits)
+    b = [f"__b{i}" for i in range(levels)]      # seq >> bits, >> 2 bits, ...
     x = df.withColumn(b[0], _bucket(seq, bits))
     x = x.withColumn("__local", F.row_number().over(
         Window.partitionBy(*keys, *ocols, b[0]).orderBy(F.col(seq))))
     # counts by bucket, then by ever wider buckets; each offset window spans
     # the 2**bits buckets of the next wider one, the last the whole key
     counts = [x.groupBy(*keys, *ocols, b[0]).agg(F.count(F.lit(1)).alias("__n"))]
-    for k in range(1, LEVELS):
+    for k in range(1, levels):
         counts[-1] = counts[-1].withColumn(b[k], F.shiftright(b[k - 1], bits))
         counts.append(counts[-1].groupBy(*keys, *ocols, b[k]).agg(F.sum("__n").alias("__n")))
     sort = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order] + [F.col(b[-1])]
     top = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*sort)
     offsets = counts[-1].withColumn("__off", _before("__n", top)).drop("__n")
-    for k in range(LEVELS - 2, -1, -1):
+    for k in range(levels - 2, -1, -1):
         w = Window.partitionBy(*keys, *ocols, b[k + 1]).orderBy(b[k])
         inner = counts[k].withColumn("__in", _before("__n", w)).drop("__n")
         offsets = _join_back(inner, offsets, keys + ocols + [b[k + 1]])
@@ -89,7 +102,7 @@ def _before(n: str, w) -> Column:
 
 def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
                     cols: Sequence[str], prefix: str = "prev_",
-                    bits: int = DEFAULT_BITS) -> DataFrame:
+                    bits: int = DEFAULT_BITS, levels: int | None = None) -> DataFrame:
     """Add ``prev_<col>`` = value of ``col`` on the previous row of the same
     key by ``seq`` (null on a key's first row), i.e. ``lag(col)`` over
     ``partitionBy(keys).orderBy(seq)`` without gathering a key in one task.
@@ -100,7 +113,8 @@ def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
     that one, and so on. No window spans more than ``2**bits`` buckets.
     """
     keys, cols = list(keys), list(cols)
-    b = [f"__b{i}" for i in range(LEVELS)]
+    levels = levels or levels_for(df, seq, bits)
+    b = [f"__b{i}" for i in range(levels)]
     carried = list(dict.fromkeys([*cols, seq]))
     x = df.withColumn(b[0], _bucket(seq, bits))
     wl = Window.partitionBy(*keys, b[0]).orderBy(F.col(seq))
@@ -110,16 +124,16 @@ def previous_within(df: DataFrame, keys: Sequence[str], seq: str,
     # one max_by per column: fixed-width columns keep this a hash aggregate
     last = x.groupBy(*keys, b[0]).agg(
         *[F.max_by(F.col(c), F.col(seq)).alias(f"__last_{c}") for c in carried])
-    levels = [last]
-    for k in range(1, LEVELS):
-        levels[-1] = levels[-1].withColumn(b[k], F.shiftright(b[k - 1], bits))
-        levels.append(levels[-1].groupBy(*keys, b[k]).agg(
+    lasts = [last]
+    for k in range(1, levels):
+        lasts[-1] = lasts[-1].withColumn(b[k], F.shiftright(b[k - 1], bits))
+        lasts.append(lasts[-1].groupBy(*keys, b[k]).agg(
             *[F.max_by(F.col(f"__last_{c}"), F.col(b[k - 1])).alias(f"__last_{c}") for c in carried]))
     before = F.struct(*[F.col(f"__last_{c}") for c in carried])  # never null itself
-    carry = levels[-1].select(*keys, b[-1], F.lag(before).over(Window.partitionBy(*keys).orderBy(b[-1])).alias("__c"))
-    for k in range(LEVELS - 2, -1, -1):
+    carry = lasts[-1].select(*keys, b[-1], F.lag(before).over(Window.partitionBy(*keys).orderBy(b[-1])).alias("__c"))
+    for k in range(levels - 2, -1, -1):
         w = Window.partitionBy(*keys, b[k + 1]).orderBy(b[k])
-        inner = levels[k].select(*keys, b[k], b[k + 1], F.lag(before).over(w).alias("__in"))
+        inner = lasts[k].select(*keys, b[k], b[k + 1], F.lag(before).over(w).alias("__in"))
         carry = _join_back(inner, carry, keys + [b[k + 1]])
         carry = carry.select(*keys, b[k], F.coalesce("__in", "__c").alias("__c"))
     j = _join_back(x, carry, keys + [b[0]])

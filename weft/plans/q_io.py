@@ -15,6 +15,7 @@ from weft.operators import resources as rsc
 from weft.plans.catalog import query, with_ctes
 from weft.plans.q_agents import REGLOG_SQL, registration_log
 from weft.session import scratch_path
+from weft.sources.appendlog import read_appends
 from weft.sources.tabular import convert_format, read_tabular
 from weft.streaming import queries as sq
 from weft.streaming.sources import run_observers
@@ -59,23 +60,26 @@ def q_convert(m):
 SELECT seq, event_type, CAST(ts AS DATE) AS date, n AS times FROM (
   SELECT seq, event_type, ts, CASE WHEN event_type = 'task_failed' THEN 2 ELSE 1 END AS n FROM ev)"""))
 def q_append_history(m):
-    """All events appended, then the failures once more, by date."""
+    """All events appended, then the failures once more, by date; each
+    batch tried twice under its token."""
     path = _folder(m, "history")
     e = m.events().select("seq", "event_type", "ts")
-    rp.append_history(e, path)
-    rp.append_history(e.where("event_type = 'task_failed'"), path)
-    back = m.spark.read.parquet(path)
+    for _ in range(2):
+        rp.append_history(e, path, token="all")
+        rp.append_history(e.where("event_type = 'task_failed'"), path, token="failed")
+    back = read_appends(m.spark, path, e.withColumn("date", F.to_date("ts")).schema)
     return back.groupBy("seq", "event_type", "date").agg(F.count(F.lit(1)).cast("int").alias("times"))
 
 
-@query("append_memory", "SELECT conv_id, turn, text AS content, role AS type FROM conversations WHERE role <> 'system'")
+@query("append_memory", "SELECT conv_id, turn, text AS content, role AS type FROM conversations")
 def q_append_memory(m):
-    """User and assistant episodes appended one after the other."""
+    """The episodes of each role appended one after the other, one batch tried twice."""
     path = _folder(m, "memory")
     episodes = rp.memory_episodes(m.raw("conversations"))
-    for kind in ("user", "assistant"):
-        rp.append_memory(rp.episodes_of_type(episodes, kind), path)
-    return m.spark.read.parquet(path).select("conv_id", "turn", "content", "type")
+    for kind in ("user", "assistant", "system", "user"):
+        rp.append_memory(rp.episodes_of_type(episodes, kind), path, token=kind)
+    back = read_appends(m.spark, path, episodes.withColumn("type", F.lit("")).schema)
+    return back.select("conv_id", "turn", "content", "type")
 
 
 @query("append_samples", with_ctes(["sm"], """
@@ -85,8 +89,8 @@ def q_append_samples(m):
     path = _folder(m, "samples")
     s = m.system_metrics()
     for half in (0, 1):
-        mt.append_samples(s.where(F.col("seq") % 2 == half), path)
-    return m.spark.read.parquet(path).groupBy("metric").agg(F.count(F.lit(1)).alias("samples"), F.max("seq").alias("last_seq"))
+        mt.append_samples(s.where(F.col("seq") % 2 == half), path, token=f"half-{half}")
+    return read_appends(m.spark, path, s.schema).groupBy("metric").agg(F.count(F.lit(1)).alias("samples"), F.max("seq").alias("last_seq"))
 
 
 @query("registration_events", with_ctes([], """

@@ -57,6 +57,20 @@ def model_events(raw: DataFrame) -> DataFrame:
     )
 
 
+#: A raw event's payload as JSON text, one SQL expression for both engines.
+PAYLOAD_SQL = """'{"kind": "' || event_type || '", "value": ' || CAST(value AS STRING) || ', "props": ' || props
+  || ', "tags": ["it' || chr(39) || 's", "say ' || chr(92) || '"hi' || chr(92) || '"", null, true, {"deep": [' || CAST(user_id AS STRING) || ', 2], "a:b": "x, y"}]'
+  || CASE WHEN event_type = 'error' THEN ', "error": "code' || chr(92) || 'n' || CAST(event_id % 7 AS STRING) || '"' ELSE '' END || '}'"""
+
+
+def payload_events(raw: DataFrame) -> DataFrame:
+    """events(seq, event_type, source_agent, target_agent, ts, payload_json, payload VARIANT)."""
+    return raw.select(
+        F.col("event_id").alias("seq"), _case(F.col("event_type"), RAW_EVENT_TYPE).alias("event_type"), F.col("user_id").alias("source_agent"),
+        F.when(F.col("event_type") == "signup", F.col("user_id") % 100 + 1).alias("target_agent"), "ts",
+        F.expr(PAYLOAD_SQL).alias("payload_json")).withColumn("payload", F.try_parse_json("payload_json"))
+
+
 SILENT_FROM = 1_000_000       # ids of agents that register and send nothing
 
 
