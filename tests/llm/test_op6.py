@@ -88,3 +88,14 @@ def test_one_very_long_conversation_is_dealt_out(spark, monkeypatch):
     whole = [min(chat.NAMES.get(x[2], 3), 3) for x in rows[:1000]]
     m = chat.matrix(whole)
     assert sum(x["cost"] for x in long) == min(m[12 + q] + chat.INSERT * len(chat.CLOSING[q]) for q in range(3))
+
+
+def test_rows_of_different_roles_or_without_numbers_are_all_read(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "human", "a"), (1, 0, "human", "a"), (2, 0, "tool", "x"), (2, 0, "function", "x"),
+            (3, None, "user", "a"), (3, None, "user", "a"), (3, None, None, "b"), (3, 1, "user", "c"), (3, 1, "user", "c")]
+    got = {r["conv_id"]: r for r in chat.repaired(table(spark, rows)).groupBy("conv_id").agg(
+        __import__("pyspark").sql.functions.expr("array_join(transform(sort_array(collect_list(struct(part, rendered))), x -> x.rendered), '') as text"),
+        __import__("pyspark").sql.functions.sum("n_in").alias("n_in")).collect()}
+    assert {c: r["n_in"] for c, r in got.items()} == {1: 2, 2: 2, 3: 4}
+    assert all(legal(r["text"]) for r in got.values())
+    assert got[1]["text"].count("a\na") == 1 and got[2]["text"].count("x") == 2 and got[3]["text"].count("\na") == 2

@@ -18,7 +18,8 @@ the states chosen at its ends. A conversation of any length is dealt out over
 tasks; the rendered parts, joined in order, are the conversation.
 
 Edge cases: turns are read by turn number (null first), then role, then text; a
-row repeated with the same number, role and text is read once; a null text is an
+row repeated with the same number, role and text is read once, but a row without
+a number is a turn of its own each time; a null text is an
 empty turn; an unknown or null role costs a relabel whatever it becomes; a null
 conv_id is a conversation of its own; an empty table gives no rows; other
 columns are not read.
@@ -167,18 +168,20 @@ def repaired(turns: DataFrame) -> DataFrame:
     """One row per part of a conversation (mostly one): counts, cost and rendered text."""
     folder = scratch.new_folder(turns.sparkSession, "chat")
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role_code(F.col("role")).alias("code"),
-                     F.coalesce("text", F.lit("")).alias("text"))
+                     F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit(-(1 << 40))))
-    # the parts' matrices, from the roles alone
-    roles = t.select("conv_id", "part", "turn", "code", F.xxhash64("text").alias("h")).distinct().groupBy("conv_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "code", "h"))).alias("l"))
+    # the parts' matrices, from the roles alone; a row without a number is a turn each time it stands there
+    roles = t.groupBy("conv_id", "part", "turn", "code", "role", F.xxhash64("text").alias("h")).agg(
+        F.when(F.col("turn").isNull(), F.count("*").cast("int")).otherwise(1).alias("times")).groupBy("conv_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "code", "role", "h", "times"))).alias("l"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = [matrix(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m, pa.list_(pa.int64()))], names=["conv_id", "part", "m"])
 
-    parts = roles.select("conv_id", "part", F.transform("l", lambda x: x["code"]).alias("codes")).mapInArrow(matrices, "conv_id long, part long, m array<long>")
+    codes = F.flatten(F.transform("l", lambda x: F.array_repeat(x["code"], x["times"])))
+    parts = roles.select("conv_id", "part", codes.alias("codes")).mapInArrow(matrices, "conv_id long, part long, m array<long>")
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +212,7 @@ def repaired(turns: DataFrame) -> DataFrame:
                     if rows:
                         out.append(done(key, rows))
                     key, rows = (x["conv_id"], x["part"]), []
-                if not rows or (x["turn"], x["code"], x["text"]) != (rows[-1]["turn"], rows[-1]["code"], rows[-1]["text"]):
+                if x["turn"] is None or not rows or any(x[c] != rows[-1][c] for c in ("turn", "role", "text")):
                     rows.append(x)
             yield pa.RecordBatch.from_pylist(out, schema=RESULT)
         if rows:
@@ -217,8 +220,8 @@ def repaired(turns: DataFrame) -> DataFrame:
 
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = t.join(ends, t["conv_id"].eqNullSafe(ends["conv"]) & (t["part"] == ends["at"])).drop("conv", "at")
-    t = t.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "code", F.xxhash64("text"), "text")
-    return t.select("conv_id", "part", "turn", "code", "text", "before", "after", "last").mapInArrow(
+    t = t.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "code", "role", F.xxhash64("text"), "text")
+    return t.select("conv_id", "part", "turn", "code", "role", "text", "before", "after", "last").mapInArrow(
         write, "conv_id long, part long, n_in long, n_out long, n_merged long, n_inserted long, n_relabelled long, cost long, rendered string")
 
 
