@@ -144,10 +144,38 @@ def test_store_with_null_and_repeated_keys(spark):
     assert found[0]["ids"] == plain_ids("a")
 
 
+@pytest.mark.parametrize("what", ["disp", "fp", "first"])
+def test_a_damaged_index_is_noticed(spark, what):
+    folder = scratch.new_folder(spark, "t")
+    manifest = store.write_store(D.frame(spark, D.rows()), BPE, folder, shards=2)
+    m = manifest.orderBy("shard").first().asDict()
+    n, b = m["n_keys"], m["n_buckets"]
+    at, size = {"first": (0, 8 * n), "disp": (8 * n, 4 * b), "fp": (8 * n + 4 * b, 4 * n)}[what]
+    fs, path = scratch.locate(f"{folder}/{m['stem']}.mph")
+    with open(path, "r+b") as f:
+        f.seek(at)
+        f.write(b"\x07" * size)
+    with pytest.raises(Exception, match="doesn't lead to key"):
+        store.scan_store(manifest, folder).collect()
+
+
+def test_lookup_over_many_shards(spark):
+    rows = [(i * 3 - 50, f"text {i}", None, None) for i in range(200)] + [(None, "none", None, None)]
+    folder = scratch.new_folder(spark, "t")
+    manifest = store.write_store(D.frame(spark, rows), BPE, folder, shards=7)
+    want = [-51, -50, -49, 0, 1, 547, 548, 10 ** 12, None, -50]
+    got = {r["key"]: r["ids"] for r in store.lookup(spark.createDataFrame([(k,) for k in want], "doc_id long"), manifest, folder).collect()}
+    texts = {i: t for i, t, *_ in rows if i is not None}
+    assert got == {k: plain_ids(texts[k]) if k in texts else None for k in set(want)}
+    every = store.lookup(spark.createDataFrame([(k,) for k in texts], "doc_id long"), manifest, folder).collect()
+    assert all(r["ids"] == plain_ids(texts[r["key"]]) for r in every) and len(every) == 200
+
+
 def test_empty_store(spark):
     folder = scratch.new_folder(spark, "t")
     manifest = store.write_store(D.empty(spark), BPE, folder)
     assert store.scan_store(manifest, folder).count() == 0
+    assert [r["found"] for r in store.lookup(spark.createDataFrame([(3,)], "doc_id long"), manifest, folder).collect()] == [False]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 1000, 20_000])

@@ -196,8 +196,10 @@ def scan_store(manifest: DataFrame, folder: str) -> DataFrame:
     """Every document from the files: key, place among all ids, number of ids
     and the crc32 of its ids as unsigned 32-bit little endian.
 
-    Each shard's task looks its keys up in the index; rows the index does not
-    name (null or repeated keys) come from the document list."""
+    Each shard's task looks its keys up in the index and reads what the index
+    names; only rows it doesn't name (null keys, and all but the first row of a
+    repeated key) come from the document list. An index that misses a stored key,
+    or names another place than the list has, raises an error."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "key long, start long, n_ids long, ids_crc32 long, indexed boolean"
@@ -210,7 +212,12 @@ def scan_store(manifest: DataFrame, folder: str) -> DataFrame:
             for at in range(0, len(docs), 20_000):
                 d, e = docs[at:at + 20_000], end[at:at + 20_000]
                 found, first, length = s.find(np.ascontiguousarray(d[:, 0]))
-                via = found & (d[:, 1] == 0) & (first == d[:, 2])
+                before = docs[at - 1:at, :2] if at else np.array([[0, 1]])
+                before = np.concatenate((before, d[:-1, :2]))
+                via = (d[:, 1] == 0) & ((d[:, 0] != before[:, 0]) | (before[:, 1] == 1))
+                wrong = via & ~(found & (first == d[:, 2]))
+                if wrong.any():
+                    raise ValueError(f"the index of {m['stem']} doesn't lead to key {d[wrong, 0][0]}")
                 first, length = np.where(via, first, d[:, 2]), np.where(via, length, e - d[:, 2])
                 crc = [zlib.crc32(s.payload(i, j)) for i, j in zip(first.tolist(), length.tolist())]
                 yield scratch.arrow_batch(_arrow(schema), key=pa.array(d[:, 0], mask=d[:, 1] == 1), start=first + m["before"],
@@ -219,36 +226,48 @@ def scan_store(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.withColumn("before", before).repartition(n, "shard").mapInArrow(read, schema)
 
 
+SALTS = 8
+
+
 def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """The ids of each wanted key, ``ids`` null where the store has no such key.
-
-    A key goes to the shard whose range holds it; a shard's keys are then read
-    in Arrow batches by one task each per salt, so that many wanted keys of one
-    shard are split."""
-    shards = manifest.where("first_key is not null").select("shard", "stem", "n_docs", "n_keys", "n_buckets", "n_ids", "width", "first_key", "last_key")
-    want = keys.select(F.col(key).cast("long").alias("key"))
-    placed = want.join(shards, (want["key"] >= F.col("first_key")) & (want["key"] <= F.col("last_key")), "left")
+    """The ids of each wanted key (one row per distinct key), ``ids`` null where the
+    store has no such key.
+
+    A key's shard is searched among the shards' sorted bounds, which go with the
+    tasks (a few numbers per shard); a shard's wanted keys are then read by up to
+    ``SALTS`` tasks, with one shard open at a time in each."""
+    shards = sorted((r.asDict() for r in manifest.where("first_key is not null").collect()), key=lambda m: m["first_key"])
+    low, high = (np.array([m[c] for m in shards], np.int64) for c in ("first_key", "last_key"))
     schema = "key long, found boolean, ids array<long>"
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(low, k, "right") - 1
+            none = np.asarray(b.column(0).is_null()) | (at < 0)
+            if len(shards):
+                none |= k > high[np.maximum(at, 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int64(), mask=none)], names=["key", "shard"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[str, Shard] = {}
+        open_: dict[int, Shard] = {}
         out = pa.schema([("key", pa.int64()), ("found", pa.bool_()), ("ids", pa.list_(pa.int64()))])
         for b in batches:
             rows = []
-            for m in b.to_pylist():
+            for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = None
-                if m["stem"]:
-                    if m["stem"] not in open_:
-                        open_ = {m["stem"]: Shard(folder, m)}  # rows come sorted by shard: one is open at a time
-                    s = open_[m["stem"]]
-                    found, first, n = s.find(np.array([m["key"]], np.int64))
-                    ids = s.payload(int(first[0]), int(n[0])).tolist() if found[0] else None
-                rows.append({"key": m["key"], "found": ids is not None, "ids": ids})
+                if i is not None:
+                    if i not in open_:
+                        open_ = {i: Shard(folder, shards[i])}  # rows come sorted by shard
+                    found, first, size = open_[i].find(np.array([k], np.int64))
+                    ids = open_[i].payload(int(first[0]), int(size[0])).tolist() if found[0] else None
+                rows.append({"key": k, "found": ids is not None, "ids": ids})
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    # a key may lie in two shards only if rows of one key were cut by the range: keep the first
-    one = placed.sortWithinPartitions("shard").mapInArrow(read, schema)
-    return one.groupBy("key").agg(F.max("found").alias("found"), F.first("ids", ignorenulls=True).alias("ids"))
+    want = keys.select(F.col(key).cast("long").alias("key")).distinct()
+    placed = want.mapInArrow(place, "key long, shard long")
+    return placed.repartition(n, "shard", F.pmod(F.xxhash64("key"), F.lit(SALTS))).sortWithinPartitions("shard").mapInArrow(read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
