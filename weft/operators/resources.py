@@ -11,7 +11,8 @@ prefix of the resource's log, so the fold is not associative: each
 resource's log is hash-partitioned to one task, sorted by ``seq`` (Spark's
 external sort spills), and streamed through the state machine in Arrow
 batches, holding only the current holders in memory. Different resources
-run in parallel; one resource's log costs one task's time, never its memory.
+run in parallel. A resource with more than ``HOT`` events is cut into chunks that
+run at the same time (:mod:`weft.operators.admission_chunks`).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ OUTCOMES = np.array([GRANTED, DENIED, RELEASED, IGNORED], dtype=object)
 _G, _D, _R, _I = 0, 1, 2, 3
 
 
+HOT = 1 << 19     # events from which a resource's log is cut
 SKIP_AFTER = 64   # unchanged events in a row before searching for the next change
 
 
@@ -148,6 +150,16 @@ def resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame:
 
     ``resources`` holds one row per resource id (the registry after its
     upsert, S11); a resource missing from it is unregistered."""
+    hot = log.groupBy("resource_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("resource_id")
+    hot = [r[0] for r in hot.collect()]  # fewer than rows / HOT
+    if not hot:
+        return _admission_in_order(log, resources)
+    from weft.operators.admission_chunks import hot_admission
+    is_hot = F.coalesce(F.col("resource_id").isin(hot), F.lit(False))
+    return hot_admission(log.where(is_hot), resources)[0].unionByName(_admission_in_order(log.where(~is_hot), resources))
+
+
+def _admission_in_order(log: DataFrame, resources: DataFrame) -> DataFrame:
     x = (log.select("seq", "resource_id", "agent_id", "action")
          .join(resources.select("resource_id", "max_concurrent"), "resource_id", "left")
          .repartition("resource_id")
