@@ -70,6 +70,23 @@ def system_status(events: DataFrame, tasks: DataFrame, agents: DataFrame,
     return base.select(*cols)
 
 
+def status_report(**parts: tuple[DataFrame, str | None]) -> DataFrame:
+    """A11 whole: every part of the status as rows (section, item, field, value).
+
+    Each part is a table and the column that names its items (None for a part
+    of one row): the counts of :func:`system_status`, resources (A8), metrics
+    (A9), agents (A12). Values are text; a missing one is null. Rows instead of
+    nested maps, so a report over any number of agents stays a table."""
+    out = None
+    for section, (df, key) in parts.items():
+        fields = [c for c in df.columns if c != key]
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields]))
+        part = df.select(F.lit(section).alias("section"), (F.col(key).cast("string") if key else F.lit("all")).alias("item"), rows.alias("f")) \
+                 .select("section", "item", "f.field", "f.value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 Analyzer = Callable[[DataFrame], DataFrame]
 
 

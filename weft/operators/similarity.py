@@ -20,6 +20,7 @@ from weft.sources.tabular import written
 SIMILARITY_THRESHOLD = 0.7        # retrieval cut-off (declared)
 CONSOLIDATION_THRESHOLD = 0.95    # near-duplicate cut-off (declared)
 QUERY_BLOCK = 1024                # query vectors a task holds at once
+BUCKET = 512                      # bucket members that one part of the open ones meets
 CORPUS_ROWS = 4096                # corpus vectors it scores against them at once
 
 
@@ -187,11 +188,16 @@ def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDA
                  .drop("__x", "__y"))
         return _near_flags(pairs, "__vx", "__vy", threshold)
 
-    checked = near(tagged, "leader", "rep")
+    # most pairs meet in several tables: each is compared once
+    checked = written(near(tagged.select("leader", "rep").distinct(), "leader", "rep"), "vector-leaders")
     settled = checked.where("__near").select("rep", F.col("leader").alias("p"))
-    open_ = checked.where(~F.col("__near")).select("rep", "t", "sig")
-    others = tagged.select(F.col("rep").alias("u"), "t", "sig")
-    cand = (open_.join(others, ["t", "sig"]).where(F.col("u") < F.col("rep"))
+    open_ = tagged.join(checked.where(~F.col("__near")), ["leader", "rep"]).select("rep", "t", "sig")
+    # an over-full bucket's open members are dealt out, and its others sent to each part
+    full = tagged.groupBy("t", "sig").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
+    others = tagged.join(full, ["t", "sig"]).select(F.col("rep").alias("u"), "t", "sig", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    open_ = open_.join(full, ["t", "sig"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    cand = (open_.join(others, ["t", "sig", "part"]).where(F.col("u") < F.col("rep"))
             .select("rep", "u").distinct())
     found = near(cand, "u", "rep").where("__near").select("rep", F.col("u").alias("p"))
     partner = settled.unionByName(found).groupBy("rep").agg(F.min("p").alias("p"))

@@ -2,12 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from weft.operators import agents as ag
 from weft.operators import corpus as cp
+from weft.operators import metrics as mt
 from weft.operators import reports as rp
 from weft.operators import resources as rsc
-from weft.plans.catalog import query, with_ctes
+from weft.plans.catalog import ORACLE, query, with_ctes
+from weft.plans import q_agents, q_metrics  # noqa: F401  (their oracles are parts of the report's)
 from weft.plans.q_corpus import METRICS_SQL
 from weft.operators import tasks as tk
+from weft.plans.q_resources import ADMISSION_SQL
 from weft.plans.q_tasks import CLOSED_SQL, FIRST_TERMINAL_SQL
 
 
@@ -45,6 +49,40 @@ def q_system_status(m):
                             rsc.tracked_resources(m.resource_log(), m.resources()), closed)
 
 
+def _long(section: str, table: str, key: str | None, fields: list[str]) -> str:
+    """SQL twin of one part of ``status_report``."""
+    cells = ", ".join(f"{{'field': '{c}', 'value': CAST({c} AS VARCHAR)}}" for c in fields)
+    item = f"CAST({key} AS VARCHAR)" if key else "'all'"
+    return (f"SELECT '{section}' AS section, {item} AS item, f.field AS field, f.value AS value "
+            f"FROM (SELECT *, unnest([{cells}]) AS f FROM {table})")
+
+
+COUNTS = ["registered_agents", "active_agents"]
+TASK_COUNTS = ["queued_tasks", "active_tasks", "completed_tasks", "failed_tasks"]
+RESOURCE_FIELDS = ["current_users", "max_concurrent", "utilization"]
+METRIC_FIELDS = ["current", "average", "min", "max"]
+AGENT_FIELDS = ["type", "state", "capabilities", "current_task", "last_heartbeat"]
+
+
+@query("status_report", "WITH RECURSIVE " + with_ctes(["ev", "tk", "ag", "rl", "rs", "sm"], "\nUNION ALL\n".join([
+    _long("agents", "counts", None, COUNTS), _long("tasks", "counts", None, TASK_COUNTS), _long("resource", "used", "resource_id", RESOURCE_FIELDS),
+    _long("metric", "metrics_", "metric", METRIC_FIELDS), _long("agent", "details", "agent_id", AGENT_FIELDS)]), [ADMISSION_SQL, """counts AS (
+  SELECT (SELECT count(*) FROM ag) AS registered_agents, (SELECT count(*) FROM ag WHERE state <> 'error') AS active_agents,
+         count(*) FILTER (WHERE status = 'pending') AS queued_tasks, count(*) FILTER (WHERE status = 'running') AS active_tasks,
+         count(*) FILTER (WHERE status IN ('completed', 'failed')) AS completed_tasks, count(*) FILTER (WHERE status = 'failed') AS failed_tasks FROM tk)""",
+    f"used AS ({ORACLE['resource_utilization'].split(ADMISSION_SQL)[1]})",
+    "metrics_ AS (" + ORACLE["system_metric_stats"].split("FROM events)", 1)[1].lstrip(", \n") + ")",
+    "details AS (" + ORACLE["agent_details"][ORACLE["agent_details"].index("SELECT a.agent_id, agent_type"):] + ")"])[5:])
+def q_status_report(m):
+    """Counts, resources, metrics and agents in one report."""
+    a, t = m.agents(), m.tasks()
+    res = rsc.resource_utilization(rsc.resource_admission(m.resource_log(), m.resources()), m.resources())
+    det = ag.agent_details(a, m.events()).select("agent_id", *AGENT_FIELDS)
+    return rp.status_report(agents=(ag.agent_counts(a), None), tasks=(tk.task_stats(t).select(*TASK_COUNTS), None),
+                            resource=(res, "resource_id"), metric=(mt.system_metric_stats(m.system_metrics()).select("metric", *METRIC_FIELDS), "metric"),
+                            agent=(det, "agent_id"))
+
+
 def analyzers():
     """Named analyzers over a table of measures: each returns (doc_id, detail)."""
     def detail(text, *cols):

@@ -76,6 +76,25 @@ def q_consolidate_heads(m):
     return sim.consolidate_near_duplicates(e.select("vec_id", F.transform("v", lambda x: x / norm).alias("embedding")))
 
 
+@query("consolidate_planted", """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, list_concat([-CAST(embedding[1] AS DOUBLE)], CAST(embedding[2:] AS DOUBLE[])) FROM embeddings
+  UNION ALL SELECT vec_id + 2000000, CAST(embedding AS DOUBLE[]) FROM embeddings),
+p AS (
+  SELECT b.vec_id AS vec_id, min(a.vec_id) AS partner FROM v a JOIN v b ON a.vec_id < b.vec_id
+  WHERE list_dot_product(a.e, b.e) >= 0.95 GROUP BY b.vec_id)
+SELECT v.vec_id, least(v.vec_id, coalesce(p.partner, v.vec_id)) AS canonical_id FROM v LEFT JOIN p ON v.vec_id = p.vec_id""")
+def q_consolidate_planted(m):
+    """J11 on whole vectors: each given one, a copy with one dimension turned
+    round (near where that dimension is small) and an exact copy."""
+    e = m.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    turned = F.transform("embedding", lambda x, i: F.when(i == 0, -x).otherwise(x))
+    planted = e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), turned.alias("embedding")).unionByName(
+        e.select((F.col("vec_id") + 2_000_000).alias("vec_id"), "embedding"))
+    return sim.consolidate_near_duplicates(e.unionByName(planted))
+
+
 @query("majority_vote", """
 SELECT source, arg_max(quality, struct_pack(votes := votes, neg := -quality)) AS quality,
        max(votes) AS votes
