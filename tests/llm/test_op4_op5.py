@@ -176,6 +176,21 @@ def test_long_repetitive_texts_are_taken_in_parts(monkeypatch):
     assert sorted(tiles) == sorted(plain_tiles(bare(text), bare(item), 5))
 
 
+def test_plan_and_passes_do_not_grow_with_the_benchmark(spark, monkeypatch):
+    docs = D.frame(spark, D.rows())
+
+    def plan(n):
+        items = spark.createDataFrame([(i, f"item {i} has these words and w{i} more of them") for i in range(n)], "item_id long, text string")
+        return tiling.decontaminate(docs, items, block_bytes=200)._jdf.queryExecution().optimizedPlan().toString()
+
+    few, many = plan(3), plan(300)
+    assert few.count("MapInArrow") == many.count("MapInArrow") == 1 and abs(len(few) - len(many)) < 50
+    items = [(i, f"item {i} has these words and w{i} more of them") for i in range(100)] + [(None, "an item without any number of its own at all")]
+    texts = [(1, items[70][1], None, None), (2, "clean words here", None, None), (3, items[3][1] + " " + items[-1][1], None, None)]
+    got = tiling.leaked(D.frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), coverage=0.9, block_bytes=100).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 70), (3, 3), (3, None)}
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")

@@ -10,9 +10,12 @@ are unmarked on both sides, cuts what overlaps it, and repeats until no run of
 least ``coverage`` of it: the tiles may stand in any order and far apart, so a
 reordered passage counts like a literal one.
 
-The benchmark is the query set: it is cut by hash into blocks of about
-``block_bytes`` of text, each carried to the tasks and held against all
-documents in one pass without a shuffle, so its size isn't limited.
+The benchmark is the query set: tasks cut it by hash into blocks of about
+``block_bytes`` of text and write each block's sorted seeds as a file, which the
+document tasks map. One pass over the documents, without a shuffle, holds every
+chunk of texts against every block, one block after the other. The driver and
+the plan hold no item and no block, whatever the benchmark's size; a task holds
+the last ``CACHED`` blocks.
 
 Edge cases: an item with fewer than ``min_match`` words can't be found; null or
 empty texts have no words; equal items are found each for itself; among equally
@@ -40,6 +43,7 @@ U = np.uint64
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.6, 8 << 20
 TABLE = (1 << 22) - 1
 BASE = U(0xD1342543DE82EF95)  # of the running hash over words; odd, so it has an inverse
+CACHED = 4                    # blocks a task keeps open
 HITS = 4_000_000              # seed hits of one document expanded at once
 
 
@@ -115,9 +119,29 @@ class Block:
         g, first = running(h, self.at, min_match)
         order = np.argsort(g, kind="stable")
         self.seed, self.place = g[order], first[order]
+        self._derive()
+
+    def _derive(self) -> None:
         self.item = np.searchsorted(self.at, self.place, "right") - 1
         self.size = np.diff(self.at)
 
+    def write(self, uri: str) -> dict:
+        """Write the arrays as one file; what :meth:`read` needs to know of it."""
+        ids = np.array([(i is None, i or 0) for i in self.ids], "<i8").reshape(-1, 2)
+        scratch.write_bytes(uri, ids, self.at.astype("<i8"), self.seed.astype("<u8"), self.place.astype("<i8"))
+        return {"uri": uri, "n_items": len(self.ids), "n_seeds": len(self.seed)}
+
+    @classmethod
+    def read(cls, m: dict, min_match: int) -> "Block":
+        b, n, k = cls.__new__(cls), m["n_items"], m["n_seeds"]
+        ids = scratch.map_array(m["uri"], "<i8", 2 * n, 0).reshape(-1, 2)
+        b.k, b.ids = min_match, [None if none else int(i) for none, i in ids]
+        b.at = np.asarray(scratch.map_array(m["uri"], "<i8", n + 1, 16 * n))
+        b.seed = scratch.map_array(m["uri"], "<u8", k, 24 * n + 8)
+        b.place = scratch.map_array(m["uri"], "<i8", k, 24 * n + 8 + 8 * k)
+        b._derive()
+        return b
+
     def table(self) -> np.ndarray:
         t = np.zeros(TABLE + 1, bool)
         t[self.seed & U(TABLE)] = True
@@ -172,15 +196,60 @@ class Block:
                     yield d, t, tiles
 
 
-def blocks(benchmark: DataFrame, min_match: int, block_bytes: int) -> Iterator[Block]:
-    """The items (item_id, text) in blocks of about ``block_bytes``, one at a time."""
-    scratch.bounded_batches(benchmark.sparkSession)
+MANIFEST = pa.schema([("uri", pa.string()), ("n_items", pa.int64()), ("n_seeds", pa.int64())])
+
+
+def write_blocks(benchmark: DataFrame, min_match: int, block_bytes: int) -> str:
+    """The items (item_id, text) in block files of about ``block_bytes`` of text; the folder of their manifest."""
+    folder = scratch.new_folder(benchmark.sparkSession, "benchmark")
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            uri = f"{folder}/{scratch.attempt_name('block', number)}"
+            return pa.RecordBatch.from_pylist([Block(held, min_match).write(uri)], schema=MANIFEST)
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append((i, t))
+                size += len(t)
+                if size >= 2 * block_bytes:
+                    yield done()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield done()
+
     n = max(1, math.ceil(total / block_bytes))
-    for i in range(n if total else 0):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()  # about block_bytes
-        yield Block([(r["item_id"], r["text"]) for r in own], min_match)
+    dealt = rows.repartition(n, F.xxhash64("item_id", "text")).sortWithinPartitions("item_id", "text")
+    scratch.stored(dealt.mapInArrow(write, "uri string, n_items long, n_seeds long"), f"{folder}/manifest")
+    return folder
+
+
+class Benchmark:
+    """The blocks, as a task goes through them."""
+
+    def __init__(self, folder: str, min_match: int):
+        self.k, self.words, self.held = min_match, Words(), {}
+        self.manifest = [m for m in scratch.rows_of(f"{folder}/manifest") if m["n_seeds"]]
+
+    def _block(self, i: int) -> tuple[Block, np.ndarray]:
+        if i not in self.held:
+            if len(self.held) >= CACHED:
+                self.held.pop(next(iter(self.held)))
+            block = Block.read(self.manifest[i], self.k)
+            self.held[i] = (block, block.table())
+        return self.held[i]
+
+    def leaks(self, data: np.ndarray, offs: np.ndarray, coverage: float) -> Iterator[tuple[int, Block, int, list]]:
+        """(text, block, item, tiles) of a chunk of texts."""
+        tokens = self.words.tokens(data, offs)
+        for i in range(len(self.manifest)):
+            block, maybe = self._block(i)
+            for d, t, tiles in block.leaks(*tokens, maybe, coverage):
+                yield d, block, t, tiles
 
 
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered_words", pa.int64()),
@@ -190,39 +259,35 @@ LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words
 def leaked(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of a document and an item it leaks, with the tiles (word in text:word in item:words)."""
-    ddl = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, tiles string"
+    folder = write_blocks(benchmark, min_match, block_bytes)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Benchmark(folder, min_match)
+        for batch in batches:
+            for part, data, offs in text_chunks(batch):
+                found = [dict(doc_id=part.column(0)[d].as_py(), item_id=block.ids[t], item_words=int(block.size[t]),
+                              covered_words=sum(n for *_, n in tiles), n_tiles=len(tiles), tiles=",".join(f"{i}:{j}:{n}" for i, j, n in sorted(tiles)))
+                         for d, block, t, tiles in items.leaks(data, offs, coverage)]
+                yield pa.RecordBatch.from_pylist(found, schema=LEAKS)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], ddl)
-    for block in blocks(benchmark, min_match, block_bytes):
-
-        def find(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            words, maybe = Words(), block.table()
-            for batch in batches:
-                for part, data, offs in text_chunks(batch):
-                    found = [dict(doc_id=part.column(0)[d].as_py(), item_id=block.ids[t], item_words=int(block.size[t]),
-                                  covered_words=sum(n for *_, n in tiles), n_tiles=len(tiles), tiles=",".join(f"{i}:{j}:{n}" for i, j, n in sorted(tiles)))
-                             for d, t, tiles in block.leaks(*words.tokens(data, offs), maybe, coverage)]
-                    yield pa.RecordBatch.from_pylist(found, schema=LEAKS)
-
-        out = out.union(rows.mapInArrow(find, ddl))
-    return out
+    return rows.mapInArrow(find, "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, tiles string")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    for block in blocks(benchmark, min_match, block_bytes):
-
-        def keep(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            words, maybe = Words(), block.table()
-            for batch in batches:
-                for part, data, offs in text_chunks(batch):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[d for d, *_ in block.leaks(*words.tokens(data, offs), maybe, coverage)]] = False
-                    yield part.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    folder = write_blocks(benchmark, min_match, block_bytes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Benchmark(folder, min_match)
+        for batch in batches:
+            for part, data, offs in text_chunks(batch):
+                clean = np.ones(part.num_rows, bool)
+                clean[[d for d, *_ in items.leaks(data, offs, coverage)]] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_of(uri: str) -> list[dict]:
+    """The rows of a small table written by :func:`stored`, read inside a task."""
+    fs, path = locate(uri)
+    parts = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(path)) if i.base_name.startswith("part-"))
+    return [r for p in parts for r in pq.read_table(p, filesystem=fs).to_pylist()]
+
+
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
