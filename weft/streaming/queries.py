@@ -27,14 +27,19 @@ def stream_event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_agent_state(events: DataFrame, agents: DataFrame) -> DataFrame:
-    """Keyed by agent; the registry is the initial state."""
+def stream_agent_state(events: DataFrame, agents: DataFrame, in_order: bool = False) -> DataFrame:
+    """Keyed by agent; the registry is the initial state. ``in_order``: the
+    events lie in their files by ``seq``, as an arrival log does; then each
+    Arrow batch is folded before the shuffle, and a hot agent's micro-batch
+    reaches its task as a few rows (:func:`weft.streaming.stateful.fold_runs`)."""
     init = agents.select("agent_id", "state", "load_factor").groupBy("agent_id")
-    return (events.select(F.col("source_agent").alias("agent_id"), "seq", "event_type",
-                          "new_state", "task_id")
-            .groupBy("agent_id")
-            .transformWithStateInPandas(S.AgentStateProcessor(), S.AGENT_OUT, "Update", "None",
-                                        initialState=init))
+    rows = events.select(F.col("source_agent").alias("agent_id"), "seq", "event_type", "new_state", "task_id")
+    processor = S.AgentStateProcessor()
+    if in_order:
+        key_type = events.schema["source_agent"].dataType.simpleString()
+        rows, processor = rows.mapInArrow(S.fold_runs, f"agent_id {key_type}, {S.RUNS}"), S.AgentRunsProcessor()
+    return (rows.groupBy("agent_id")
+            .transformWithStateInPandas(processor, S.AGENT_OUT, "Update", "None", initialState=init))
 
 
 def stream_heartbeat_alerts(events: DataFrame, timeout_s: float = 90.0,

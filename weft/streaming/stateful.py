@@ -85,6 +85,56 @@ class AgentStateProcessor(StatefulProcessor):
         pass
 
 
+RUNS = "seq long, last long, effect string, d long, low long, high long"
+
+
+def fold_runs(batches):
+    """mapInArrow body before T2's state: an agent's events of one Arrow batch as one
+    row (its first and last ``seq``, its last effect, the composed clamp of its load)."""
+    import pyarrow as pa
+    for b in batches:
+        pdf = b.to_pandas()
+        if not len(pdf):
+            continue
+        pdf = pdf.sort_values(["agent_id", "seq"], kind="stable")
+        agent = pdf["agent_id"].to_numpy()
+        effect = effects(pdf)
+        et, ns = pdf["event_type"].to_numpy(), pdf["new_state"].to_numpy()
+        step = np.select([(et == STATE_CHANGED) & (ns == "busy"), (et == TASK_COMPLETED) & pdf["task_id"].notna().to_numpy()], [1, -1], 0)
+        null = pdf["agent_id"].isna().to_numpy()
+        cut = np.flatnonzero(np.r_[True, (agent[1:] != agent[:-1]) & ~(null[1:] & null[:-1])])
+        rows = []
+        for x, y in zip(cut, np.r_[cut[1:], len(pdf)]):
+            told = np.flatnonzero(effect[x:y] != "")
+            s = step[x:y][step[x:y] != 0]
+            d, low, high = compose_clamps_np(s, np.zeros_like(s), np.full_like(s, LOAD_CAP_TENTHS))
+            rows.append((int(pdf["seq"].iloc[x]), int(pdf["seq"].iloc[y - 1]), str(effect[x + told[-1]]) if len(told) else None, d, low, high))
+        order = pa.array(pdf.index.to_numpy()[cut])  # for the keys, of whatever type
+        cols = [pa.array([r[i] for r in rows], pa.string() if i == 2 else pa.int64()) for i in range(6)]
+        yield pa.RecordBatch.from_arrays([b.column("agent_id").take(order), *cols], names=["agent_id", "seq", "last", "effect", "d", "low", "high"])
+
+
+class AgentRunsProcessor(AgentStateProcessor):
+    """T2 on the rows of :func:`fold_runs`, a few per agent and micro-batch whatever the
+    number of events. Runs of one agent must not overlap, that is, events lie
+    in their files in the order of ``seq``; an overlap raises an error."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _rows(rows)
+        if pdf.empty or not self.st.exists():
+            return iter([])
+        state, tenths, last = self.st.get()
+        end = None
+        for seq, until, effect, d, low, high in pdf[["seq", "last", "effect", "d", "low", "high"]].itertuples(index=False):
+            if end is not None and seq <= end:
+                raise ValueError(f"events of agent {key[0]} overlap: a run begins at {seq}, another ends at {end}")
+            end = int(until)
+            state = effect if isinstance(effect, str) else state
+            tenths = int(min(high, max(low, tenths + d)))
+        self.st.update((state, tenths, end))
+        return iter([pd.DataFrame({"agent_id": [key[0]], "state": [state], "load_tenths": [tenths], "last_seq": [end]})])
+
+
 HEARTBEAT_OUT = "agent_id long, last_seen_us long, kind string"
 
 
