@@ -53,6 +53,85 @@ def test_ftrl_leaves_useless_features_at_zero_and_temperature_calibrates():
     assert language.fit_temperature(z, (r.random(4000) < p).astype(int)) == pytest.approx(2.0, rel=0.15)
 
 
+def test_ftrl_and_tfidf_equal_plain_loops():
+    r = random.Random(6)
+    rows = []
+    for _ in range(40):
+        idx = np.array(sorted(r.sample(range(30), 5)))
+        rows.append((np.append(idx, language.DIM), np.append(np.array([r.random() for _ in idx]), 0.1), r.randrange(3)))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(k):
+        zi, ni = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((beta + ni ** 0.5) / alpha + l2)
+
+    for epoch in range(2):
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            idx, x, y = rows[at]
+            w = {(i, c): weight((i, c)) for i in idx.tolist() for c in range(3)}
+            s = [sum(v * w[i, c] for i, v in zip(idx.tolist(), x)) for c in range(3)]
+            e = [np.exp(v - max(s)) for v in s]
+            for i, v in zip(idx.tolist(), x):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    n0 = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - ((n0 + g * g) ** 0.5 - n0 ** 0.5) / alpha * w[i, c]
+                    n[i, c] = n0 + g * g
+    got = language.fit_ftrl(rows, 3, epochs=2)
+    assert all(got[i, c] == pytest.approx(weight((i, c)), abs=1e-9) for i, c in z) and np.count_nonzero(got) <= len(z)
+    idf = np.array([0.5, 1.0, 2.0])
+    want = [(1 + np.log(3)) * 0.5, (1 + np.log(1)) * 2.0]
+    length = sum(v * v for v in want) ** 0.5
+    assert language.tfidf(np.array([0, 2]), np.array([3, 1]), idf).tolist() == pytest.approx([v / length for v in want])
+    grams = language.CharGrams()
+    (idx, count), = grams.features(np.frombuffer(b"aab", np.uint8), np.array([0, 3]))
+    assert sorted(count.tolist()) == [1, 1, 1, 1, 2]  # a twice, b, aa, ab, aab
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    r = random.Random(9)
+    rows = [(i, text(r, la, 300 if i % 10 else 4000), la, None) for i, la in enumerate(r.choices(list(PARTS), k=300))]
+    docs = D.frame(spark, rows)
+    seen = []
+    real = language.fit_ftrl
+    try:
+        language.fit_ftrl = lambda fit, n: seen.append(len(fit)) or real(fit, n)
+        few = language.train(docs, sample_bytes=60_000)
+        all_ = language.train(docs)
+    finally:
+        language.fit_ftrl = real
+    assert 0 < seen[0] < 60 and seen[1] > 200 and few["langs"] == all_["langs"]
+    assert few["idf"].tolist() == all_["idf"].tolist()  # statistics cover all rows either way
+
+
+def test_risk_gradient_equals_differences():
+    """One step of the fit goes down the class-prior-corrected risk, by its numeric gradient."""
+    r = np.random.default_rng(5)
+    pos = [np.unique(np.append(r.integers(10, 60, 8), [1, 2, 3])).astype(np.uint32) for _ in range(30)]
+    unl = [np.unique(r.integers(10, 60, 8)).astype(np.uint32) for _ in range(50)]
+    prior = 0.3
+    names, w, b = toxicity.fit_nnpu(pos, unl, prior, steps=1, l1=0.0)
+    assert len(names)
+
+    def risk(w, b):
+        sig = lambda x: 1 / (1 + np.exp(-x))
+        f = lambda d: b + w[np.isin(names, d)].sum()
+        p, u = np.array([f(d) for d in pos]), np.array([f(d) for d in unl])
+        negative = sig(u).mean() - prior * sig(p).mean()
+        assert negative > 0
+        return prior * sig(-p).mean() + negative
+
+    zero, eps = np.zeros(len(names)), 1e-5
+    for i in range(len(names)):  # Adam's first step is the rate against the gradient's sign
+        e = zero.copy()
+        e[i] = eps
+        g = (risk(e, -1.0) - risk(-e, -1.0)) / (2 * eps)
+        assert w[i] == pytest.approx(-0.05 * g / (abs(g) + 1e-6), rel=1e-2)
+    g = (risk(zero, -1.0 + eps) - risk(zero, -1.0 - eps)) / (2 * eps)
+    assert b + 1.0 == pytest.approx(-0.05 * g / (abs(g) + 1e-6), rel=1e-2)
+
+
 BAD = ["vilewordly", "nastyish", "rottenest", "awfuller", "vilewording", "nastyful", "vilewordance"]
 
 

@@ -8,9 +8,11 @@ training did not see.
 
 What covers all training rows: the languages, their counts and the document
 frequencies. What is bounded: the classifier is fitted on about ``sample``
-documents (equal shares by language, drawn by a hash of doc_id), each a sparse
-vector; so the driver holds at most ``sample`` vectors of at most ``DIM``
-features and a weight table of ``DIM`` x languages.
+documents of about ``sample_bytes`` of text (equal shares by language, drawn by a
+hash of doc_id; longer ones than a language's share of the bytes are not drawn),
+each a sparse vector of at most three features a character; so the driver holds
+at most about 24 bytes per byte of the sample and a weight table of ``DIM`` x
+languages.
 
 Texts are lowered by a table of single letters, digits count as one digit, and
 white space as one space. Edge cases: a null text, and one without any letter,
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from weft.llm import scratch
 from weft.llm.textops import text_chunks
 
-DIM, ORDERS, SAMPLE = 1 << 16, (1, 2, 3), 8000
+DIM, ORDERS, SAMPLE, SAMPLE_BYTES = 1 << 16, (1, 2, 3), 8000, 32 << 20
 U32 = np.uint32
 
 
@@ -120,17 +122,18 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
+def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict | None:
     """Model from rows (doc_id, text, lang), all of which may be learned from."""
     rows = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).collect()  # a row per language
+    if not found:
         return None
+    counts = {r["lang"]: r["n"] for r in found}
     langs = sorted(counts)
-    quota = -(-sample // len(langs))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, quota / counts[k])))])
+    quota, room = -(-sample // len(langs)), sample_bytes / len(langs)
+    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["n"], room / max(r["b"], 1))))])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = rows.select("text", "lang", (unit < share[F.col("lang")]).alias("chosen"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("aside"))
+    chosen = rows.select("text", "lang", ((unit < share[F.col("lang")]) & (F.octet_length("text") <= F.lit(room))).alias("chosen"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("aside"))
     schema = pa.schema([("feature", pa.int32()), ("df", pa.int64()), ("lang", pa.string()), ("aside", pa.bool_()), ("idx", pa.binary()), ("tf", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

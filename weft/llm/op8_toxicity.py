@@ -13,7 +13,9 @@ loss, training is by Adam with a soft threshold (so most weights are exactly 0).
 
 The prior covers all labelled training rows. What is bounded: the classifier is
 fitted on about ``positives`` toxic and ``unlabelled`` other documents, drawn by
-a hash of doc_id; the driver holds their feature hashes and nothing else.
+a hash of doc_id, of about ``sample_bytes`` of text each (fewer where texts are
+long; none longer than that); the driver holds their feature hashes, at most 20
+bytes per word, and nothing else.
 
 Edge cases: a null or empty text has no feature and gets the score of the bias;
 without any toxic label all scores are 0; a document labelled twice is toxic if
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from weft.llm import scratch
 from weft.llm.textops import WordHasher, text_chunks
 
-POSITIVES, UNLABELLED = 2000, 6000
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 2000, 6000, 32 << 20
 U32 = np.uint32
 
 
@@ -109,19 +111,22 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
     return names[own], w[own], float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+          sample_bytes: int = SAMPLE_BYTES) -> dict | None:
     """Model from the rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) given."""
     scratch.bounded_batches(docs.sparkSession)
     lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = lab.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("p")).collect()[0]
     if not n["p"]:
         return None
-    total = docs.select("doc_id").count()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total, room = docs.agg(F.count("*"), F.coalesce(F.avg(size), F.lit(0.0))).first()
+    room = sample_bytes / max(room, 1.0)  # documents of the mean length
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = lab.where("toxic = 1").where(unit < min(1.0, positives / n["p"])).select("doc_id", F.lit(1).alias("positive"))
+    chosen = lab.where("toxic = 1").where(unit < min(1.0, min(positives, room) / n["p"])).select("doc_id", F.lit(1).alias("positive"))
     # about `positives` rows by construction
     rows = docs.join(F.broadcast(chosen), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(0)))
-    rows = rows.where((F.col("positive") == 1) | (unit < min(1.0, unlabelled / max(total, 1)))).select("text", "positive")
+    rows = rows.where((F.col("positive") == 1) | (unit < min(1.0, min(unlabelled, room) / max(total, 1)))).where(size <= sample_bytes).select("text", "positive")
     schema = pa.schema([("positive", pa.int32()), ("features", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
