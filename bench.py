@@ -29,6 +29,8 @@ HEADLINE = [
     # added in round 2
     "combine_analyzers", "round_robin", "priority_order", "stream_heartbeat_alerts",
     "tumbling_event_counts", "text_report",
+    # added in round 3
+    "source_metrics", "rule_table_findings", "payload_log_lines",
 ]
 
 
