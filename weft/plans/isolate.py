@@ -113,12 +113,18 @@ def run_isolated(rows: DataFrame, step: Step, path: str, places: Callable[[], Da
                 break
             level += 1
             parts = [p for ps in pool.map(lambda r: _parts(copy, r[0], r[1]), wide) for p in ps]
-            doubt = []
-            for low, high, error, name in pool.map(probe, enumerate(parts)):
-                if error is None:
-                    done.paths.append(f"{path}/{name}")
-                else:
-                    doubt.append((low, high, error))
+            doubt, at = [], 0
+            while at < len(parts) and len(done.failed) + len(doubt) <= max_errors:
+                for low, high, error, name in pool.map(probe, enumerate(parts[at:at + RUNS_AT_ONCE], at)):
+                    if error is None:
+                        done.paths.append(f"{path}/{name}")
+                    else:
+                        doubt.append((low, high, error))
+                at += RUNS_AT_ONCE
+            if at < len(parts):  # given up: what was not run by now counts as failed, with the last error
+                done.failed += doubt + [(low, high, doubt[-1][2]) for low, high in parts[at:]]
+                done.gave_up = True
+                break
     log.warning("isolated %d failing ranges in %d levels", len(done.failed), level)
     return done
 

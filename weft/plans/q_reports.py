@@ -137,7 +137,7 @@ def q_combine_failing(m):
         return d.select("doc_id", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("no such measure"))).alias("detail"))
     named = {"structure": analyzers()["structure"], "broken_plan": lambda d: d.select("doc_id", "no_such_column"),
              "broken_run": broken_run}
-    out = rp.combine_analyzers(_measured(m), named)
+    out = rp.combine_analyzers(_measured(m), named, max_errors=10)
     return out.select("doc_id", "analyzer", "status", "detail", F.col("error").isNotNull().alias("failed"))
 
 
