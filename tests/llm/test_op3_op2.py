@@ -1,8 +1,10 @@
 import collections
 import hashlib
 import os
+import random
 import re
 import sys
+import unicodedata
 
 import duckdb
 import pytest
@@ -64,6 +66,119 @@ def test_cue_words_of_seeds_discover_unseen_identifiers(spark):
         assert ids == [f"55510{i}77"]  # after "dial"; the number after the common word stays
 
 
+def plain_words(text):
+    """Split at the separators, strip what is neither letter, number nor ``_``."""
+    inside = lambda c: c == "_" or unicodedata.category(c)[0] in "LN"
+    out = []
+    for w in re.split(r"""[\x20\x09-\x0D"'=:;,()\[\]{}<>|]""", re.sub("[0-9]", "0", text.lower())):
+        at = [i for i, c in enumerate(w) if inside(c)]
+        if at:
+            out.append(w[at[0]:at[-1] + 1])
+    return out
+
+
+def plain_new_spans(texts):
+    """The bootstrapping by dictionaries: {doc_id: sorted spans of kind id}."""
+    seen, total = [], collections.Counter()
+    for d, t in texts.items():
+        w = plain_words(t)
+        total.update(w)
+        total.update(map(" ".join, zip(w, w[1:])))
+        total.update(map(" _ ".join, zip(w, w[2:])))
+        base = [(a, b) for a, _, b, _ in plain_spans(t)]
+        for kind, pattern in {**PLAIN, "id": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}"}.items():
+            every = list(re.finditer(pattern, t))
+            for i, m in enumerate(every):
+                if not (fits(kind, m.group()) if kind != "id" else all(m.end() <= a or m.start() >= b for a, b in base)):
+                    continue
+                before = t[every[i - 1].end() if i else 0:m.start()][-64:]
+                after = t[m.end():every[i + 1].start() if i + 1 < len(every) else len(t)][:64]
+                l, r = plain_words(before), plain_words(after)
+                l, r = l[1:] if len(before) == 64 else l, r[:-1] if len(after) == 64 else r
+                held = [("L1", l[-1:], 1), ("L2", l[-2:], 2), ("R1", r[:1], 1), ("R2", r[:2], 2)]
+                patterns = [(k, " ".join(x)) for k, x, n in held if len(x) == n] + [("LR", f"{x} _ {y}") for x, y in zip(l[-1:], r[:1])]
+                key = m.group().lower()
+                seed = kind != "id" or (len(key) >= 32 and not set(key) - set("0123456789abcdef") and re.search("[a-f]", key) is not None)
+                seen.append((d, m.start(), m.end(), kind, key, seed, patterns))
+    edges, seeds = collections.Counter(), collections.defaultdict(set)
+    known = collections.defaultdict(float)
+    for *_, key, seed, patterns in seen:
+        for p in patterns:
+            edges[p, key] += 1
+            if seed:
+                seeds[p].add(key)
+        if seed:
+            known[key] = 1.0
+    sure = {k for k, v in known.items() if v}
+    edges = {(p, k): n for (p, k), n in edges.items() if len(seeds[p]) >= pii.MIN_SUPPORT}
+    conf = {}
+    for _ in range(pii.ROUNDS):
+        hits, times = collections.Counter(), collections.Counter()
+        for (p, k), n in edges.items():
+            hits[p] += n * known[k]
+            times[p] += n
+        conf = {p: hits[p] / (max(total[p[1]], times[p]) + 1) for p in hits}
+        for key in {k for _, k in edges} - sure:
+            l, r = (max([conf[p] for p, k in edges if k == key and (p[0][0] == "L") == side], default=0) for side in (True, False))
+            known[key] = 1 - (1 - l) * (1 - r)
+    out = collections.defaultdict(set)
+    for d, a, b, kind, key, _, patterns in seen:
+        if kind == "id" and known[key] >= pii.MIN_CONFIDENCE and any(conf.get(p, 0) >= pii.MIN_PATTERN for p in patterns):
+            out[d].add((a, b))
+    return {d: sorted(v) for d, v in out.items()}
+
+
+def cued():
+    """Cues of common words, of one word, and on both sides; hexadecimal keys; near misses."""
+    rng = random.Random(5)
+    common = ["my", "number", "is", "the", "call", "at", "to", "été", "don't", "x.y", "-"]
+    noise = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "a7"
+    out = [f"{noise(9)} number, is +1 555 555 {1000 + i}. {noise(9)}" for i in range(40)]
+    out += [f"{noise(3)} number is AB-77{i}12 {noise(2)} order 99{i}1234 {noise(5)}" for i in range(6)]
+    out += [f"{noise(4)} call u{i}@ex.com now, {noise(4)}" for i in range(12)] + [f"{noise(2)} call 555{i}777 now {noise(2)}" for i in range(3)]
+    out += [f'{noise(5)} token = "{key()}" {noise(7)}' for _ in range(9)] + [f"{noise(5)} {key()} {noise(5)}" for _ in range(3)]
+    out += ['a token: "s3cr3t-77" of ours', "w" * 70 + " token 123456x", "", "10.0.0.1 " * 12, noise(400)]
+    return dict(enumerate(out))
+
+
+def new_spans(rows):
+    return {r["doc_id"]: [(x["start"], x["end"]) for x in r["all"] if x["kind"] == "id"] for r in rows if len(r["all"]) > len(r["base"])}
+
+
+def test_discovery_matches_plain_bootstrapping(spark):
+    texts = cued()
+    want = plain_new_spans(texts)
+    got = new_spans(pii.find(D.frame(spark, [(i, t, None, None) for i, t in texts.items()])).collect())
+    assert got == want
+    found = {texts[d][a:b] for d, v in got.items() for a, b in v}
+    assert {f"AB-77{i}12" for i in range(6)} <= found  # after "number is", both common words
+    assert {f"555{i}777" for i in range(3)} <= found   # between "call" and "now"
+    assert "s3cr3t-77" in found and not any(x.startswith("99") for x in found)
+    assert sum(len(x) == 41 for x in found) == 9       # hexadecimal keys without a cue stay
+
+
+def test_discovery_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert new_spans(pii.find(docs).collect()) == plain_new_spans(texts)
+
+
+def test_phrases_joined_by_shuffle_count_the_same(spark):
+    text = D.frame(spark, [(i, t, None, None) for i, t in cued().items()]).select("text")
+    phrases = spark.createDataFrame([("number is",), ("is",), ("my _ is",), ("absent",)], "words string")
+    near = sorted(map(tuple, pii.phrase_counts(text, phrases).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, pii.phrase_counts(text, phrases).collect())) == near
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    words = [plain_words(t) for t in cued().values()]
+    assert dict(near) == {"is": sum(w.count("is") for w in words), "number is": sum(x == ("number", "is") for w in words for x in zip(w, w[1:])),
+                          "my _ is": sum(x == ("my", "is") for w in words for x in zip(w, w[2:]))}
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "write to a@b.co now", "en", "s"), (2, None, None, None), (2, "x 10.0.0.1 🙂 4111 1111 1111 1111", None, "s"),
             (2, "x 10.0.0.1 🙂 4111 1111 1111 1111", None, "s"), (None, "a@b.co", None, None)]
