@@ -108,3 +108,34 @@ def test_topk_with_ties_nulls_and_small_blocks(spark, monkeypatch):
     assert all(sorted(v) == [(1, 1), (2, 2), (3, 4), (4, 5)] for v in got.values())
     assert sim.vector_topk(df, q.where("false"), k=4).count() == 0
     assert sim.vector_topk(df.where("false"), q, k=4).count() == 0
+
+
+@pytest.mark.parametrize("part_rows", [10_000, 40])
+def test_consolidation_sends_no_pairs(spark, part_rows):
+    """Beyond the first ids, with over-full buckets cut into parts: brute force's
+    answer, although half the vectors are copies of one late vector."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, 8))
+    x[700:] = x[650] + 0.02 * rng.standard_normal((500, 8))
+    x[400:460] = x[30] + 0.13 * rng.standard_normal((60, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.95
+    want = [(i, int(np.flatnonzero(near[i, :i + 1])[0])) for i in range(len(x))]
+    out = sim.consolidate_near_duplicates(df, first=20, part_rows=part_rows, miss=1e-9)
+    assert rows(out, "vec_id", "canonical_id") == want
+    groups = sim.consolidate_near_duplicates(df.withColumn("vec_id", F.col("vec_id") % 600), first=20, part_rows=part_rows, miss=1e-9)
+    assert groups.count() == 1200
+
+
+def test_vectors_of_few_dimensions_are_settled_by_the_first_ids(spark, monkeypatch):
+    """Every vector is near hundreds of others; no bucket is needed to find the smallest."""
+    monkeypatch.setattr(sim, "_bucket_partners", lambda *a: pytest.fail("open vectors"))
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = dict(rows(sim.consolidate_near_duplicates(df), "vec_id", "canonical_id"))
+    near = x @ x.T >= 0.95
+    assert got == {i: int(np.flatnonzero(near[i, :i + 1])[0]) for i in range(len(x))}

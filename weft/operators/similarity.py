@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from weft.sources.tabular import written
 SIMILARITY_THRESHOLD = 0.7        # retrieval cut-off (declared)
 CONSOLIDATION_THRESHOLD = 0.95    # near-duplicate cut-off (declared)
 QUERY_BLOCK = 1024                # query vectors a task holds at once
-BUCKET = 512                      # bucket members that one part of the open ones meets
 CORPUS_ROWS = 4096                # corpus vectors it scores against them at once
+FIRST = 4096                      # smallest ids that are compared with all vectors
+BUCKET, BITS = 4096, 8            # unrelated vectors of a bucket; bits of its key at least, as fewer save nothing
+PART_ROWS, CUTS = 16_384, 64      # rows of a bucket that meet at once; the parts it can be cut into
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,119 +93,178 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10,
             .select("query_id", "rank", key, F.col("s").cast("decimal(18,6)").alias("score")))
 
 
-def lsh_shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
+def lsh_shape(n: int, threshold: float, miss: float, bucket: int = 8) -> tuple[int, int]:
     """(bits, tables) of sign-projection keys for ``n`` vectors.
 
     Two unit vectors of inner product ``s`` agree in a sign with probability
     ``1 - acos(s) / pi``; unrelated ones in half of all cases. The bits grow
-    with ``log2(n)``, so that a bucket holds about eight unrelated vectors
+    with ``log2(n)``, so that a bucket holds about ``bucket`` unrelated vectors
     however many there are, and the tables are as many as bring the chance
     that a pair at the threshold shares no bucket down to ``miss``."""
     same = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bits = max(1, math.ceil(math.log2(max(n, 2) / 8)))
+    bits = max(1, math.ceil(math.log2(max(n, 2) / bucket)))
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-min(same ** bits, 1 - 1e-12))))
 
 
-def _signature_fn(dim: int, bits: int, tables: int, seed: int, vec: str, key_type):
-    """mapInPandas body: per vector and table, its signs along ``bits`` random
-    directions as one number (the bucket)."""
+def _rows_of(col: pa.Array, dim: int) -> np.ndarray:
+    x = matrix(col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col)
+    if len(x) and (x.shape[1] != dim or pc.min_max(pc.list_value_length(col))["min"].as_py() != dim):
+        raise ValueError(f"vectors of different lengths, not all of {dim}")
+    return x
+
+
+def _nearest_first(x: np.ndarray, own: np.ndarray, tiles, threshold: float) -> np.ndarray:
+    """Per row of ``x`` the smallest id, below its ``own``, of a vector with inner
+    product >= ``threshold``; -1 for none. ``tiles`` gives (ids, vectors) by
+    ascending id: a row leaves with its first hit, so where much is near, little
+    is compared, and only one tile of scores is held."""
+    found, left = np.full(len(x), -1, np.int64), np.arange(len(x))
+    for ids, y in tiles:
+        left = left[own[left] > ids[0]]
+        if not len(left):
+            break
+        for at in range(0, len(left), CORPUS_ROWS):
+            r = left[at:at + CORPUS_ROWS]
+            hit = (x[r] @ y.T >= threshold) & (ids[None, :] < own[r][:, None])
+            first = hit.argmax(axis=1)
+            some = hit[np.arange(len(r)), first]
+            found[r[some]] = ids[first[some]]
+        left = left[found[left] < 0]
+    return found
+
+
+def _sweep_fn(folder: str, dim: int, threshold: float):
+    """mapInArrow body on (i, vec): adds ``p``, what :func:`_nearest_first` finds in the blocks of a folder."""
+    def fn(batches):
+        tiles = None
+        for b in batches:
+            if b.num_rows:
+                if tiles is None:
+                    blocks = list(Blocks(folder))
+                    ids = np.concatenate([ids.to_numpy() for _, ids, _ in blocks])
+                    order = np.argsort(ids)
+                    ids, y = ids[order], np.concatenate([y for _, _, y in blocks])[order]
+                    tiles = [(ids[at:at + QUERY_BLOCK], y[at:at + QUERY_BLOCK]) for at in range(0, len(ids), QUERY_BLOCK)]
+                p = _nearest_first(_rows_of(b.column(1), dim), b.column(0).to_numpy(), tiles, threshold)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, mask=p < 0), b.column(1)], names=["i", "p", "v"])
+    return fn
+
+
+def _bucket_fn(dim: int, bits: int, tables: int, seed: int, vectors: bool):
+    """mapInArrow body on (i, open, v): per vector and table, its signs along ``bits``
+    random directions as one number (the bucket); with the vector or the keys alone."""
     def fn(batches):
-        import pandas as pd
         planes = np.random.default_rng(seed).standard_normal((tables, dim, bits))
         weight = (1 << np.arange(bits, dtype=np.int64))
-        for pdf in batches:
-            if not len(pdf):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
+            x = _rows_of(b.column(2), dim)
             for t in range(tables):
-                yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "t": np.full(len(pdf), t, np.int32),
-                                    "sig": ((x @ planes[t]) >= 0).astype(np.int64) @ weight})
+                keys = [pa.array(np.full(len(x), t, np.int32)), pa.array(((x @ planes[t]) >= 0).astype(np.int64) @ weight)]
+                yield pa.RecordBatch.from_arrays(keys + b.columns[:3 if vectors else 1], names=["t", "sig", "i", "open", "v"][:5 if vectors else 3])
     return fn
 
 
-def _near_flags(pairs: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
-    """Replace the vector columns ``a``, ``b`` of each pair row by ``__near``
-    (inner product >= threshold), computed per Arrow batch with one row-wise
-    numpy product instead of a per-row higher-order function."""
-    keep = [f for f in pairs.schema.fields if f.name not in (a, b)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", `__near` boolean"
-    names = [f.name for f in keep]
+def _meet_fn(dim: int, threshold: float):
+    """applyInArrow body on the rows of one group: those that ``ask`` against those that are ``held``."""
+    def fn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        asking, held = rows.filter(rows["ask"]), rows.filter(rows["held"])
+        own, ids, y = asking["i"].to_numpy(), held["i"].to_numpy(), _rows_of(held["v"], dim) if held.num_rows else None
+        tiles = ((ids[at:at + QUERY_BLOCK], y[at:at + QUERY_BLOCK]) for at in range(0, len(ids), QUERY_BLOCK))
+        p = _nearest_first(_rows_of(asking["v"], dim), own, tiles, threshold) if len(own) else np.zeros(0, np.int64)
+        return pa.table({"i": pa.array(own[p >= 0], pa.int64()), "p": pa.array(p[p >= 0], pa.int64())})
+    return fn
 
-    def fn(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            xa = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[a].values])
-            xb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[b].values])
-            out = pdf[names].copy()
-            out["__near"] = np.einsum("ij,ij->i", xa, xb) >= threshold
-            yield out
-    return pairs.mapInPandas(fn, schema)
+
+def _bucket_partners(rest: DataFrame, dim: int, bits: int, tables: int, threshold: float, seed: int, part_rows: int) -> DataFrame:
+    """(i, p) for the rows of ``rest`` (i, open, v) that are open: the smallest near ids
+    in their buckets. A group holds a whole bucket, or, of a bucket of more than
+    ``part_rows``, its first part (by id) and the open rows of one part. What
+    finds nothing there goes on to the later parts below it."""
+    kind = rest.schema["v"].dataType.simpleString()
+    keys = rest.mapInArrow(_bucket_fn(dim, bits, tables, seed, False), "t int, sig long, i long")
+    full = written(keys.groupBy("t", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows), "vector-full")
+    every = F.ceil(F.lit(CUTS) / F.least(F.lit(CUTS), F.ceil(F.col("n") / part_rows))).cast("int")
+    full = keys.join(F.broadcast(full), ["t", "sig"]).groupBy("t", "sig", "n").agg(
+        F.percentile_approx("i", [k / CUTS for k in range(1, CUTS)], CUTS * 20).alias("cuts"))
+    full = written(full.select("t", "sig", F.array_distinct(F.filter("cuts", lambda c, k: (k + 1) % every == 0)).alias("cuts")), "vector-cuts")
+    rows = rest.mapInArrow(_bucket_fn(dim, bits, tables, seed, True), f"t int, sig long, i long, open boolean, v {kind}") \
+               .join(F.broadcast(full), ["t", "sig"], "left")
+    rows = rows.withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("i"))), F.lit(0))) \
+               .withColumn("last", F.coalesce(F.size("cuts"), F.lit(0)))
+    out = "i long, p long"
+
+    def met(placed: DataFrame, *group: str) -> DataFrame:
+        return placed.select(*group, "i", "v", "ask", "held").groupBy(*group).applyInArrow(_meet_fn(dim, threshold), out)
+
+    first = rows.where("open OR part = 0").withColumn("held", F.col("part") == 0).select(
+        "*", F.explode(F.when(F.col("held"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array("part"))).alias("chunk"))
+    found = written(met(first.withColumn("ask", F.col("open") & (F.col("chunk") == F.col("part"))), "t", "sig", "chunk"), "vector-first-parts")
+    if not full.limit(1).count():
+        return found
+    # the later parts of over-full buckets, down to the smallest near id known by now
+    best = found.groupBy("i").agg(F.min("p").alias("p"))
+    later = rows.where("last > 0 AND part > 0")
+    asks = later.where("open").join(best, "i", "left").withColumn("below", F.coalesce("p", "i")) \
+                .select("t", "sig", "i", "v", F.col("part").alias("chunk"), F.explode(F.filter(F.sequence(F.lit(1), F.col("part")), lambda k: F.element_at(
+                    "cuts", k) < F.col("below"))).alias("part"), F.lit(True).alias("ask"), (F.lit(False)).alias("held"))
+    asks = written(asks, "vector-later")
+    if not asks.limit(1).count():
+        return found
+    holds = later.select("t", "sig", "i", "v", "part").join(asks.select("t", "sig", "part", "chunk").distinct(), ["t", "sig", "part"]) \
+                 .select("t", "sig", "i", "v", "chunk", "part", F.lit(False).alias("ask"), F.lit(True).alias("held"))
+    return found.unionByName(met(asks.unionByName(holds), "t", "sig", "part", "chunk"))
 
 
 def consolidate_near_duplicates(vectors: DataFrame, threshold: float = CONSOLIDATION_THRESHOLD,
                                 key: str = "vec_id", vec: str = "embedding",
-                                miss: float = 1e-6, seed: int = 7) -> DataFrame:
+                                miss: float = 1e-6, seed: int = 7, first: int = FIRST, part_rows: int = PART_ROWS) -> DataFrame:
     """Map every vector to the smallest id among itself and the vectors
     with inner product >= ``threshold``; ids of any type that has an order.
 
     1. Exact copies collapse first with an aggregate on the vector itself,
-       so a huge group of identical vectors never forms pairs.
-    2. Distinct vectors get bucket keys by the signs of random projections,
-       shaped by :func:`lsh_shape`: candidates per vector stay about flat as
-       the number of vectors grows, and a true pair at the threshold shares
-       no bucket with probability ``miss`` (closer pairs with less).
-    3. In each bucket every member is compared with the bucket's smallest id
-       (the leader) — one comparison per member. Only members that are not
-       near their leader are compared with the smaller ids of that bucket,
-       so a dense cluster of near-copies costs one comparison per member.
+       so a huge group of identical vectors never forms pairs. The distinct
+       ones get numbers in the order of their ids.
+    2. Every vector is compared with the ``first`` ones, smallest first, until
+       one is near. A hit there is its answer, so where much is near (few
+       dimensions, large groups of copies) this pass settles nearly all.
+    3. The others are open. All get bucket keys by the signs of random projections,
+       shaped by :func:`lsh_shape`: a bucket holds a few thousand unrelated vectors,
+       which one matrix product compares, and a true pair at the threshold
+       shares no bucket with probability ``miss`` (closer pairs with less). Each
+       vector is sent once per table, no pair is ever a row, and over-full
+       buckets are cut (:func:`_bucket_partners`).
     Every comparison is exact (inner product >= threshold).
     """
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).collect()[0]
-    if not size["n"] or not size["d"] or size["d"] < 0:
+    spark = vectors.sparkSession
+    dim = vectors.agg(F.max(F.size(vec)).alias("d")).first()["d"]
+    if not dim or dim < 0:
         return vectors.select(key, F.col(key).alias("canonical_id"))
-    bits, tables = lsh_shape(size["n"], threshold, miss)
-    key_type = vectors.schema[key].dataType.simpleString()
-    # 1. exact copies
-    groups = written(vectors.groupBy(vec).agg(F.min(key).alias("rep")), "vector-groups")
+    # 1. exact copies, numbered by id: ranges of ids lie in partitions in order
+    groups = vectors.groupBy(vec).agg(F.min(key).alias("rep"))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = written(groups.repartitionByRange(n, "rep").sortWithinPartitions("rep").withColumn("i", F.monotonically_increasing_id()), "vector-groups")
     members = vectors.join(groups, vec, "inner").select(key, "rep")
-    # 2. keys per representative (one numpy product per Arrow batch)
-    reps = groups.select("rep", vec)
-    hashed = reps.mapInPandas(_signature_fn(size["d"], bits, tables, seed, vec, key_type), f"rep {key_type}, t int, sig long")
-    # the keys feed the leader aggregate and the member join; write them once
-    # (in the shared folder) rather than sending every vector to Python once
-    # per consumer
-    hashed = written(hashed, "vector-keys")
-    # 3. leader first: each bucket's smallest id is checked against every
-    #    other member (one comparison per member). Inside a bucket the best
-    #    partner a member can have is the leader, so a member near its leader
-    #    is settled there; only members that are not look further, and only
-    #    at smaller ids of the same bucket.
-    leaders = hashed.groupBy("t", "sig").agg(F.min("rep").alias("leader"))
-    tagged = hashed.join(leaders, ["t", "sig"]).where(F.col("rep") != F.col("leader"))
-    vx = reps.select(F.col("rep").alias("__x"), F.col(vec).alias("__vx"))
-    vy = reps.select(F.col("rep").alias("__y"), F.col(vec).alias("__vy"))
-
-    def near(df, x, y):
-        pairs = (df.join(vx, F.col(x) == F.col("__x")).join(vy, F.col(y) == F.col("__y"))
-                 .drop("__x", "__y"))
-        return _near_flags(pairs, "__vx", "__vy", threshold)
-
-    # most pairs meet in several tables: each is compared once
-    checked = written(near(tagged.select("leader", "rep").distinct(), "leader", "rep"), "vector-leaders")
-    settled = checked.where("__near").select("rep", F.col("leader").alias("p"))
-    open_ = tagged.join(checked.where(~F.col("__near")), ["leader", "rep"]).select("rep", "t", "sig")
-    # an over-full bucket's open members are dealt out, and its others sent to each part
-    full = tagged.groupBy("t", "sig").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
-    others = tagged.join(full, ["t", "sig"]).select(F.col("rep").alias("u"), "t", "sig", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    open_ = open_.join(full, ["t", "sig"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
-    cand = (open_.join(others, ["t", "sig", "part"]).where(F.col("u") < F.col("rep"))
-            .select("rep", "u").distinct())
-    found = near(cand, "u", "rep").where("__near").select("rep", F.col("u").alias("p"))
-    partner = settled.unionByName(found).groupBy("rep").agg(F.min("p").alias("p"))
-    canon = groups.select("rep").join(partner, "rep", "left").select(
-        "rep", F.least(F.col("rep"), F.coalesce(F.col("p"), F.col("rep"))).alias("canonical_id"))
+    reps = groups.where(F.col("rep").isNotNull() & F.col(vec).isNotNull()).select("i", F.col(vec).alias("v"))
+    kind = reps.schema["v"].dataType.simpleString()
+    # 2. the smallest ids against all
+    firsts = reps.orderBy("i").limit(first)
+    swept = written(reps.mapInArrow(_sweep_fn(write_blocks(firsts, "i", "v", QUERY_BLOCK), dim, threshold), f"i long, p long, v {kind}"), "vector-swept")
+    found = swept.where(F.col("p").isNotNull()).select("i", "p")
+    # 3. buckets of the others
+    last = firsts.agg(F.max("i")).first()[0]
+    rest = swept.where(F.col("i") > last).select("i", F.col("p").isNull().alias("open"), "v")
+    size = rest.agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open")).first()
+    if size["open"]:
+        bits, _ = lsh_shape(size["n"], threshold, miss, BUCKET)
+        bits, tables = lsh_shape(2 ** max(BITS, bits), threshold, miss, 1)
+        found = found.unionByName(_bucket_partners(rest, dim, bits, tables, threshold, seed, part_rows))
+    partner = found.groupBy("i").agg(F.min("p").alias("p"))
+    ids = groups.select("i", "rep")
+    canon = ids.join(partner, "i", "left").join(ids.select(F.col("i").alias("p"), F.col("rep").alias("near")), "p", "left") \
+               .groupBy("rep").agg(F.min(F.coalesce("near", "rep")).alias("canonical_id"))
     return members.join(canon, "rep", "inner").select(key, "canonical_id")
 
 
