@@ -73,3 +73,34 @@ def test_keys_that_are_null_or_repeated_and_empty_tables(spark):
     assert rp.combine_analyzers(docs.where("false"), {"x": breaks_on(F.lit(True))}).count() == 0
     always = rp.combine_analyzers(docs, {"x": lambda d: d.select("doc_id", F.expr("assert_true(1 = 2)").cast("string").alias("detail"))})
     assert always.where("status = 'error'").count() == 5
+
+
+@pytest.mark.parametrize("bad", [40, 900])
+def test_passes_do_not_grow_with_the_failing_rows(spark, tmpdir_path, bad):
+    """Many failing rows, more than ``max_errors``: found in one pass, the others all pass."""
+    docs, calls = numbered(spark, 3000), []
+
+    def step(d):
+        calls.append(1)
+        return breaks_on(F.col("doc_id") % 3000 < bad)(d)
+
+    out = isolate.run_isolated(docs, step, f"{tmpdir_path}/run", lambda: isolate.spread(docs, "doc_id", f"{tmpdir_path}/rows"), 30)
+    assert len(calls) <= 4 + isolate.OWN_MESSAGES and not out.gave_up
+    failed = isolate.failed_rows(out).collect()
+    assert sorted(r["doc_id"] for r in failed) == list(range(bad)) and all("bad " in r["error"] for r in failed)
+    if bad <= isolate.OWN_MESSAGES:
+        assert all(f"bad {3 * r['doc_id']}" in r["error"] for r in failed)
+    assert rows(spark.read.parquet(*out.paths), "doc_id") == [(i,) for i in range(bad, 3000)]
+
+
+def test_failures_that_no_sieve_reaches_are_searched(spark):
+    def python(d):
+        return d.select("doc_id", F.udf(lambda n: str(1 // (n - 300)))("n").alias("detail"))
+
+    def elsewhere(d):
+        broken = F.when(F.col("doc_id") == 7, F.raise_error(F.lit("seven"))).otherwise(F.lit(1))
+        return d.withColumn("x", broken).where("x = 1").select("doc_id", F.col("n").cast("string").alias("detail"))
+
+    out = rp.combine_analyzers(numbered(spark, 200), {"python": python, "elsewhere": elsewhere})
+    assert rows(out.where("status = 'error'"), "analyzer", "doc_id") == [("elsewhere", 7), ("python", 100)]
+    assert out.where("status = 'ok'").count() == 398

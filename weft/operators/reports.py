@@ -95,8 +95,8 @@ def combine_analyzers(docs: DataFrame, analyzers: Mapping[str, Analyzer],
     """Run each named analyzer (``docs -> (key, detail)``, row by row)
     and union the outcomes. Analyzers run at the same time, each in one pass of
     its own, written under the shared folder. Where one fails, only the
-    documents it fails for become error rows (with the whole message): see
-    :mod:`weft.plans.isolate`, also for ``max_errors``. One whose plan can't be
+    documents it fails for become error rows (with the whole message, or, where many
+    fail, that of one of its group): see :mod:`weft.plans.isolate`, also for ``max_errors``. One whose plan can't be
     built fails for all documents. Analyzers that share measures should take a
     table of them as ``docs``, so that the texts are read once."""
     spark = docs.sparkSession
@@ -125,7 +125,7 @@ def combine_analyzers(docs: DataFrame, analyzers: Mapping[str, Analyzer],
         except Exception as e:  # noqa: BLE001 - no plan: the analyzer fails for every document
             log.warning("analyzer %s: no plan: %s", name, e)
             return errors(docs.select(key, F.lit(message_of(e)).alias("error")))
-        out = run_isolated(docs, step, path, places, max_errors)
+        out = run_isolated(docs, step, path, places, max_errors, key)
         good = None
         if out.paths:
             good = spark.read.schema(out.schema).parquet(*out.paths).select(
