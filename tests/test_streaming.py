@@ -287,3 +287,31 @@ def test_tumbling_counts_drop_late_events(spark):
     got = read_batches(spark, out, "window_start timestamp, event_type string, n long")
     first = [r["n"] for r in got.collect() if r["window_start"].second == 0 and r["window_start"].minute == 0]
     assert first == [2]          # events at 10 s and 20 s, emitted once; the late 5 s row dropped
+
+
+def test_task_lifecycle_folds_a_bucket_at_once(spark):
+    """Two buckets hold all tasks: a few calls a batch, not one for each task, and
+    tasks that begin in one batch end in a later one."""
+    n = 400
+    status = {i: ("pending", "running", "completed")[i % 3] for i in range(n)}
+    tasks = spark.createDataFrame([*status.items(), (None, "pending")], "task_id long, status string")
+    kinds = {0: ["task_completed", "task_assigned", "task_assigned"], 1: ["task_assigned", "task_failed"], 2: ["task_completed"]}
+    later = {0: ["task_failed", "task_completed"], 1: ["task_completed"], 2: ["task_assigned"]}
+    batches, seq, want = [], 0, []
+    for given in (kinds, later):
+        evs = []
+        for i in [*range(0, n), n + 5]:
+            for k in given[i % 3]:
+                seq += 1
+                evs.append(event(seq, k, "a", t=seq, task_id=str(i)))
+                if i < n and k == "task_assigned" and status[i] == "pending":
+                    status[i] = "running"
+                    want.append((i, "running", seq, True))
+                elif i < n and status[i] == "running" and k != "task_assigned":
+                    status[i] = k.split("_")[1]
+                    want.append((i, status[i], seq, i % 3 == 0))
+        batches.append(evs)
+    stream = _heartbeat_stream(spark, batches).withColumn("task_id", F.col("task_id").cast("long"))
+    out = run_batches(sq.stream_task_lifecycle(stream, tasks, buckets=2), "t5-buckets")
+    got = read_batches(spark, out, sq.LIFECYCLE).selectExpr("task_id", "status", "seq", "started_at IS NOT NULL AS began")
+    assert rows(got, "task_id", "status", "seq", "began") == sorted(want)

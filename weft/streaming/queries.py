@@ -93,16 +93,20 @@ def stream_resource_admission(log: DataFrame, resources: DataFrame) -> DataFrame
                                         "Append", "None", initialState=init))
 
 
-def stream_task_lifecycle(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """T5: keyed by task id; pending and running tasks are the initial state,
-    and only assignments and terminal events are read. One row per change of a
+TASK_BUCKETS = 1024            # keys of the task state; a checkpoint holds for one number
+
+
+def stream_task_lifecycle(events: DataFrame, tasks: DataFrame, buckets: int = TASK_BUCKETS) -> DataFrame:
+    """T5: keyed by a hash of the task id; pending and running tasks are the initial
+    state, and only assignments and terminal events are read. One row per change of a
     task's status, with the time it was started (null if that was not seen)."""
-    init = (tasks.where(F.col("status").isin("pending", "running")).select("task_id", "status")
-            .groupBy("task_id"))
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket")
+    init = (tasks.where(F.col("task_id").isNotNull() & F.col("status").isin("pending", "running"))
+            .select(bucket, "task_id", "status").groupBy("bucket"))
     ev = (events.where(F.col("task_id").isNotNull()
                        & F.col("event_type").isin("task_assigned", "task_completed", "task_failed"))
-          .select("task_id", "seq", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")))
-    return (ev.groupBy("task_id")
+          .select(bucket, "task_id", "seq", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")))
+    return (ev.groupBy("bucket")
             .transformWithStateInPandas(S.TaskLifecycleProcessor(), S.LIFECYCLE_OUT, "Append",
                                         "None", initialState=init)
             .select("task_id", "status", "seq", F.timestamp_micros("started_us").alias("started_at")))

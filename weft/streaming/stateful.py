@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor,
                                                       StatefulProcessorHandle, TimerValues)
-from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType,
+from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 from weft.operators.events import (LOAD_CAP_TENTHS, STATE_CHANGED, TASK_ASSIGNED, TASK_COMPLETED,
@@ -389,42 +389,68 @@ class ResourceAdmissionProcessor(StatefulProcessor):
 LIFECYCLE_OUT = "task_id long, status string, seq long, started_us long"
 
 
+#: An active task in the state: whether it runs, and since when if that was seen.
+ACTIVE = np.dtype([("task_id", "<i8"), ("running", "?"), ("seen", "?"), ("started_us", "<i8")])
+
+
 class TaskLifecycleProcessor(StatefulProcessor):
     """T5: pending tasks run from their first assignment (``started_us`` is its
-    time), running tasks close with their first terminal event. The initial
+    time), running tasks close with their first terminal event. A key is a
+    bucket of tasks, so a call folds the events of thousands of tasks at once; its
+    state holds the bucket's active tasks by id. The initial
     state holds only the pending and running tasks — no event changes a closed
-    or unknown task — and a key's state is cleared once its task closes, so
+    or unknown task — and a task leaves the state once it closes, so
     the store holds the active set, not the whole task history. Later or
     duplicate events find no state and are ignored, as the reference does."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.st = handle.getValueState("task", StructType([StructField("status", StringType()),
-                                                           StructField("started_us", LongType())]))
+        self.st = handle.getValueState("tasks", StructType([StructField("active", BinaryType())]))
+
+    def _active(self) -> np.ndarray:
+        return np.frombuffer(self.st.get()[0], ACTIVE) if self.st.exists() else np.zeros(0, ACTIVE)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        self.st.update((str(initialState.iloc[0]["status"]), None))
+        new = np.zeros(len(initialState), ACTIVE)  # a large bucket comes in several parts
+        new["task_id"], new["running"] = initialState["task_id"].to_numpy(), (initialState["status"] == "running").to_numpy()
+        active = np.concatenate([self._active(), new])
+        _, first = np.unique(active["task_id"], return_index=True)
+        self.st.update((active[first].tobytes(),))
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows)
-        if pdf.empty or not self.st.exists():
+        active = self._active().copy()
+        if pdf.empty or not len(active):
             return iter([])
-        status, started = self.st.get()
-        out = []
-        for et, seq, ts in zip(pdf["event_type"].tolist(), pdf["seq"].tolist(), pdf["ts_us"].tolist()):
-            if status == "pending" and et == TASK_ASSIGNED:
-                status, started = "running", int(ts)
-                out.append((key[0], status, int(seq), started))
-            elif status == "running" and et in (TASK_COMPLETED, TASK_FAILED):
-                status = "completed" if et == TASK_COMPLETED else "failed"
-                out.append((key[0], status, int(seq), started))
-                self.st.clear()
-                break
-        else:
-            self.st.update((status, started))
-        if not out:
+        task = pdf["task_id"].to_numpy()
+        at = np.minimum(np.searchsorted(active["task_id"], task), len(active) - 1)
+        known = active["task_id"][at] == task
+        pdf, at = pdf[known], at[known]
+        et, seq, pos, none = pdf["event_type"].to_numpy(), pdf["seq"].to_numpy(), np.arange(len(pdf)), len(pdf)
+
+        def first(which: np.ndarray) -> np.ndarray:
+            """The first of these events of each task, ``none`` without one."""
+            out = np.full(len(active), none)
+            np.minimum.at(out, at[which], pos[which])
+            return out
+
+        given = np.where(active["running"], -1, first(et == TASK_ASSIGNED))
+        ended = first(((et == TASK_COMPLETED) | (et == TASK_FAILED)) & (pos > given[at]))
+        begun, closed = np.flatnonzero((given >= 0) & (given < none)), np.flatnonzero(ended < none)
+        if not len(begun) and not len(closed):
             return iter([])
-        done = pd.DataFrame(out, columns=["task_id", "status", "seq", "started_us"])
-        return iter([done.astype({"started_us": "Int64"})])
+        ts = pdf["ts_us"].iloc[given[begun]]
+        active["running"][begun], active["seen"][begun] = True, ts.notna().to_numpy()
+        active["started_us"][begun] = ts.fillna(0).to_numpy().astype(np.int64)
+        left = np.delete(active, closed)
+        if len(left):
+            self.st.update((left.tobytes(),))
+        else:
+            self.st.clear()
+        who = np.concatenate([begun, closed])
+        how = np.where(et[ended[closed]] == TASK_COMPLETED, "completed", "failed")
+        return iter([pd.DataFrame({
+            "task_id": active["task_id"][who], "status": ["running"] * len(begun) + how.tolist(), "seq": seq[np.concatenate([given[begun], ended[closed]])],
+            "started_us": pd.Series(active["started_us"][who]).astype("Int64").where(active["seen"][who])})])
 
     def close(self) -> None:
         pass
