@@ -198,3 +198,15 @@ def test_patterns_of_both_engines_match_the_same(spark):
     pattern = lx.NO_CODE_RE2.replace("'", "''")
     want = [duckdb.execute(f"SELECT regexp_replace(?, '{pattern}', '{lx.KEPT_RE2}', 'g')", [t]).fetchone()[0] for t in texts]
     assert got == want
+
+
+def test_the_rounds_carry_numbers(spark, monkeypatch):
+    """A cycle, a way out of it and a module alone: only numbers pass the rounds."""
+    kinds, plain = [], md.written
+    monkeypatch.setattr(md, "written", lambda df, name: kinds.append((name, {t for c, t in df.dtypes if c != "fresh"})) or plain(df, name))
+    edges = spark.createDataFrame([("c", "a"), ("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    modules = spark.createDataFrame([(x,) for x in "abcde"] + [(None,)], "module string")
+    assert rows(md.import_cycles(edges, modules), "module", "component", "members") == [
+        ("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("d", "d", 1), ("e", "e", 1)]
+    reach = [k for name, k in kinds if name == "module-reach"]
+    assert reach and all(k == {"bigint"} for k in reach)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from weft.sources.tabular import written
 
-STEPS = 2  # joins between two written tables
-
 
 def module_edges(imports: DataFrame, modules: DataFrame, key: str = "doc_id") -> DataFrame:
     """Distinct (src, dst) among the corpus' own modules. ``imports`` as of
@@ -44,45 +42,53 @@ def module_edges(imports: DataFrame, modules: DataFrame, key: str = "doc_id") ->
 
 
 def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per vertex (v, up, down): the largest vertex that reaches it and the largest it reaches."""
+    """Per vertex (v, up, down): the largest vertex that reaches it and the largest it reaches.
+    After the first step only vertices that have just learned something pass it on."""
+    state, none = state.withColumn("fresh", F.lit(True)), F.lit(None).cast("long")
     while True:
-        new = state
-        for _ in range(STEPS):
-            told = edges.join(new.select(F.col("v").alias("src"), "up"), "src").select(F.col("dst").alias("v"), "up", F.lit(None).cast("string").alias("down"))
-            heard = edges.join(new.select(F.col("v").alias("dst"), "down"), "dst").select(F.col("src").alias("v"), F.lit(None).cast("string").alias("up"), "down")
-            new = new.unionByName(told).unionByName(heard).groupBy("v").agg(F.max("up").alias("up"), F.max("down").alias("down"))
-        new = written(new, "module-reach")
-        learned = new.join(state.select("v", F.col("up").alias("u"), F.col("down").alias("d")), "v").where("up <> u OR down <> d")
-        if not learned.limit(1).count():
-            return new
-        state = new
+        news = state.where("fresh")
+        told = edges.join(news.select(F.col("v").alias("src"), "up"), "src").select(F.col("dst").alias("v"), "up", none.alias("down"), none.alias("u"), none.alias("d"))
+        heard = edges.join(news.select(F.col("v").alias("dst"), "down"), "dst").select(F.col("src").alias("v"), none.alias("up"), "down", none.alias("u"), none.alias("d"))
+        state = state.select("v", "up", "down", F.col("up").alias("u"), F.col("down").alias("d")).unionByName(told).unionByName(heard) \
+                     .groupBy("v").agg(*[F.max(c).alias(c) for c in ("up", "down", "u", "d")]) \
+                     .select("v", "up", "down", F.expr("up <> u OR down <> d").alias("fresh"))
+        state = written(state, "module-reach")  # one step a table: joined twice, an unwritten one would run twice
+        if state.where("fresh").isEmpty():
+            return state
 
 
 def import_cycles(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Strongly connected components: (module, component, members), named by the
     smallest member; a module on no cycle is a component of its own.
 
-    In each round all vertices learn the largest name that reaches them and the
+    Modules get numbers, so that the rounds carry these and no names. In each
+    round all vertices learn the largest number that reaches them and the
     largest they reach. Where both are the same vertex, it lies on a common
     cycle with it, and these vertices form a whole component. A component's
-    members always learn the same two names, so edges between vertices that
-    learned different ones are cut; all that is left goes on at once."""
-    left = written(modules.select(F.col("module").alias("v")).distinct(), "module-left")
-    edges = written(edges, "module-edges")
-    found = None
-    while left.limit(1).count():
-        state = _settled(left.select("v", F.col("v").alias("up"), F.col("v").alias("down")), edges)
-        done = state.where(F.col("up") == F.col("down")).select("v", F.col("up").alias("root"))
-        found = done if found is None else found.unionByName(done)
-        rest = state.where(F.col("up") != F.col("down"))
+    members always learn the same two numbers, so edges between vertices that
+    learned different ones are cut; all that is left goes on at once, but for
+    vertices without an edge, which are components."""
+    names = written(modules.select("module").where("module IS NOT NULL").distinct().withColumn("v", F.monotonically_increasing_id()), "module-numbers")
+    numbers = [names.select(F.col("module").alias(c), F.col("v").alias(f"{c}_v")) for c in ("src", "dst")]
+    edges = written(edges.join(numbers[0], "src").join(numbers[1], "dst").select(F.col("src_v").alias("src"), F.col("dst_v").alias("dst")), "module-edges")
+    left, found = names.select("v"), []
+    while True:
+        ends = edges.select(F.col("src").alias("v")).union(edges.select(F.col("dst").alias("v"))).distinct()
+        found.append(left.join(ends, "v", "left_anti").select("v", F.col("v").alias("root")))
+        if edges.isEmpty():
+            break
+        state = _settled(ends.select("v", F.col("v").alias("up"), F.col("v").alias("down")), edges)
+        found.append(state.where("up = down").select("v", F.col("up").alias("root")))
+        rest = state.where("up <> down")
         left = rest.select("v")
-        ends = [rest.select(F.col("v").alias(c), F.col("up").alias(f"up_{c}"), F.col("down").alias(f"down_{c}")) for c in ("src", "dst")]
-        edges = written(edges.join(ends[0], "src").join(ends[1], "dst").where(
-            (F.col("up_src") == F.col("up_dst")) & (F.col("down_src") == F.col("down_dst"))).select("src", "dst"), "module-edges")
-    if found is None:
-        return modules.select("module", F.col("module").alias("component"), F.lit(0).cast("long").alias("members")).where("false")
-    named = found.groupBy("root").agg(F.min("v").alias("component"), F.count("*").alias("members"))
-    return found.join(named, "root").select(F.col("v").alias("module"), "component", "members")
+        at = [rest.select(F.col("v").alias(c), F.col("up").alias(f"up_{c}"), F.col("down").alias(f"down_{c}")) for c in ("src", "dst")]
+        edges = written(edges.join(at[0], "src").join(at[1], "dst").where("up_src = up_dst AND down_src = down_dst").select("src", "dst"), "module-edges")
+    rooted = found[0]
+    for more in found[1:]:
+        rooted = rooted.unionByName(more)
+    rooted = written(rooted.join(names, "v").select("module", "root"), "module-roots")
+    named = rooted.groupBy("root").agg(F.min("module").alias("component"), F.count("*").alias("members"))
+    return rooted.join(named, "root").select("module", "component", "members")
 
 
 def dependents(edges: DataFrame, of: DataFrame) -> DataFrame:

@@ -62,7 +62,8 @@ edges AS (
 
 
 def _edges(src):
-    return md.module_edges(cp.import_statements(src), src)
+    """The statements are written, so that the texts are read once."""
+    return md.module_edges(written(cp.import_statements(src), "imports"), src)
 
 
 @query("module_edges", f"WITH {EDGES_SQL} SELECT * FROM edges")
